@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing
+from . import byte_bpe, mixing
 
 QUERIES = {
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
