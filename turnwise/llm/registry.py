@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import byte_bpe, mixing
+from . import byte_bpe, mixing, ogg, records
 
 QUERIES = {
+    "op1_ogg_media": ogg.op1_ogg_media,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op7_binary_records": records.op7_binary_records,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 SQL = {
