@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import byte_bpe, mixing, ogg, records
+from . import byte_bpe, line_dedup, mixing, ngram_join, ogg, records
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op7_binary_records": records.op7_binary_records,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
