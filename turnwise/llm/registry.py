@@ -1,15 +1,19 @@
 """The queries of this subpackage and their SQL."""
 
-from . import byte_bpe, line_dedup, mixing, ngram_join, ogg, records
+from . import byte_bpe, chat, line_dedup, mixing, ngram_join, ogg, records, topk
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_impact_topk": topk.op4_impact_topk,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_binary_records": records.op7_binary_records,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
+    "op4_impact_topk": topk.OP4_SQL,
+    "op6_chat_format": chat.OP6_SQL,
 }
