@@ -1,6 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import byte_bpe, chat, line_dedup, mixing, ngram_join, ogg, records, topk
+import corpus_pipeline
+
+from . import byte_bpe, chat, line_dedup, mixing, ngram_join, ogg, pii, records, topk, toxicity
 
 QUERIES = {
     "op1_ogg_media": ogg.op1_ogg_media,
@@ -10,7 +12,10 @@ QUERIES = {
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_chat_format": chat.op6_chat_format,
     "op7_binary_records": records.op7_binary_records,
+    "op8_pii_crf": pii.op8_pii_crf,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_toxicity_knn": toxicity.op10_toxicity_knn,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
