@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .common import new_path, prepare, table, text_or_empty
 
 DOCS_PER_FILE = 8192
 END_ID = 2
-#: Words that a worker remembers with their ids; a full memory is emptied.
-REMEMBER = 400_000
+#: Words, twice, and pieces that a worker remembers with their ids.
+REMEMBER = 300_000
 _HEAD = struct.Struct("<qB")
 _INDEX = np.dtype([("offset", "<u8"), ("ids_before", "<u8"), ("n_ids", "<u4")])
 
@@ -137,11 +138,26 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 # -- encoding --------------------------------------------------------------------------------------------------------
+#: Words of Latin-1 letters, digits and marks: they are composed already, and each character's lower case is its own affair.
+_PLAIN = regex.compile(r"[\x21-\x7e\u00a1-\u00ff]+").fullmatch
+#: The tokenizer file's own pattern (a fixed value).
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+
+
+def _byte_letters() -> list[str]:
+    """The visible letter for each byte in byte-level vocabularies: printable ones stand for themselves, others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
-    """The tokenizers library over whole texts, remembering words.
+    """The tokenizers library over whole texts, remembering words and pieces.
 
     The tokenizer file splits at white space and drops it before any merge, and neither its normalisation nor its pattern
-    joins what spaces, tabs and line ends separate.  So the ids of a text are those of its words one after another.
+    joins what spaces, tabs and line ends separate.  So the ids of a text are those of its words one after another, and
+    those of a word are the ids that the library's merges give for its pieces.  Words with other letters than
+    Latin-1 go through the library's whole path.
     """
 
     def __init__(self, path: str):
@@ -150,23 +166,49 @@ class WordEncoder:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.wide = self.own.get_vocab_size() > 0xFFFF
-        self.known: dict[str, bytes] = {}
+        self.kind = "<u4" if self.own.get_vocab_size() > 0xFFFF else "<u2"
+        self.merge, self.letters = self.own.model.tokenize, _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the words remembered before the last ``REMEMBER`` new ones
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        letters = self.letters
+        found = np.array([t.id for t in self.merge("".join([letters[b] for b in piece.encode()]))], self.kind).tobytes()
+        if len(self.pieces) >= REMEMBER:
+            self.pieces.clear()
+        self.pieces[piece] = found
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.words) + len(new) > REMEMBER:
+            self.before, self.words = self.words, {}
+        other, words, before, pieces = [], self.words, self.before, self.pieces
+        for w in new:
+            if (known := before.get(w)) is not None:
+                words[w] = known
+            elif _PLAIN(w):
+                words[w] = b"".join([pieces.get(p) or self._piece(p) for p in _PIECES(w.lower())])
+            else:
+                other.append(w)
+        for w, x in zip(other, self.own.encode_batch(other, add_special_tokens=False), strict=True):
+            words[w] = np.array(x.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        kind = "<u4" if self.wide else "<u2"
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, x in zip(part, self.own.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(x.ids, kind).tobytes()
-        end = np.array([end_id], kind).tobytes()
-        ids = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(ids, ws)) + end, kind) for ws in split]
+        end, out = np.array([end_id], self.kind).tobytes(), []
+        for t in texts:
+            ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            # far fewer words at a time than are remembered, so learning some can't push out all others
+            joined = [self._joined(ws[i : i + REMEMBER // 4]) for i in range(0, len(ws), REMEMBER // 4)]
+            out.append(np.frombuffer(b"".join([*joined, end]), self.kind))
+        return out
+
+    def _joined(self, ws: list[str]) -> bytes:
+        while True:
+            try:
+                return b"".join(map(self.words.__getitem__, ws))
+            except KeyError:
+                self._learn({w for w in ws if w not in self.words})
 
 
 @cache
