@@ -276,5 +276,6 @@ def op8_pii_crf(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = find_pii(docs, train(docs))
     base, spans = F.col("__tw_pii.base"), F.col("__tw_pii.spans")
-    counts = [F.size(F.filter(base, lambda s, k=k: s.startswith(k + ":"))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s.startswith(k + ":"))).cast("long").alias(f"n_{k}")
+    counts = list(map(of_kind, KINDS))
     return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(spans, ",").alias("spans"))
