@@ -1,8 +1,11 @@
 """All queries over the driver's tables, by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import text_queries  # noqa: F401
+from .base import QUERIES, SQL
 
 
 def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return QUERIES["tokens_v3"](spark, sf_dir)
+
+
+__all__ = ["QUERIES", "SQL", "entry"]
