@@ -241,7 +241,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = groups.join(nodes.select("node", "rep", "size"), "node")
     tasks = cut(_tasks(members), "tasks")
     wanted = tasks.select("node", "rep").distinct()
-    texts = rows.join(wanted, (rows["node"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["rep"])).select(rows["node"], "text")
+    # always by a merge join: a join that is broadcast on small inputs only would behave differently on large ones
+    texts = rows.join(wanted.hint("merge"), (rows["node"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["rep"])).select(rows["node"], "text")
     blocks = tasks.join(texts, "node").select("task", "side", "node", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     verified = cut(_verify(blocks.repartition(n, "task").sortWithinPartitions("task")), "verified")
