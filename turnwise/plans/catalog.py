@@ -1,11 +1,12 @@
 """All queries over the driver's tables, by name, with the SQL that gives the same rows."""
 
-from . import text_queries  # noqa: F401
+from . import match_queries, text_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
 def entry(spark, sf_dir):
-    return QUERIES["tokens_v3"](spark, sf_dir)
+    """The flagship query: requests resolved against the inventory, with outcome and reply."""
+    return QUERIES["lookup_outcome"](spark, sf_dir)
 
 
 __all__ = ["QUERIES", "SQL", "entry"]
