@@ -31,7 +31,7 @@ def words(c) -> Column:
 def drawer_tokens(c) -> Column:
     """Words, with number words turned into digits right after a word for drawer."""
     raw = words(c)
-    before = F.concat(F.array(F.lit("")), F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0))))
+    before = F.slice(F.concat(F.array(F.lit("")), raw), 1, F.size(raw))
     number = mapping(NUMBER_WORDS)
     return F.zip_with(raw, before, lambda w, p: F.when(p.isin(*DRAWER_WORDS) & number[w].isNotNull(), number[w]).otherwise(w))
 

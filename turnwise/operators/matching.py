@@ -16,10 +16,21 @@ MAX_WORDS = 4
 
 
 def phrase_hits(requests: DataFrame, phrases: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """(id, item_id) of all phrases of the request's setting in its text: an equi-join of n-grams, never text against text."""
-    grams = _grams(words("text"), max_words)
-    asked = requests.select("id", "setting", F.explode(F.array_distinct(grams)).alias("name"))
-    return asked.join(phrases, ["setting", "name"]).select("id", "item_id")
+    """(id, n, first) of requests that name items of their setting: how many items, and the three smallest ids.
+
+    An equi-join of the text's n-grams with one row for each phrase, so a name that a third of all items share costs one row.
+    """
+    named = _named(phrases)
+    asked = requests.select("id", "setting", F.explode(F.array_distinct(_grams(words("text"), max_words))).alias("name"))
+    return asked.join(named, ["setting", "name"]).groupBy("id").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 3).alias("first"))
+
+
+def _named(phrases: DataFrame) -> DataFrame:
+    """(setting, name, n, first): the three smallest ids by three rounds of minima, so no long list is gathered."""
+    a = phrases.groupBy("setting", "name").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("a"))
+    more = phrases.join(a, ["setting", "name"]).groupBy("setting", "name", "n", "a").agg(F.min(F.when(F.col("item_id") > F.col("a"), F.col("item_id"))).alias("b"))
+    third = phrases.join(more, ["setting", "name"]).groupBy("setting", "name", "n", "a", "b").agg(F.min(F.when(F.col("item_id") > F.col("b"), F.col("item_id"))).alias("c"))
+    return third.select("setting", "name", "n", F.array_compact(F.array("a", "b", "c")).alias("first"))
 
 
 def _grams(w: Column, max_words: int) -> Column:

@@ -48,3 +48,8 @@ def clustered_bootstrap(rows: DataFrame, *, clusters: int, resamples: int) -> Da
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long") % clusters).alias("u")
     m = draws.select("r", u).join(c, "u").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
     return m.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count(F.lit(1)).alias("resamples"))
+
+
+def sum_digest(text: Column) -> Column:
+    """Sum of the first 48 bits of each row's SHA-256: partial sums combine before any shuffle."""
+    return F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")

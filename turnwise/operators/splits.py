@@ -29,10 +29,10 @@ def grouped_split(rows: DataFrame, group: str) -> DataFrame:
 
 
 def group_folds(edges: DataFrame, folds: int) -> DataFrame:
-    """(a, fold): participants ``a`` that share any ``b`` get the same fold; groups go, largest first, to the emptiest fold.
+    """(a, fold): participants ``a`` that share any ``b`` get the same fold; groups, largest first, are dealt back and forth.
 
-    The smallest participant of a group is passed along shared items until nothing changes.  Folding is by group sizes
-    alone, so the driver sees one row for each size of group.
+    The smallest participant of a group is passed along shared items until nothing changes; only the number of changes
+    comes to the driver.
     """
     label = edges.select("a").distinct().withColumn("root", F.col("a"))
     pairs = edges.distinct()

@@ -5,6 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import position
+from ..session import prepare_workers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,6 +17,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare_workers(spark)
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         run.__doc__ = f.__doc__
@@ -63,11 +67,9 @@ I = (  # noqa: E741
 def turn_log(read) -> DataFrame:
     """(position, user_id, route, category, value, hit, correct): events in order as the log of a replay; correct is null for errors."""
     e = read("events")
-    from pyspark.sql import Window
-
     route = F.when(F.col("event_type").isin("view", "click", "purchase"), "fsm").otherwise("slm")
-    return e.select(
-        F.row_number().over(Window.orderBy("ts", "event_id")).cast("long").alias("position"),
+    return position(e, [F.date_trunc("HOUR", "ts")], ["ts", "event_id"]).select(
+        "position",
         "event_id",
         "ts",
         "user_id",

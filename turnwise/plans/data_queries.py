@@ -114,7 +114,7 @@ def decision_equality(read):
     return i.withColumn("same", (F.col("a") == b).cast("int")).groupBy("family").agg(F.sum("same").alias("equal_decisions"))
 
 
-@query("WITH h AS (SELECT c_custkey, sha256('split-v2:' || c_custkey) AS h FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY h, c_custkey) - 1 AS r, count(*) OVER () AS n FROM h) SELECT c_custkey, CASE WHEN r < floor(0.65 * n) THEN 'train' WHEN r < floor(0.82 * n) THEN 'validation' ELSE 'test' END AS split FROM r")
+@query("WITH h AS (SELECT c_custkey, sha256('split-v2:' || c_custkey) AS h FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY h, c_custkey) - 1 AS r, count(*) OVER () AS n FROM h) SELECT c_custkey, CASE WHEN r < floor(CAST(0.65 AS DOUBLE) * n) THEN 'train' WHEN r < floor(CAST(0.82 AS DOUBLE) * n) THEN 'validation' ELSE 'test' END AS split FROM r")
 def hash_split(read):
     """Participants in the order of a hash, cut at 65 and 82 per cent."""
     return P.hash_split(read("customer").select("c_custkey"), "c_custkey", salt="split-v2:", cuts=(0.65, 0.82))
@@ -127,18 +127,19 @@ def grouped_split(read):
     return P.grouped_split(o, "g").groupBy("split").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("g").alias("groups"))
 
 
-@query()
+@query(
+    "WITH m AS (SELECT c_custkey AS a, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS root FROM customer), s AS (SELECT root, count(*) AS n FROM m GROUP BY root), "
+    "k AS (SELECT root, row_number() OVER (ORDER BY n DESC, root) - 1 AS k FROM s) SELECT a, CAST(CASE WHEN k // 3 % 2 = 0 THEN k % 3 ELSE 2 - k % 3 END AS INT) AS fold FROM m JOIN k USING (root)"
+)
 def group_folds(read):
-    """Participants that share a transcript stay together (connected components), then the fullest-first fill of folds."""
-    e = read("lineitem").filter("l_orderkey % 500 = 0").select((F.col("l_suppkey")).alias("a"), (F.col("l_partkey") % 400).alias("b"))
-    return P.group_folds(e, folds=3)
+    """Participants that share anything stay together (connected components); groups are dealt to folds back and forth by size."""
+    return P.group_folds(read("customer").select(F.col("c_custkey").alias("a"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("b")), folds=3)
 
 
-@query(f"WITH {I}, w AS (SELECT * FROM range(3) a(world)), s AS (SELECT * FROM (VALUES ('locate'), ('clarify'), ('recover'), ('cancel')) t(scenario)) SELECT world, scenario, count(*) AS rows, sum(('0x' || left(md5(world || ':' || scenario || ':' || item_id), 4))::BIGINT % 10)::BIGINT AS drawn FROM w, s, i WHERE item_id % 50 = 0 GROUP BY ALL")
+@query(f"WITH {I}, w AS (SELECT * FROM range(3) a(world)), s AS (SELECT * FROM (VALUES ('locate'), ('clarify'), ('recover'), ('cancel')) t(scenario)) SELECT world, scenario, count(*) AS rows, sum(('0x' || left(md5(world || ':' || scenario || ':' || item_id), 4))::BIGINT % 10)::BIGINT AS drawn FROM w, s, i GROUP BY ALL")
 def world_generator(read):
     """Worlds x scenarios x items with hash draws instead of a seeded generator."""
-    i = inventory(read).filter("item_id % 50 = 0")
-    x = i.withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("scenario", F.explode(F.array(*map(F.lit, ("locate", "clarify", "recover", "cancel")))))
+    x = inventory(read).withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("scenario", F.explode(F.array(*map(F.lit, ("locate", "clarify", "recover", "cancel")))))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("world").cast("string"), "scenario", F.col("item_id").cast("string"))), 1, 4), 16, 10).cast("long") % 10
     return x.groupBy(F.col("world").cast("long").alias("world"), "scenario").agg(F.count(F.lit(1)).alias("rows"), F.sum(draw).alias("drawn"))
 
@@ -174,11 +175,12 @@ def inventory_overrides(read):
 @query(f"WITH {I} SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'The ' || name || ' is in drawer ' || (1 + CAST(size AS INT) % 40) || '.' WHEN 1 THEN 'The ' || lead(name, 1, 'nothing') OVER (ORDER BY item_id) || ' is in ' || coalesce(drawer, 'no drawer') || '.' ELSE 'It is over there.' END AS reply FROM i")
 def error_examples(read):
     """Replies with a wrong drawer, a wrong item, or nothing said."""
-    nxt = F.lead("name", 1, "nothing").over(Window.orderBy("item_id"))
-    k = F.col("item_id") % 3
+    i = inventory(read)
+    after = i.select((F.col("item_id") - 1).alias("item_id"), F.col("name").alias("next"))  # ids are dense
+    nxt, k = F.coalesce("next", F.lit("nothing")), F.col("item_id") % 3
     wrong = F.concat(F.lit("The "), "name", F.lit(" is in drawer "), (1 + F.col("size").cast("int") % 40).cast("string"), F.lit("."))
     other = F.concat(F.lit("The "), nxt, F.lit(" is in "), F.coalesce("drawer", F.lit("no drawer")), F.lit("."))
-    return inventory(read).select("item_id", F.when(k == 0, wrong).when(k == 1, other).otherwise("It is over there.").alias("reply"))
+    return i.join(after, "item_id", "left").select("item_id", F.when(k == 0, wrong).when(k == 1, other).otherwise("It is over there.").alias("reply"))
 
 
 @query("SELECT o_custkey, o_orderkey AS chosen FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderkey) = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import matching as M
-from .base import I, L, U, inventory, query, turn_log, utterances
+from .base import I, TEMPLATES, U, inventory, query, turn_log, utterances
 
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 #: Phrases of the inventory with their kinds, and the hits of requests: shared by several queries.
@@ -23,7 +23,7 @@ def lookup_outcome(read):
     """Requests to items by phrase, the outcome by the number of hits, and the rendered reply."""
     items = inventory(read)
     hits = M.phrase_hits(utterances(read), items.select("setting", "item_id", "name"))
-    per = utterances(read).join(hits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = utterances(read).join(hits.select("id", "n", F.get("first", F.lit(0)).alias("item_id")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one = per.join(items, (F.col("n") == 1) & (per["item_id"] == items["item_id"]), "left")
     return one.select("id", F.col("n").cast("long").alias("candidates"), *M.outcome(F.col("n"), F.col("name"), F.col("drawer")))
 
@@ -49,8 +49,7 @@ def longest_match_scan(read):
 def exact_item_hits(read):
     """How many items a request names, and the first three."""
     hits = M.phrase_hits(utterances(read), inventory(read).select("setting", "item_id", "name"))
-    g = hits.groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list("item_id")).alias("l"))
-    return g.select("id", "hits", F.array_join(F.transform(F.slice("l", 1, 3), lambda x: x.cast("string")), ",").alias("items"))
+    return hits.select("id", F.col("n").alias("hits"), F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("items"))
 
 
 @query(f"WITH {I} SELECT l_orderkey, l_linenumber, name, drawer FROM lineitem LEFT JOIN i ON item_id = l_partkey AND setting = 'lab'")
@@ -59,12 +58,12 @@ def lookup_id(read):
     return read("lineitem").join(inventory(read), (F.col("item_id") == F.col("l_partkey")) & (F.col("setting") == "lab"), "left").select("l_orderkey", "l_linenumber", "name", "drawer")
 
 
-@query(f"WITH {I}, q AS (SELECT item_id AS q, family, brand FROM i WHERE item_id % 10 = 0) SELECT q, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(item_id) END AS resolved FROM q JOIN i USING (family, brand) GROUP BY q")
+@query(f"WITH {I} SELECT item_id AS q, count(*) OVER w AS matches, CASE WHEN count(*) OVER w = 1 THEN item_id END AS resolved FROM i WINDOW w AS (PARTITION BY family, brand)")
 def family_attr_theta(read):
-    """Items of a family with all known attributes; resolved when one is left."""
+    """How many items have a request's family and known attributes; resolved when it is one.  Counts join back, not items to items."""
     i = inventory(read)
-    q = i.filter("item_id % 10 = 0").select(F.col("item_id").alias("q"), "family", "brand")
-    return q.join(i, ["family", "brand"]).groupBy("q").agg(F.count(F.lit(1)).alias("matches"), F.min("item_id").alias("m")).select("q", "matches", F.when(F.col("matches") == 1, F.col("m")).alias("resolved"))
+    g = i.groupBy("family", "brand").agg(F.count(F.lit(1)).alias("matches"), F.min("item_id").alias("m"))
+    return i.join(g, ["family", "brand"]).select(F.col("item_id").alias("q"), "matches", F.when(F.col("matches") == 1, F.col("m")).alias("resolved"))
 
 
 @query(
@@ -75,7 +74,7 @@ def item_resolution(read):
     """The item of this request, else that of the one before it when the request refers back."""
     u = utterances(read)
     hits = M.phrase_hits(u, inventory(read).select("setting", "item_id", "name"))
-    one = hits.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")).filter("n = 1").drop("n")
+    one = hits.filter("n = 1").select("id", F.get("first", F.lit(0)).alias("item_id"))
     r = u.join(one, "id", "left").withColumn("before", F.lag("item_id").over(Window.partitionBy("setting").orderBy("id")))
     back = F.lower("text").contains("please")
     return r.select("id", F.coalesce("item_id", F.when(back, F.col("before"))).alias("item_id"), F.when(F.col("item_id").isNotNull(), "current").when(back & F.col("before").isNotNull(), "memory").otherwise("none").alias("source"))
@@ -93,12 +92,12 @@ def narrow_scored(read):
     return i.withColumn("score", score).withColumn("r", F.rank().over(Window.partitionBy("ask").orderBy(F.desc("score")))).filter("r = 1").select("ask", "item_id", "score")
 
 
-@query(f"WITH {I}, a AS (SELECT item_id, setting, unnest(string_split(name, ' ')) AS alias FROM i WHERE setting = 'lab'), b AS (SELECT item_id, setting, unnest(string_split(name, ' ')) AS alias FROM i WHERE setting = 'hospital' AND item_id < 200) SELECT a.item_id, min(b.item_id) AS first_match, count(DISTINCT b.item_id) AS matches FROM a JOIN b USING (alias) GROUP BY a.item_id")
+@query(f"WITH {I}, w AS (SELECT item_id, setting, unnest(string_split(name, ' ')) AS alias FROM i), b AS (SELECT alias, min(item_id) AS first_id, count(*) AS n FROM w WHERE setting = 'hospital' GROUP BY alias) SELECT item_id, min(first_id) AS first_match, sum(n)::BIGINT AS hits FROM w JOIN b USING (alias) WHERE setting = 'lab' GROUP BY item_id")
 def alias_overlap(read):
-    """Items whose aliases intersect, the first match by order."""
-    i = inventory(read).select("item_id", "setting", F.explode(F.split("name", " ")).alias("alias"))
-    a, b = i.filter("setting = 'lab'").select("item_id", "alias"), i.filter("setting = 'hospital' AND item_id < 200").select(F.col("item_id").alias("b"), "alias")
-    return a.join(b, "alias").groupBy("item_id").agg(F.min("b").alias("first_match"), F.count_distinct("b").alias("matches"))
+    """Items whose aliases intersect: the first match and the number of hits, from one row for each alias."""
+    w = inventory(read).select("item_id", "setting", F.explode(F.split("name", " ")).alias("alias"))
+    b = w.filter("setting = 'hospital'").groupBy("alias").agg(F.min("item_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    return w.filter("setting = 'lab'").join(b, "alias").groupBy("item_id").agg(F.min("first_id").alias("first_match"), F.sum("n").alias("hits"))
 
 
 @query(
@@ -127,55 +126,59 @@ def teacher_cache_lookup(read):
     return read("documents").withColumn("key", key).join(k, "key", "left").select("doc_id", "cached")
 
 
-_V = "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings"
+_P = (
+    "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT label, vec_id % 16 AS g, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), "
+    "m AS (SELECT label, g, k, avg(CAST(x AS DOUBLE)) AS m FROM u GROUP BY ALL), p AS (SELECT label, g, list(m ORDER BY k) AS c FROM m GROUP BY ALL)"
+)
+
+
+def _patterns(read):
+    """Mean vectors of (state, group): a bounded number of patterns for each state, whatever the number of turns."""
+    x = read("embeddings").select("label", (F.col("vec_id") % 16).alias("g"), F.posexplode("embedding").alias("k", "x"))
+    m = x.groupBy("label", "g", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return m.groupBy("label", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda y: y["m"]).alias("c"))
+
+
+def _scored(read):
+    e = read("embeddings").select("vec_id", "label", "embedding")
+    return e.join(_patterns(read), "label").select("vec_id", "label", "g", F.round(S.dot(F.col("embedding"), F.col("c")), 6).alias("cosine"))
 
 
-@query(f"WITH v AS ({_V}), s AS (SELECT a.vec_id AS turn, b.vec_id AS pattern, round(list_dot_product(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 5 = 1 AND b.vec_id % 5 = 0) SELECT turn, pattern, cosine FROM s WHERE cosine >= 0.1 QUALIFY row_number() OVER (PARTITION BY turn ORDER BY cosine DESC, pattern) = 1")
+@query(f"WITH {_P}, s AS (SELECT vec_id, g, round(list_dot_product(v, c), 6) AS cosine FROM v JOIN p USING (label)) SELECT vec_id AS turn, g AS pattern, cosine FROM s WHERE cosine >= 0.1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, g) = 1")
 def dense_cosine_top1(read):
-    """The nearest active pattern of the same state over a threshold, ties to the older one."""
-    e = read("embeddings")
-    turns = e.filter("vec_id % 5 = 1").select(F.col("vec_id").alias("turn"), F.col("label").alias("state"), "embedding")
-    patterns = e.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("pattern"), F.col("label").alias("state"), "embedding")
-    return M.nearest_pattern(turns, patterns, threshold=0.1)
+    """The nearest pattern of the same state over a threshold, ties to the older one."""
+    e = read("embeddings").select(F.col("vec_id").alias("turn"), F.col("label").alias("state"), "embedding")
+    return M.nearest_pattern(e, _patterns(read).select(F.col("label").alias("state"), F.col("g").alias("pattern"), F.col("c").alias("embedding")), threshold=0.1)
 
 
-@query(f"WITH v AS ({_V}), s AS (SELECT a.vec_id AS turn, round(list_dot_product(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 5 = 1 AND b.vec_id % 5 = 0) SELECT turn, max(c) AS best, count(*) AS patterns FROM s GROUP BY turn")
+@query(f"WITH {_P} SELECT vec_id AS turn, max(round(list_dot_product(v, c), 6)) AS best, count(*) AS patterns FROM v JOIN p USING (label) GROUP BY vec_id")
 def best_similarity(read):
     """The largest cosine to any pattern of the state."""
-    e = read("embeddings")
-    a, b = e.filter("vec_id % 5 = 1").alias("a"), e.filter("vec_id % 5 = 0").alias("b")
-    s = a.join(b, F.col("a.label") == F.col("b.label")).select(F.col("a.vec_id").alias("turn"), F.round(S.dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("c"))
-    return s.groupBy("turn").agg(F.max("c").alias("best"), F.count(F.lit(1)).alias("patterns"))
+    return _scored(read).groupBy(F.col("vec_id").alias("turn")).agg(F.max("cosine").alias("best"), F.count(F.lit(1)).alias("patterns"))
 
 
-@query(f"WITH v AS ({_V}), s AS (SELECT a.vec_id AS observation, b.vec_id AS pattern, round(list_dot_product(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 3 = b.vec_id % 3 AND b.vec_id < a.vec_id AND a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0) SELECT observation, CASE WHEN max(c) >= 0.2 THEN arg_min(pattern, struct_pack(k := -c, p := pattern)) END AS merged_into FROM s GROUP BY observation")
+@query(f"WITH {_P}, s AS (SELECT vec_id, g, round(list_dot_product(v, c), 6) AS x FROM v JOIN p ON v.label = p.label AND vec_id % 4 = g % 4) SELECT vec_id AS observation, CASE WHEN max(x) >= 0.2 THEN arg_min(g, struct_pack(k := -x, p := g)) END AS merged_into FROM s GROUP BY vec_id")
 def merge_candidate(read):
     """The pattern of equal state and template that an observation merges into, if near enough."""
-    e = read("embeddings")
-    a, b = e.filter("vec_id % 4 = 0").alias("a"), e.filter("vec_id % 4 <> 0").alias("b")
-    on = (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") % 3 == F.col("b.vec_id") % 3) & (F.col("b.vec_id") < F.col("a.vec_id"))
-    s = a.join(b, on).select(F.col("a.vec_id").alias("observation"), F.col("b.vec_id").alias("p"), F.round(S.dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("c"))
-    best = s.groupBy("observation").agg(F.min(F.struct((-F.col("c")).alias("k"), "p")).alias("m"))
-    return best.select("observation", F.when(-F.col("m.k") >= 0.2, F.col("m.p")).alias("merged_into"))
+    s = _scored(read).filter(F.col("vec_id") % 4 == F.col("g") % 4)
+    best = s.groupBy(F.col("vec_id").alias("observation")).agg(F.min(F.struct((-F.col("cosine")).alias("k"), "g")).alias("m"))
+    return best.select("observation", F.when(-F.col("m.k") >= 0.2, F.col("m.g")).alias("merged_into"))
 
 
-@query(f"WITH v AS ({_V}), s AS (SELECT a.vec_id AS turn, list_dot_product(a.v, b.v) AS c FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 7 = 1 AND b.vec_id % 7 = 0), r AS (SELECT turn, c, row_number() OVER (PARTITION BY turn ORDER BY c DESC) AS r FROM s) SELECT turn, round(max(CASE WHEN r = 1 THEN c END) - max(CASE WHEN r = 2 THEN c END), 6) AS margin FROM r GROUP BY turn")
+@query(f"WITH {_P}, s AS (SELECT vec_id AS turn, list_dot_product(v, c) AS x, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(v, c), 6) DESC, g) AS r FROM v JOIN p USING (label)) SELECT turn, round(max(CASE WHEN r = 1 THEN round(x, 6) END) - max(CASE WHEN r = 2 THEN round(x, 6) END), 6) AS margin FROM s GROUP BY turn")
 def top2_margin(read):
     """Best minus second best."""
-    e = read("embeddings")
-    a, b = e.filter("vec_id % 7 = 1").alias("a"), e.filter("vec_id % 7 = 0").alias("b")
-    s = a.join(b, F.col("a.label") == F.col("b.label")).select(F.col("a.vec_id").alias("turn"), S.dot(F.col("a.embedding"), F.col("b.embedding")).alias("c"))
-    r = s.withColumn("r", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("c"))))
-    return r.groupBy("turn").agg(F.round(F.max(F.when(F.col("r") == 1, F.col("c"))) - F.max(F.when(F.col("r") == 2, F.col("c"))), 6).alias("margin"))
+    top = F.slice(F.sort_array(F.collect_list("cosine"), asc=False), 1, 2)
+    return _scored(read).groupBy(F.col("vec_id").alias("turn")).agg(top.alias("t")).select("turn", F.round(F.get("t", F.lit(0)) - F.get("t", F.lit(1)), 6).alias("margin"))
 
 
-@query("SELECT a.vec_id, coalesce(b.vec_id, c.vec_id) AS entry, CASE WHEN b.vec_id IS NOT NULL THEN 'exact' WHEN c.vec_id IS NOT NULL THEN 'typed' ELSE 'none' END AS level FROM embeddings a LEFT JOIN (SELECT min(vec_id) AS vec_id, vec_id % 13 * 10 + label AS k FROM embeddings WHERE vec_id % 3 = 0 GROUP BY ALL) b ON b.k = a.vec_id % 13 * 10 + a.label LEFT JOIN (SELECT min(vec_id) AS vec_id, label AS k FROM embeddings WHERE label < 5 GROUP BY ALL) c ON c.k = a.label")
+@query("WITH x AS (SELECT vec_id % 13 AS a, label, min(vec_id) AS x FROM embeddings GROUP BY ALL HAVING count(*) >= 4), t AS (SELECT label, min(vec_id) AS y FROM embeddings GROUP BY label HAVING avg(vec_id) > median(vec_id)) SELECT vec_id, coalesce(x, y) AS entry, CASE WHEN x IS NOT NULL THEN 'exact' WHEN y IS NOT NULL THEN 'typed' ELSE 'none' END AS level FROM embeddings e LEFT JOIN x ON x.a = vec_id % 13 AND x.label = e.label LEFT JOIN t ON t.label = e.label")
 def exact_then_typed(read):
     """An exact key first, then a typed one."""
-    e = read("embeddings")
-    exact = e.filter("vec_id % 3 = 0").groupBy((F.col("vec_id") % 13 * 10 + F.col("label")).alias("k")).agg(F.min("vec_id").alias("x"))
-    typed = e.filter("label < 5").groupBy(F.col("label").alias("t")).agg(F.min("vec_id").alias("y"))
-    j = e.withColumn("k", F.col("vec_id") % 13 * 10 + F.col("label")).join(exact, "k", "left").join(typed, F.col("label") == F.col("t"), "left")
+    e = read("embeddings").withColumn("a", F.col("vec_id") % 13)
+    exact = e.groupBy("a", "label").agg(F.min("vec_id").alias("x"), F.count(F.lit(1)).alias("n")).filter("n >= 4").drop("n")
+    typed = e.groupBy("label").agg(F.min("vec_id").alias("y"), (F.avg("vec_id") > F.percentile("vec_id", 0.5)).alias("late")).filter("late").drop("late")
+    j = e.join(exact, ["a", "label"], "left").join(typed, "label", "left")
     return j.select("vec_id", F.coalesce("x", "y").alias("entry"), F.when(F.col("x").isNotNull(), "exact").when(F.col("y").isNotNull(), "typed").otherwise("none").alias("level"))
 
 
@@ -186,13 +189,13 @@ def fold_assignment(read):
     return read("customer").join(n, "c_nationkey", "left").select("c_custkey", F.coalesce(F.when(F.col("n_regionkey") == 0, "test").when(F.col("n_regionkey") == 1, "validation"), F.lit("train")).alias("split"))
 
 
-@query(f"WITH {I}, r AS (SELECT DISTINCT item_id AS ref, name FROM i WHERE item_id < 40), l AS (SELECT item_id, name FROM i WHERE item_id >= 1000) SELECT l.item_id, count(DISTINCT ref) AS refs, CASE count(DISTINCT ref) WHEN 0 THEN 'unmapped' WHEN 1 THEN 'mapped' ELSE 'ambiguous' END AS status FROM l LEFT JOIN r USING (name) GROUP BY l.item_id")
+@query(f"WITH {I}, r AS (SELECT name, count(*) AS refs FROM i WHERE setting = 'lab' AND family = 'SMALL' AND brand < 'Brand#2' GROUP BY name) SELECT item_id, coalesce(refs, 0) AS refs, CASE coalesce(refs, 0) WHEN 0 THEN 'unmapped' WHEN 1 THEN 'mapped' ELSE 'ambiguous' END AS status FROM i LEFT JOIN r USING (name)")
 def reference_comparison(read):
-    """Learned names against reference names: none, one or many."""
+    """Learned names against a reference list: none, one or many."""
     i = inventory(read)
-    r = i.filter("item_id < 40").select(F.col("item_id").alias("ref"), "name")
-    g = i.filter("item_id >= 1000").select("item_id", "name").join(r, "name", "left").groupBy("item_id").agg(F.count_distinct("ref").alias("refs"))
-    return g.select("item_id", "refs", F.when(F.col("refs") == 0, "unmapped").when(F.col("refs") == 1, "mapped").otherwise("ambiguous").alias("status"))
+    r = i.filter("setting = 'lab' AND family = 'SMALL' AND brand < 'Brand#2'").groupBy("name").agg(F.count(F.lit(1)).alias("refs"))
+    refs = F.coalesce("refs", F.lit(0))
+    return i.join(r, "name", "left").select("item_id", refs.alias("refs"), F.when(refs == 0, "unmapped").when(refs == 1, "mapped").otherwise("ambiguous").alias("status"))
 
 
 @query(f"WITH {I}, f AS (SELECT DISTINCT string_split(name, ' ')[2] AS w FROM i) SELECT item_id, w FROM i JOIN f ON list_contains(string_split(name, ' '), w)")
@@ -265,15 +268,17 @@ def condition_pivot(read):
 
 
 @query(
-    f"WITH {I}, g AS (SELECT item_id, name, unnest(list_transform(range(1, len(name) - 1), lambda k: substr(name, k, 3))) AS g FROM i WHERE item_id < 64), t AS (SELECT item_id, g, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM t GROUP BY item_id) "
-    "SELECT a.item_id AS a, b.item_id AS b, round(sum(a.n * b.n) / max(x.norm * y.norm), 6) AS cosine FROM t a JOIN t b ON a.g = b.g AND a.item_id < b.item_id JOIN s x ON x.item_id = a.item_id JOIN s y ON y.item_id = b.item_id GROUP BY ALL"
+    f"WITH {I}, n AS (SELECT DISTINCT name FROM i), g AS (SELECT name, unnest(list_transform(range(1, len(name) - 1), lambda k: substr(name, k, 3))) AS g FROM n), t AS (SELECT name, g, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT name, sqrt(sum(n * n)) AS norm FROM t GROUP BY name) "
+    "SELECT a.name AS a, b.name AS b, round(sum(a.n * b.n) / max(x.norm * y.norm), 6) AS cosine FROM t a JOIN t b ON a.g = b.g AND a.name < b.name JOIN s x ON x.name = a.name JOIN s y ON y.name = b.name GROUP BY ALL"
 )
 def trigram_cosine(read):
-    """Cosines of character trigram counts, joined by trigram."""
-    t = inventory(read).filter("item_id < 64").select("item_id", F.explode(S.char_ngrams(F.col("name"), 3)).alias("g")).groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("n"))
-    return M.sparse_cosine(t, "item_id", "g", "n").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """Cosines of distinct names' trigram counts, joined by trigram."""
+    names = inventory(read).select("name").distinct()
+    t = names.select("name", F.explode(S.char_ngrams(F.col("name"), 3)).alias("g")).groupBy("name", "g").agg(F.count(F.lit(1)).alias("n"))
+    return M.sparse_cosine(t, "name", "g", "n").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+_PROTOTYPES = ", ".join(f"({i}, '{t.replace('{n}', '').replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(TEMPLATES))
 _TF = f"{U}, f AS (SELECT id, unnest({_W}) AS w FROM u), n AS (SELECT count(*) AS n FROM u), df AS (SELECT w, count(DISTINCT id) AS df FROM f GROUP BY w), idf AS (SELECT w, ln((1.0 + n) / (1.0 + df)) + 1 AS idf FROM df, n)"
 
 
@@ -292,15 +297,18 @@ def tfidf_norm(read):
 
 @query(
     f"WITH {_TF}, t AS (SELECT id, w, (1 + ln(count(*))) * max(idf) AS x FROM f JOIN idf USING (w) GROUP BY id, w), z AS (SELECT id, w, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM t), "
-    "p AS (SELECT * FROM z WHERE id < 8), s AS (SELECT z.id, p.id AS prototype, round(sum(z.x * p.x), 6) AS cosine FROM z JOIN p USING (w) GROUP BY ALL) SELECT id, prototype, cosine FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, prototype) = 1"
+    f"pf AS (SELECT prototype, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM (VALUES {_PROTOTYPES}) q(prototype, text)), pt AS (SELECT prototype AS id, w, (1 + ln(count(*))) * max(idf) AS x FROM pf JOIN idf USING (w) GROUP BY ALL), p AS (SELECT id AS prototype, w, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM pt), "
+    "s AS (SELECT z.id, prototype, round(sum(z.x * p.x), 6) AS cosine FROM z JOIN p USING (w) GROUP BY ALL) SELECT id, prototype, cosine FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY cosine DESC, prototype) = 1"
 )
 def prototype_match(read):
-    """Each request's nearest prototype by TF-IDF cosine."""
+    """Each request's nearest prototype by TF-IDF cosine; prototypes are the templates without their items."""
     f = utterances(read).select("id", F.explode(T.words("text")).alias("w"))
-    z = M.tfidf(f, M.idf(f, utterances(read).count()))
-    p = z.filter("id < 8").select(F.col("id").alias("prototype"), "w", F.col("weight").alias("y"))
-    s = z.join(p, "w").groupBy("id", "prototype").agg(F.round(F.sum(F.col("weight") * F.col("y")), 6).alias("cosine"))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "prototype"))).filter("r = 1").drop("r")
+    weights = M.idf(f, utterances(read).count())
+    rows = f.sparkSession.createDataFrame([(i, t.replace("{n}", "")) for i, t in enumerate(TEMPLATES)], "id int, text string")
+    p = M.tfidf(rows.select("id", F.explode(T.words("text")).alias("w")), weights).select(F.col("id").alias("prototype"), "w", F.col("weight").alias("y"))
+    s = M.tfidf(f, weights).join(p, "w").groupBy("id", "prototype").agg(F.round(F.sum(F.col("weight") * F.col("y")), 6).alias("cosine"))
+    best = s.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("k"), "prototype")).alias("m"))
+    return best.select("id", "m.prototype", (-F.col("m.k")).alias("cosine"))
 
 
 @query(

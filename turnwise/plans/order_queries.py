@@ -10,20 +10,21 @@ from .base import I, L, U, inventory, query, turn_log, utterances
 @query(f"WITH {L} SELECT position, round(avg(CAST(hit AS INT)) OVER (ORDER BY position ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 6) AS share FROM log")
 def rolling_share(read):
     """Share over the last 25 rows."""
-    return turn_log(read).select("position", F.round(O.rolling(F.col("hit").cast("int"), 25), 6).alias("share"))
+    return O.rolling(turn_log(read).select("position", "hit"), F.col("hit").cast("int"), 25, "share").select("position", F.round("share", 6).alias("share"))
 
 
 @query(f"WITH {L} SELECT position, CASE WHEN position >= 10 THEN round(avg(value) OVER (ORDER BY position ROWS BETWEEN 24 PRECEDING AND CURRENT ROW), 6) END AS mean FROM log")
 def rolling_min_periods(read):
     """Rolling mean, null until enough rows."""
-    return turn_log(read).select("position", F.round(O.rolling(F.col("value"), 25, least=10), 6).alias("mean"))
+    return O.rolling(turn_log(read).select("position", "value"), F.col("value"), 25, "mean", least=10).select("position", F.round("mean", 6).alias("mean"))
 
 
 @query(f"WITH {L} SELECT position, round(sum(CAST(correct AS INT)) OVER w / nullif(count(correct) OVER w, 0), 6) AS rate FROM log WINDOW w AS (ORDER BY position)")
 def cumulative_rate(read):
     """Running rate that skips nulls."""
-    w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return turn_log(read).select("position", F.round(F.try_divide(F.sum(F.col("correct").cast("int")).over(w), F.count("correct").over(w)), 6).alias("rate"))
+    known = F.col("correct").cast("int")
+    r = O.running(turn_log(read).select("position", "correct"), {"k": known, "n": F.when(known.isNotNull(), 1)})
+    return r.select("position", F.round(F.try_divide("k", "n"), 6).alias("rate"))
 
 
 @query(f"WITH {L} SELECT position, event_id FROM log")
@@ -57,9 +58,8 @@ def first_reach(read):
 @query(f"WITH {L} SELECT position, last_value(CASE WHEN category = 'signup' THEN event_id END IGNORE NULLS) OVER w AS last_signup, count(*) FILTER (category = 'signup') OVER w AS active FROM log WINDOW w AS (ORDER BY position ROWS UNBOUNDED PRECEDING)")
 def asof_flags(read):
     """The state as of each turn."""
-    w = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     signup = F.when(F.col("category") == "signup", F.col("event_id"))
-    return turn_log(read).select("position", F.last(signup, ignorenulls=True).over(w).alias("last_signup"), F.count(signup).over(w).alias("active"))
+    return O.running(turn_log(read).select("position", "category", "event_id"), {"active": signup.isNotNull().cast("int")}, {"last_signup": signup}).select("position", "last_signup", "active")
 
 
 @query(f"WITH {L} SELECT (position - 1) // 500 AS batch, max(position) AS last_position, count(*) AS n FROM log GROUP BY 1")
@@ -92,14 +92,13 @@ def interleave(read):
 def round_robin(read):
     """One of each stratum in turn, up to a limit."""
     r = turn_log(read).withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("event_id")))
-    return r.orderBy("rn", "category").limit(123).withColumn("place", F.row_number().over(Window.orderBy("rn", "category")).cast("long")).select("place", "event_id")
+    return r.filter("rn <= 123").orderBy("rn", "category").limit(123).withColumn("place", F.row_number().over(Window.orderBy("rn", "category")).cast("long")).select("place", "event_id")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT)) AS place FROM customer")
 def participant_order(read):
     """O1: by participant, then trial number."""
-    w = Window.orderBy("c_nationkey", F.regexp_extract("c_name", "[0-9]+", 0).cast("long"))
-    return read("customer").select("c_custkey", F.row_number().over(w).cast("long").alias("place"))
+    return O.position(read("customer"), [F.col("c_nationkey")], [F.regexp_extract("c_name", "[0-9]+", 0).cast("long")], "place").select("c_custkey", "place")
 
 
 @query("""SELECT n_nationkey, row_number() OVER (ORDER BY '{"name":"' || n_name || '","region":' || n_regionkey || '}') AS place FROM nation""")
