@@ -19,6 +19,7 @@ import io
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -167,14 +168,16 @@ class WordEncoder:
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u4" if self.own.get_vocab_size() > 0xFFFF else "<u2"
+        self.code = "I" if self.kind == "<u4" else "H"
         self.merge, self.letters = self.own.model.tokenize, _byte_letters()
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # the words remembered before the last ``REMEMBER`` new ones
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        letters = self.letters
-        found = np.array([t.id for t in self.merge("".join([letters[b] for b in piece.encode()]))], self.kind).tobytes()
+        letters = self.letters  # visible ASCII stands for itself
+        own = piece if piece.isascii() else "".join([letters[b] for b in piece.encode()])
+        found = array(self.code, [t.id for t in self.merge(own)]).tobytes()
         if len(self.pieces) >= REMEMBER:
             self.pieces.clear()
         self.pieces[piece] = found
@@ -187,6 +190,14 @@ class WordEncoder:
         for w in new:
             if (known := before.get(w)) is not None:
                 words[w] = known
+            elif not w:
+                words[w] = b""
+            elif max(w) < "\u0100" and (w.isalpha() or (w[:-1].isalpha() and w[-1] in ".,")):  # most words: one piece, and a mark
+                low = w.lower()
+                if low[-1] in ".,":
+                    words[w] = (pieces.get(low[:-1]) or self._piece(low[:-1])) + (pieces.get(low[-1]) or self._piece(low[-1]))
+                else:
+                    words[w] = pieces.get(low) or self._piece(low)
             elif _PLAIN(w):
                 words[w] = b"".join([pieces.get(p) or self._piece(p) for p in _PIECES(w.lower())])
             else:
