@@ -70,16 +70,17 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     targets = _water_fill(ranges.groupBy("skey").agg(F.sum("n").alias("total")), epochs)
     before = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranges.select("skey", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(targets, "skey")
+    bases = bases.select(*(F.col(x).alias(f"{_IN}b_{x}") for x in bases.columns))  # no clash with the input's columns
     inside = Window.partitionBy(c("skey"), c("range")).orderBy(c("h"), c("size")).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         keyed.withColumn(_IN + "cum", F.sum(c("size")).over(inside))
-        .join(bases, (c("skey") == F.col("skey")) & (c("range") == F.col("range")))
+        .join(bases, (c("skey") == c("b_skey")) & (c("range") == c("b_range")))
         .select(
             *(F.col(f"`{x}`") for x in docs.columns),
             *(c(x) for x in ("size", "skey", "h")),
-            (c("cum") + F.col("base")).alias(_IN + "cum"),
-            F.col("source_total").alias(_IN + "source_size"),
-            F.col("target").alias(_IN + "target"),
+            (c("cum") + c("b_base")).alias(_IN + "cum"),
+            c("b_source_total").alias(_IN + "source_size"),
+            c("b_target").alias(_IN + "target"),
         )
     )
     placed = cut(placed, "mix-placed")
