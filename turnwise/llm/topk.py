@@ -94,7 +94,7 @@ class ImpactIndex:
             for rows, q in own:
                 low[rows, q] = -np.inf
             kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(m, -np.inf)
-            cand = low + 2 * slack * norms[None, :] >= kth[None, :] - (1 if not done or most < 2**52 else most * 1e-12)
+            cand = low + 2 * slack * norms[None, :] >= kth[None, :] - (1 + most * 1e-12)
             for rows, q in own:
                 cand[rows, q] = False
             if done or cand.sum() <= REST * n * m + k * m:
