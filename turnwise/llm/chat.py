@@ -10,7 +10,7 @@ END, so it covers the content and the END that the model has to learn; END carri
 Turns are encoded where they are; then conversations are put together in order, streaming: a conversation comes out in
 pieces of up to ``PIECE`` tokens, so even one with a third of all turns takes bounded memory.
 
-Defined results: null text and role count as empty; turns with equal numbers go by role and ids; null turns come first; null
+Defined results: null text and role count as empty; turns with equal numbers go by role and text; null turns come first; null
 conv_id is a conversation of its own; an empty table gives no rows.
 """
 
@@ -79,8 +79,9 @@ def _turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
         return pd.DataFrame([encode_turn(own, r, t) for r, t in zip(roles, texts, strict=True)], columns=["ids", "head"])
 
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    x = encode(role, F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), x.alias("x")).select("conv_id", "turn", "role", "x.ids", "x.head")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    x = encode(role, text)
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), x.alias("x"), text.alias("text")).select("conv_id", "turn", "role", "x.ids", "x.head", "text")
 
 
 _PIECES = pa.schema([("conv_id", pa.int64()), ("piece", pa.int32()), ("input_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.int8()))])
@@ -91,7 +92,7 @@ def format_chats(turns: DataFrame, *, path: str, pattern: str) -> DataFrame:
     spark = turns.sparkSession
     prepare(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _turns(turns, path, pattern).repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    ordered = _turns(turns, path, pattern).repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, piece, state, after = None, False, 0, 0, 0  # state: the mask so far; after: 1 if the next token ends a loss span
