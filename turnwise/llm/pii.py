@@ -4,7 +4,7 @@ Patterns give the base spans: for each kind the leftmost non-overlapping matches
 further mentions.  Its nodes are the tokens of a document that may be one: those with a digit, ``@`` or ``+``, and those whose
 letters and digits repeat a part of a base span.  Labels are the kinds and "none".  Potentials:
 
-* a token's shape with its label (digits, dots, signs, letters, in coarse classes);
+* a token's shape with its label (digits, dots, signs, letters, in coarse classes, and whether another candidate stands before it);
 * labels of neighbours in the text (the chain);
 * labels of equal or similar tokens anywhere in the document (the skips): the same letters and digits, or one contained in
   the other.  Equal tokens form one group, which one node for the group stands for, so a token repeated a thousand times has a
@@ -40,7 +40,9 @@ CONFIDENT = 0.5
 ROUNDS = 20
 DAMP = 0.3
 #: Prior count of equal tokens with equal labels, so that skips bind where the corpus repeats few tokens.
-AGREE = 100
+AGREE = 1000
+#: Probability of "none" for shapes that training never met.
+UNSEEN = 0.9
 #: A part of a base span that another token may repeat has at least so many letters and digits.
 SIMILAR = 5
 
@@ -113,20 +115,22 @@ class Nodes:
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         label: dict[int, int] = {}
         starts = [a for a, _ in tokens]
-        parts: dict[str, None] = {}
+        parts: dict[str, int] = {}  # what other tokens may repeat -> the token that it comes from
         for kind, a, b in spans:
             i = max(0, int(np.searchsorted(starts, a, "right")) - 1)
+            owner = i
             while i < len(tokens) and tokens[i][0] < b:
                 if tokens[i][1] > a:
                     label.setdefault(i, LABELS.index(kind))
                 i += 1
             for p in (text[a:b], *re.split(r"[@\s]", text[a:b])):
                 if len(c := core(p)) >= SIMILAR:
-                    parts[c] = None
+                    parts.setdefault(c, owner)
         names = [core(text[a:b]) if parts or _MAYBE.search(text, a, b) else "" for a, b in tokens]
         self.at = [i for i, (a, b) in enumerate(tokens) if i in label or _MAYBE.search(text, a, b) or names[i] in parts]
         self.spans = [tokens[i] for i in self.at]
-        self.shapes = [shape(text[a:b]) for a, b in self.spans]
+        near = set(self.at)
+        self.shapes = [shape(text[a:b]) + "<" * (i - 1 in near) for i, (a, b) in zip(self.at, self.spans, strict=True)]
         self.labels = [label.get(i, 0) for i in self.at]
         self.observed = [i in label for i in self.at]
         self.chain = [(n, n + 1) for n in range(len(self.at) - 1) if self.at[n + 1] == self.at[n] + 1]
@@ -135,10 +139,10 @@ class Nodes:
             if len(names[i]) >= SIMILAR:
                 groups[names[i]].append(n)
         self.equal = [g for g in groups.values() if len(g) > 1]
-        # similar: a name that is a part of a base span, with the tokens of spans whose name contains it
-        owners = [(c, n) for n, i in enumerate(self.at) if self.observed[n] and len(c := names[i]) >= SIMILAR]
-        first = {c: n for c, n in reversed(owners)}
-        self.similar = [(groups[p][0], n) for p in parts if p in groups for c, n in first.items() if p != c and p in c]
+        place = {i: n for n, i in enumerate(self.at)}
+        own = [(p, place[i]) for p, i in parts.items() if p in groups and i in place]
+        self.similar = [(m, n) for p, n in own if p != names[self.at[n]] for m in groups[p] if m != n and not self.observed[m]]
+
 
 
 class Field:
@@ -152,7 +156,7 @@ class Field:
         for s in shapes:
             c = np.array([counts["shape", s, y] for y in range(k)], float)
             self.unary[s] = np.log((c + smooth * prior / prior.sum()) / (c.sum() + smooth))
-        self.unknown = np.log(prior / prior.sum())
+        self.unknown = np.log(np.where(np.arange(k) == 0, UNSEEN, (1 - UNSEEN) / (k - 1)))
         pair = lambda kind, same=0: np.array([[counts[kind, str(a), b] + counts[kind, str(b), a] for b in range(k)] for a in range(k)], float) + smooth + same * np.eye(k)
         ratio = lambda m: np.log(m * m.sum() / (m.sum(1)[:, None] * m.sum(0)[None, :]))
         self.chain, self.skip = ratio(pair("chain")), ratio(pair("skip", AGREE))
