@@ -43,7 +43,7 @@ def brute_lines(rows, min_words=50):
                         gone |= set(range(lines[a][0], lines[b][0] + 1))
                     places.append(key)
                     at.setdefault(key, None)
-                    if words > min_words * 3:
+                    if b - a > 60:  # longer spans are covered by spans of up to 60 lines, which have over 50 words
                         break
         out[order, text] = gone
     return out
