@@ -5,7 +5,6 @@ import tempfile
 import uuid
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +60,3 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
-def batches(rows: list[dict] | None, schema: pa.Schema, columns: dict | None = None) -> pa.RecordBatch:
-    if columns is not None:
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-    return pa.RecordBatch.from_pylist(rows or [], schema=schema)

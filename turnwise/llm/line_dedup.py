@@ -92,9 +92,10 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     text = text_or_empty(text_col)
     found = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(find, _DDL), "line-windows")
     place, line = F.struct("doc_id", "th", "start"), F.struct("doc_id", "th", "at")
-    shared = found.groupBy("fp").agg(F.min(line).alias("a"), F.max(line).alias("b")).filter(F.col("a") != F.col("b")).select("fp")
-    matched = found.join(shared, "fp", "left_semi").select("doc_id", "th", "start", "stop", "win")
-    first = matched.groupBy("win").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(F.col("a") != F.col("b")).select("win", "a")
+    # each join's small side is a table of its own, so both sides are shuffled for the join and a hot key's rows can be split
+    shared = cut(found.groupBy("fp").agg(F.min(line).alias("a"), F.max(line).alias("b")).filter(F.col("a") != F.col("b")).select("fp"), "line-fingerprints")
+    matched = cut(found.join(shared, "fp", "left_semi").select("doc_id", "th", "start", "stop", "win"), "line-matches")
+    first = cut(matched.groupBy("win").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(F.col("a") != F.col("b")).select("win", "a"), "line-first")
     later = matched.join(first, "win").filter(place != F.col("a"))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 

@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = components(verified.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
     ids = classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     of_node = classes.join(ids, "root").join(degrees, "node").select("node", "class_id", "links")
-    per_node = nodes.select("node", "rep", "copies", "size").join(of_node, "node", "left")
+    # a table of its own, so that both sides of the next join are shuffled for it and the copies of one text can be split
+    per_node = cut(nodes.select("node", "rep", "copies", "size").join(of_node, "node", "left"), "classes")
     return signed.select("doc_id", "node").join(per_node, "node").select(
         "doc_id",
         "node",
