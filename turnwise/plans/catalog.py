@@ -1,6 +1,6 @@
 """All queries over the driver's tables, by name, with the SQL that gives the same rows."""
 
-from . import data_queries, match_queries, metric_queries, order_queries, source_queries, stream_queries, text_queries  # noqa: F401
+from . import data_queries, dialogue_queries, match_queries, metric_queries, order_queries, source_queries, stream_queries, text_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
