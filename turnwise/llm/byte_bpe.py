@@ -62,18 +62,17 @@ class Codec:
         ranks = self.ranks
         if len(data) > 2 * LEAF_BYTES:
             return self._merge_long(data)
-        if (whole := ranks.get(data)) is not None and len(data) == 1:
-            return [whole]
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        get, none = ranks.get, 1 << 60
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
