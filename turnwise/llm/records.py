@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import new_path, prepare, table, text_or_empty
 
 DOCS_PER_FILE = 8192
+#: Ranges of ids that documents are dealt to, at most; a range with more documents fills several files.
+RANGES = 2048
 END_ID = 2
 #: Words, twice, and pieces that a worker remembers with their ids.
 REMEMBER = 300_000
@@ -232,15 +234,15 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-_WRITTEN = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
+_WRITTEN = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
 
 
 class _File:
-    def __init__(self, folder: str, bucket: int):
+    def __init__(self, folder: str, bucket: int, number: int):
         self.fs, base = _open(folder)
-        self.name = f"part-{bucket:08d}"
+        self.name = f"part-{bucket:06d}-{number:06d}"
         self.final, own = f"{base}/{self.name}", f"{base}/_{self.name}-{os.urandom(8).hex()}"
-        self.own, self.uri, self.bucket = own, f"{folder}/{self.name}", bucket
+        self.own, self.uri, self.bucket, self.number = own, f"{folder}/{self.name}", bucket, number
         self.data, self.index = self.fs.open_output_stream(own + ".rec"), self.fs.open_output_stream(own + ".idx")
         self.offset = self.ids = self.records = 0
 
@@ -258,7 +260,7 @@ class _File:
         for f, kind in ((self.data, ".rec"), (self.index, ".idx")):
             f.close()
             self.fs.move(self.own + kind, self.final + kind)
-        return {"bucket": self.bucket, "path": self.uri, "n_records": self.records, "n_ids": self.ids}
+        return {"bucket": self.bucket, "number": self.number, "path": self.uri, "n_records": self.records, "n_ids": self.ids}
 
 
 def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -266,7 +268,7 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     total = rows.select("id").count()
-    n = max(1, -(-total // docs_per_file))
+    n = min(RANGES, max(1, -(-total // docs_per_file)))
     cuts = rows.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n + 100).alias("q")).first()["q"] if n > 1 else []
     cuts = sorted(set(cuts or []))
     bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_bucket(cuts))
@@ -283,10 +285,11 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
                 k, to = buckets[at], at
                 while to < len(buckets) and buckets[to] == k:
                     to += 1
-                if out is None or out.bucket != k:
+                if out is None or out.bucket != k or out.records >= 2 * docs_per_file:
+                    number = out.number + 1 if out and out.bucket == k else 0
                     if out:
                         done.append(out.close())
-                    out = _File(folder, k)
+                    out = _File(folder, k, number)
                 out.add(payloads[at:to], [len(x) for x in ids[at:to]])
                 at = to
         if out:
@@ -295,16 +298,19 @@ def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int =
 
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
-    files = dealt.mapInArrow(write, "bucket int, path string, n_records long, n_ids long").collect()
-    return [f.asDict() for f in sorted(files, key=lambda f: f["bucket"])]
+    files = dealt.mapInArrow(write, "bucket int, number int, path string, n_records long, n_ids long").collect()
+    return [f.asDict() for f in sorted(files, key=lambda f: (f["bucket"], f["number"]))]
 
 
 def _bucket(cuts: list[int]):
-    """Number of cuts that an id exceeds (one cut for each file but the last)."""
+    """Number of cuts that an id exceeds: first among every k-th cut, then among the k after those."""
     if not cuts:
         return F.lit(0)
-    every = F.array(*map(F.lit, cuts))
-    return F.size(F.filter(every, lambda c: c < F.col("id")))
+    k = int(len(cuts) ** 0.5) + 1
+    below = lambda array: F.size(F.filter(array, lambda c: c < F.col("id")))
+    every, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[k - 1 :: k])) if len(cuts) >= k else F.array().cast("array<bigint>")
+    start = below(coarse) * k
+    return start + below(F.slice(every, start + 1, k))
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -318,7 +324,7 @@ def read_records(spark: SparkSession, files: list[dict]) -> DataFrame:
         start += f["n_ids"]
     if not rows:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(len(rows), "path")
+    listed = spark.createDataFrame(rows, "path string, start long").repartition(min(len(rows), 2 * RANGES), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
