@@ -42,20 +42,34 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Tables that this process wrote, for ``sweep``.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later reads survive lost executors and nothing is computed twice."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table that ``cut`` wrote and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, f)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` wrote: for callers whose results are written."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -208,13 +208,13 @@ def _verify(blocks: DataFrame) -> DataFrame:
 
 def _tasks(members: DataFrame) -> DataFrame:
     """members: (node, rep, size, root) -> with (task, side): the blocks in which a node is compared."""
-    total = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
-    one = (F.col("n") <= BLOCK) & (F.col("w") <= BLOCK_SHINGLES)
-    sized = members.join(total.select("root", one.alias("one")), "root").withColumn("s", F.when(F.col("one"), F.lit(0)).otherwise(F.floor(F.log("size") / math.log(SIZE_BASE)).cast("int")))
+    # tables of their own, so that a large component's rows can be split in the joins that read them
+    one = (F.count(F.lit(1)) <= BLOCK) & (F.sum("size") <= BLOCK_SHINGLES)
+    sized = members.join(cut(members.groupBy("root").agg(one.alias("one")), "components"), "root").withColumn("s", F.when(F.col("one"), F.lit(0)).otherwise(F.floor(F.log("size") / math.log(SIZE_BASE)).cast("int")))
     per = sized.groupBy("root", "s").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_SHINGLES, F.lit(1))).cast("int").alias("k"))
     below = per.select("root", (F.col("s") + 1).alias("s"), F.col("k").alias("k_below"))
     above = per.select("root", (F.col("s") - 1).alias("s"), F.col("k").alias("k_above"))
-    per = per.join(below, ["root", "s"], "left").join(above, ["root", "s"], "left")
+    per = cut(per.join(below, ["root", "s"], "left").join(above, ["root", "s"], "left"), "size-classes")
     placed = sized.join(per, ["root", "s"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     s, c, k = F.col("s"), F.col("c"), F.col("k")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lead = F.first("node").over(Window.partitionBy("prefix").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     edges = met.select(F.col("node").alias("a"), lead.alias("b")).filter(F.col("a") != F.col("b"))
     groups = components(edges)
-    members = groups.join(nodes.select("node", "rep", "size"), "node")
+    members = cut(groups.join(nodes.select("node", "rep", "size"), "node"), "members")
     tasks = cut(_tasks(members), "tasks")
     wanted = tasks.select("node", "rep").distinct()
     # always by a merge join: a join that is broadcast on small inputs only would behave differently on large ones
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     verified = cut(_verify(blocks.repartition(n, "task").sortWithinPartitions("task")), "verified")
     degrees = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.filter(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
-    ids = classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
+    ids = cut(classes.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id")), "class-ids")
     of_node = classes.join(ids, "root").join(degrees, "node").select("node", "class_id", "links")
     # a table of its own, so that both sides of the next join are shuffled for it and the copies of one text can be split
     per_node = cut(nodes.select("node", "rep", "copies", "size").join(of_node, "node", "left"), "classes")
