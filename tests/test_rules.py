@@ -325,3 +325,21 @@ def test_user_reports(spark):
     reports = spark.createDataFrame([("lab", " ring", 1, True), ("lab", "tape", 3, True), ("lab", "tape", 4, True), ("lab", "saw", 9, True), ("lab", "pen", 1, False)], "setting string, name string, drawer int, enabled boolean")
     out = files.add_reports(items, reports, drawers=5).collect()
     assert len(out) == 2 and out[1].name == "tape" and out[1].item_id.startswith("user_")
+
+
+# -- alignment -------------------------------------------------------------------------------------------------------
+def test_alignment_flags_and_gaps():
+    from turnwise.operators import alignment
+
+    segments = ["where is the ring", "it is in drawer two", "no it is not there", "thanks"]
+    got = alignment.align(["It is in drawer two.", "where is the ring", "it is there", "completely different words here", ""], segments)
+    assert [g[:2] for g in got] == [(1, 1), (0, 0), (2, 2), (-1, -1), (-1, -1)]
+    assert [g[3] for g in got] == ["", "order", "polarity", "", ""]
+    assert alignment.coverage([], ["a"]) == 0 and alignment.coverage(["a", "b"], ["b", "a", "b"]) == 1
+
+
+def test_selectors_fall_back_to_similar_ones(spark):
+    e = spark.createDataFrame([(1, "sd card"), (2, "sd crad"), (3, "pen"), (4, None)], "id int, entity string")
+    s = spark.createDataFrame([("sd card",), ("blue tape",), ("wires",)], "selector string")
+    got = {r.id: (r.method, r.selector) for r in matching.selector_lookup(e, s).collect()}
+    assert got[1] == ("exact", "sd card") and got[3][0] == "none" and got[4][0] == "none"

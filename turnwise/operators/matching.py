@@ -184,3 +184,29 @@ def automaton_paths(tokens: DataFrame, edges=EDGES, accept: int = 4, limit: int
         return pd.DataFrame(out, columns=["paths", "slots"])
 
     return tokens.select("id", walk("w").alias("x")).filter("x.paths > 0").select("id", "x.paths", "x.slots")
+
+
+def selector_features(c: str) -> Column:
+    """Words, twice, and character 3- and 4-grams with the ends marked."""
+    w, line = F.split(c, " "), F.concat(F.lit(" "), c, F.lit(" "))
+    named = lambda a, p: F.transform(a, lambda x: F.concat(F.lit(p), x))
+    return F.concat(named(w, "w:"), named(w, "w:"), named(S.char_ngrams(line, 3), "3:"), named(S.char_ngrams(line, 4), "4:"))
+
+
+def selector_lookup(entities: DataFrame, selectors: DataFrame, *, least: float = 0.55, margin: float = 0.04) -> DataFrame:
+    """(id, method, selector, selectors) of (id, entity): an equal selector, else the similar ones within ``margin`` of the best.
+
+    Only distinct entities without an equal selector are compared, through features that they share with a selector.
+    """
+    known = selectors.select("selector").distinct()
+    exact = entities.join(known, F.col("entity") == F.col("selector"), "left_semi").select("id", F.lit("exact").alias("method"), F.col("entity").alias("selector"), F.lit(1).alias("selectors"))
+    rest = entities.join(known, F.col("entity") == F.col("selector"), "left_anti")
+    f = known.select(F.col("selector").alias("id"), F.explode(selector_features("selector")).alias("w"))
+    weights = idf(f, known.count())
+    s = tfidf(f, weights).select(F.col("id").alias("selector"), "w", F.col("weight").alias("y"))
+    asked = rest.select("entity").distinct().select(F.col("entity").alias("id"), F.explode(selector_features("entity")).alias("w"))
+    cos = tfidf(asked, weights).join(s, "w").groupBy(F.col("id").alias("entity"), "selector").agg(F.round(F.sum(F.col("weight") * F.col("y")), 6).alias("cosine"))
+    top = cos.groupBy("entity").agg(F.max("cosine").alias("best"))
+    near = cos.join(top, "entity").filter((F.col("cosine") >= least) & (F.col("best") - F.col("cosine") <= margin)).groupBy("entity").agg(F.min("selector").alias("selector"), F.count(F.lit(1)).cast("int").alias("selectors"))
+    found = rest.join(near, "entity", "left").select("id", F.when(F.col("selector").isNotNull(), "cosine_similarity").otherwise("none").alias("method"), "selector", F.coalesce("selectors", F.lit(0)).alias("selectors"))
+    return exact.unionByName(found)

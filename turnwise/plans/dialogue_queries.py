@@ -83,3 +83,64 @@ def alias_spans(read):
     spans = F.collect_list(F.struct("a", "b")).over(Window.partitionBy("id"))
     inside = F.exists("s", lambda k: (k["a"] <= F.col("a")) & (k["b"] >= F.col("b")) & (k["b"] - k["a"] > F.col("b") - F.col("a")))
     return h.withColumn("s", spans).filter(~inside).select("id", "phrase")
+
+
+_FEATS = "list_concat(list_concat(list_transform(w, lambda x: 'w:' || x), list_transform(w, lambda x: 'w:' || x)), list_concat(list_transform(range(1, len(c) - 1), lambda k: '3:' || substr(c, k, 3)), list_transform(range(1, len(c) - 2), lambda k: '4:' || substr(c, k, 4))))"
+
+
+@query(
+    f"WITH {I}, e AS (SELECT item_id AS id, CASE WHEN item_id % 3 = 0 THEN name ELSE left(name, len(name) - 2) || right(name, 1) END AS entity FROM i), s AS (SELECT DISTINCT name AS selector FROM i), "
+    f"sf AS (SELECT selector, unnest({_FEATS}) AS f FROM (SELECT selector, string_split(selector, ' ') AS w, ' ' || selector || ' ' AS c FROM s)), n AS (SELECT count(*) AS n FROM s), idf AS (SELECT f, ln((1.0 + max(n)) / (1.0 + count(DISTINCT selector))) + 1 AS idf FROM sf, n GROUP BY f), "
+    f"sv AS (SELECT selector, f, x / sqrt(sum(x * x) OVER (PARTITION BY selector)) AS x FROM (SELECT selector, f, (1 + ln(count(*))) * max(idf) AS x FROM sf JOIN idf USING (f) GROUP BY ALL)), d AS (SELECT DISTINCT entity FROM e WHERE entity NOT IN (SELECT selector FROM s)), "
+    f"ef AS (SELECT entity, unnest({_FEATS}) AS f FROM (SELECT entity, string_split(entity, ' ') AS w, ' ' || entity || ' ' AS c FROM d)), ev AS (SELECT entity, f, x / sqrt(sum(x * x) OVER (PARTITION BY entity)) AS x FROM (SELECT entity, f, (1 + ln(count(*))) * max(idf) AS x FROM ef JOIN idf USING (f) GROUP BY ALL)), "
+    "c AS (SELECT entity, selector, round(sum(ev.x * sv.x), 6) AS cosine FROM ev JOIN sv USING (f) GROUP BY ALL), k AS (SELECT entity, count(*) AS n, min(selector) AS first, max(cosine) AS best FROM (SELECT *, max(cosine) OVER (PARTITION BY entity) AS m FROM c) WHERE cosine >= 0.55 AND m - cosine <= 0.04 GROUP BY entity) "
+    "SELECT id, CASE WHEN entity IN (SELECT selector FROM s) THEN 'exact' WHEN n IS NOT NULL THEN 'cosine_similarity' ELSE 'none' END AS method, CASE WHEN entity IN (SELECT selector FROM s) THEN entity ELSE first END AS selector, CASE WHEN entity IN (SELECT selector FROM s) THEN 1 ELSE coalesce(n, 0) END AS selectors FROM e LEFT JOIN k USING (entity)"
+)
+def selector_lookup(read):
+    """Equal selectors first, else the most similar ones over 0.55 and within 0.04 of the best, by TF-IDF of words and character n-grams."""
+    from ..operators import matching as M
+
+    name = F.col("name")
+    e = inventory(read).select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 3 == 0, name).otherwise(F.concat(F.substring(name, F.lit(1), F.length(name) - 2), F.substring(name, -1, 1))).alias("entity"))
+    s = inventory(read).select(name.alias("selector")).distinct()
+    return M.selector_lookup(e, s).select("id", "method", "selector", F.col("selectors").cast("long").alias("selectors"))
+
+
+@query(
+    "WITH w AS (SELECT conv_id, turn, role, text, max(CASE WHEN role = 'assistant' THEN turn END) OVER p AS robot_turn, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS recent_users, lag(len(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before "
+    "FROM conversations WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT conv_id, turn, robot_turn, recent_users, CASE WHEN before IS NULL THEN 'missing' WHEN before * 10 <= 1000 THEN '<=1000' WHEN before * 10 <= 3000 THEN '<=3000' WHEN before * 10 <= 7000 THEN '<=7000' WHEN before * 10 <= 15000 THEN '<=15000' ELSE '>15000' END AS timing FROM w"
+)
+def feature_bundle(read):
+    """Previous reply, recent turns of the user, timing class of each turn."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read("conversations").withColumn("before", F.lag(F.length("text")).over(w))
+    robot = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    users = F.count(F.when(F.col("role") == "user", 1)).over(w.rowsBetween(-7, 0))
+    return c.select("conv_id", "turn", robot.alias("robot_turn"), users.alias("recent_users"), T.timing_bucket(F.col("before") * 10).alias("timing"))
+
+
+@query(f"""WITH {I} SELECT item_id, sha256('{{"family":"' || family || '","name":"' || name || '"}}') AS typed_key, sha256('{{"brand":"' || brand || '","drawer":' || CASE WHEN drawer IS NULL THEN 'null' ELSE '"' || drawer || '"' END || ',"family":"' || family || '","name":"' || name || '","size":"' || size || '"}}') AS exact_key FROM i""")
+def cache_keys(read):
+    """A typed and an exact key of each item's state."""
+    j = lambda *c: F.sha2(F.to_json(F.struct(*c), {"ignoreNullFields": "false"}), 256)
+    return inventory(read).select("item_id", j("family", "name").alias("typed_key"), j("brand", "drawer", "family", "name", "size").alias("exact_key"))
+
+
+@query()
+def evidence_support(read):
+    """The best transcript of each request's setting and template."""
+    from ..operators import alignment
+
+    u = utterances(read).withColumn("key", F.concat_ws("/", "setting", (F.col("id") % 8).cast("string")))
+    transcripts = u.groupBy("key").agg(F.min("id").alias("transcript")).join(u.select(F.col("id").alias("transcript"), "text"), "transcript")
+    return alignment.evidence(u.select(F.col("id").alias("claim"), "key", "text"), transcripts.select("key", "transcript", "text"))
+
+
+@query()
+def source_alignment(read):
+    """Turns aligned with the sentences that they were reviewed from."""
+    from ..operators import alignment
+
+    c = read("conversations")
+    segments = c.select(F.col("conv_id").alias("version"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("p", "text")).select("version", (F.col("turn") * 10_000 + F.col("p")).alias("segment"), "text")
+    return alignment.align_versions(c.select(F.col("conv_id").alias("version"), "turn", "text"), segments)
