@@ -134,3 +134,26 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     x = lambda n: F.col("__tw_lines." + n)
     return out.select("doc_id", x("n_lines"), x("n_deleted"), x("deleted"), F.length(x("kept")).cast("long").alias("kept_chars"), F.sha2(x("kept"), 256).alias("kept_sha256"))
+
+
+#: The lines in some run of at least 50 words that also stands earlier, straight from the definition.
+OP3_SQL = r"""
+WITH a AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, text, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS pos FROM a),
+n AS (SELECT doc_id, text, pos, regexp_replace(raw, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g') AS line, len(regexp_extract_all(raw, '[^\s\p{Z}\x0b\x1c-\x1f\x85]+')) AS w FROM l),
+m AS (SELECT *, row_number() OVER d AS k, sum(w) OVER d AS cum FROM n WHERE line <> '' WINDOW d AS (PARTITION BY doc_id, text ORDER BY pos)),
+s AS (
+  SELECT x.doc_id, x.text, x.k AS i, min(y.k) AS j FROM m x JOIN m y ON x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.text = y.text AND y.k >= x.k AND y.cum - x.cum + x.w >= 50 GROUP BY ALL
+  UNION
+  SELECT y.doc_id, y.text, max(x.k) AS i, y.k AS j FROM m x JOIN m y ON x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.text = y.text AND y.k >= x.k AND y.cum - x.cum + x.w >= 50 GROUP BY ALL),
+q AS (SELECT doc_id, text, list(line ORDER BY k) AS lines, list(pos ORDER BY k) AS ps FROM m GROUP BY ALL),
+r AS (
+  SELECT s.doc_id, s.text, ps[i] AS start, ps[j] AS stop, row_number() OVER (PARTITION BY lines[i:j] ORDER BY s.doc_id NULLS FIRST, s.text, ps[i]) AS nth
+  FROM s JOIN q ON s.doc_id IS NOT DISTINCT FROM q.doc_id AND s.text = q.text),
+g AS (SELECT DISTINCT l.doc_id, l.text, l.pos FROM l JOIN r ON nth > 1 AND l.doc_id IS NOT DISTINCT FROM r.doc_id AND l.text = r.text AND pos BETWEEN start AND stop),
+i AS (SELECT doc_id, text, min(pos) AS x, max(pos) AS y FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS island FROM g) GROUP BY doc_id, text, island),
+d AS (SELECT doc_id, text, string_agg(x || '-' || y, ',' ORDER BY x) AS deleted, CAST(sum(y - x + 1) AS BIGINT) AS n_deleted FROM i GROUP BY ALL),
+k AS (SELECT l.doc_id, l.text, string_agg(raw, chr(10) ORDER BY l.pos) AS kept FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.text = g.text AND l.pos = g.pos WHERE g.pos IS NULL GROUP BY ALL)
+SELECT o.doc_id, len(string_split(coalesce(o.text, ''), chr(10))) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(deleted, '') AS deleted, len(coalesce(kept, '')) AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents o LEFT JOIN d ON o.doc_id IS NOT DISTINCT FROM d.doc_id AND coalesce(o.text, '') = d.text LEFT JOIN k ON o.doc_id IS NOT DISTINCT FROM k.doc_id AND coalesce(o.text, '') = k.text
+"""

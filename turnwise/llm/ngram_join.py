@@ -275,3 +275,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: All pairs of texts by their common shingles, and what can be reached over links.
+OP5_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS copies, list_filter(regexp_split_to_array(lower(coalesce(any_value(text), '')), '\s+'), lambda x: x <> '') AS w FROM documents GROUP BY coalesce(text, '')),
+sh AS (
+  SELECT rep, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s FROM t),
+n AS (SELECT rep, count(*) AS n FROM sh GROUP BY rep),
+p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.rep <> y.rep GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE c * 9 >= 4 * (x.n + y.n)),
+r(a, b) AS (SELECT rep, rep FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, CASE WHEN len(w) = 0 THEN d.doc_id ELSE class_id END AS class_id, coalesce(n_links, 0) AS n_links, CASE WHEN len(w) = 0 THEN 0 ELSE copies - 1 END AS n_copies
+FROM documents d JOIN t ON coalesce(d.text, '') = t.text LEFT JOIN c ON c.a = t.rep LEFT JOIN k ON k.a = t.rep
+"""

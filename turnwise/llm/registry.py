@@ -19,6 +19,8 @@ QUERIES = {
 }
 SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
+    "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_impact_topk": topk.OP4_SQL,
+    "op5_ngram_join": ngram_join.OP5_SQL,
     "op6_chat_format": chat.OP6_SQL,
 }
