@@ -26,11 +26,10 @@ def phrase_hits(requests: DataFrame, phrases: DataFrame, max_words: int = MAX_WO
 
 
 def _named(phrases: DataFrame) -> DataFrame:
-    """(setting, name, n, first): the three smallest ids by three rounds of minima, so no long list is gathered."""
-    a = phrases.groupBy("setting", "name").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("a"))
-    more = phrases.join(a, ["setting", "name"]).groupBy("setting", "name", "n", "a").agg(F.min(F.when(F.col("item_id") > F.col("a"), F.col("item_id"))).alias("b"))
-    third = phrases.join(more, ["setting", "name"]).groupBy("setting", "name", "n", "a", "b").agg(F.min(F.when(F.col("item_id") > F.col("b"), F.col("item_id"))).alias("c"))
-    return third.select("setting", "name", "n", F.array_compact(F.array("a", "b", "c")).alias("first"))
+    """(setting, name, n, first): how many items have a name, and the three smallest ids (each task keeps its own three before the shuffle)."""
+    w = Window.partitionBy("setting", "name").orderBy("item_id")
+    first = phrases.withColumn("r", F.row_number().over(w)).filter("r <= 3").groupBy("setting", "name").agg(F.array_sort(F.collect_list("item_id")).alias("first"))
+    return phrases.groupBy("setting", "name").agg(F.count(F.lit(1)).alias("n")).join(first, ["setting", "name"])
 
 
 def _grams(w: Column, max_words: int) -> Column:
