@@ -1,4 +1,4 @@
-"""Every query of the reference's operators against its SQL on DuckDB, at the smallest scale."""
+"""Every query against its SQL on DuckDB, at the smallest scale."""
 
 import duckdb
 import pytest
