@@ -19,7 +19,6 @@ Defined results: null text counts as empty and has no spans; equal texts get equ
 code points, ends are exclusive.
 """
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator

@@ -11,7 +11,7 @@ Scale: vectors are dealt to shards of about ``SHARD`` rows and queries to blocks
 block in a task of bounded memory and returns k rows a query; equal vectors, however many, spread by their id's hash.
 
 Defined results: vectors that are null, hold null or non-finite components, or have no id take no part; vectors of other
-lengths than the query's are no candidates; repeated query rows count as one query, repeated candidates each count; ties go
+lengths than the query's are no candidates; repeated query rows count as one query (rows with one id and different vectors share its list), repeated candidates each count; ties go
 to the smaller vec_id; a query without candidates has no rows.  Scores are exact while they fit into 64 bits.
 """
 
