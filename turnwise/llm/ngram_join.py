@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each class: that of its smallest doc_id.  Texts without words all stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     lone = F.col("class_id").isNull() | F.col("doc_id").eqNullSafe(F.col("class_id"))
-    keep = found.filter(lone).select(F.col("doc_id").alias("__tw_id"), F.col("node").alias("__tw_node")).distinct()
+    keep = found.filter(lone).select(F.col("doc_id").alias("__tw_id"), F.col("node").alias("__tw_node"))  # repeats don't matter to a semi join
     empty = F.trim(F.regexp_replace(text_or_empty(text_col), r"\s+", "")) == ""
     with_node = docs.withColumn("__tw_n", F.unhex(F.md5(text_or_empty(text_col))))
     kept = with_node.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_n") == F.col("__tw_node")), "left_semi")
