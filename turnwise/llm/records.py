@@ -185,43 +185,46 @@ class WordEncoder:
         self.pieces[piece] = found
         return found
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) + len(new) > REMEMBER:
-            self.before, self.words = self.words, {}
-        other, words, before, pieces = [], self.words, self.before, self.pieces
-        for w in new:
-            if (known := before.get(w)) is not None:
-                words[w] = known
-            elif not w:
-                words[w] = b""
-            elif max(w) < "\u0100" and (w.isalpha() or (w[:-1].isalpha() and w[-1] in ".,")):  # most words: one piece, and a mark
+    def _word(self, w: str) -> bytes:
+        """Ids of a word that isn't remembered, or only from before."""
+        found = self.words.get(w)
+        if found is not None:
+            return found
+        found = self.before.get(w)
+        if found is None:
+            get = self.pieces.get
+            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):  # most words: one piece
                 low = w.lower()
-                if low[-1] in ".,":
-                    words[w] = (pieces.get(low[:-1]) or self._piece(low[:-1])) + (pieces.get(low[-1]) or self._piece(low[-1]))
-                else:
-                    words[w] = pieces.get(low) or self._piece(low)
+                found = get(low) or self._piece(low)
+            elif not w:
+                found = b""
+            elif w[-1] in ".," and w[:-1].isalpha() and max(w) < "\u0100":  # one piece and a mark
+                low = w[:-1].lower()
+                found = (get(low) or self._piece(low)) + (get(w[-1]) or self._piece(w[-1]))
             elif _PLAIN(w):
-                words[w] = b"".join([pieces.get(p) or self._piece(p) for p in _PIECES(w.lower())])
+                found = b"".join([get(p) or self._piece(p) for p in _PIECES(w.lower())])
             else:
-                other.append(w)
-        for w, x in zip(other, self.own.encode_batch(other, add_special_tokens=False), strict=True):
-            words[w] = np.array(x.ids, self.kind).tobytes()
+                found = np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+        if len(self.words) >= REMEMBER:
+            self.before, self.words = self.words, {}
+        self.words[w] = found
+        return found
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end, out = np.array([end_id], self.kind).tobytes(), []
         for t in texts:
             ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            # far fewer words at a time than are remembered, so learning some can't push out all others
-            joined = [self._joined(ws[i : i + REMEMBER // 4]) for i in range(0, len(ws), REMEMBER // 4)]
-            out.append(np.frombuffer(b"".join([*joined, end]), self.kind))
-        return out
-
-    def _joined(self, ws: list[str]) -> bytes:
-        while True:
+            ids = list(map(self.words.get, ws))
+            at = -1
             try:
-                return b"".join(map(self.words.__getitem__, ws))
-            except KeyError:
-                self._learn({w for w in ws if w not in self.words})
+                while True:
+                    at = ids.index(None, at + 1)
+                    ids[at] = self._word(ws[at])
+            except ValueError:  # no further new word
+                pass
+            ids.append(end)
+            out.append(np.frombuffer(b"".join(ids), self.kind))
+        return out
 
 
 @cache
