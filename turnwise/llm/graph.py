@@ -11,13 +11,19 @@ from .common import cut, remove
 
 
 def _star(edges: DataFrame) -> DataFrame:
+    """One round.  A star's centre may have a third of all edges: minima are tables of their own, so both sides of each join are
+    shuffled for it and the centre's edges can be split over tasks."""
+    spark = edges.sparkSession
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+    large = cut(both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
     # now b is the smaller one: hang all smaller neighbours of a node, and itself, on the smallest
-    small = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = cut(large.groupBy("a").agg(F.min("b").alias("m")), "small")
     down = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return down.unionByName(small.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct()
+    new = cut(down.unionByName(small.select("a", F.col("m").alias("b"))).filter(F.col("a") != F.col("b")).distinct(), "edges")
+    for t in (least, large, small):
+        remove(spark, t)
+    return new
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while True:
-        new = cut(_star(now), "edges")
+        new = _star(now)
         new_state = _state(new)
         remove(spark, now)
         now = new
