@@ -285,3 +285,23 @@ def test_stored_texts(spark):
     assert media[0].media == media[1].media == media[5].media
     packets = ogg.demux_packets(ogg.store_texts(documents(spark, rows))).select("packets").collect()
     assert len(packets[3].packets) == 1 + 2 + 1 and bytes(packets[3].packets[-1].data) == struct.pack("<Q", 577)
+
+
+# -- components ------------------------------------------------------------------------------------------------------
+def test_components_of_chains_stars_and_random_edges(spark):
+    from turnwise.llm.graph import components
+
+    rng = random.Random(7)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200 + rng.randint(0, 60), 200 + rng.randint(0, 60)) for _ in range(45)]
+    edges = [e for e in edges if e[0] != e[1]]
+    root = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(root[a], root[b])
+            changed |= root[a] != m or root[b] != m
+            root[a] = root[b] = m
+    got = components(spark.createDataFrame(edges, "a int, b int"))
+    assert sorted(map(tuple, got.collect())) == sorted(root.items())
+    assert components(spark.createDataFrame([], "a int, b int")).count() == 0
