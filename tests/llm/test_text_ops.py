@@ -208,6 +208,18 @@ def test_words_equal_whole_texts(spark):
         assert ids.tolist() == [*e.own.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_added_tokens_in_texts_equal_the_untouched_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    texts = ["ab <|endoftext|> cd", "<|startoftext|>Hello", "x<|endoftext|>y<|startoftext|>.", "<|ENDOFTEXT|> <|endoftext|", "é<|endoftext|>\u0301ß\tz"]
+    got = [x.tolist() for x in records.WordEncoder(path).encode(texts, 2)]
+    assert got == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert got[0] == [3937, 49407, 4480, 2]
+
+
 def test_records_round_trip(spark, tmp_path):
     import numpy as np
     import public_tokenizers

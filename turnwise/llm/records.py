@@ -160,7 +160,7 @@ class WordEncoder:
     The tokenizer file splits at white space and drops it before any merge, and neither its normalisation nor its pattern
     joins what spaces, tabs and line ends separate.  So the ids of a text are those of its words one after another, and
     those of a word are the ids that the library's merges give for its pieces.  Words with other letters than
-    Latin-1 go through the library's whole path.
+    Latin-1, and those that contain an added token's string, go through the library's whole path.
     """
 
     def __init__(self, path: str):
@@ -168,7 +168,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        if any(regex.search(r"\s", t) for t in self.added):
+            raise ValueError("an added token with white space spans words")
         self.kind = "<u4" if self.own.get_vocab_size() > 0xFFFF else "<u2"
         self.code = "I" if self.kind == "<u4" else "H"
         self.merge, self.letters = self.own.model.tokenize, _byte_letters()
@@ -185,6 +187,9 @@ class WordEncoder:
         self.pieces[piece] = found
         return found
 
+    def _whole(self, w: str) -> bytes:
+        return np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+
     def _word(self, w: str) -> bytes:
         """Ids of a word that isn't remembered, or only from before."""
         found = self.words.get(w)
@@ -193,7 +198,9 @@ class WordEncoder:
         found = self.before.get(w)
         if found is None:
             get = self.pieces.get
-            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):  # most words: one piece
+            if any(t in w for t in self.added):
+                found = self._whole(w)
+            elif w.isalpha() and (w.isascii() or max(w) < "\u0100"):  # most words: one piece
                 low = w.lower()
                 found = get(low) or self._piece(low)
             elif not w:
@@ -204,7 +211,7 @@ class WordEncoder:
             elif _PLAIN(w):
                 found = b"".join([get(p) or self._piece(p) for p in _PIECES(w.lower())])
             else:
-                found = np.array(self.own.encode(w, add_special_tokens=False).ids, self.kind).tobytes()
+                found = self._whole(w)
         if len(self.words) >= REMEMBER:
             self.before, self.words = self.words, {}
         self.words[w] = found
