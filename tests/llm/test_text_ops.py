@@ -299,6 +299,12 @@ def test_stored_texts(spark):
     assert len(packets[3].packets) == 1 + 2 + 1 and bytes(packets[3].packets[-1].data) == struct.pack("<Q", 577)
 
 
+def test_the_mean_is_over_all_samples():
+    text = "".join(chr(97 + i % 2) for i in range(9216)) + "\U0001f600" * 144  # 9792 bytes, no padding
+    got = ogg.demux_payload(ogg.mux_payload(*ogg.padded(text)))
+    assert f";mean={sum(text.encode()) / len(text.encode()):.3f};" in got["feature"]
+
+
 # -- components ------------------------------------------------------------------------------------------------------
 def test_components_of_chains_stars_and_random_edges(spark):
     from turnwise.llm.graph import components

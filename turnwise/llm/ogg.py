@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,7 +192,7 @@ def demux_payload(media: bytes) -> dict:
     samples = b"".join(audio.packets[1:])
     ends = packet_ends(audio.granules[1:], [len(p) for p in audio.packets[1:]])
     counts = [samples.count(b) for b in (b" ", b"\n", PAD)]
-    loud = sum(samples[:: max(1, len(samples) // 4096)]) / max(1, len(samples[:: max(1, len(samples) // 4096)]))
+    loud = int(np.frombuffer(samples, np.uint8).sum(dtype=np.int64)) / max(1, len(samples))
     return {
         "n_bytes": struct.unpack("<Q", note.packets[0])[0] if note.packets else None,
         "payload": samples,
