@@ -205,6 +205,39 @@ def test_failure_feedback_quarantines_an_active_entry():
     assert c.entries["exact:k"]["status"] == "quarantined" and c.turn(lifecycle_turn(12))["source"] == "fsm_typed"
 
 
+def test_failure_feedback_quarantines_siblings_too():
+    c = caches.Lifecycle(siblings=True, audit=False)
+    for i in range(11):
+        c.turn(lifecycle_turn(i))
+    assert c.turn(lifecycle_turn(11, success=False))["quarantined"] == 2
+    assert c.turn(lifecycle_turn(12))["source"] == "slm"
+
+
+def test_audits_find_a_teacher_who_changed():
+    c = caches.Lifecycle()
+    sources = [c.turn(lifecycle_turn(i))["source"] for i in range(300)]
+    assert 5 <= sources.count("fsm_exact_audited") == c.entries["exact:k"]["audit_matches"] <= 30
+    later = [c.turn(lifecycle_turn(i, decision="other")) for i in range(300, 500)]
+    first = next(i for i, x in enumerate(later) if x["source"] == "slm_audit_fallback")
+    assert later[first]["decision"] == "other" and later[first]["quarantined"] == 2 and later[first + 1]["source"] == "slm"
+    assert {x["source"] for x in later[:first]} == {"fsm_exact"}
+
+
+def test_frozen_caches_neither_learn_nor_audit():
+    c = caches.Lifecycle()
+    for i in range(20):
+        c.turn(lifecycle_turn(i))
+    c.freeze()
+    assert {c.turn(lifecycle_turn(i, decision="other"))["source"] for i in range(20, 220)} == {"fsm_exact"}
+    c.freeze(audits=True)
+    assert "slm_audit_fallback" in [c.turn(lifecycle_turn(i, decision="other"))["source"] for i in range(220, 420)]
+    c.turn(lifecycle_turn(420))
+    assert c.entries["exact:k"]["status"] == "quarantined" and c.entries["exact:k"]["generation"] == 0
+    c.unfreeze()
+    c.turn(lifecycle_turn(421))
+    assert c.audit and c.entries["exact:k"]["generation"] == 1
+
+
 def test_verified_policies_need_outcomes():
     c = caches.Lifecycle(policy="development")
     assert all(c.turn(lifecycle_turn(i))["source"] == "slm" for i in range(20))

@@ -1,5 +1,7 @@
 """Stateful replays, lifecycle, heat, feedback and session rules."""
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ LIFECYCLE_OUT = "cache_id long, position long, source string, decision string, a
 
 @query()
 def lifecycle_v2(read):
-    """Candidate, shadow, active, quarantined over the event log."""
-    return replay.replay(event_turns(read), caches.Lifecycle, LIFECYCLE_OUT)
+    """Candidate, shadow, active, quarantined over the event log, with audits; outcomes reach siblings too."""
+    return replay.replay(event_turns(read), functools.partial(caches.Lifecycle, siblings=True), LIFECYCLE_OUT)
 
 
 @query()

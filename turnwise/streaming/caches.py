@@ -4,6 +4,7 @@ Each is a plain object with ``turn(row) -> row`` and a state that fits JSON, so
 (``replay``) and in Structured Streaming (``stream``).
 """
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -87,14 +88,15 @@ class Thresholds:
     successes: int
     evidence: int
     wilson: float
+    audit: float
 
 
-#: Presets (fixed values): routine and risky thresholds, and whether promotion needs verified outcomes.
+#: Presets (fixed values): routine and risky thresholds (the last one is the share of served turns that are audited), and whether promotion needs verified outcomes.
 POLICIES = {
-    "research": (Thresholds(20, 20, 35, 35, 0.90), Thresholds(40, 40, 189, 189, 0.98), True),
-    "development": (Thresholds(2, 1, 2, 2, 0.34), Thresholds(3, 2, 3, 3, 0.43), True),
-    "calibrated": (Thresholds(5, 2, 5, 5, 0.55), Thresholds(10, 3, 10, 10, 0.72), True),
-    "imitation": (Thresholds(8, 3, 0, 8, 0.0), Thresholds(15, 5, 0, 15, 0.0), False),
+    "research": (Thresholds(20, 20, 35, 35, 0.90, 0.05), Thresholds(40, 40, 189, 189, 0.98, 0.10), True),
+    "development": (Thresholds(2, 1, 2, 2, 0.34, 0.05), Thresholds(3, 2, 3, 3, 0.43, 0.10), True),
+    "calibrated": (Thresholds(5, 2, 5, 5, 0.55, 0.05), Thresholds(10, 3, 10, 10, 0.72, 0.10), True),
+    "imitation": (Thresholds(8, 3, 0, 8, 0.0, 0.05), Thresholds(15, 5, 0, 15, 0.0, 0.10), False),
 }
 
 
@@ -110,10 +112,16 @@ class Lifecycle:
     """Entries by (level, key): candidate, shadow, active, quarantined; a quarantined key starts a new generation.
 
     Turn columns: exact, typed (keys), decision, risky, evidence, success (null: no outcome reported).  Exact entries go before typed ones.
+
+    With ``audit``, a share of the turns that an entry would serve, drawn by a hash of the turn, asks the teacher too; if it disagrees,
+    its decision is returned and every active entry of the turn's keys with the cached decision is quarantined.  With ``siblings``, the
+    outcome of a served turn likewise belongs to all of those entries; without, to the served one alone.
     """
 
     policy: str = "imitation"
     learn: bool = True
+    audit: bool = True
+    siblings: bool = False
     entries: dict[str, dict] = field(default_factory=dict)
 
     def _ready(self, e: dict) -> bool:
@@ -135,7 +143,7 @@ class Lifecycle:
         e = self.entries.get(key)
         if e is None or e["status"] == "quarantined":
             generation = e["generation"] + 1 if e else 0
-            e = self.entries[key] = {"status": "candidate", "decision": row["decision"], "risky": bool(row["risky"]), "agree": 1, "shadow": 0, "missed": 0, "successes": 0, "failures": 0, "evidence": [], "generation": generation}
+            e = self.entries[key] = {"status": "candidate", "decision": row["decision"], "risky": bool(row["risky"]), "agree": 1, "shadow": 0, "missed": 0, "successes": 0, "failures": 0, "audit_matches": 0, "audit_misses": 0, "evidence": [], "generation": generation}
         elif e["decision"] == row["decision"]:
             e["agree"] += 1
             e["shadow"] += e["status"] == "shadow"  # only what is seen after the shadow stage began
@@ -146,24 +154,49 @@ class Lifecycle:
             e["evidence"].append(str(row["evidence"]))
         self._promote(e, activate=not POLICIES[self.policy][2])
 
+    def freeze(self, audits: bool = False) -> None:
+        self.learn, self.audit = False, audits
+
+    def unfreeze(self, audits: bool = True) -> None:
+        self.learn, self.audit = True, audits
+
+    def _audited(self, e: dict, row: dict) -> bool:
+        routine, risky, _ = POLICIES[self.policy]
+        drawn = hashlib.sha256(f"audit:{row['position']}:{row['evidence']}".encode()).digest()[:4]
+        return self.audit and int.from_bytes(drawn, "big") < (risky if e["risky"] else routine).audit * 2**32
+
     def turn(self, row: dict) -> dict:
         keys = [f"exact:{row['exact']}", f"typed:{row['typed']}"]
-        served = next((k for k in keys if (e := self.entries.get(k)) and e["status"] == "active"), None)
-        if served is None and self.learn:
+        active = [k for k in keys if (e := self.entries.get(k)) and e["status"] == "active"]
+        source, decision, behind = "slm", row["decision"], []  # behind: the entries that an outcome belongs to
+        if active:
+            served, cached = active[0], self.entries[active[0]]["decision"]
+            same = [k for k in active if self.entries[k]["decision"] == cached]
+            audited = self._audited(self.entries[served], row)
+            if audited and cached != row["decision"]:
+                source = "slm_audit_fallback"
+                for k in same:
+                    self.entries[k]["audit_misses"] += 1
+                    self.entries[k]["status"] = "quarantined"
+            else:
+                self.entries[served]["audit_matches"] += audited
+                source, decision = f"fsm_{served.split(':')[0]}" + "_audited" * audited, cached
+                behind = same if self.siblings else [served]
+        elif self.learn:
+            behind = keys
             for k in keys:
                 self._observe(k, row)
-        if row.get("success") is not None:  # the outcome belongs to the entries behind this turn
-            for k in [served] if served else keys:
-                if e := self.entries.get(k):
-                    if row["success"]:
-                        e["successes"] += 1
-                        self._promote(e, activate=True)
-                    else:
-                        e["failures"] += 1
-                        e["status"] = "quarantined"
+        if row.get("success") is not None:
+            for k in behind:
+                e = self.entries[k]
+                if row["success"]:
+                    e["successes"] += 1
+                    self._promote(e, activate=True)
+                else:
+                    e["failures"] += 1
+                    e["status"] = "quarantined"
         count = lambda s: sum(e["status"] == s for e in self.entries.values())
-        source = f"fsm_{served.split(':')[0]}" if served else "slm"
-        return {"position": row["position"], "source": source, "decision": self.entries[served]["decision"] if served else row["decision"], "active": count("active"), "shadow": count("shadow"), "quarantined": count("quarantined")}
+        return {"position": row["position"], "source": source, "decision": decision, "active": count("active"), "shadow": count("shadow"), "quarantined": count("quarantined")}
 
 
 @dataclass
