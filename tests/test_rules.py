@@ -134,6 +134,30 @@ def test_paths_through_slots(spark):
     assert [tuple(r) for r in matching.automaton_paths(df).collect()] == [(1, 1, 2)]
 
 
+def test_slots_capture_phrases_of_any_length(spark):
+    texts = ["where is the old left hand drill", "which drawer has the saw", "where is the", "the saw"]
+    df = spark.createDataFrame([(i, t.split(" ")) for i, t in enumerate(texts)], "id int, w array<string>")
+    got = sorted(tuple(r) for r in matching.automaton_matches(df).collect())
+    assert got == [(0, 0, "locate", {"item": "old left hand drill"}, 3, 1), (1, 0, "locate", {"item": "saw"}, 4, 1)]
+
+
+def test_a_repeated_slot_captures_one_phrase():
+    edges = [(0, "S:x", 1), (1, "L:and", 2), (2, "S:x", 3), (0, "S:y", 3)]
+    match = lambda t: [m[:2] for m in matching.match_all(t.split(" "), edges, {3: "i"})]
+    assert match("a b and a b") == [("i", {"x": "a b"}), ("i", {"y": "a b and a b"})]
+    assert match("a b and a c") == [("i", {"y": "a b and a c"})]
+    assert match("a and a and a and a") == [("i", {"x": "a and a"}), ("i", {"y": "a and a and a and a"})]
+    assert matching.match_all(["a"] * 129, edges, {3: "i"}) == []
+    assert len(matching.match_all(["a"] * 40, [(0, "S:x", 1), (1, "S:y", 2), (2, "S:z", 3)], {3: "i"})) == 256
+
+
+def test_traversal_goes_over_all_words(spark):
+    edges = [(0, "a", 1), (1, "b", 2), (2, "a", 1)]
+    df = spark.createDataFrame([(0, list("abab")), (1, list("abc")), (2, []), (3, list("aba")), (4, list("cab"))], "id int, w array<string>")
+    got = df.select("id", matching.traverse(F.col("w"), edges, {2}).alias("x")).select("id", "x.accepted", "x.path").collect()
+    assert sorted(tuple(r) for r in got) == [(0, True, [0, 1, 2, 1, 2]), (1, False, [0, 1, 2]), (2, False, [0]), (3, False, [0, 1, 2, 1]), (4, False, [0])]
+
+
 # -- caches ----------------------------------------------------------------------------------------------------------
 def turn(position, template="t", state="s", vector=(1.0, 0.0), valid=True, **more):
     return {"position": position, "state": state, "successor": "n", "template": template, "valid": [template] if valid else [], "vector": list(vector), "evidence": f"e{position}", "seed": False, **more}

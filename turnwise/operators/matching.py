@@ -149,7 +149,7 @@ def tfidf(features: DataFrame, weights: DataFrame) -> DataFrame:
     return x.select("id", "w", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))).alias("weight"))
 
 
-#: A small transducer for requests: (state, symbol, next state); S: symbols take any word.  State 4 accepts.
+#: A small transducer for requests: (state, symbol, next state); S: symbols take any one word.  State 4 accepts.
 EDGES = [(0, "L:where", 1), (1, "L:is", 2), (2, "L:the", 3), (3, "S:item", 4), (0, "L:which", 5), (5, "L:drawer", 6), (6, "L:has", 2), (3, "S:item", 7), (7, "S:item", 4)]
 
 
@@ -185,6 +185,75 @@ def automaton_paths(tokens: DataFrame, edges=EDGES, accept: int = 4, limit: int
     return tokens.select("id", walk("w").alias("x")).filter("x.paths > 0").select("id", "x.paths", "x.slots")
 
 
+#: A transducer whose slots take one or more words: (state, symbol, next state), and the intent of each accepting state.
+SLOT_EDGES = [(0, "L:where", 1), (1, "L:is", 2), (2, "L:the", 3), (3, "S:item", 4), (0, "L:which", 5), (5, "L:drawer", 6), (6, "L:has", 2)]
+INTENTS = {4: "locate"}
+
+
+def match_all(ws: list[str], edges: list[tuple], intents: dict[int, str], *, limit: int = 256, longest: int = 128) -> list[tuple[str, dict[str, str], int, int]]:
+    """(intent, captures, literals, slots) of the accepting paths, best first: most literals, then fewest slots.
+
+    A slot takes one or more words, and a repeated slot the same phrase each time.  Literals are tried before slots, and shorter phrases before
+    longer ones; the first ``limit`` paths count, and texts over ``longest`` words have none.
+    """
+    if not ws or len(ws) > longest:
+        return []
+    by_state = defaultdict(list)
+    for src, symbol, dst in sorted(edges, key=lambda e: (not e[1].startswith("L:"), e[1], e[2])):
+        by_state[src].append((symbol[0] == "S", symbol[2:], dst))
+    # states from which the words from a place on may be accepted, captures aside: no path is walked that can't end
+    ends: list[set] = [set() for _ in ws] + [set(intents)]
+    later = set(ends[-1])
+    for at in range(len(ws) - 1, -1, -1):
+        ends[at] = {s for s, out in by_state.items() for slot, name, dst in out if (dst in later if slot else name == ws[at] and dst in ends[at + 1])}
+        later |= ends[at]
+    found: list[tuple] = []
+    stack = [(0, 0, {}, 0, 0)]
+    while stack and len(found) < limit:
+        state, at, captures, literals, slots = stack.pop()
+        if at == len(ws):
+            if state in intents:
+                found.append((intents[state], captures, literals, slots))
+            continue
+        steps = []
+        for slot, name, dst in by_state[state]:
+            if not slot:
+                if name == ws[at] and dst in ends[at + 1]:
+                    steps.append((dst, at + 1, captures, literals + 1, slots))
+                continue
+            for to in range(at + 1, len(ws) + 1):
+                phrase = " ".join(ws[at:to])
+                if dst in ends[to] and captures.get(name, phrase) == phrase:
+                    steps.append((dst, to, {**captures, name: phrase}, literals, slots + 1))
+        stack += reversed(steps)
+    found.sort(key=lambda m: (-m[2], m[3], m[0], sorted(m[1].items())))
+    best: dict = {}
+    for m in found:
+        best.setdefault((m[0], *sorted(m[1].items())), m)
+    return list(best.values())
+
+
+def automaton_matches(tokens: DataFrame, edges=SLOT_EDGES, intents=INTENTS, limit: int = 256) -> DataFrame:
+    """(id, rank, intent, captures, literals, slots): each interpretation of token arrays by ``match_all``, the best with rank 0."""
+    fields = [("intent", T.StringType()), ("captures", T.MapType(T.StringType(), T.StringType())), ("literals", T.IntegerType()), ("slots", T.IntegerType())]
+
+    @pandas_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields])))
+    def matches(arrays: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("intent", "captures", "literals", "slots"), m, strict=True)) for m in match_all(list(ws), edges, intents, limit=limit)] for ws in arrays], dtype=object)
+
+    return tokens.select("id", F.posexplode(matches("w")).alias("rank", "m")).select("id", "rank", "m.intent", "m.captures", "m.literals", "m.slots")
+
+
+def traverse(tokens: Column, edges: list[tuple[int, str, int]], accept: set[int]) -> Column:
+    """(accepted, path): the states of a deterministic walk from 0 over all words; it stops at a word without an edge, which rejects."""
+    table = F.create_map(*(F.lit(x) for s, w, t in edges for x in (f"{s} {w}", t)))
+    path = lambda a: a["path"]
+    to = lambda a, w: table[F.concat_ws(" ", F.element_at(path(a), -1).cast("string"), w)]
+    step = lambda a, w: F.when(a["going"] & to(a, w).isNotNull(), F.struct(F.lit(True).alias("going"), F.concat(path(a), F.array(to(a, w))).alias("path"))).otherwise(F.struct(F.lit(False).alias("going"), path(a).alias("path")))
+    end = lambda a: F.struct((a["going"] & F.element_at(path(a), -1).isin(sorted(accept))).alias("accepted"), path(a).alias("path"))
+    return F.aggregate(tokens, F.struct(F.lit(True).alias("going"), F.array(F.lit(0)).alias("path")), step, end)
+
+
 def selector_features(c: str) -> Column:
     """Words, twice, and character 3- and 4-grams with the ends marked."""
     w, line = F.split(c, " "), F.concat(F.lit(" "), c, F.lit(" "))

@@ -215,15 +215,32 @@ _EDGES = "e AS (SELECT * FROM (VALUES (0, 'L:where', 1), (1, 'L:is', 2), (2, 'L:
     "SELECT p.id, count(*) AS paths, min(slots) AS slots FROM p JOIN w USING (id) WHERE state = 4 AND pos = len(w) + 1 GROUP BY p.id"
 )
 def fst_paths(read):
-    """Accepting paths of a transducer over requests' words, slots taking any word."""
+    """Counts of accepting paths of a transducer over requests' words, each slot edge taking one word (J18 itself: ``fst_matches``)."""
     return M.automaton_paths(utterances(read).select("id", T.words("text").alias("w")))
 
 
+_SLOT_EDGES = "e AS (SELECT * FROM (VALUES (0, 'L:where', 1), (1, 'L:is', 2), (2, 'L:the', 3), (3, 'S:item', 4), (0, 'L:which', 5), (5, 'L:drawer', 6), (6, 'L:has', 2)) t(src, symbol, dst))"
+
+
+@query(
+    f"WITH RECURSIVE {U}, {_SLOT_EDGES}, w AS (SELECT id, {_W} AS w FROM u), k AS (SELECT unnest(range(1, 129)) AS n), "
+    "p(id, pos, state, item, literals, slots) AS (SELECT id, 1, 0, CAST(NULL AS VARCHAR), 0, 0 FROM w WHERE len(w) <= 128 UNION ALL "
+    "SELECT p.id, p.pos + CAST(k.n AS INT), e.dst, CASE WHEN e.symbol LIKE 'S:%' THEN array_to_string(w[p.pos:p.pos + k.n - 1], ' ') ELSE p.item END, p.literals + CAST(e.symbol LIKE 'L:%' AS INT), p.slots + CAST(e.symbol LIKE 'S:%' AS INT) "
+    "FROM p JOIN w USING (id) JOIN e ON e.src = p.state JOIN k ON p.pos + k.n <= len(w) + 1 "
+    "WHERE (e.symbol = 'L:' || w[p.pos] AND k.n = 1) OR (e.symbol LIKE 'S:%' AND coalesce(p.item, array_to_string(w[p.pos:p.pos + k.n - 1], ' ')) = array_to_string(w[p.pos:p.pos + k.n - 1], ' '))) "
+    "SELECT p.id, 'locate' AS intent, item, max(literals) AS literals, min(slots) AS slots FROM p JOIN w USING (id) WHERE state = 4 AND pos = len(w) + 1 GROUP BY p.id, item"
+)
+def fst_matches(read):
+    """Interpretations of requests by a transducer whose slots capture phrases of one or more words."""
+    m = M.automaton_matches(utterances(read).select("id", T.words("text").alias("w")))
+    return m.select("id", "intent", F.col("captures")["item"].alias("item"), "literals", "slots")
+
+
 @query(f"WITH {U}, w AS (SELECT id, {_W} AS w FROM u) SELECT id, CASE WHEN w[1] = 'where' AND w[2] = 'is' THEN 2 WHEN w[1] = 'where' THEN 1 ELSE 0 END AS state FROM w")
 def acceptor_traversal(read):
-    """A deterministic walk as a fold over the words."""
-    step = lambda s, w: F.when((s == 0) & (w == "where"), 1).when((s == 1) & (w == "is"), 2).otherwise(s)
-    return utterances(read).select("id", F.aggregate(F.slice(T.words("text"), 1, 2), F.lit(0), step).alias("state"))
+    """A deterministic walk as a fold over all words, by a table of edges; the state where it ends or stops."""
+    walk = M.traverse(T.words("text"), [(0, "where", 1), (1, "is", 2)], {2})
+    return utterances(read).select("id", F.element_at(walk["path"], -1).alias("state"))
 
 
 @query("WITH c AS (SELECT * FROM (VALUES ('view', 'fsm', 'serve', 'located'), ('click', 'fsm', 'serve', 'located'), ('error', 'slm', 'repair', 'awaiting_request')) t(event, state, action, next_state)), log AS (SELECT event_id, event_type, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'fsm' ELSE 'slm' END AS route FROM events) SELECT event_id, coalesce(action, 'unsupported') AS action, coalesce(next_state, route) AS next_state FROM log LEFT JOIN c ON c.event = event_type AND c.state = route")
