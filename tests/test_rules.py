@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import similarity as S
 from turnwise.functions import text as T
 from turnwise.operators import automata, matching, ordering, splits
+from turnwise.plans import text_queries
 from turnwise.sources import files
 from turnwise.streaming import caches, events, replay
 
@@ -83,6 +84,18 @@ def test_phrase_hits_count_a_common_name_once_for_each_request(spark):
     assert [(r.id, r.n, r.first) for r in matching.phrase_hits(req, items).collect()] == [(1, 51, [0, 1, 2])]
 
 
+def test_phrase_hits_find_names_of_many_words(spark):
+    req = spark.createDataFrame([(1, "s", "where is the very long old red left ring now"), (2, "s", "ring")], "id int, setting string, text string")
+    items = spark.createDataFrame([("s", 1, "very long old red left ring"), ("s", 2, "ring")], "setting string, item_id int, name string")
+    assert sorted((r.id, r.n, r.first) for r in matching.phrase_hits(req, items).collect()) == [(1, 2, [1, 2]), (2, 1, [2])]
+    assert matching.phrase_hits(req, items.limit(0)).count() == 0
+
+
+def test_the_longest_candidate_may_have_many_words(spark):
+    part = spark.createDataFrame([(0, "very long old red left ring")], "p_partkey long, p_name string")
+    assert [r.candidate for r in text_queries.longest_candidate(lambda t: part).collect()] == ["very long old red left ring"]
+
+
 # -- ordering --------------------------------------------------------------------------------------------------------
 def test_ordered_computations_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SPAN", 7)

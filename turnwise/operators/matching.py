@@ -11,17 +11,14 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import similarity as S
 from ..functions.text import drawer_tokens, is_correction, words
 
-#: Longest phrase, in words, that is looked for.
-MAX_WORDS = 4
 
-
-def phrase_hits(requests: DataFrame, phrases: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def phrase_hits(requests: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, n, first) of requests that name items of their setting: how many items, and the three smallest ids.
 
     An equi-join of the text's n-grams with one row for each phrase, so a name that a third of all items share costs one row.
     """
     named = _named(phrases)
-    asked = requests.select("id", "setting", F.explode(F.array_distinct(_grams(words("text"), max_words))).alias("name"))
+    asked = requests.select("id", "setting", F.explode(F.array_distinct(grams(words("text"), word_counts(phrases)))).alias("name"))
     return asked.join(named, ["setting", "name"]).groupBy("id").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 3).alias("first"))
 
 
@@ -32,11 +29,18 @@ def _named(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy("setting", "name").agg(F.count(F.lit(1)).alias("n")).join(first, ["setting", "name"])
 
 
-def _grams(w: Column, max_words: int) -> Column:
+def word_counts(phrases: DataFrame) -> list[int]:
+    """The numbers of words that the phrases' names have (one aggregate)."""
+    return sorted(phrases.agg(F.collect_set(F.size(F.split("name", " ")))).first()[0])
+
+
+def grams(w: Column, counts: list[int]) -> Column:
+    """Runs of as many words as some name has."""
+
     def of(n: int) -> Column:
         return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(of(n) for n in range(1, max_words + 1)))
+    return F.concat(F.array().cast("array<string>"), *(of(n) for n in counts if n > 0))
 
 
 def outcome(n: Column, name: Column, drawer: Column) -> tuple[Column, Column]:

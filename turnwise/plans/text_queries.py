@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import matching as M
 from .base import I, U, inventory, query, utterances
 
 _NUM = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.NUMBER_WORDS.items()) + "}"
@@ -84,12 +85,10 @@ def phrase_contains(read):
     "SELECT id, name AS candidate FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(name) DESC, name) = 1"
 )
 def longest_candidate(read):
-    """The longest name in a text, found by joining its one- and two-word grams with the names."""
+    """The longest name in a text, found by joining its grams of as many words as some name has with the names."""
     part = read("part")
     names = part.select(F.col("p_name").alias("name")).union(part.select(F.split("p_name", " ")[1])).distinct()
-    w = T.words("text")
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = utterances(read).select("id", F.explode(F.array_distinct(F.concat(w, pairs))).alias("name"))
+    grams = utterances(read).select("id", F.explode(F.array_distinct(M.grams(T.words("text"), M.word_counts(names)))).alias("name"))
     best = Window.partitionBy("id").orderBy(F.desc(F.length("name")), "name")
     return grams.join(names, "name").withColumn("r", F.row_number().over(best)).filter("r = 1").select("id", F.col("name").alias("candidate"))
 
