@@ -299,6 +299,21 @@ def test_stored_texts(spark):
     assert len(packets[3].packets) == 1 + 2 + 1 and bytes(packets[3].packets[-1].data) == struct.pack("<Q", 577)
 
 
+def test_every_packet_has_the_time_of_its_end(spark):
+    n, payload = ogg.padded("x" * 576 * 200)
+    media = bytearray(ogg.mux_payload(n, payload))
+    got = ogg.demux_packets(spark.createDataFrame([(media,)], "media binary")).first().packets
+    assert [p.end_ms for p in got if p.serial == ogg.AUDIO] == [i * 72.0 for i in range(201)]
+    assert [p.end_ms for p in got if p.serial == ogg.NOTE] == [0.0]
+    pages = [i for i in range(len(media)) if media[i : i + 4] == b"OggS"]
+    media[pages[-2] + 400] ^= 1  # a page of samples amid others
+    left = [r["end_ms"] for r in ogg.packet_rows(bytes(media)) if r["serial"] == ogg.AUDIO]
+    assert len(left) < 201 and left[-1] == 200 * 72.0 and set(left) <= {i * 72.0 for i in range(201)} and len(set(left)) == len(left)
+    head = ogg._PCM.pack(b"PCM     ", 0, 0, 1, 48000, 16, 2, 480, 0)
+    stereo = ogg.mux({5: [(head, 0), *((b"ab" * 960, 480 * (i + 1)) for i in range(9))]})
+    assert [r["end_ms"] for r in ogg.packet_rows(stereo)] == [i * 10.0 for i in range(10)]
+
+
 def test_the_mean_is_over_all_samples():
     text = "".join(chr(97 + i % 2) for i in range(9216)) + "\U0001f600" * 144  # 9792 bytes, no padding
     got = ogg.demux_payload(ogg.mux_payload(*ogg.padded(text)))

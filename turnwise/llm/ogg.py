@@ -165,14 +165,33 @@ def demux(media: bytes) -> Physical:
 
 
 def packet_ends(granules: list[int], durations: list[int], start: int = 0) -> list[int]:
-    """Granule positions at the ends of all packets: known ones hold, between them the durations add up."""
-    out, at = [], start
-    for g, d in zip(granules, durations, strict=True):
-        at = g if g >= 0 else at + d
+    """Granule positions at the ends of all packets: known ones hold, between them the durations add up (before a known one that is ahead, pages are missing)."""
+    out, at, since = [], start, 0
+    for i, (g, d) in enumerate(zip(granules, durations, strict=True)):
+        at += d
+        if g >= 0:
+            if g > at:
+                out[since:] = [x + g - at for x in out[since:]]
+            at, since = g, i + 1
         out.append(at)
     return out
 
 
+def packet_rows(media: bytes) -> list[dict]:
+    """All packets with the time of their end: rate and frame size are those of the stream's PCM header; without one only position 0 has a time."""
+    rows = []
+    for serial, s in demux(media).streams.items():
+        if s.packets and s.packets[0][:8] == b"PCM     " and len(s.packets[0]) == _PCM.size:
+            _, _, _, _, rate, bits, channels, _, _ = _PCM.unpack(s.packets[0])
+            width = max(1, channels * bits // 8)
+            ends = packet_ends(s.granules, [0, *(len(p) // width for p in s.packets[1:])])
+            times = [g * 1000 / rate if rate else None for g in ends]
+        else:
+            times = [None if g else 0.0 for g in s.granules]
+        rows += [{"serial": serial, "packet": i, "end_ms": t, "data": p} for i, (p, t) in enumerate(zip(s.packets, times, strict=True))]
+    return rows
+
+
 def padded(text: str) -> tuple[int, bytes]:
     data = text.encode()
     return len(data), data + PAD * (-len(data) % FRAME or (0 if data else FRAME))
@@ -224,14 +243,7 @@ _PACKETS = T.ArrayType(T.StructType([T.StructField(n, t()) for n, t in (("serial
 
 @pandas_udf(_PACKETS)
 def _packets(media: pd.Series) -> pd.Series:
-    out = []
-    for m in media:
-        rows = []
-        for serial, s in demux(bytes(m or b"")).streams.items():
-            for i, (p, g) in enumerate(zip(s.packets, s.granules, strict=True)):
-                rows.append({"serial": serial, "packet": i, "end_ms": g * 1000 / RATE if g >= 0 else None, "data": p})
-        out.append(rows)
-    return pd.Series(out, dtype=object)
+    return pd.Series([packet_rows(bytes(m or b"")) for m in media], dtype=object)
 
 
 def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "media") -> DataFrame:
