@@ -1,11 +1,11 @@
-"""Joining documents whose five-word shingles have a Jaccard similarity of 0.8 or more, by a MinHash LSH forest.
+"""Joining documents whose five-word shingles have a Jaccard similarity of 0.8 or more, by MinHash banding.
 
 Words are what white space separates, in lower case; shorter texts have one shingle of all their words.
 
 1. Equal texts (by MD5) are one node; each node's signature is made once for each copy, without moving texts.
-2. The forest has ``TREES`` prefix tries, each over up to ``DEPTH`` hash values.  Two texts meet in a trie at a prefix of m values
-   with probability J^m, so in some trie with 1 - (1 - J^m)^TREES.  The prefix starts at the full depth and is shortened
-   until that reaches ``recall`` at the threshold (``prefix_length``).
+2. There are ``TREES`` bands of m hash values each.  Two texts meet in a band with probability J^m, so in some band with
+   1 - (1 - J^m)^TREES.  m is the largest number up to ``DEPTH`` at which that reaches ``recall`` at the threshold (``prefix_length``);
+   it follows from constants, not from the data.  There are no tries whose matched prefixes are shortened.
 3. Nodes that share a prefix hang on the first of them in sorted order; components of these edges hold every pair
    that met.  Sorting a trie's prefix has at most one row for each node, so a hot prefix is 1/TREES of the rows at most.
 4. Components are verified exactly in blocks: up to ``BLOCK`` nodes at a time, against themselves and, in large components, against
