@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
 A text is encoded by halves.  Halves of a text are cut where a non-space meets white space: no match of the
-splitting pattern runs across such a place, so their results just follow one another.  Within one match, halves of
-its bytes are encoded on their own and joined: a window around the seam is decoded and encoded again, and grows until
-the tokens at both of its edges are settled.
+splitting pattern runs across such a place, so their results just follow one another; a worker remembers the pieces between
+such places.  Within one match, halves of its bytes are encoded on their own, down to leaves of a few bytes, and joined: a window around
+the seam is decoded and encoded again, and grows until the tokens at both of its edges are settled.
 
 When are they settled?  Call tokens (a, b) compatible if the bytes a+b encode to exactly [a, b].  A sequence of tokens
 is the encoding of its bytes if and only if all neighbours are compatible (merges that would cross a seam later would
@@ -14,7 +14,8 @@ encoding.  If the window reaches an end of the halves, there is nothing to check
 Decoding joins the bytes of the tokens up the same tree.
 
 Defined results: null text counts as empty (no ids, no bytes); equal texts get equal ids; very long texts and very long
-matches take memory in proportion to one text only.  Ranks are read once by each Python worker.
+matches take memory in proportion to one text only; repeated rows stay; an empty table gives no rows; a column of the input
+that has the name of a new one is an error.  Ranks are read once by each Python worker.
 """
 
 import base64
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import table, text_or_empty
+from .common import new_column, table, text_or_empty
 
 #: Characters of a text below which the tree stops and the splitting pattern runs.
 LEAF_CHARS = 16_384
-#: Bytes of a match below which the tree stops and merges run one by one.
-LEAF_BYTES = 32
-#: Remembered matches and pairs of a worker; a full memory is emptied, so it holds a bounded share of RAM.
+#: Bytes of a leaf, whose merges run one by one; every longer match without a token of its own is halved and joined.
+LEAF_BYTES = 4
+#: Bytes of a part of a match whose ids are remembered: halves of words recur in other words.
+PART_BYTES = 6
+#: Remembered pieces, matches, parts and pairs of a worker; a full memory is emptied, so it holds a bounded share of RAM.
 REMEMBER = 300_000
 
 _SEAM = regex.compile(r"(?<=\S)\s")
@@ -53,6 +56,10 @@ class Codec:
         self.bytes_of = {str(i): b for b, i in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self._match: dict[str, str] = {}
+        self._piece: dict[str, str] = {}
+        self._piece_before: dict[str, str] = {}  # the pieces remembered before the last ``REMEMBER`` new ones
+        self.joins = self.windows = 0  # neighbours joined, and those whose seam took a window
+        self._part: dict[bytes, list[int]] = {}
         self._pair: dict[tuple[int, int], bool] = {}
         self._of: dict[int, bytes] = {i: b for b, i in self.ranks.items()}
 
@@ -60,7 +67,7 @@ class Codec:
     def _merge(self, data: bytes) -> list[int]:
         """Merges one by one: always the pair with the lowest rank, the leftmost of equals."""
         ranks = self.ranks
-        if len(data) > 2 * LEAF_BYTES:
+        if len(data) > 64:
             return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         get, none = ranks.get, 1 << 60
@@ -105,8 +112,10 @@ class Codec:
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings."""
+        self.joins += 1
         if not left or not right or self._settled(left[-1], right[0]):
             return left + right
+        self.windows += 1
         i, j = len(left), 0  # the window is left[i:] + right[:j]
         grow = 1
         while True:
@@ -118,10 +127,19 @@ class Codec:
             grow *= 2
 
     def _tree(self, data: bytes) -> list[int]:
+        found = self._part.get(data)
+        if found is not None:
+            return found
         if len(data) <= LEAF_BYTES:
-            return self._merge(data)
-        half = len(data) // 2
-        return self.join(self._tree(data[:half]), self._tree(data[half:]))
+            found = self._merge(data)
+        else:
+            half = len(data) // 2
+            found = self.join(self._tree(data[:half]), self._tree(data[half:]))
+        if len(data) <= PART_BYTES:
+            if len(self._part) >= REMEMBER:
+                self._part.clear()
+            self._part[data] = found
+        return found
 
     def match_ids(self, match: str) -> str:
         """Ids of one match of the pattern, in decimal, joined by commas."""
@@ -144,8 +162,41 @@ class Codec:
         if len(text) > LEAF_CHARS and (seam := _SEAM.search(text, len(text) // 2)):
             at = seam.start()
             return self._encode(text[:at]) + self._encode(text[at:])
-        known, matches = self._match.get, self.find(text)
-        return [",".join([known(m) or self.match_ids(m) for m in matches])]
+        first, *rest = text.split(" ")
+        if not first or first[-1].isspace():  # no seam before the first space
+            return [self._matches(text)]
+        return [self._matches(first), *self._pieces(rest)]
+
+    def _matches(self, text: str) -> str:
+        known = self._match.get
+        return ",".join([known(m) or self.match_ids(m) for m in self.find(text)])
+
+    def _pieces(self, pieces: list[str]) -> list[str]:
+        """Ids of pieces that each follow a space: a seam is before each space after a non-space, so they are encoded apart."""
+        ids = list(map(self._piece.get, pieces))
+        at = -1
+        try:
+            while True:
+                at = to = ids.index(None, at + 1)
+                while to < len(pieces) and (not pieces[to] or pieces[to][-1].isspace()):
+                    to += 1  # the next space follows a space: no seam there
+                if to == at:
+                    ids[at] = self._new_piece(pieces[at])
+                else:
+                    ids[at] = self._matches(" " + " ".join(pieces[at : to + 1]))
+                    ids[at + 1 : to + 1] = [""] * (min(to + 1, len(pieces)) - at - 1)
+        except ValueError:  # no further new piece
+            return ids
+
+    def _new_piece(self, piece: str) -> str:
+        found = self._piece.get(piece) or self._piece_before.get(piece)
+        if found is None:
+            found = self._matches(" " + piece)
+        if len(piece) <= 64:
+            if len(self._piece) >= REMEMBER:
+                self._piece_before, self._piece = self._piece, {}
+            self._piece[piece] = found
+        return found
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_text(text)
@@ -182,6 +233,7 @@ def default_tokenizer() -> tuple[str, str]:
 
 def encode_documents(docs: DataFrame, *, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids (array of int)."""
+    new_column(docs, ids_col)
 
     @pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -194,6 +246,7 @@ def encode_documents(docs: DataFrame, *, path: str, pattern: str, text_col: str
 
 def decode_documents(docs: DataFrame, *, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with the bytes that a column of token ids stands for."""
+    new_column(docs, bytes_col)
 
     @pandas_udf("binary")
     def decoded(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
