@@ -1,10 +1,12 @@
 """What the operators share: reading tables, cutting lineage, Arrow helpers."""
 
-import os
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +14,22 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 ROOT = str(Path(__file__).resolve().parents[2])
+_PACKAGE = __name__.split(".")[0]
+_ARCHIVE = _PACKAGE + "-workers"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches small (texts may be long)."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
+    """Send this package to Python workers, and keep Arrow batches small (texts may be long)."""
+    sc = spark.sparkContext
+    if not any(f.startswith(_ARCHIVE) for f in sc._python_includes):
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for f in sorted(Path(ROOT, _PACKAGE).rglob("*.py")):
+                z.write(f, f.relative_to(ROOT))
+        path = new_path(spark, _ARCHIVE) + ".zip"
+        with open_uri(path, write=True) as out:
+            out.write(packed.getvalue())
+        sc.addPyFile(path)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -30,14 +40,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="turnwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
+def open_uri(uri: str, *, write: bool = False):
+    fs, path = filesystem(uri)
+    if not write:
+        return fs.open_input_stream(path, buffer_size=1 << 20)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    return fs.open_output_stream(path)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -72,5 +97,11 @@ def sweep(spark: SparkSession) -> None:
         _delete(spark, _written.pop())
 
 
+def new_column(df: DataFrame, name: str) -> None:
+    """Refuse to write over a column of the input."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the input has a column {name!r} already: name the new one otherwise")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

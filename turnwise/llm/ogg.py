@@ -14,7 +14,8 @@ packets of ``FRAME`` samples at ``RATE`` Hz, whose granule positions count sampl
 of bytes before padding.  ``demux_payload`` reads both back.
 
 Defined results: null text counts as empty, so it has one padded frame; equal texts give equal bytes (serial numbers are
-constants); bytes that are no valid page are skipped and counted, never an error; memory is in proportion to one document.
+constants); bytes that are no valid page are skipped and counted, never an error; repeated rows stay; an empty table gives no
+rows; a column of the input that has the name of a new one is an error; memory is in proportion to one document.
 """
 
 import hashlib
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import table, text_or_empty
+from .common import new_column, table, text_or_empty
 
 FRAME = 576
 RATE = 8000
@@ -225,17 +226,19 @@ def _store(texts: pd.Series) -> pd.Series:
     return pd.Series([mux_payload(*padded(t)) for t in texts], dtype=object)
 
 
-_DIGEST = T.StructType([T.StructField(n, t()) for n, t in (("n_bytes", T.LongType), ("payload_bytes", T.LongType), ("payload_sha256", T.StringType), ("tail_crc32", T.LongType), ("feature", T.StringType))])
+_DIGEST = T.StructType([T.StructField(n, t()) for n, t in (("n_bytes", T.LongType), ("payload_bytes", T.LongType), ("payload_sha256", T.StringType), ("tail_crc32", T.LongType), ("media_bytes", T.LongType), ("media_sha256", T.StringType), ("feature", T.StringType))])
+
+
+def digests(media: bytes) -> tuple:
+    """``_DIGEST`` of stored bytes: everything is read back from them."""
+    x = demux_payload(media)
+    p = x["payload"]
+    return x["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), x["feature"]
 
 
 @pandas_udf(_DIGEST)
 def _digests(media: pd.Series) -> pd.DataFrame:
-    rows = []
-    for m in media:
-        x = demux_payload(bytes(m))
-        p = x["payload"]
-        rows.append((x["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), x["feature"]))
-    return pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+    return pd.DataFrame([digests(bytes(m)) for m in media], columns=_DIGEST.names)
 
 
 _PACKETS = T.ArrayType(T.StructType([T.StructField(n, t()) for n, t in (("serial", T.LongType), ("packet", T.IntegerType), ("end_ms", T.DoubleType), ("data", T.BinaryType))]))
@@ -248,15 +251,16 @@ def _packets(media: pd.Series) -> pd.Series:
 
 def store_texts(docs: DataFrame, *, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """``docs`` with an Ogg stream that holds the text's bytes."""
+    new_column(docs, media_col)
     return docs.withColumn(media_col, _store(text_or_empty(text_col)))
 
 
 def demux_packets(frame: DataFrame, *, media_col: str = "media", into: str = "packets") -> DataFrame:
     """``frame`` with all packets of its media column: logical stream, number, time of the end, bytes.  Null media: no packets."""
+    new_column(frame, into)
     return frame.withColumn(into, _packets(F.col(media_col)))
 
 
 def op1_ogg_media(spark, sf_dir: str) -> DataFrame:
     stored = store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    read = stored.select("doc_id", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), _digests("media").alias("x"))
-    return read.select("doc_id", "x.n_bytes", "x.payload_bytes", "x.payload_sha256", "x.tail_crc32", "media_bytes", "media_sha256", "x.feature")
+    return stored.select("doc_id", _digests("media").alias("x")).select("doc_id", "x.*")
