@@ -172,6 +172,42 @@ def test_whole_texts_and_round_trip(codec, tiktoken_encode, monkeypatch, spark):
         assert ids == tiktoken_encode(t) and codec.decode(ids) == t.encode()
 
 
+def test_ordinary_words_go_through_the_tree(codec, tiktoken_encode):
+    own = byte_bpe.Codec(*byte_bpe.default_tokenizer())
+    text = "unquestionably extraterrestrial zyxgrammatology preposterousness"
+    assert own.encode(text) == tiktoken_encode(text)
+    assert own.joins > 6 and own.windows > 0  # halves joined, seams re-encoded
+
+
+def test_op9_equals_the_library(spark, tiktoken_encode):
+    got = {r.doc_id: r for r in byte_bpe.op9_byte_bpe(spark, SF).collect()}
+    for i, t in read(spark):
+        ids = tiktoken_encode(t or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_remembered_pieces_equal_the_library(tiktoken_encode, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBER", 50)  # memories fill up and are emptied
+    own, rng = byte_bpe.Codec(*byte_bpe.default_tokenizer()), random.Random(9)
+    alphabets = ["abcdeinrst", "éèäß한😀", "0123456789", "a!?.,-' \n\t", "   ", " \x1c\x85\xa0\u3000"]
+    for _ in range(3000):
+        s = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(0, 60)))
+        assert own.encode(s) == tiktoken_encode(s)
+
+
+def test_bpe_edges(spark):
+    path, pattern = byte_bpe.default_tokenizer()
+    assert byte_bpe.encode_documents(documents(spark, []), path=path, pattern=pattern).count() == 0
+    assert byte_bpe.encoding_digests(documents(spark, []), path=path, pattern=pattern).count() == 0
+    clash = documents(spark, [(1, "a")]).withColumnRenamed("th", "ids").withColumnRenamed("node", "decoded")
+    with pytest.raises(ValueError, match="ids"):
+        byte_bpe.encode_documents(clash, path=path, pattern=pattern)
+    out = byte_bpe.encode_documents(clash, path=path, pattern=pattern, ids_col="own")
+    with pytest.raises(ValueError, match="decoded"):
+        byte_bpe.decode_documents(out, path=path, pattern=pattern, ids_col="own")
+    assert byte_bpe.decode_documents(out, path=path, pattern=pattern, ids_col="own", bytes_col="b").first().ids == "clash"
+
+
 def test_bpe_columns(spark):
     path, pattern = byte_bpe.default_tokenizer()
     df = documents(spark, [(1, "hello there"), (1, "hello there"), (None, None), (2, "")])
@@ -220,26 +256,57 @@ def test_added_tokens_in_texts_equal_the_untouched_library():
     assert got[0] == [3937, 49407, 4480, 2]
 
 
-def test_records_round_trip(spark, tmp_path):
-    import numpy as np
+@pytest.fixture(scope="module")
+def plain_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own.encode_special_tokens = True
-    rows = [(7, "b c"), (None, None), (3, "x " * 3000), (5, ""), (3, "a"), (-2, "Zed"), *((100 + i, f"doc {i}") for i in range(50))]
-    files = records.write_records(documents(spark, rows), str(tmp_path / "out"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), docs_per_file=10)
-    assert len(files) > 3
-    got = records.read_records(spark, files).orderBy("start").collect()
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def brute_records(rows, tokenizer):
+    """(doc_id, start, n_tokens, ids_crc32) in ascending order of ids; rows with one id are given in the order of their texts' hashes."""
+    import numpy as np
+    import xxhash
+
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
     start, want = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or ""))):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert [tuple(r) for r in got] == want
+    return want
+
+
+def test_op7_equals_the_library(spark, plain_tokenizer):
+    got = records.op7_binary_records(spark, SF).orderBy("start").collect()
+    assert [tuple(r) for r in got] == brute_records(read(spark), plain_tokenizer)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_tokenizer_files_go_through_the_library_whole(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    e, own = records.WordEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    assert e.by_words == (name == "word_bpe_49k.json")
+    texts = ["Hello  there,\n<|endoftext|> you", "", " x"]
+    assert [x.tolist() for x in e.encode(texts, 2)] == [[*own.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_records_round_trip(spark, tmp_path, plain_tokenizer):
+    import public_tokenizers
+
+    rows = [(7, "b c"), (None, None), (3, "x " * 3000), (5, ""), (3, "a"), (3, "a"), (-2, "Zed <|endoftext|> z"), *((None, f"no id {i}") for i in range(40)), *((100 + i, f"doc {i}") for i in range(50))]
+    written = records.write_records(documents(spark, rows), str(tmp_path / "out"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), docs_per_file=10)
+    files = written.orderBy("range", "number").collect()
+    assert len(files) > 6 and max(f.n_records for f in files) <= 30  # rows without id are split too
+    got = records.read_records(written).orderBy("start").collect()
+    assert [tuple(r) for r in got] == brute_records(rows, plain_tokenizer)
     with open(files[1]["path"] + ".rec", "rb") as data, open(files[1]["path"] + ".idx", "rb") as index:
-        some = [records.unpack(records.read_record(data, index, i))[0] for i in (2, 0)]
-        assert len(set(some)) == 2
+        some = [records.read_record(data, index, i) for i in range(files[1]["n_records"])]
+        assert sum(len(records.unpack(x)[1]) for x in some) == files[1]["n_ids"]
+        assert records.read_record(data, index, 2) == some[2] and records.read_record(data, index, 0) == some[0]
     blob = bytearray(open(files[0]["path"] + ".rec", "rb").read())
     blob[20] ^= 1
     import io
@@ -247,7 +314,7 @@ def test_records_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="checksum"):
         list(records.read_frames(io.BytesIO(bytes(blob))))
     empty = records.write_records(documents(spark, []), str(tmp_path / "none"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
-    assert records.read_records(spark, empty).count() == 0
+    assert records.read_records(empty).count() == 0
 
 
 # -- Ogg -------------------------------------------------------------------------------------------------------------
@@ -286,6 +353,35 @@ def test_a_damaged_page_is_left_out():
     assert 0 < len(got.streams[1].packets) < 61 and all(len(set(p)) == 1 for p in got.streams[1].packets[1:])
 
 
+def test_op1_equals_brute_force(spark):
+    got = {r.doc_id: r for r in ogg.op1_ogg_media(spark, SF).collect()}
+    for i, t in read(spark):
+        data = (t or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        frames = len(payload) // 576
+        # an audio stream: a page with its 44-byte header, then packets of three lacing values, 85 to a page; and a note stream of one page
+        pages = -(-3 * frames // 255)
+        size = 27 + 1 + 28 + sum(27 + min(255, 3 * frames - 255 * k) for k in range(pages)) + len(payload) + 27 + 1 + 8
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r.media_bytes == size - 28 + ogg._PCM.size
+        media = ogg.mux_payload(len(data), payload)
+        assert r.media_sha256 == hashlib.sha256(media).hexdigest() and len(media) == r.media_bytes
+        assert r.feature == (
+            f"streams=2;pages={pages + 2};bad=0;gaps=0;packets={frames + 1};end_ms={len(payload) * 1000 // 8000};last_granule={len(payload)};"
+            f"mean={sum(payload) / len(payload):.3f};spaces={payload.count(b' ')};lines={payload.count(10)};pad={payload.count(255)}"
+        )
+
+
+def test_ogg_edges(spark):
+    assert ogg.store_texts(documents(spark, [])).count() == 0
+    twice = ogg.store_texts(documents(spark, [(1, "a"), (1, "a"), (None, "é" * 300_000)]))
+    assert twice.count() == 3 and ogg.demux_packets(twice).filter("size(packets) = 0").count() == 0
+    with pytest.raises(ValueError, match="media"):
+        ogg.store_texts(twice)
+    assert ogg.demux_packets(spark.createDataFrame([(None,)], "media binary")).first().packets == []
+
+
 def test_stored_texts(spark):
     rows = [(1, None), (2, ""), (3, "x" * 576), (4, "y" * 577), (5, "é" * 70_000), (6, "")]
     media = ogg.store_texts(documents(spark, rows)).collect()

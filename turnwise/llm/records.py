@@ -6,16 +6,20 @@ the document id (signed 64 bits), one byte of flags (1: the id is null; 4: ids t
 The index beside it has, for each frame, its offset, the number of ids before it in the file and the number of its
 ids, so a reader that shuffles can fetch any record with two reads.
 
-``write_records`` deals documents to files by ranges of doc_id (quantiles of the id, so a file has about ``docs_per_file``
-documents at any size), encodes and writes them in ascending order, and ``read_records`` reads the files back, checks every
-checksum and gives each document the ids before it.  A file is written under a name of its own attempt and then renamed,
-so a lost executor or a second attempt leaves no half file.  The folder's file system can be any that pyarrow opens.
+``write_records`` range-partitions documents by (doc_id, text), one range for about ``docs_per_file`` documents at any size, so that
+equal or null ids, however many, are split too; each range is sorted, encoded and written as one file, or several if it is
+uneven.  It returns the list of files as a table.  ``read_records`` reads them back, checks every checksum and gives each
+document the ids before it: the files' numbers of ids are summed up in two steps, and a file is one row, so the list never comes
+to the driver.  A file is written under a name of its own attempt and then renamed, so a lost executor or a second attempt
+leaves no half file.  The folder's file system can be any that pyarrow opens.
 
 Defined results: null text counts as empty (just the end id); null doc_ids come first; rows with equal doc_ids keep
-together, by text; extra columns are not written.
+together, by a hash of the text; very long texts take memory in proportion to one Arrow batch; extra columns are not written; an empty table
+gives no files and no rows.
 """
 
 import io
+import json
 import os
 import struct
 import zlib
@@ -25,16 +29,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, prepare, table, text_or_empty
+from .common import cut, filesystem, new_path, open_uri, prepare, table, text_or_empty
 
 DOCS_PER_FILE = 8192
-#: Ranges of ids that documents are dealt to, at most; a range with more documents fills several files.
-RANGES = 2048
 END_ID = 2
 #: Words, twice, and pieces that a worker remembers with their ids.
 REMEMBER = 300_000
@@ -154,13 +156,28 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: The parts of a tokenizer file (fixed values) for which words can be encoded one by one: white space is dropped before any merge,
+#: and neither normalisation nor pattern joins what spaces, tabs and line ends separate.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordEncoder:
-    """The tokenizers library over whole texts, remembering words and pieces.
+    """The tokenizers library over whole texts, remembering words and pieces where the tokenizer file allows it.
 
-    The tokenizer file splits at white space and drops it before any merge, and neither its normalisation nor its pattern
-    joins what spaces, tabs and line ends separate.  So the ids of a text are those of its words one after another, and
-    those of a word are the ids that the library's merges give for its pieces.  Words with other letters than
-    Latin-1, and those that contain an added token's string, go through the library's whole path.
+    If the file is of the kind ``_BY_WORDS``, the ids of a text are those of its words one after another, and those of a word
+    are the ids that the library's merges give for its pieces.  Words with other letters than Latin-1, and those that contain
+    an added token's string, go through the library's whole path.  With any other file whole texts do.
     """
 
     def __init__(self, path: str):
@@ -168,9 +185,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.own.get_added_tokens_decoder().values()]
-        if any(regex.search(r"\s", t) for t in self.added):
-            raise ValueError("an added token with white space spans words")
+        added = self.own.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        plain = not any(regex.search(r"\s", t.content) or t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
+        self.by_words = plain and all(parts.get(k) == v for k, v in _BY_WORDS.items()) and parts["model"].get("dropout") is None
         self.kind = "<u4" if self.own.get_vocab_size() > 0xFFFF else "<u2"
         self.code = "I" if self.kind == "<u4" else "H"
         self.merge, self.letters = self.own.model.tokenize, _byte_letters()
@@ -219,6 +239,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         end, out = np.array([end_id], self.kind).tobytes(), []
+        if not self.by_words:
+            return [np.array([*e.ids, end_id], self.kind) for e in self.own.encode_batch(texts, add_special_tokens=False)]
         for t in texts:
             ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             ids = list(map(self.words.get, ws))
@@ -240,19 +262,18 @@ def encoder(path: str) -> WordEncoder:
 
 
 # -- writing and reading ---------------------------------------------------------------------------------------------
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
-_WRITTEN = pa.schema([("bucket", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
+_WRITTEN = pa.schema([("range", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_ids", pa.int64())])
+_FILES = "range int, number int, path string, n_records long, n_ids long"
+#: Ranges whose numbers of ids are added up before the running sum over all files.
+RANGES_ADDED = 1024
 
 
 class _File:
-    def __init__(self, folder: str, bucket: int, number: int):
-        self.fs, base = _open(folder)
-        self.name = f"part-{bucket:06d}-{number:06d}"
+    def __init__(self, folder: str, range_: int, number: int):
+        self.fs, base = filesystem(folder)
+        self.name = f"part-{range_:08d}-{number:06d}"
         self.final, own = f"{base}/{self.name}", f"{base}/_{self.name}-{os.urandom(8).hex()}"
-        self.own, self.uri, self.bucket, self.number = own, f"{folder}/{self.name}", bucket, number
+        self.own, self.uri, self.range, self.number = own, f"{folder}/{self.name}", range_, number
         self.data, self.index = self.fs.open_output_stream(own + ".rec"), self.fs.open_output_stream(own + ".idx")
         self.offset = self.ids = self.records = 0
 
@@ -270,77 +291,52 @@ class _File:
         for f, kind in ((self.data, ".rec"), (self.index, ".idx")):
             f.close()
             self.fs.move(self.own + kind, self.final + kind)
-        return {"bucket": self.bucket, "number": self.number, "path": self.uri, "n_records": self.records, "n_ids": self.ids}
+        return {"range": self.range, "number": self.number, "path": self.uri, "n_records": self.records, "n_ids": self.ids}
 
 
-def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
-    """Encode and write all documents in ascending id order; returns the files in order (one row for each file)."""
+def write_records(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = END_ID, docs_per_file: int = DOCS_PER_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and write all documents in ascending id order; returns (range, number, path, n_records, n_ids), one row for each file."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    total = rows.select("id").count()
-    n = min(RANGES, max(1, -(-total // docs_per_file)))
-    cuts = rows.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n + 100).alias("q")).first()["q"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.when(F.col("id").isNull(), F.lit(0)).otherwise(_bucket(cuts))
-    dealt = rows.select(bucket.cast("int").alias("bucket"), "id", "text").repartition(max(1, len(cuts) + 1), "bucket").sortWithinPartitions("bucket", "id", "text")
+    n = max(1, -(-docs.select(id_col).count() // docs_per_file))
+    # ranges are cut at (id, hash of the text), so that many rows with one id are split; within a range they order equal ids
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, out, done = encoder(tokenizer), None, []
+        own, range_, out, done = encoder(tokenizer), TaskContext.get().partitionId(), None, []
         for b in batches:
-            buckets = b.column(0).to_pylist()
-            ids = own.encode(b.column(2).to_pylist(), end_id)
-            payloads = [pack(i, x) for i, x in zip(b.column(1).to_pylist(), ids, strict=True)]
-            at = 0
-            while at < len(buckets):
-                k, to = buckets[at], at
-                while to < len(buckets) and buckets[to] == k:
-                    to += 1
-                if out is None or out.bucket != k or out.records >= 2 * docs_per_file:
-                    number = out.number + 1 if out and out.bucket == k else 0
-                    if out:
-                        done.append(out.close())
-                    out = _File(folder, k, number)
-                out.add(payloads[at:to], [len(x) for x in ids[at:to]])
-                at = to
+            ids = own.encode(b.column(1).to_pylist(), end_id)
+            if out is None or out.records >= 2 * docs_per_file:
+                if out:
+                    done.append(out.close())
+                out = _File(folder, range_, len(done))
+            out.add([pack(i, x) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)], [len(x) for x in ids])
         if out:
             done.append(out.close())
         yield pa.RecordBatch.from_pylist(done, schema=_WRITTEN)
 
-    fs, base = _open(folder)
+    fs, base = filesystem(folder)
     fs.create_dir(base, recursive=True)
-    files = dealt.mapInArrow(write, "bucket int, number int, path string, n_records long, n_ids long").collect()
-    return [f.asDict() for f in sorted(files, key=lambda f: (f["bucket"], f["number"]))]
-
-
-def _bucket(cuts: list[int]):
-    """Number of cuts that an id exceeds: first among every k-th cut, then among the k after those."""
-    if not cuts:
-        return F.lit(0)
-    k = int(len(cuts) ** 0.5) + 1
-    below = lambda array: F.size(F.filter(array, lambda c: c < F.col("id")))
-    every, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[k - 1 :: k])) if len(cuts) >= k else F.array().cast("array<bigint>")
-    start = below(coarse) * k
-    return start + below(F.slice(every, start + 1, k))
+    return cut(dealt.mapInArrow(write, _FILES), "record-files")
 
 
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def read_records(spark: SparkSession, files: list[dict]) -> DataFrame:
+def read_records(files: DataFrame) -> DataFrame:
     """Per record of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids)."""
-    start, rows = 0, []
-    for f in files:
-        rows.append((f["path"], start))
-        start += f["n_ids"]
-    if not rows:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    listed = spark.createDataFrame(rows, "path string, start long").repartition(min(len(rows), 2 * RANGES), "path")
+    some = F.floor(F.col("range") / RANGES_ADDED).alias("some")
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the one window without partitions has a row for each RANGES_ADDED ranges
+    bases = files.groupBy(some).agg(F.sum("n_ids").alias("n_ids")).select("some", upto(Window.partitionBy(F.lit(0)).orderBy("some")).alias("base"))
+    placed = files.withColumn("some", some).join(bases, "some").withColumn("start", F.col("base") + upto(Window.partitionBy("some").orderBy("range", "number")))
+    n = max(1, files.count())
+    listed = placed.select("range", "number", "path", "start").repartitionByRange(n, "range", "number").select("path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs, p = _open(path + ".rec")
-                with fs.open_input_stream(p, buffer_size=1 << 20) as f:
+                with open_uri(path + ".rec") as f:
                     for payloads in read_frames(f):
                         out = []
                         for doc_id, ids in map(unpack, payloads):
@@ -355,5 +351,4 @@ def op7_binary_records(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = write_records(docs, new_path(spark, "records"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
-    return read_records(spark, files)
+    return read_records(write_records(docs, new_path(spark, "records"), tokenizer=public_tokenizers.path("word_bpe_49k.json")))
