@@ -5,21 +5,26 @@ Lines are compared without outer white space; blank lines are transparent.  A ru
 ending at each line.  The smallest line hash of a window is its fingerprint, so two places with the same run share
 a window and, for certain, its fingerprint: nothing of that length is missed, however it is aligned.
 
-1. Fingerprints that occur at one place only are dropped (counted by the first and last place of each hash).
-2. Windows with a remaining fingerprint are joined by position: the first place of a window's sequence of lines is
-   kept, all others are later repeats.  No pairs of places are made, so a passage in a third of all documents costs one
-   row for each place.
-3. Matches extend both ways: windows that begin at a line carry a match forwards, windows that end at one carry
-   it backwards.  Their union is exactly the set of lines that lie in some run of at least ``min_words`` words which
-   also stands earlier, by (doc_id, text hash, line).
+1. Neighbouring windows mostly have their minimum at the same line.  Only these distinct lines go on, each with its surroundings:
+   the hashes of all lines of the windows whose minimum it is (so the surroundings are bounded by two windows).
+2. Positions of equal fingerprints are joined to the first of them, by (doc_id, text hash, line).  No pairs of places are
+   made: a passage in a third of all documents costs one row for each place.
+3. Each match is extended both ways, line by line, as long as hashes agree.  Of what is found, spans of at least ``min_words`` words
+   are repeats.  Matches longer than the surroundings go on at the next fingerprint, so their spans overlap and add up.
+4. A line may also stand first in other company.  Windows of a later place that don't lie in what matched the first one can only
+   stand at other later places; they meet at their own first place, by the hash of their lines.
+
+Together these are exactly the lines that lie in some run of at least ``min_words`` words which also stands earlier.
 
 Defined results: null text counts as empty; null doc_ids come first; rows that agree in doc_id and text are one
-document and get the same result; the first place of a run always stays; other columns pass through.
+document and get the same result; the first place of a run always stays; very long texts and lines take memory in proportion to one
+Arrow batch; an empty table gives no rows; other columns pass through (but for names that begin with ``__tw_``, which are ours).
 """
 
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -32,21 +37,18 @@ from .common import cut, prepare, table, text_or_empty
 
 MIN_WORDS = 50
 
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32()), ("fp", pa.int64()), ("win", pa.binary())])
-_DDL = "doc_id long, th long, start int, stop int, at int, fp long, win binary"
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("fp", pa.int64()), ("mid", pa.int32()), ("numbers", pa.list_(pa.int32())), ("words", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+_PRINTS_DDL = "doc_id long, th long, at int, fp long, mid int, numbers array<int>, words array<int>, hashes array<long>"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("win", pa.binary())])
+_SPANS_DDL = "doc_id long, th long, start int, stop int, win binary"
 
 
-def windows(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(first line, last line, line of the fingerprint, fingerprint, hash of the lines) of all windows of a text."""
-    lines = [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip())]
-    if not lines:
-        return
-    n = len(lines)
-    hashes = [xxhash.xxh3_64_intdigest(s) for _, s in lines]
-    digests = [xxhash.xxh3_128_digest(s) for _, s in lines]
+def windows(words: list[int], hashes: list[int], min_words: int) -> Iterator[tuple[int, int, int]]:
+    """(first, last, minimum) of all windows over lines with so many words and such hashes; of equal hashes the last is the minimum."""
+    n = len(words)
     before = [0]  # words before each line
-    for _, s in lines:
-        before.append(before[-1] + len(s.split()))
+    for w in words:
+        before.append(before[-1] + w)
     spans, j = [], 0
     for i in range(n):  # shortest span from line i
         j = max(j, i)
@@ -73,31 +75,78 @@ def windows(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, byt
                 to += 1
             while queue[0] < i:
                 queue.popleft()
-            m = queue[0]
-            yield lines[i][0], lines[j][0], lines[m][0], hashes[m] - (1 << 63), xxhash.xxh3_128_digest(b"".join(digests[i : j + 1]))
+            yield i, j, queue[0]
+
+
+def fingerprints(text: str, min_words: int) -> Iterator[tuple[int, int, int, list[int], list[int], list[int]]]:
+    """(line, hash, its place in the surroundings, and line numbers, words and hashes of the surroundings) of the distinct window minima."""
+    lines = [(i, s) for i, x in enumerate(text.split("\n")) if (s := x.strip())]
+    words = [len(s.split()) for _, s in lines]
+    if sum(words) < min_words:
+        return
+    hashes = [xxhash.xxh3_64_intdigest(s) - (1 << 63) for _, s in lines]
+    reach: dict[int, tuple[int, int]] = {}
+    for i, j, m in windows(words, hashes, min_words):
+        lo, hi = reach.get(m, (i, j))
+        reach[m] = min(i, lo), max(j, hi)
+    for m, (lo, hi) in reach.items():
+        part = slice(lo, hi + 1)
+        yield lines[m][0], hashes[m], m - lo, [i for i, _ in lines[part]], words[part], hashes[part]
+
+
+def extend(mine: list[int], mid: int, first: list[int], first_mid: int) -> tuple[int, int]:
+    """The first and last of my lines around ``mid`` that agree with those around ``first_mid``."""
+    a, b = mid, mid
+    while a and first_mid + a - mid and mine[a - 1] == first[first_mid + a - mid - 1]:
+        a -= 1
+    while b + 1 < len(mine) and first_mid + b - mid + 1 < len(first) and mine[b + 1] == first[first_mid + b - mid + 1]:
+        b += 1
+    return a, b
+
+
+def _extend_matches(later: DataFrame, min_words: int) -> DataFrame:
+    """later: a later place and the surroundings of the first one -> spans that stand there, and with ``win`` windows that don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, th, mid, numbers, words, hashes, first_mid, first in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                x, y = extend(hashes, mid, first, first_mid)
+                if sum(words[x : y + 1]) >= min_words:
+                    out.append((doc_id, th, numbers[x], numbers[y], None))
+                if x or y + 1 < len(hashes):
+                    for i, j, m in windows(words, hashes, min_words):
+                        if m == mid and (i < x or j > y):
+                            out.append((doc_id, th, numbers[i], numbers[j], xxhash.xxh3_128_digest(np.array(hashes[i : j + 1]).tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, _SPANS.types, strict=True)], schema=_SPANS)
+
+    return later.mapInArrow(run, _SPANS_DDL)
 
 
 def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, spans): for each document with later repeats, the first and last lines of the repeated windows."""
+    """(doc_id, th, spans): for each document with later repeats, the first and last lines of repeated spans."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in _WINDOWS]
+            rows = []
             for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for w in windows(text, min_words):
-                    for c, v in zip(cols, (doc_id, th, *w), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _WINDOWS, strict=True)], schema=_WINDOWS)
+                rows += [(doc_id, th, *f) for f in fingerprints(text, min_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _PRINTS.types, strict=True)], schema=_PRINTS)
 
     text = text_or_empty(text_col)
-    found = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(find, _DDL), "line-windows")
-    place, line = F.struct("doc_id", "th", "start"), F.struct("doc_id", "th", "at")
+    found = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(find, _PRINTS_DDL), "line-fingerprints")
+    place = F.struct("doc_id", "th", "at")
     # each join's small side is a table of its own, so both sides are shuffled for the join and a hot key's rows can be split
-    shared = cut(found.groupBy("fp").agg(F.min(line).alias("a"), F.max(line).alias("b")).filter(F.col("a") != F.col("b")).select("fp"), "line-fingerprints")
-    matched = cut(found.join(shared, "fp", "left_semi").select("doc_id", "th", "start", "stop", "win"), "line-matches")
-    first = cut(matched.groupBy("win").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(F.col("a") != F.col("b")).select("win", "a"), "line-first")
-    later = matched.join(first, "win").filter(place != F.col("a"))
-    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    shared = cut(found.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(F.col("a") != F.col("b")).select("fp", "a"), "line-shared")
+    placed = cut(found.join(shared, "fp").withColumn("is_first", place == F.col("a")).drop("a"), "line-places")
+    first = cut(placed.filter("is_first").dropDuplicates(["fp"]).select("fp", F.col("mid").alias("first_mid"), F.col("hashes").alias("first")), "line-first")
+    later = placed.filter("not is_first").join(first, "fp").select("doc_id", "th", "mid", "numbers", "words", "hashes", "first_mid", "first")
+    spans = cut(_extend_matches(later, min_words), "line-spans")
+    place = F.struct("doc_id", "th", "start")
+    others = spans.filter("win is not null")
+    first_other = cut(others.groupBy("win").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter(F.col("a") != F.col("b")).select("win", "a"), "line-other-first")
+    repeated = spans.filter("win is null").unionByName(others.join(first_other, "win").filter(place != F.col("a")).select(*spans.columns))
+    return repeated.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 _RESULT = T.StructType([T.StructField(n, t()) for n, t in (("kept", T.StringType), ("n_lines", T.LongType), ("n_deleted", T.LongType), ("deleted", T.StringType))])
