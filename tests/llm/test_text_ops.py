@@ -62,6 +62,27 @@ def test_line_dedup_equals_brute_force(spark):
         assert got[i].text == t
 
 
+def test_lines_that_stand_first_in_other_company(spark):
+    """The fingerprint of a run may stand first, or first twice, among other lines: later places of the run still meet."""
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(6)]
+    own = iter(range(10**6))
+    rows = [(i, "\n".join([f"lead {next(own)} " + "x " * 15, lines[i % 6], f"end {next(own)} " + "y " * 40])) for i in range(12)]
+    rows += [(50 + i, "\n".join([f"own {next(own)}", *lines[i % 3 : i % 3 + 4], f"own {next(own)}"])) for i in range(6)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(documents(spark, rows)).select("doc_id", "__tw_lines.*").collect()}
+    want = brute_lines(rows)
+    assert {i: got[i].n_deleted for i, _ in rows} == {i: len(want[(True, i), t]) for i, t in rows}
+    assert got[52].n_deleted and got[55].n_deleted == 4
+
+
+def test_minima_thin_windows_out():
+    rng = random.Random(2)
+    text = "\n".join(" ".join(f"w{rng.randrange(999)}" for _ in range(6)) for _ in range(900))
+    words, hashes = [6] * 900, [rng.getrandbits(63) for _ in range(900)]
+    n_windows, n_prints = len(list(line_dedup.windows(words, hashes, 50))), len(list(line_dedup.fingerprints(text, 50)))
+    assert n_windows > 850 and n_prints < 0.4 * n_windows
+
+
 def test_line_dedup_edges(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long), (1, long), (2, long + "\nshort"), (None, None), (3, ""), (4, long + "\n" + long), (5, "x" * 200_000)]
@@ -116,7 +137,7 @@ def variants(seed=3, n=150):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rows = variants()
     want, _ = brute_near(rows)
-    for block in (1024, 8):  # small blocks: large components are split
+    for block in (1024, 8):  # small blocks: large components are split, and told apart by differences
         monkeypatch.setattr(ngram_join, "BLOCK", block)
         got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(documents(spark, rows)).collect()}
         assert got == want
@@ -135,9 +156,86 @@ def test_near_duplicates_edges(spark):
     assert ngram_join.near_duplicates(documents(spark, [])).count() == 0
 
 
-def test_prefix_is_the_longest_that_reaches_the_recall():
-    m = ngram_join.prefix_length(0.8, 40, 8, 0.999999)
-    assert 1 - (1 - 0.8**m) ** 40 >= 0.999999 > 1 - (1 - 0.8 ** (m + 1)) ** 40
+def test_depths_follow_what_was_met():
+    floor = ngram_join.least_depth(0.8, 40, 8, 0.999999)
+    assert 1 - ngram_join.missed(0.8, floor) >= 0.999999 > 1 - ngram_join.missed(0.8, floor + 1)
+    lost = lambda s: [float(ngram_join.missed(s, d)) for d in range(1, 9)]
+    assert ngram_join.shorten(8, 1, lost(0.97), 0.999999, floor) == 8  # links of near equal texts: whole labels do
+    assert ngram_join.shorten(8, 1, lost(0.83), 0.999999, floor) in (6, 7)
+    assert ngram_join.shorten(8, 1, lost(0.8), 0.999999, floor) == floor
+    assert ngram_join.shorten(8, 0, lost(0.8), 0.999999, floor) == floor  # nothing is known
+    assert ngram_join.shorten(6, 1, lost(0.97), 0.999999, floor) == 6
+
+
+def signed(spark, texts):
+    signer = ngram_join.Signer()
+    return spark.createDataFrame([(bytearray(k.to_bytes(16, "big")), bytearray(signer.labels(ngram_join.shingles(t)))) for k, t in enumerate(texts)], "node binary, labels binary")
+
+
+@pytest.mark.parametrize("rows", [500_000, 40])
+def test_runs_of_the_forest_equal_equal_prefixes(spark, monkeypatch, rows):
+    monkeypatch.setattr(ngram_join, "FOREST_ROWS", rows)  # small ranges: runs are cut and stitched
+    nodes = signed(spark, [t for _, t in variants(n=60)])
+    labels = {bytes(r.node): bytes(r.labels) for r in nodes.collect()}
+    trees = ngram_join.forest(nodes)
+    assert trees.count() == 60 * 40
+    for depth in (8, 5):
+        met, root = {tuple(map(bytes, r)) for r in ngram_join.matches(trees, depth).collect()}, {n: n for n in labels}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in met:
+            assert any(labels[a][t * 16 : t * 16 + 2 * depth] == labels[b][t * 16 : t * 16 + 2 * depth] for t in range(40))
+            root[find(a)] = find(b)
+        for a in labels:
+            for b in labels:
+                if any(labels[a][t * 16 : t * 16 + 2 * depth] == labels[b][t * 16 : t * 16 + 2 * depth] for t in range(40)):
+                    assert find(a) == find(b)
+
+
+def test_prefixes_are_shortened_by_the_data_and_planted_pairs_are_met(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def pairs(low, high, n):
+        """Pairs whose similarity lies between the two."""
+        out = []
+        while len(out) < n:
+            a = words(300)
+            b = list(a)
+            for _ in range(rng.randint(1, 8)):
+                b[rng.randrange(300)] = f"x{rng.random()}"
+            x, y = (set(ngram_join.shingles(" ".join(t)).tolist()) for t in (a, b))
+            if low <= len(x & y) / len(x | y) <= high:
+                out.append((" ".join(a), " ".join(b)))
+        return out
+
+    def met(some):
+        edges, depths = ngram_join.candidates(signed(spark, [t for p in some for t in p]))
+        found = {frozenset(int.from_bytes(x, "big") for x in r) for r in edges.collect()}
+        return sum(frozenset((2 * k, 2 * k + 1)) in found for k in range(len(some))), depths
+
+    n, depths = met(pairs(0.95, 1, 40))
+    assert n == 40 and depths == [8]
+    n, depths = met(pairs(0.8, 0.85, 300))
+    assert n == 300 and depths[0] == 8 and depths[-1] < 7
+
+
+def test_differences_from_a_lead_count_the_same_links():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = np.arange(1, 400, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(300, 399), replace=False), rng.integers(1000, 1040, rng.integers(1, 40)).astype(np.uint64)]) for _ in range(70)]
+    sizes = np.array(list(map(len, sets)))
+    want = np.array([[len(set(x.tolist()) & set(y.tolist())) * 9 >= 4 * (len(x) + len(y)) for y in sets] for x in sets])
+    assert (ngram_join.linked(sets, sets, (sizes, sizes)) == want).all() and 0 < want.sum() < want.size
+    d = [np.setxor1d(x, base) for x in sets]
+    less = np.array([len(np.setdiff1d(base, x)) for x in sets])
+    assert (ngram_join.linked(d, d, (sizes, sizes), len(base), (less, less)) == want).all()
 
 
 # -- byte-level BPE --------------------------------------------------------------------------------------------------
