@@ -254,19 +254,76 @@ def model(spark):
     return toxicity.fit(common.table(spark, d, "documents"), common.table(spark, d, "labels").filter(~toxicity.held_out()))
 
 
+def cosines(model, text):
+    """All cosines of a text, from its vector and the examples' weights, one example after another."""
+    c, w = model.vector(text)
+    mine = dict(zip(c.tolist(), w.tolist(), strict=True))
+    out = np.zeros(model.n)
+    for t in c.tolist():
+        for x in range(model.ends[t], model.ends[t + 1]):
+            out[model.owner[x]] += mine[t] * float(model.weight[x])
+    return out
+
+
+def brute_score(model, text):
+    s = sorted((-round(x, 12), n) for n, x in enumerate(cosines(model, text)) if x > 0)[: toxicity.NEIGHBOURS]
+    vote = (sum(-x * int(model.labels[n]) for x, n in s) + toxicity.PRIOR_WEIGHT * model.prior) / (sum(-x for x, _ in s) + toxicity.PRIOR_WEIGHT)
+    a, b = model.curve
+    z = a * np.log(max(vote, 1e-6) / max(1 - vote, 1e-6)) + b
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), s
+
+
 def test_nearest_equals_brute_force(spark, model):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    dense = np.zeros((model.n, len(model.columns.of)))
-    dense[model.owner, np.repeat(np.arange(len(model.columns.of)), np.diff(model.ends[:: max(1, model.blocks)]))] = model.weight
-    some = 0
-    for t in texts:
-        c, w = model.vector(t)
-        i, s = model.nearest(c, w)
-        full = dense[:, c] @ w
-        want = sorted((-round(x, 12), n) for n, x in enumerate(full) if x > 0)[: toxicity.NEIGHBOURS]
+    model.visited = 0
+    for t in texts[::3]:
+        (i, s), *_ = model.nearest([model.vector(t)])
+        want = brute_score(model, t)[1]
         assert list(i) == [n for _, n in want] and np.allclose(s, [-x for x, _ in want])
-        some += len(want) > 0
-    assert some > 20
+    assert 0 < model.visited
+
+
+def test_all_terms_of_the_examples_are_indexed():
+    texts = ["one two extraordinary", "two three", "four", ""]
+    weights = toxicity.label_weights(texts, [1, 0, 0, 1])
+    assert list(weights) == sorted({"one", "two", "extraordinary", "extra*", "three", "four"}) and all(0 < w <= 1 for w in weights.values())
+    model = toxicity.Model(weights, [1] * 6, 10, (texts, [1, 0, 0, 1], [5, 6, 7, 8]))
+    assert len(model.owner) == 7 and model.n == 4
+
+
+def test_ties_go_to_the_smaller_example(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "FIRST", 1)
+    texts = [f"same words {'here' if i % 2 else 'there'}" for i in range(60)]
+    weights = toxicity.label_weights(texts, [i % 2 for i in range(60)])
+    model = toxicity.Model(weights, [9] * len(weights), 100, (texts, [i % 2 for i in range(60)], list(range(60))))
+    for t in ("same here", "same there", "words", "nothing"):
+        (i, _), *_ = model.nearest([model.vector(t), model.vector('')])
+        assert list(i) == [n for _, n in brute_score(model, t)[1]]
+    assert list(model.nearest([model.vector("here")])[0][0]) == list(range(1, 30, 2))
+    texts[7] += " special"
+    weights = toxicity.label_weights(texts, [i % 2 for i in range(60)])
+    model = toxicity.Model(weights, [9] * len(weights), 100, (texts, [i % 2 for i in range(60)], list(range(60))))
+    assert list(model.nearest([model.vector("special here")], k=1)[0][0]) == [7]
+    assert model.visited < model.blocks  # the bounds of the others prove that they can't enter
+
+
+def test_op10_equals_brute_force(spark, tmp_path):
+    import zlib
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    docs += [(10_000, None, "en", "s", 0), (10_001, "", "en", "s", 0), (10_002, docs[0][1], "de", "t", 7)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(common.table(spark, tmp_path, "documents"), common.table(spark, tmp_path, "labels").filter(~toxicity.held_out()))
+    got = {r.doc_id: r for r in toxicity.op10_toxicity_knn(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, t, *_ in docs:
+        score, evidence = brute_score(model, t or "")
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i].score == pytest.approx(score) and got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].evidence == ",".join(str(model.ids[n]) for _, n in evidence)
+    assert got[10_000].score == got[10_001].score and got[10_002].score == got[docs[0][0]].score
 
 
 def test_held_out_accuracy(spark, model):
@@ -280,6 +337,9 @@ def test_held_out_accuracy(spark, model):
 def test_toxicity_edges(spark, model):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "x" * 100_000, 1), (1, None, 1)], "doc_id long, text string, score int")
     out = toxicity.score_documents(df, model).collect()
+    assert toxicity.score_documents(df.limit(0), model).count() == 0
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score_documents(df, model, into="score")
     assert len({r["__tw_tox"].score for r in out}) == 1 and out[0].score == 1 and 0 <= out[0]["__tw_tox"].score < 0.5
     none = toxicity.fit(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.score("anything") == (0.0, [], [])

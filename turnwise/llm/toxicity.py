@@ -1,23 +1,28 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Fitting.  Up to ``EXAMPLES`` labelled documents (those with the smallest hashes of their ids) are examples.  Their terms that go with a label
-more than chance explains (a G-test whose bar rises with the number of terms tried) make the vocabulary, at most ``TERMS``; the
-document frequencies behind the IDF weights are counted over all documents.  Examples become unit TF-IDF vectors.
+Fitting.  Up to ``EXAMPLES`` labelled documents (those with the smallest hashes of their ids) are examples: most go into the index, one in
+``CALIBRATE`` only calibrates.  All terms of the indexed examples make the vocabulary.  A term's weight is its TF-IDF, with document
+frequencies counted over all documents, times a label weight: how far a G-test of its presence against the labels of the indexed examples goes
+towards a bar that rises with the number of terms tried, 1 beyond it (supervised term weighting), so that chance words count little.
+Examples become unit vectors.
 
 Searching.  An inverted index holds the examples' weights by term, in blocks of ``BLOCK`` examples with the largest weight of
-each term in each block.  A query's blocks are visited by descending upper bound (its weights times the block maxima) until
-no bound exceeds the k-th best cosine: the k nearest are exact, ties go to the smaller example.
+each frequent term in each block.  Postings of the other terms are added up first; that, plus the query's frequent terms times the block
+maxima, bounds a block's cosines.  The blocks with the largest bounds are scored whole, then all others whose bound reaches the k-th best
+cosine by then; the rest can't enter.  So the k nearest are exact, ties go to the smaller example.  Queries go through a block together, as a matrix product.
 
 Scoring.  Neighbours vote with their cosines; the vote is smoothed by the share of toxic examples without any evidence, and a logistic
-curve, fitted on votes that each example gets from all others, turns it into a probability.  The neighbours are the evidence.
+curve, fitted on the votes of the calibration examples, turns it into a probability.  The neighbours are the evidence.
 
 Scores depend on the text alone; equal texts get equal scores.  Null and empty texts, and texts without terms of the
-vocabulary, have no neighbours and get the score of no evidence.  Without labelled documents every score is 0.  The index
-is bounded by EXAMPLES x terms in a text and by TERMS, and is broadcast; documents never move.
+vocabulary, have no neighbours and get the score of no evidence.  Without labelled documents every score is 0.  Repeated rows stay; an empty
+table gives no rows; very long texts take memory in proportion to one text; a column of the input named as the new one is an error.  The index
+is bounded by EXAMPLES x terms in a text, and is broadcast; documents never move.
 """
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +34,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import prepare, table, text_or_empty
+from .common import new_column, prepare, table, text_or_empty
 
 #: Labelled rows that a model is fitted on, at most.
 EXAMPLES = 6000
-TERMS = 2000
+#: One example in so many is kept out of terms' weights and index, and calibrates.
+CALIBRATE = 5
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks of a text that are visited first, and texts that are searched together.
+FIRST = 4
+TOGETHER = 128
+#: A term is frequent if more than one example in so many has it.
+OFTEN = 16
 #: Votes without evidence: weight of the prior share among neighbours' cosines.
 PRIOR_WEIGHT = 0.1
 
@@ -47,8 +58,8 @@ def words_of(text: str) -> list[str]:
 
 
 def terms_of_word(word: str) -> list[str]:
-    """A word and its first letters, so that inflected forms meet."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
+    """A word and its first five letters, so that inflected forms meet."""
+    return [word, word[:5] + "*"] if len(word) > 5 else [word]
 
 
 class Columns(dict):
@@ -66,96 +77,122 @@ class Columns(dict):
     def __reduce__(self):
         return Columns, (list(self.of),)
 
-    def count(self, text: str) -> Counter:
-        """Columns of a text's terms, with their numbers."""
-        return Counter(c for found in map(self.__getitem__, words_of(text)) if found for c in found)
+    def of_text(self, text: str) -> tuple[list[int], list[int]]:
+        """Columns of a text's distinct words' terms, and the words' numbers; a column may come more than once."""
+        words = Counter(words_of(text))
+        found = list(map(self.__getitem__, words))
+        return [c for f in found for c in f], [n for f, n in zip(found, words.values(), strict=True) for _ in f]
 
 
-def choose_terms(texts: list[str], labels: list[int]) -> list[str]:
-    """Terms whose presence goes with a label: signed G statistics above 2 ln(terms tried) + 10."""
+def label_weights(texts: list[str], labels: list[int]) -> dict[str, float]:
+    """All terms of the texts, in order, and how surely their presence goes with a label: (G + 1) / (bar + 1), at most 1, with a bar of 2 ln(terms tried) + 10."""
     with_term = [Counter(), Counter()]
     totals = [labels.count(0), labels.count(1)]
     for t, y in zip(texts, labels, strict=True):
         with_term[y].update({x for w in set(words_of(t)) for x in terms_of_word(w)})
-    every, n = set(with_term[0]) | set(with_term[1]), sum(totals)
+    every, n = sorted(set(with_term[0]) | set(with_term[1])), sum(totals)
     bar = 2 * math.log(max(2, len(every))) + 10
-    found = []
+    found = {}
     for w in every:
         g, there = 0.0, with_term[0][w] + with_term[1][w]
         for y in (0, 1):
             for seen, share in ((with_term[y][w], there / n), (totals[y] - with_term[y][w], 1 - there / n)):
                 if seen:
                     g += 2 * seen * math.log(seen / (totals[y] * share))
-        if g > bar:
-            found.append((-g, w))
-    return [w for _, w in sorted(found)[:TERMS]]
+        found[w] = min(1.0, (max(g, 0.0) + 1) / (bar + 1))
+    return found
 
 
 class Model:
-    def __init__(self, terms: list[str], df: list[int], n_docs: int, texts: list[str], labels: list[int], ids: list[int]):
-        self.columns = Columns(terms)
-        self.idf = np.array([math.log((1 + n_docs) / (1 + d)) + 1 for d in df])
+    """examples, held: (texts, labels, ids) of the index and of the calibration.  df: documents with each term, in the order of ``weights``."""
+
+    def __init__(self, weights: dict[str, float], df: list[int], n_docs: int, examples: tuple[list[str], list[int], list[int]], held: tuple[list[str], list[int], list[int]] = ([], [], [])):
+        texts, labels, ids = examples
+        self.columns = Columns(list(weights))
+        self.idf = np.array([(math.log((1 + n_docs) / (1 + d)) + 1) * w for d, w in zip(df, weights.values(), strict=True)])
         self.labels, self.ids = np.array(labels, np.int64), list(ids)
-        n = len(texts)
+        n, m = len(texts), len(weights)
         self.share = float(self.labels.mean()) if n else 0.0
         vectors = [self.vector(t) for t in texts]
         bare = [y for (c, _), y in zip(vectors, labels, strict=True) if not len(c)]
         self.prior = (sum(bare) + self.share) / (len(bare) + 1) if n else 0.0
-        self.n, self.blocks = n, -(-n // BLOCK)
-        terms_at = np.concatenate([c for c, _ in vectors]) if n else np.empty(0, np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
-        owner = np.repeat(np.arange(n), [len(c) for c, _ in vectors]) if n else np.empty(0, np.int64)
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        terms_at = np.concatenate([np.empty(0, np.int64), *(c for c, _ in vectors)])
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)]).astype(np.float32)
+        owner = np.repeat(np.arange(n), [len(c) for c, _ in vectors]).astype(np.int32)
         order = np.lexsort((owner, terms_at))
-        self.owner, self.weight = owner[order].astype(np.int32), weights[order]
-        cell = terms_at[order] * max(1, self.blocks) + self.owner // BLOCK
-        self.ends = np.searchsorted(cell, np.arange(len(terms) * max(1, self.blocks) + 1))
-        self.most = np.zeros(len(terms) * max(1, self.blocks))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(terms), max(1, self.blocks))
+        self.owner, self.weight = owner[order], weight[order]
+        self.ends = np.searchsorted(terms_at[order], np.arange(m + 1))
+        # frequent terms, those of more than n / OFTEN examples, as a matrix, and their largest weights in each block
+        often = np.flatnonzero(np.diff(self.ends) > n / OFTEN)
+        self.place = np.full(m, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        self.often = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        for k, c in enumerate(often.tolist()):
+            i, j = self.ends[c], self.ends[c + 1]
+            self.often[self.owner[i:j], k] = self.weight[i:j]
+        self.most = self.often.reshape(self.blocks, BLOCK, len(often)).max(1).astype(np.float64).T.copy()
         self.curve = (1.0, 0.0)
-        if n:
-            self._calibrate(vectors)
+        self.visited = 0  # blocks whose examples were scored whole
+        if held[0] and n:
+            self._calibrate([v for v, _, _ in self.votes(held[0])], np.array(held[1], np.int64))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of a text's unit vector over the vocabulary."""
-        found = self.columns.count(text)
+        found, numbers = self.columns.of_text(text)
         if not found:
             return np.empty(0, np.int64), np.empty(0)
-        columns = np.array(sorted(found))
-        weights = (1 + np.log([found[c] for c in columns.tolist()])) * self.idf[columns]
+        columns, place = np.unique(np.array(found, np.int64), return_inverse=True)
+        weights = (1 + np.log(np.bincount(place, numbers))) * self.idf[columns]
         return columns, weights / np.sqrt((weights**2).sum())
 
-    def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest positive cosines, exact, ties to the smaller example."""
-        if not len(columns) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weights @ self.most[columns]
-        best_i, best_s = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best_i) == k and bounds[b] < best_s[-1] - 1e-12):
-                break  # no example of this block, or of those after it, can enter
-            score = np.zeros(BLOCK)
-            for c, w in zip(columns, weights, strict=True):
-                x = c * self.blocks + b
-                i, j = self.ends[x], self.ends[x + 1]
-                if i < j:
-                    score[self.owner[i:j] - b * BLOCK] += w * self.weight[i:j]
-            if without // BLOCK == b and without >= 0:
-                score[without % BLOCK] = 0
-            at = np.flatnonzero(score > 0)
-            i, s = np.concatenate([best_i, at + b * BLOCK]), np.concatenate([best_s, score[at]])
-            top = np.lexsort((i, -np.round(s, 12)))[:k]
-            best_i, best_s = i[top], s[top]
-        return best_i, best_s
-
-    def vote(self, columns: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        i, s = self.nearest(columns, weights, without=without)
-        return float(((s * self.labels[i]).sum() + PRIOR_WEIGHT * self.prior) / (s.sum() + PRIOR_WEIGHT)), i, s
-
-    def _calibrate(self, vectors: list) -> None:
-        """A logistic curve over the log odds of the votes that each example gets from the others; it never falls."""
-        v = np.array([self.vote(c, w, i)[0] for i, (c, w) in enumerate(vectors)])
-        x, y = np.log(np.clip(v, 1e-6, 1 - 1e-6) / np.clip(1 - v, 1e-6, 1)), self.labels
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples with the largest positive cosines, exact, ties to the smaller example."""
+        if not self.n:
+            return [(np.empty(0, np.int64), np.empty(0)) for _ in vectors]
+        m, wide = len(vectors), self.blocks * BLOCK
+        score, frequent = np.zeros((m, wide)), np.zeros((m, len(self.most)))
+        for q, (columns, weights) in enumerate(vectors):  # postings of all terms but the frequent ones
+            place = self.place[columns]
+            rare = place < 0
+            frequent[q, place[~rare]] = weights[~rare]
+            start, length = self.ends[columns[rare]], self.ends[columns[rare] + 1] - self.ends[columns[rare]]
+            at = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum()) if len(length) else np.empty(0, np.int64)
+            score[q] = np.bincount(self.owner[at], np.repeat(weights[rare], length) * self.weight[at], minlength=wide)
+        bounds = score.reshape(m, self.blocks, BLOCK).max(2) + frequent @ self.most
+        left, least = bounds > 0, np.zeros(m)
+        best = np.full((m, self.blocks, BLOCK), -1.0)  # exact cosines, where a block was visited
+        # first each vector's most promising blocks, then all whose bound reaches the k-th best cosine by then: no other can enter
+        visit = left & (bounds >= np.partition(bounds, -min(FIRST, self.blocks), axis=1)[:, [-min(FIRST, self.blocks)]])
+        for _ in range(2):
+            for b in np.flatnonzero(visit.any(0)).tolist():
+                q = np.flatnonzero(visit[:, b])
+                part = slice(b * BLOCK, (b + 1) * BLOCK)
+                best[q, b] = score[q, part] + frequent[q] @ self.often[part].T
+                self.visited += len(q)
+            left &= ~visit
+            if wide >= k:
+                least = np.partition(best.reshape(m, wide), wide - k, axis=1)[:, wide - k]
+            visit = left & (bounds >= np.maximum(least, 0)[:, None] - 1e-9)
+        out = []
+        for s, low in zip(best.reshape(m, wide), least, strict=True):
+            i = np.flatnonzero((s > 0) & (s >= low - 1e-9))
+            i = i[np.lexsort((i, -np.round(s[i], 12)))[:k]]
+            out.append((i, s[i]))
+        return out
+
+    def votes(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Each text's vote, its nearest examples and their cosines."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            for i, s in self.nearest([self.vector(t) for t in texts[at : at + TOGETHER]]):
+                out.append((float(((s * self.labels[i]).sum() + PRIOR_WEIGHT * self.prior) / (s.sum() + PRIOR_WEIGHT)), i, s))
+        return out
+
+    def _calibrate(self, votes: list[float], y: np.ndarray) -> None:
+        """A logistic curve over the log odds of the votes that calibration examples get; it never falls."""
+        v = np.array(votes)
+        x = np.log(np.clip(v, 1e-6, 1 - 1e-6) / np.clip(1 - v, 1e-6, 1))
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -169,13 +206,19 @@ class Model:
                 break
         self.curve = (max(0.0, float(a)), float(b))
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
+        """Each text's score, the ids of its nearest examples and their cosines."""
         if not self.n:
-            return 0.0, [], []
-        v, i, s = self.vote(*self.vector(text))
+            return [(0.0, [], []) for _ in texts]
         a, b = self.curve
-        z = a * math.log(max(v, 1e-6) / max(1 - v, 1e-6)) + b
-        return 1 / (1 + math.exp(-max(-30, min(30, z)))), [self.ids[x] for x in i.tolist()], s.tolist()
+        out = []
+        for v, i, s in self.votes(texts):
+            z = a * math.log(max(v, 1e-6) / max(1 - v, 1e-6)) + b
+            out.append((1 / (1 + math.exp(-max(-30, min(30, z)))), [self.ids[x] for x in i.tolist()], s.tolist()))
+        return out
+
+    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+        return self.scores([text])[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
@@ -188,30 +231,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = known.filter(rank < int(2**32 * min(1.0, examples / max(1, n)))).orderBy("i").limit(examples)
     own = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i"])
     rows = sorted(own.collect(), key=lambda r: r.i)
-    texts, ys, ids = [r.t for r in rows], [r.y for r in rows], [r.i for r in rows]
-    terms = choose_terms(texts, ys)
-    columns = Columns(terms)
+    # which examples calibrate follows from the id alone, by another hash than the choice of examples
+    held_back = lambda r: zlib.crc32(f"calibrate:{r.i}".encode()) % CALIBRATE == 0
+    parts = [[r for r in rows if held_back(r) == x] for x in (False, True)]
+    if not parts[0]:  # too few to keep any out
+        parts = [rows, []]
+    own, held = (([r.t for r in p], [r.y for r in p], [r.i for r in p]) for p in parts)
+    weights = label_weights(*own[:2])
+    columns = Columns(list(weights))
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts.update(columns.count(t).keys())
+                counts.update(set(columns.of_text(t)[0]))
                 counts[-1] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], schema=schema)
 
     df = {r.term: r.n for r in docs.select(text.alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return Model(terms, [df.get(i, 0) for i in range(len(terms))], df.get(-1, 0), texts, ys, ids)
+    return Model(weights, [df.get(i, 0) for i in range(len(weights))], df.get(-1, 0), own, held)
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "__tw_tox") -> DataFrame:
     """All rows and columns of ``docs`` with (score, example ids, cosines)."""
+    new_column(docs, into)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("examples", T.ArrayType(T.LongType())), T.StructField("cosines", T.ArrayType(T.DoubleType()))]))
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.score(t) for t in texts], columns=["score", "examples", "cosines"])
+        return pd.DataFrame(shared.value.scores(list(texts)), columns=["score", "examples", "cosines"])
 
     return docs.withColumn(into, score(text_or_empty(text_col)))
 
