@@ -115,6 +115,7 @@ def brute_top(rows, queries, k):
 @pytest.mark.parametrize("scale", [3, 40, 10**6, 10**8])
 def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "SHARD", 50)
+    monkeypatch.setattr(topk, "GROWTH", 2 if scale == 40 else 8)  # several rounds of shards, or one
     rng = np.random.default_rng(scale)
     rows = [(i, (rng.normal(size=8) * scale).astype(int).tolist()) for i in range(160)]
     rows += [(500 + i, rows[3][1]) for i in range(40)] + [(900, [0] * 8), (901, [1, 2]), (902, [5, 5])]
@@ -123,17 +124,34 @@ def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, queries, 5)
 
 
-def test_a_large_shard_stops_early_and_is_exact():
+def test_queries_share_an_id(spark):
+    rows = [(i, [i, 1]) for i in range(10)]
+    queries = [(0, [1, 0]), (0, [-1, 0]), (0, [1, 0])]
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.top_k(vectors_of(spark, rows), vectors_of(spark, queries), k=3).orderBy("rank").collect()]
+    assert got == [(0, 9, 9), (0, 8, 8), (0, 7, 7)]
+    empty = vectors_of(spark, [(1, [0, 0]), (2, [0, 0])])
+    assert [tuple(r) for r in topk.top_k(empty, empty).orderBy("query_id").collect()] == [(1, 1, 2, 0), (2, 1, 1, 0)]
+
+
+def test_queries_stop_on_proof_and_are_exact():
     rng = np.random.default_rng(0)
-    v = np.floor(rng.normal(size=(3000, 64)) * 8).astype(np.int64)
-    v[:30] = v[0] + rng.integers(-1, 2, (30, 64))
+    centres = rng.normal(size=(40, 64)) * 8
+    v = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 64)) * 2).astype(np.int64)
     index, got = topk.ImpactIndex(v, np.arange(3000)), collections.defaultdict(list)
+    full = v[:40] @ v.T
+    want = [sorted((-int(full[q, i]), i) for i in range(3000) if i != q)[:20] for q in range(40)]
     for q, x, s in index.search(v[:40], np.arange(40), 20):
         for a, b, c in zip(q.tolist(), x.tolist(), s.tolist(), strict=True):
             got[a].append((-c, b))
-    full = v[:40] @ v.T
-    for q in range(40):
-        assert got[q] == sorted((-int(full[q, i]), i) for i in range(3000) if i != q)[:20]
+    assert [got[q] for q in range(40)] == want
+    assert index.skipped > 0.2 * (index.skipped + index.processed)  # levels that proofs made needless
+    floor = np.array([-w[9][0] for w in want])
+    one, got = topk.ImpactIndex(v, np.arange(3000)), collections.defaultdict(list)
+    for q, x, s in one.search(v[:40], np.arange(40), 20, floor):
+        for a, b, c in zip(q.tolist(), x.tolist(), s.tolist(), strict=True):
+            got[a].append((-c, b))
+    assert [got[q] for q in range(40)] == [[w for w in ws if w[0] <= ws[9][0]] for ws in want]
+    assert one.skipped >= index.skipped
 
 
 def test_top_k_edges(spark):

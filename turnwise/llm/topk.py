@@ -1,33 +1,42 @@
 """Exact top-k by inner product over an impact-ordered index, one score level at a time.
 
-A posting is a vector's component in a dimension; its impact is quantised to the number of bits of its absolute value, and
+A posting is a vector's component in a dimension; its impact is its absolute value, quantised to ``LEVELS`` steps of the shard's largest, and
 the postings of one dimension and one impact are a segment.  Segments are processed by descending impact and added to the
-scores of all queries of a block.  What is left of a vector after a level is bounded by the Cauchy-Schwarz inequality: at
-most the norm of its unprocessed components times the query's norm.  So each score has a lower and an upper bound.  A block
-stops only when few vectors have an upper bound that reaches the k-th best lower bound: that is the proof that all others are no
-members; those that may be are rescored exactly in integers.  If no level gives a small set, all are processed, and scores are exact.
+scores of all queries of a block.  After a level, the unprocessed components of a vector x add to its score at most the norm of these
+components times the norm of the query in their dimensions (Cauchy-Schwarz), so each score has a lower and an upper bound.  A query
+stops when few vectors have an upper bound that reaches its k-th best lower bound, or the k-th best score that it has from
+earlier shards: that is the proof that all others are no members; those that may be are rescored exactly in integers.  If no level gives a small set,
+all are processed, and scores are exact.  The other queries of the block go on without it.
 
-Scale: vectors are dealt to shards of about ``SHARD`` rows and queries to blocks of about ``QUERIES``; each shard meets each
-block in a task of bounded memory and returns k rows a query; equal vectors, however many, spread by their id's hash.
+Scale: vectors are dealt to shards of about ``SHARD`` rows and move once; a shard's index is built once, in one task of bounded memory, which
+reads the queries block by block from the shared folder.  Shards go in rounds, ``GROWTH`` times as many in all each time; after a round each
+query's k-th best score is known, and later shards return only what reaches it, so a query gets about k * GROWTH rows a round, however many shards there are.
+Equal vectors, however many, spread by their id's hash.
 
 Defined results: vectors that are null, hold null or non-finite components, or have no id take no part; vectors of other
 lengths than the query's are no candidates; repeated query rows count as one query (rows with one id and different vectors share its list), repeated candidates each count; ties go
-to the smaller vec_id; a query without candidates has no rows.  Scores are exact while they fit into 64 bits.
+to the smaller vec_id; a query without candidates has no rows; an empty table gives none; other columns are not read.  Scores are exact while they fit into 64 bits.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import cut, filesystem, prepare, remove, table
 
 K = 20
 SHARD = 8192
 QUERIES = 4096
-#: Queries whose scores are held at once, and the share of (vector, query) pairs that may be left when a level is the last.
+#: Shards of the first round, and how many times more there are after each later one.
+GROWTH = 8
+LEVELS = 16
+#: Queries whose scores are held at once, and the share of a shard's vectors that may be left when a query stops.
 STEP = 256
-REST = 0.02
+REST = 0.05
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -46,14 +55,11 @@ class ImpactIndex:
     """Segments of the vectors of one shard by impact and dimension."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
+        self.vectors, self.ids, self.order = vectors, ids, np.argsort(ids, kind="stable")
+        self.skipped = self.processed = 0  # levels, summed over queries
         size = np.abs(vectors)
-        impact = np.zeros(vectors.shape, np.int8)
-        for bit in range(63):
-            more = size >> bit > 0
-            if not more.any():
-                break
-            impact += more
+        self.largest = int(size.max(initial=0))
+        impact = np.ceil(size * (LEVELS / max(1, self.largest))).astype(np.int16)
         self.levels = []
         for level in sorted(set(np.unique(impact).tolist()) - {0}, reverse=True):
             segments = []
@@ -63,50 +69,61 @@ class ImpactIndex:
                     segments.append((d, rows, vectors[rows, d]))
             self.levels.append((segments, np.where(impact == level, vectors.astype(np.float64) ** 2, 0).sum(1)))
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
-        """Rows (query number, vector's row, score): each query's k best, ties to the smaller id."""
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
+        """Rows (query number, vector's row, score): each query's k best of those that reach its floor, ties to the smaller id."""
+        floor = np.full(len(queries), np.iinfo(np.int64).min) if floor is None else floor
         for i in range(0, len(queries), STEP):
-            for q, x, s in self._block(queries[i : i + STEP], query_ids[i : i + STEP], k):
-                yield q + i, x, s
+            part = slice(i, i + STEP)
+            q, x = self._members(queries[part], query_ids[part], k, floor[part])
+            yield from self._exact(q + i, x, queries, k, floor)
 
-    def _block(self, queries: np.ndarray, query_ids: np.ndarray, k: int):
+    def _members(self, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all that may be among the k best."""
         n, m = len(self.vectors), len(queries)
-        most = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * max(1, queries.shape[1])
+        most = float(np.abs(queries).max(initial=0)) * self.largest * max(1, queries.shape[1])
         kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-        score, weights = np.zeros((n, m), kind), np.ascontiguousarray(queries.T.astype(kind))
+        weights, energy = np.ascontiguousarray(queries.T.astype(kind)), (queries.astype(np.float64) ** 2).T
+        score, seen = np.zeros((n, m), kind), np.zeros((n, m))
         left = sum((rest for _, rest in self.levels), np.zeros(n))
-        norms = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-        at = np.argsort(self.ids, kind="stable")
-        lo, hi = np.searchsorted(self.ids[at], query_ids, "left"), np.searchsorted(self.ids[at], query_ids, "right")
-        own = [(at[a:b], q) for q, (a, b) in enumerate(zip(lo, hi, strict=True)) if b > a]
-        cand = None
-        for number, (segments, rest) in enumerate(self.levels):
+        lo, hi = (np.searchsorted(self.ids[self.order], query_ids, side) for side in ("left", "right"))
+        active, got = np.arange(m), []
+        levels = self.levels or [([], np.zeros(n))]  # only zeros: every score is 0
+        for number, (segments, rest) in enumerate(levels):
             for d, rows, values in segments:
                 score[rows] += values.astype(kind)[:, None] * weights[d][None, :]
+                seen[rows] += energy[d]
             left = np.maximum(left - rest, 0)
-            done = number == len(self.levels) - 1
-            if not done and left.max() > 0.25 * norms.max() * norms.max():
-                continue  # too early for any proof
-            # bounds in the scores' own kind, a little wide so that rounding can't break the proof
-            slack = np.zeros((n, 1)) if done else np.sqrt(left * 1.000001 + 1e-9)[:, None] * 1.000001
-            low = score - slack * norms[None, :] if not done else score.astype(np.float64) if kind != np.int64 else score
-            low = low.astype(np.float64) if low.dtype != np.float64 else low
-            for rows, q in own:
-                low[rows, q] = -np.inf
-            kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(m, -np.inf)
-            cand = low + 2 * slack * norms[None, :] >= kth[None, :] - (1 + most * 1e-12)
-            for rows, q in own:
-                cand[rows, q] = False
-            if done or cand.sum() <= REST * n * m + k * m:
+            self.processed += len(active)
+            last = number == len(levels) - 1
+            # a little wide, so that rounding can't break the proof
+            whole = energy.sum(0)
+            slack = np.sqrt((left[:, None] * 1.000001 + 1e-9) * np.maximum(whole * 1.000001 - seen, 0)) if not last else 0.0
+            low, high = score - slack, score + slack
+            for q, (a, b) in enumerate(zip(lo[active].tolist(), hi[active].tolist(), strict=True)):
+                low[self.order[a:b], q] = low.min()
+                high[self.order[a:b], q] = -np.inf if high.dtype.kind == "f" else np.iinfo(np.int64).min
+            kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(active), low.min(initial=0))
+            # where own rows stand in for the k-th best, everything may enter
+            may = high >= np.maximum(kth, floor[active])[None, :] - (1 + most * 1e-12)
+            for q, (a, b) in enumerate(zip(lo[active].tolist(), hi[active].tolist(), strict=True)):
+                may[self.order[a:b], q] = False
+            done = np.full(len(active), True) if last else may.sum(0) <= REST * n + k
+            q, x = np.nonzero(may[:, done].T)
+            got.append((active[done][q], x))
+            self.skipped += int(done.sum()) * (len(levels) - 1 - number)
+            if done.all():
                 break
-        if cand is None:  # only zeros: every score is 0
-            cand = np.ones((n, m), bool)
-            for rows, q in own:
-                cand[rows, q] = False
-        q, x = np.nonzero(cand.T)
+            if done.any():
+                score, seen, weights, energy, active = score[:, ~done], seen[:, ~done], weights[:, ~done], energy[:, ~done], active[~done]
+        return np.concatenate([q for q, _ in got]), np.concatenate([x for _, x in got])
+
+    def _exact(self, q: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray):
         exact = np.empty(len(q), np.int64)
         for i in range(0, len(q), 16_384):
-            exact[i : i + 16_384] = np.einsum("ij,ij->i", self.vectors[x[i : i + 16_384]], queries[q[i : i + 16_384]])
+            part = slice(i, i + 16_384)
+            exact[part] = np.einsum("ij,ij->i", self.vectors[x[part]], queries[q[part]])
+        fine = exact >= floor[q]
+        q, x, exact = q[fine], x[fine], exact[fine]
         order = np.lexsort((self.ids[x], -exact, q))
         q, x, exact = q[order], x[order], exact[order]
         first = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1] if len(q) else np.empty(0, np.int64)
@@ -115,31 +132,59 @@ class ImpactIndex:
         yield q[top], x[top], exact[top]
 
 
+def _by_length(t: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """The rows of each vector length, their vectors as a matrix."""
+    sizes = np.array([len(v) for v in t.column("v")], np.int64)
+    for dim in np.unique(sizes).tolist():
+        part = t.filter(pa.array(sizes == dim)).combine_chunks()
+        flat = part.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False)
+        yield flat.astype(np.int64).reshape(part.num_rows, dim), part
+
+
+def _searcher(files: list[str], k: int):
+    """A function from a shard to what its index finds for the queries in these files."""
+
+    def search(shard: pa.Table) -> pa.Table:
+        got = []
+        indexes = {v.shape[1]: ImpactIndex(v, t.column("vec_id").to_numpy()) for v, t in _by_length(shard)}
+        for f in files:
+            fs, path = filesystem(f)
+            for v, t in _by_length(pq.read_table(path, filesystem=fs)):
+                if v.shape[1] in indexes:
+                    index, ids = indexes[v.shape[1]], t.column("vec_id").to_numpy()
+                    floor = t.column("floor").fill_null(np.iinfo(np.int64).min).to_numpy()
+                    for q, x, s in index.search(v, ids, k, floor):
+                        got.append(pa.Table.from_arrays([pa.array(ids[q]), pa.array(index.ids[x]), pa.array(s)], schema=_OUT))
+        return pa.concat_tables(got) if got else _OUT.empty_table()
+
+    return search
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
     """vectors, queries: (vec_id long, v array<long>) -> (query_id, rank, vec_id, score), the k best others of each query."""
-    prepare(vectors.sparkSession)
+    spark = vectors.sparkSession
+    prepare(spark)
     shards = max(1, -(-vectors.count() // SHARD))
     parts = max(1, -(-queries.count() // QUERIES))
-    deal = lambda n, of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("vec_id", "v", F.size("v").alias("dim"), deal(shards, ["vec_id"]).alias("shard")).withColumn("part", every(parts))
-    right = queries.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.size("v").alias("dim"), deal(parts, ["vec_id"]).alias("part")).withColumn("shard", every(shards))
-
-    def meet(own: pa.Table, asked: pa.Table) -> pa.Table:
-        if not own.num_rows or not asked.num_rows:
-            return _OUT.empty_table()
-        dim = own.column("dim")[0].as_py()
-        ids, query_ids = own.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
-        matrix = lambda t: pa.concat_arrays(t.column("v").chunks).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(t.num_rows, dim)
-        index, got = ImpactIndex(matrix(own), ids), []
-        for q, x, s in index.search(matrix(asked), query_ids, k):
-            got.append(pa.Table.from_arrays([pa.array(query_ids[q]), pa.array(ids[x]), pa.array(s)], schema=_OUT))
-        return pa.concat_tables(got) if got else _OUT.empty_table()
-
-    keys = ["dim", "shard", "part"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    own = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
+    asked = cut(queries.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.lit(None).cast("long").alias("floor")).repartition(parts, "vec_id"), "topk-queries")
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found, done = None, 0
+    while done < shards:
+        upto = GROWTH * max(1, done)
+        mine = own.filter((F.col("shard") >= done) & (F.col("shard") < upto))
+        got = mine.groupBy("shard").applyInArrow(_searcher(asked.inputFiles(), k), "query_id long, vec_id long, score long")
+        every = got if found is None else got.unionByName(found.select(*got.columns))
+        ranked = every.withColumn("rank", F.row_number().over(best_first).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        done = upto
+        if done >= shards:
+            return ranked
+        before, found = (asked, found), cut(ranked, "topk-found")
+        floors = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        asked = cut(asked.drop("floor").join(floors, "vec_id", "left").select("vec_id", "v", "floor").repartition(parts, "vec_id"), "topk-queries")
+        for old in before:
+            if old is not None:
+                remove(spark, old)
 
 
 def op4_impact_topk(spark, sf_dir: str) -> DataFrame:
