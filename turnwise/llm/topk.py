@@ -1,12 +1,12 @@
 """Exact top-k by inner product over an impact-ordered index, one score level at a time.
 
-A posting is a vector's component in a dimension; its impact is its absolute value, quantised to ``LEVELS`` steps of the shard's largest, and
-the postings of one dimension and one impact are a segment.  Segments are processed by descending impact and added to the
-scores of all queries of a block.  After a level, the unprocessed components of a vector x add to its score at most the norm of these
-components times the norm of the query in their dimensions (Cauchy-Schwarz), so each score has a lower and an upper bound.  A query
-stops when few vectors have an upper bound that reaches its k-th best lower bound, or the k-th best score that it has from
-earlier shards: that is the proof that all others are no members; those that may be are rescored exactly in integers.  If no level gives a small set,
-all are processed, and scores are exact.  The other queries of the block go on without it.
+A posting is a vector's component in a dimension; its impact is quantised to the number of bits of its absolute value, and the postings
+of one impact, dimension by dimension, are a segment.  Segments are processed by descending impact and added to the scores of
+all queries of a block.  After a level, the unprocessed components of a vector add to its score at most their norm times the query's norm (Cauchy-Schwarz),
+which bounds each score from above.  The exact scores of the k vectors that lead so far bound a query's k-th best score from below, as does the k-th best score that it
+has from earlier shards.  A query stops when few vectors have an upper bound that reaches that: this is the proof that all others are no members;
+those that may be are rescored exactly in integers.  If no level gives a small set, all are processed, and scores are exact.  The other queries of the
+block go on without it.  Levels before which no proof can hold, because too much is unprocessed, are added up together.
 
 Scale: vectors are dealt to shards of about ``SHARD`` rows and move once; a shard's index is built once, in one task of bounded memory, which
 reads the queries block by block from the shared folder.  Shards go in rounds, ``GROWTH`` times as many in all each time; after a round each
@@ -33,10 +33,11 @@ SHARD = 8192
 QUERIES = 4096
 #: Shards of the first round, and how many times more there are after each later one.
 GROWTH = 8
-LEVELS = 16
 #: Queries whose scores are held at once, and the share of a shard's vectors that may be left when a query stops.
 STEP = 256
 REST = 0.05
+#: A proof is tried once unprocessed norms are, in the mean, at most this share of whole norms.
+EARLY = 0.3
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -59,15 +60,19 @@ class ImpactIndex:
         self.skipped = self.processed = 0  # levels, summed over queries
         size = np.abs(vectors)
         self.largest = int(size.max(initial=0))
-        impact = np.ceil(size * (LEVELS / max(1, self.largest))).astype(np.int16)
-        self.levels = []
+        impact = np.zeros(vectors.shape, np.int8)
+        for bit in range(self.largest.bit_length()):
+            impact += size >> bit > 0
+        square = vectors.astype(np.float64) ** 2
+        whole = square.sum(1)
+        left, self.levels = whole.copy(), []  # (dimensions, rows, values, norms that are left after it) by descending impact
         for level in sorted(set(np.unique(impact).tolist()) - {0}, reverse=True):
-            segments = []
-            for d in range(vectors.shape[1]):
-                rows = np.flatnonzero(impact[:, d] == level)
-                if len(rows):
-                    segments.append((d, rows, vectors[rows, d]))
-            self.levels.append((segments, np.where(impact == level, vectors.astype(np.float64) ** 2, 0).sum(1)))
+            dims, rows = np.nonzero(impact.T == level)
+            left = np.maximum(left - np.bincount(rows, square[rows, dims], minlength=len(vectors)), 0)
+            self.levels.append((dims, rows, vectors[rows, dims], np.sqrt(left * 1.000001)))
+        if self.levels:  # all is processed
+            self.levels[-1][3][:] = 0
+        self.mean_norm = float(np.sqrt(whole).mean()) if len(vectors) else 0.0
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         """Rows (query number, vector's row, score): each query's k best of those that reach its floor, ties to the smaller id."""
@@ -82,41 +87,49 @@ class ImpactIndex:
         n, m = len(self.vectors), len(queries)
         most = float(np.abs(queries).max(initial=0)) * self.largest * max(1, queries.shape[1])
         kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-        weights, energy = np.ascontiguousarray(queries.T.astype(kind)), (queries.astype(np.float64) ** 2).T
-        score, seen = np.zeros((n, m), kind), np.zeros((n, m))
-        left = sum((rest for _, rest in self.levels), np.zeros(n))
+        weights, norms = queries.astype(kind), np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * 1.000001
+        score, pending = np.zeros((m, n), kind), np.zeros((queries.shape[1], n), kind)
         lo, hi = (np.searchsorted(self.ids[self.order], query_ids, side) for side in ("left", "right"))
+        own = [self.order[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         active, got = np.arange(m), []
-        levels = self.levels or [([], np.zeros(n))]  # only zeros: every score is 0
-        for number, (segments, rest) in enumerate(levels):
-            for d, rows, values in segments:
-                score[rows] += values.astype(kind)[:, None] * weights[d][None, :]
-                seen[rows] += energy[d]
-            left = np.maximum(left - rest, 0)
+        levels = self.levels or [(np.empty(0, int), np.empty(0, int), np.empty(0, int), np.zeros(n))]  # only zeros: every score is 0
+        for number, (dims, rows, values, left) in enumerate(levels):
+            pending[dims, rows] = values
             self.processed += len(active)
             last = number == len(levels) - 1
+            if not last and left.mean() > EARLY * self.mean_norm:
+                continue
+            score += weights @ pending
+            pending[:] = 0
+            least = np.maximum(self._leaders(score, queries, [own[q] for q in active], active, k), floor[active].astype(np.float64))
             # a little wide, so that rounding can't break the proof
-            whole = energy.sum(0)
-            slack = np.sqrt((left[:, None] * 1.000001 + 1e-9) * np.maximum(whole * 1.000001 - seen, 0)) if not last else 0.0
-            low, high = score - slack, score + slack
-            for q, (a, b) in enumerate(zip(lo[active].tolist(), hi[active].tolist(), strict=True)):
-                low[self.order[a:b], q] = low.min()
-                high[self.order[a:b], q] = -np.inf if high.dtype.kind == "f" else np.iinfo(np.int64).min
-            kth = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(active), low.min(initial=0))
-            # where own rows stand in for the k-th best, everything may enter
-            may = high >= np.maximum(kth, floor[active])[None, :] - (1 + most * 1e-12)
-            for q, (a, b) in enumerate(zip(lo[active].tolist(), hi[active].tolist(), strict=True)):
-                may[self.order[a:b], q] = False
-            done = np.full(len(active), True) if last else may.sum(0) <= REST * n + k
-            q, x = np.nonzero(may[:, done].T)
+            bar = least[:, None] - (1 + most * 1e-12) - norms[active][:, None] * left[None, :]
+            may = score >= bar
+            for q, a in enumerate(active.tolist()):
+                may[q, own[a]] = False
+            done = np.full(len(active), True) if last else may.sum(1) <= REST * n + k
+            q, x = np.nonzero(may[done])
             got.append((active[done][q], x))
             self.skipped += int(done.sum()) * (len(levels) - 1 - number)
             if done.all():
                 break
             if done.any():
-                score, seen, weights, energy, active = score[:, ~done], seen[:, ~done], weights[:, ~done], energy[:, ~done], active[~done]
+                score, weights, active = score[~done], weights[~done], active[~done]
         return np.concatenate([q for q, _ in got]), np.concatenate([x for _, x in got])
 
+    def _leaders(self, score: np.ndarray, queries: np.ndarray, own: list[np.ndarray], active: np.ndarray, k: int) -> np.ndarray:
+        """A lower bound of each query's k-th best score: the k-th best exact score among those that lead so far, its own rows left out."""
+        n, wide = len(self.vectors), k + max(map(len, own), default=0)
+        if n < wide:
+            return np.full(len(score), -np.inf)
+        lead = np.argpartition(score, n - wide, axis=1)[:, n - wide :]
+        exact = np.empty(lead.shape, np.float64)
+        for q, rows in enumerate(lead):
+            exact[q] = self.vectors[rows] @ queries[active[q]]
+            if len(own[q]):
+                exact[q, np.isin(rows, own[q])] = -np.inf
+        return np.partition(exact, wide - k, axis=1)[:, wide - k]
+
     def _exact(self, q: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray):
         exact = np.empty(len(q), np.int64)
         for i in range(0, len(q), 16_384):
