@@ -21,6 +21,8 @@ _ARCHIVE = _PACKAGE + "-workers"
 def prepare(spark: SparkSession) -> None:
     """Send this package to Python workers, and keep Arrow batches small (texts may be long)."""
     sc = spark.sparkContext
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # a task has one core
+        sc.environment.setdefault(name, "1")
     if not any(f.startswith(_ARCHIVE) for f in sc._python_includes):
         packed = io.BytesIO()
         with zipfile.ZipFile(packed, "w") as z:

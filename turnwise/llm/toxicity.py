@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ EXAMPLES = 6000
 CALIBRATE = 5
 NEIGHBOURS = 15
 BLOCK = 64
+#: Rounding errors of the first, coarse sums are smaller.
+CLOSE = 1e-4
 #: Blocks of a text that are visited first, and texts that are searched together.
 FIRST = 4
 TOGETHER = 128
@@ -77,11 +80,16 @@ class Columns(dict):
     def __reduce__(self):
         return Columns, (list(self.of),)
 
-    def of_text(self, text: str) -> tuple[list[int], list[int]]:
+    def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns of a text's distinct words' terms, and the words' numbers; a column may come more than once."""
         words = Counter(words_of(text))
         found = list(map(self.__getitem__, words))
-        return [c for f in found for c in f], [n for f, n in zip(found, words.values(), strict=True) for _ in f]
+        numbers = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
+        return np.fromiter(chain.from_iterable(found), np.int64, len(numbers)), numbers
+
+    def distinct(self, text: str) -> list[int]:
+        """Columns of a text's terms."""
+        return list(set(chain.from_iterable(map(self.__getitem__, set(words_of(text))))))
 
 
 def label_weights(texts: list[str], labels: list[int]) -> dict[str, float]:
@@ -117,6 +125,13 @@ class Model:
         bare = [y for (c, _), y in zip(vectors, labels, strict=True) if not len(c)]
         self.prior = (sum(bare) + self.share) / (len(bare) + 1) if n else 0.0
         self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        # examples with the same heaviest frequent term stand together, so that the maxima of a block say something; numbers stay those of the input
+        frequency = np.bincount(np.concatenate([np.empty(0, np.int64), *(c for c, _ in vectors)]), minlength=m)
+        frequent = [(c[f], w[f]) for c, w in vectors for f in [frequency[c] > n / OFTEN]]
+        heaviest = np.array([c[w.argmax()] if len(c) else -1 for c, w in frequent], np.int64)
+        self.number = np.argsort(heaviest, kind="stable")
+        vectors = [vectors[i] for i in self.number]
+        self.labels, self.ids = self.labels[self.number], [self.ids[i] for i in self.number]
         terms_at = np.concatenate([np.empty(0, np.int64), *(c for c, _ in vectors)])
         weight = np.concatenate([np.empty(0), *(w for _, w in vectors)]).astype(np.float32)
         owner = np.repeat(np.arange(n), [len(c) for c, _ in vectors]).astype(np.int32)
@@ -131,7 +146,7 @@ class Model:
         for k, c in enumerate(often.tolist()):
             i, j = self.ends[c], self.ends[c + 1]
             self.often[self.owner[i:j], k] = self.weight[i:j]
-        self.most = self.often.reshape(self.blocks, BLOCK, len(often)).max(1).astype(np.float64).T.copy()
+        self.most = self.often.reshape(self.blocks, BLOCK, len(often)).max(1).T.copy()
         self.curve = (1.0, 0.0)
         self.visited = 0  # blocks whose examples were scored whole
         if held[0] and n:
@@ -140,9 +155,9 @@ class Model:
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of a text's unit vector over the vocabulary."""
         found, numbers = self.columns.of_text(text)
-        if not found:
+        if not len(found):
             return np.empty(0, np.int64), np.empty(0)
-        columns, place = np.unique(np.array(found, np.int64), return_inverse=True)
+        columns, place = np.unique(found, return_inverse=True)
         weights = (1 + np.log(np.bincount(place, numbers))) * self.idf[columns]
         return columns, weights / np.sqrt((weights**2).sum())
 
@@ -151,7 +166,7 @@ class Model:
         if not self.n:
             return [(np.empty(0, np.int64), np.empty(0)) for _ in vectors]
         m, wide = len(vectors), self.blocks * BLOCK
-        score, frequent = np.zeros((m, wide)), np.zeros((m, len(self.most)))
+        score, frequent = np.zeros((m, wide)), np.zeros((m, len(self.most)), np.float32)
         for q, (columns, weights) in enumerate(vectors):  # postings of all terms but the frequent ones
             place = self.place[columns]
             rare = place < 0
@@ -161,7 +176,7 @@ class Model:
             score[q] = np.bincount(self.owner[at], np.repeat(weights[rare], length) * self.weight[at], minlength=wide)
         bounds = score.reshape(m, self.blocks, BLOCK).max(2) + frequent @ self.most
         left, least = bounds > 0, np.zeros(m)
-        best = np.full((m, self.blocks, BLOCK), -1.0)  # exact cosines, where a block was visited
+        best = np.full((m, self.blocks, BLOCK), -1.0)  # cosines, where a block was visited, to within CLOSE
         # first each vector's most promising blocks, then all whose bound reaches the k-th best cosine by then: no other can enter
         visit = left & (bounds >= np.partition(bounds, -min(FIRST, self.blocks), axis=1)[:, [-min(FIRST, self.blocks)]])
         for _ in range(2):
@@ -173,12 +188,16 @@ class Model:
             left &= ~visit
             if wide >= k:
                 least = np.partition(best.reshape(m, wide), wide - k, axis=1)[:, wide - k]
-            visit = left & (bounds >= np.maximum(least, 0)[:, None] - 1e-9)
+            visit = left & (bounds >= np.maximum(least, 0)[:, None] - CLOSE)
         out = []
-        for s, low in zip(best.reshape(m, wide), least, strict=True):
-            i = np.flatnonzero((s > 0) & (s >= low - 1e-9))
-            i = i[np.lexsort((i, -np.round(s[i], 12)))[:k]]
-            out.append((i, s[i]))
+        for q, (columns, weights) in enumerate(vectors):
+            i = np.flatnonzero((best[q].ravel() > -1) & (best[q].ravel() >= least[q] - 2 * CLOSE))
+            i = i[i < self.n]
+            place = self.place[columns]
+            s = score[q, i] + self.often[np.ix_(i, place[place >= 0])] @ weights[place >= 0]
+            i, s = i[s > 0], s[s > 0]
+            top = np.lexsort((self.number[i], -np.round(s, 12)))[:k]
+            out.append((i[top], s[top]))
         return out
 
     def votes(self, texts: list[str]) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -242,12 +261,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts, n = np.zeros(len(weights), np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts.update(set(columns.of_text(t)[0]))
-                counts[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+                counts[columns.distinct(t)] += 1
+                n += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[counts[at], n])], schema=schema)
 
     df = {r.term: r.n for r in docs.select(text.alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return Model(weights, [df.get(i, 0) for i in range(len(weights))], df.get(-1, 0), own, held)
