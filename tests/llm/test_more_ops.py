@@ -257,11 +257,82 @@ def test_loopy_passing_equals_sums_over_all_labellings_on_a_tree(field):
     assert np.allclose(field.marginals(nodes), total / total.sum(1, keepdims=True), atol=2e-3)
 
 
+def test_skips_equal_sums_over_all_labellings(field):
+    """A base span, two equal tokens that repeat a part of it, and a token that is none of them: the hub of the group is summed out too."""
+    nodes = pii.Nodes("a.bcd12@e.fg x a.bcd12 y a.bcd12 z 77", [("email", 0, 12)])
+    assert nodes.equal == [[1, 2]] and nodes.similar == [(1, 0), (2, 0)] and nodes.observed == [True, False, False, False]
+    k = len(pii.LABELS)
+    logs = np.array([field.unary.get(s, field.unknown) for s in nodes.shapes])
+    logs[0] = np.where(np.arange(k) == 1, 0, -30)
+    total = np.zeros((4, k))
+    for v in np.ndindex(k, k, k, k, k):  # four tokens and the hub
+        p = np.exp(sum(logs[i, v[i]] for i in range(4)) + field.skip[v[1], v[0]] + field.skip[v[2], v[0]] + field.skip[v[1], v[4]] + field.skip[v[2], v[4]])
+        for i in range(4):
+            total[i, v[i]] += p
+    assert np.allclose(field.marginals(nodes), total / total.sum(1, keepdims=True), atol=5e-3)
+
+
+def test_similar_tokens():
+    found = pii.Similar()
+    found.add("+1 (555) 123-4567", 3)
+    found.add("jo.doe77@mail.example.com", 9)
+    for token, want in (("15551234567", {3}), ("5551234567", {3}), ("call:15551234567x", {3}), ("jo.doe77", {9}), ("JO.DOE77", {9}), ("mail.example.com", {9}), ("doe77", {9}), ("oe77", set()), ("5551234568", set()), ("xjodoe77y", {9})):
+        assert found.of(pii.core(token)) == want, token
+
+
+def test_planted_repeats_are_found(field):
+    """Names and numbers of base spans, repeated in part; beside them numbers and words that repeat nothing."""
+    rng = random.Random(6)
+    word = lambda n=5: "".join(rng.choice("abcdeinorst") for _ in range(n))
+    hits = planted = wrong = 0
+    for _ in range(200):
+        name, digits = f"{word()}.{word()}{rng.randrange(10, 99)}", "".join(rng.choice("23456789") for _ in range(7))
+        base = rng.choice([f"{name}@{word(6)}.example.com", f"+1 (555) {digits[:3]}-{digits[3:]}"])
+        repeat = name if "@" in base else "555" + digits
+        others = [word(), str(rng.randrange(10**5, 10**6)), f"{word()}{rng.randrange(10, 99)}", word(8)]
+        rng.shuffle(others)
+        text = " ".join([word(), base, word(), others[0], others[1], word(), repeat, others[2], word(), repeat, others[3]])
+        known, spans = pii.all_spans(text, field)
+        more = [text[a:b] for k, a, b in spans if (k, a, b) not in known]
+        planted += 2
+        hits += more.count(repeat)
+        wrong += len(more) - more.count(repeat)
+    print("recall", hits / planted, "precision", hits / max(1, hits + wrong))
+    assert hits >= 0.9 * planted and wrong <= 0.05 * hits
+
+
+def test_training_leaves_repeats_of_unknown_label_out():
+    counts = collections.Counter()
+    pii.count_features("jo.doe77@mail.example.com and jo.doe77 or kim99x kim99x", counts)
+    shapes = {(s, y): n for (kind, s, y), n in counts.items() if kind == "shape"}
+    assert (pii.shape("jo.doe77"), 0) not in shapes and shapes[pii.shape("jo.doe77@mail.example.com"), 1] == 1
+    assert counts["skip", "0", 0] == 1 and not any(kind == "skip" and (a != "0" or b) for kind, a, b in counts)
+
+
+def test_op8_equals_brute_force(spark, tmp_path):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    docs += [(10_000, None), (10_001, ""), (10_002, "Ask jo.doe77@mail.example.com for it; jo.doe77 knows. " * 3000), (10_003, docs[5][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    field = pii.train(common.table(spark, tmp_path, "documents"))
+    got = {r.doc_id: r for r in pii.op8_pii_crf(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    written = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    for i, t in docs:
+        base = brute_spans(t or "")
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(written(base).encode()).hexdigest()
+        spans = got[i].spans.split(",") if got[i].spans else []
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(spans) and got[i].spans == written(pii.all_spans(t or "", field)[1])
+    assert got[10_002].spans.count("email") == 6000  # each repeat is found, in a text of any length
+
+
 def test_pii_columns(spark, field):
     df = spark.createDataFrame([(1, "a@b.cd", "x"), (2, None, "x"), (1, "a@b.cd", "x"), (3, "", "x")], "doc_id long, text string, spans string")
     out = pii.find_pii(df, field).collect()
     assert [r["__tw_pii"].base for r in out] == [["email:0:6"], [], ["email:0:6"], []] and out[0].spans == "x"
     assert pii.find_pii(df.limit(0), field).count() == 0
+    with pytest.raises(ValueError, match="__tw_pii"):
+        pii.find_pii(pii.find_pii(df, field), field)
     assert pii.train(df.limit(0)).marginals(pii.Nodes("", [])).shape[0] == 0
 
 
@@ -284,7 +355,8 @@ def cosines(model, text):
 
 
 def brute_score(model, text):
-    s = sorted((-round(x, 12), n) for n, x in enumerate(cosines(model, text)) if x > 0)[: toxicity.NEIGHBOURS]
+    s = sorted((-round(x, 12), int(model.number[n]), n) for n, x in enumerate(cosines(model, text)) if x > 0)[: toxicity.NEIGHBOURS]
+    s = [(x, n) for x, _, n in s]
     vote = (sum(-x * int(model.labels[n]) for x, n in s) + toxicity.PRIOR_WEIGHT * model.prior) / (sum(-x for x, _ in s) + toxicity.PRIOR_WEIGHT)
     a, b = model.curve
     z = a * np.log(max(vote, 1e-6) / max(1 - vote, 1e-6)) + b
@@ -318,11 +390,11 @@ def test_ties_go_to_the_smaller_example(monkeypatch):
     for t in ("same here", "same there", "words", "nothing"):
         (i, _), *_ = model.nearest([model.vector(t), model.vector('')])
         assert list(i) == [n for _, n in brute_score(model, t)[1]]
-    assert list(model.nearest([model.vector("here")])[0][0]) == list(range(1, 30, 2))
+    assert [model.ids[n] for n in model.nearest([model.vector("here")])[0][0]] == list(range(1, 30, 2))
     texts[7] += " special"
     weights = toxicity.label_weights(texts, [i % 2 for i in range(60)])
     model = toxicity.Model(weights, [9] * len(weights), 100, (texts, [i % 2 for i in range(60)], list(range(60))))
-    assert list(model.nearest([model.vector("special here")], k=1)[0][0]) == [7]
+    assert [model.ids[n] for n in model.nearest([model.vector("special here")], k=1)[0][0]] == [7]
     assert model.visited < model.blocks  # the bounds of the others prove that they can't enter
 
 

@@ -1,25 +1,32 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans: for each kind the leftmost non-overlapping matches that pass its check.  The field then looks for
-further mentions.  Its nodes are the tokens of a document that may be one: those with a digit, ``@`` or ``+``, and those whose
-letters and digits repeat a part of a base span.  Labels are the kinds and "none".  Potentials:
+further mentions.  Its nodes are the tokens of a document that may be one: those with a digit, ``@`` or ``+``, and those that are similar to
+a base span.  Labels are the kinds and "none".  Potentials:
 
-* a token's shape with its label (digits, dots, signs, letters, in coarse classes, and whether another candidate stands before it);
+* a token's shape with its label (digits, dots, signs, letters, in coarse classes);
 * labels of neighbours in the text (the chain);
-* labels of equal or similar tokens anywhere in the document (the skips): the same letters and digits, or one contained in
-  the other.  Equal tokens form one group, which one node for the group stands for, so a token repeated a thousand times has a
-  thousand edges, not a million.
+* labels of equal or similar tokens anywhere in the document (the skips).  Tokens are equal if their letters and digits are.  A token is
+  similar to a base span if its letters and digits, ``SIMILAR`` at least, are contained in the span's, or contain the span's or those of a part of it
+  (what ``@`` and white space separate).  Containment is looked up by n-grams within the document.  Equal tokens form one group, which one node for
+  the group stands for, so a token repeated a thousand times has a thousand edges, not a million.
 
 Tokens of base spans are observed.  Loopy sum-product passing, damped, gives every other token its marginals; a token whose
 most likely label is a kind with more than ``CONFIDENT`` becomes a span.  Tokens that are no nodes can only be "none", so leaving them out
-changes nothing.  Potentials are trained piecewise: smoothed counts of (shape, label), (label, label) in the chain and in the skips, over
-all documents with candidates, with base spans as labels; what comes to the driver is one count for each shape and label.
+changes nothing.
+
+Training.  All potentials are learnt piecewise, as smoothed counts over all documents with base spans as labels.  Tokens that are similar to a base
+span, or equal to one that is observed, without lying in one have no known label: they and their edges don't count, so the field isn't taught that repeats are "none".  In
+documents with base spans, tokens that are no nodes count as "none" by their shapes.  Skips learn from tokens that stand in a document more than once, all of them of known
+labels.  What comes to the driver is one count for each shape and label.
 
 Defined results: null text counts as empty and has no spans; equal texts get equal spans; base spans always stay; offsets count
-code points, ends are exclusive.
+code points, ends are exclusive; repeated rows stay; an empty table gives no rows; very long texts take memory in proportion to one text; a column of the
+input that is named ``__tw_pii`` is an error.
 """
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,17 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .common import prepare, table, text_or_empty
+from .common import new_column, prepare, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
 CONFIDENT = 0.5
 ROUNDS = 20
 DAMP = 0.3
-#: Prior count of equal tokens with equal labels, so that skips bind where the corpus repeats few tokens.
-AGREE = 1000
-#: Probability of "none" for shapes that training never met.
-UNSEEN = 0.9
 #: A part of a base span that another token may repeat has at least so many letters and digits.
 SIMILAR = 5
 
@@ -100,36 +103,67 @@ def shape(token: str) -> str:
     bucket = lambda n, edges: sum(n >= e for e in edges)
     number = re.sub(r"[^0-9]", "", token) if not letters else ""
     sound = "L" if 16 <= digits <= 19 and number and _luhn(number) else "V" if number and _IP.fullmatch(token.rstrip(".,;:!?")) and "ip" in {k for k, _, _ in base_spans(token)} else ""
-    return f"{sound}d{bucket(digits, (1, 4, 8, 13, 16, 20))}l{bucket(letters, (1, 4, 12))}p{min(token.count('.'), 4)}{'@' if '@' in token else ''}{'+' if token[0] == '+' else ''}{'(' if '(' in token else ''}{'=' if '=' in token else ''}"
+    return f"{sound}d{bucket(digits, (1, 4, 8, 13, 16, 20))}l{bucket(letters, (1, 4, 12))}p{min(token.count('.'), 4)}{'@' if '@' in token else ''}{'+' if token[0] == '+' else ''}{'(' if '(' in token else ''}{'-' if '-' in token else ''}{'=' if '=' in token else ''}"
 
 
 def core(token: str) -> str:
     return "".join(c for c in token.lower() if c.isalnum())
 
 
+class Similar:
+    """Letters and digits of a document's base spans and of their parts, to be looked up by what contains them or is contained in them."""
+
+    def __init__(self):
+        self.owner: dict[str, int] = {}  # core -> the token that it comes from
+        self.within: dict[str, list[str]] = defaultdict(list)  # n-gram -> cores that it is in
+        self.first: dict[str, list[str]] = defaultdict(list)  # n-gram -> cores that begin with it
+
+    def add(self, span: str, owner: int) -> None:
+        for p in (span, *re.split(r"[@\s]", span)):
+            c = core(p)
+            if len(c) >= SIMILAR and c not in self.owner:
+                self.owner[c] = owner
+                self.first[c[:SIMILAR]].append(c)
+                for g in {c[i : i + SIMILAR] for i in range(len(c) - SIMILAR + 1)}:
+                    self.within[g].append(c)
+
+    def of(self, c: str) -> set[int]:
+        """Tokens of the base spans that a core is similar to."""
+        if len(c) < SIMILAR:
+            return set()
+        found = {self.owner[x] for x in self.within.get(c[:SIMILAR], ()) if c in x}
+        for i in range(len(c) - SIMILAR + 1):
+            found.update(self.owner[x] for x in self.first.get(c[i : i + SIMILAR], ()) if c.startswith(x, i))
+        return found
+
+
 class Nodes:
-    """The candidate tokens of a document with their observed labels, chain neighbours and skip groups."""
+    """The candidate tokens of a document with their observed labels, chain neighbours and skip edges."""
 
     def __init__(self, text: str, spans: list[tuple[str, int, int]]):
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        self.tokens = tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         label: dict[int, int] = {}
         starts = [a for a, _ in tokens]
-        parts: dict[str, int] = {}  # what other tokens may repeat -> the token that it comes from
+        alike = Similar()
         for kind, a, b in spans:
-            i = max(0, int(np.searchsorted(starts, a, "right")) - 1)
-            owner = i
+            i = owner = max(0, bisect_right(starts, a) - 1)
             while i < len(tokens) and tokens[i][0] < b:
                 if tokens[i][1] > a:
                     label.setdefault(i, LABELS.index(kind))
                 i += 1
-            for p in (text[a:b], *re.split(r"[@\s]", text[a:b])):
-                if len(c := core(p)) >= SIMILAR:
-                    parts.setdefault(c, owner)
-        names = [core(text[a:b]) if parts or _MAYBE.search(text, a, b) else "" for a, b in tokens]
-        self.at = [i for i, (a, b) in enumerate(tokens) if i in label or _MAYBE.search(text, a, b) or names[i] in parts]
+            alike.add(text[a:b], owner)
+        names, links, remembered = [], {}, {}
+        for i, (a, b) in enumerate(tokens):
+            name = core(text[a:b]) if spans or _MAYBE.search(text, a, b) else ""
+            names.append(name)
+            if spans and name:
+                if name not in remembered:
+                    remembered[name] = alike.of(name)
+                if found := remembered[name]:
+                    links[i] = found
+        self.at = [i for i, (a, b) in enumerate(tokens) if i in label or i in links or _MAYBE.search(text, a, b)]
         self.spans = [tokens[i] for i in self.at]
-        near = set(self.at)
-        self.shapes = [shape(text[a:b]) + "<" * (i - 1 in near) for i, (a, b) in zip(self.at, self.spans, strict=True)]
+        self.shapes = [shape(text[a:b]) for a, b in self.spans]
         self.labels = [label.get(i, 0) for i in self.at]
         self.observed = [i in label for i in self.at]
         self.chain = [(n, n + 1) for n in range(len(self.at) - 1) if self.at[n + 1] == self.at[n] + 1]
@@ -139,9 +173,16 @@ class Nodes:
                 groups[names[i]].append(n)
         self.equal = [g for g in groups.values() if len(g) > 1]
         place = {i: n for n, i in enumerate(self.at)}
-        own = [(p, place[i]) for p, i in parts.items() if p in groups and i in place]
-        self.similar = [(m, n) for p, n in own if p != names[self.at[n]] for m in groups[p] if m != n and not self.observed[m]]
-
+        # each token has an edge to one base span, its group to all: the group's own node carries them on
+        self.similar = []
+        for g in groups.values():
+            free = [n for n in g if not self.observed[n]]
+            if free:
+                bases = [place[o] for o in sorted(links.get(self.at[free[0]], ())) if place[o] not in g]
+                self.similar += [(n, bases[0]) for n in free if bases] + [(free[0], o) for o in bases[1:]]
+        seen = {n for g in self.equal if any(self.observed[n] for n in g) for n in g}
+        #: Tokens whose label training knows: in a base span, or like none.
+        self.known = [o or not (i in links or n in seen) for n, (i, o) in enumerate(zip(self.at, self.observed, strict=True))]
 
 
 class Field:
@@ -155,10 +196,16 @@ class Field:
         for s in shapes:
             c = np.array([counts["shape", s, y] for y in range(k)], float)
             self.unary[s] = np.log((c + smooth * prior / prior.sum()) / (c.sum() + smooth))
-        self.unknown = np.log(np.where(np.arange(k) == 0, UNSEEN, (1 - UNSEEN) / (k - 1)))
-        pair = lambda kind, same=0: np.array([[counts[kind, str(a), b] + counts[kind, str(b), a] for b in range(k)] for a in range(k)], float) + smooth + same * np.eye(k)
-        ratio = lambda m: np.log(m * m.sum() / (m.sum(1)[:, None] * m.sum(0)[None, :]))
-        self.chain, self.skip = ratio(pair("chain")), ratio(pair("skip", AGREE))
+        share = prior / prior.sum()
+        self.unknown = np.log(share)
+
+        def pair(kind: str) -> np.ndarray:
+            """How much more often labels meet than by chance: log P(b | a) / P(b), smoothed towards chance, the mean of both directions."""
+            m = np.array([[counts[kind, str(a), b] + counts[kind, str(b), a] for b in range(k)] for a in range(k)], float)
+            ratio = np.log((m + smooth * share) / (m.sum(1, keepdims=True) + smooth) / share)
+            return (ratio + ratio.T) / 2
+
+        self.chain, self.skip = pair("chain"), pair("skip")
 
     def marginals(self, nodes: Nodes) -> np.ndarray:
         """Beliefs of all nodes by damped sum-product passing; groups of equal tokens meet in a node of their own."""
@@ -166,7 +213,7 @@ class Field:
         logs = np.array([self.unary.get(s, self.unknown) for s in nodes.shapes]).reshape(n, k)
         for i, (y, seen) in enumerate(zip(nodes.labels, nodes.observed, strict=True)):
             if seen:
-                logs[i] = np.where(np.arange(k) == y, 0, -30)
+                logs[i] = np.where(np.arange(k) == y, 0, -1e9)  # beyond what any number of messages adds up to
         edges = [(a, b, self.chain) for a, b in nodes.chain] + [(a, b, self.skip) for a, b in nodes.similar]
         hubs = 0
         for g in nodes.equal:
@@ -210,15 +257,25 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 
 def count_features(text: str, counts: Counter) -> None:
-    """Add a document's counts of shapes, chain pairs and skip pairs."""
+    """Add a document's counts of shapes, chain pairs and skip pairs of tokens with known labels."""
     if not _MAYBE.search(text):
         return
-    nodes = Nodes(text, base_spans(text))
-    y = nodes.labels
-    counts.update(("shape", s, y[i]) for i, s in enumerate(nodes.shapes))
-    counts.update(("chain", str(y[a]), y[b]) for a, b in nodes.chain)
+    spans = base_spans(text)
+    nodes = Nodes(text, spans)
+    y, known = nodes.labels, nodes.known
+    counts.update(("shape", s, y[i]) for i, s in enumerate(nodes.shapes) if known[i])
+    counts.update(("chain", str(y[a]), y[b]) for a, b in nodes.chain if known[a] and known[b])
+    beside = set(nodes.at)
+    for n, i in enumerate(nodes.at):  # neighbours that are no nodes are none
+        if known[n]:
+            counts["chain", "0", y[n]] += (i > 0 and i - 1 not in beside) + (i + 1 < len(nodes.tokens) and i + 1 not in beside)
     for g in nodes.equal:
-        counts.update(("skip", str(y[g[0]]), y[i]) for i in g[1:])
+        if all(known[i] for i in g):
+            counts.update(("skip", str(y[g[0]]), y[i]) for i in g[1:])
+    if spans:
+        words = Counter(text[a:b] for i, (a, b) in enumerate(nodes.tokens) if i not in beside)
+        for w, n in words.items():
+            counts["shape", shape(w), 0] += n
 
 
 def all_spans(text: str, field: Field) -> tuple[list, list]:
@@ -263,6 +320,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Field:
 
 def find_pii(docs: DataFrame, field: Field, *, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with ``__tw_pii``: arrays base and spans of kind:start:end."""
+    new_column(docs, "__tw_pii")
     span = T.ArrayType(T.StringType())
 
     @pandas_udf(T.StructType([T.StructField("base", span), T.StructField("spans", span)]))
