@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
@@ -436,6 +437,24 @@ def instantiate(t: dict, q: Request, inv: Inventory) -> dict | None:
     return None if None in values.values() else decision(t["action"], item_family=family, attributes=values, **fixed)
 
 
+#: What a teacher is told before a payload.
+INSTRUCTIONS = {
+    "dialogue_decision": "You decide the next step of a robot that tells people where items are. Answer with one JSON object with the keys of a decision, and nothing else.",
+    "pre_send_review": "You review the robot's proposed answer before it is sent. Answer with one JSON object with the keys of a decision, and nothing else.",
+}
+CANDIDATES = 12
+
+
+def prompt(q: Request, f: Features, inv: Inventory) -> str:
+    """What a teacher reads: the instruction for the mode, lettered choices among the items that the request may mean, and the payload as compact JSON."""
+    families = set(f.families) or {inv.items[i]["family"] for i in f.items} or ({q.memory["pending_item_family"]} if q.memory.get("pending_item_family") else set())
+    near = [inv.items[i] for i in f.items] or [x for name in sorted(families) for x in inv.family(name, dict(f.attributes))]
+    choices = [f"{chr(65 + n)}. {x['name']} ({x['drawer'] or 'no drawer on record'})" for n, x in enumerate(near[:CANDIDATES])]
+    payload = q.payload(inv) | {"inventory_candidates": [x["id"] for x in near[:CANDIDATES]]}
+    mode = payload["decision_mode"]
+    return "\n".join([INSTRUCTIONS[mode], *(choices or ["No item matches."]), "CONTEXT_JSON:", compact(payload)])
+
+
 # -- replies and memory ----------------------------------------------------------------------------------------------
 #: Replies (fixed texts): {place} is the place of the item, or a request to repeat its name; {name} its name; {known} what was understood.
 REPLIES = {
@@ -506,35 +525,54 @@ def session(turns: Iterable[str], inv: Inventory, teacher: Callable[[Request], o
     return out
 
 
-_JUDGED = T.StructType([T.StructField(n, T.StringType()) for n in ("v3", "v2", "v1", "item", "action", "error", "reply", "signature")])
+_JUDGED = T.StructType(
+    [
+        *(T.StructField(n, T.StringType()) for n in ("v3", "v2", "v1", "item", "action", "error", "reply", "signature", "prompt", "template")),
+        T.StructField("rebinds", T.BooleanType()),
+        *(T.StructField(n, T.StringType()) for n in ("memory", "next_signature")),
+    ]
+)
+
+
+def compact(x) -> str:
+    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> DataFrame:
-    """(id, typed surfaces, item, checked action, error of the raw decision, reply, signature) of requests (id, setting, text, raw).
+    """Requests (id, setting, text, raw; history, an array of (role, text) before the text, memory as JSON, proposal: where given) under all rules.
 
     items: (setting, id, name, family, attributes map, drawer).  An inventory over ``largest`` items is refused rather than broadcast.
+    Result: id; typed surfaces v3, v2, v1; item; checked action; error of the raw decision; reply; signature; prompt for a teacher; template of the
+    decision as JSON (null: a value has no source); whether the template gives the decision back for the same request; memory after it; the signature of what follows.
     """
     rows = items.limit(largest + 1).collect()
     if len(rows) > largest:
         raise ValueError(f"more than {largest} items: split the inventory by setting")
     by: dict[str, list] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r.setting, r.id)):
         by.setdefault(r.setting, []).append({**r.asDict(), "attributes": dict(r.attributes or {})})
     shared = requests.sparkSession.sparkContext.broadcast(by)
     made: dict[str, Inventory] = {}
 
     @pandas_udf(_JUDGED)
-    def run(settings: pd.Series, texts: pd.Series, raws: pd.Series) -> pd.DataFrame:
+    def run(settings: pd.Series, texts: pd.Series, raws: pd.Series, histories: pd.Series, memories: pd.Series, proposals: pd.Series) -> pd.DataFrame:
         out = []
-        for s, text, raw in zip(settings, texts, raws, strict=True):
+        for s, text, raw, history, memory, proposal in zip(settings, texts, raws, histories, memories, proposals, strict=True):
             if s not in made:
                 made[s] = Inventory(shared.value.get(s, []))
-            inv, q = made[s], Request([("user", text or "")])
+            said = [(t["role"], t["text"]) for t in history] if history is not None else []
+            inv, q = made[s], Request([*said, ("user", text or "")], json.loads(memory) if memory else {}, proposal)
             f = review(q, inv)
             d, reason = checked(raw, q, inv)
             item = inv.items.get(d["resolved_item_id"] or "")
-            said = reply(d, inv) if item is None or item["drawer"] else "I have no place on record for that item."
-            out.append((f.surface, extract(text, inv, "v2").surface, extract(text, inv, "v1").surface, resolve(f, q, inv), d["action"], reason, said, q.signature()))
+            answer = reply(d, inv) if item is None or item["drawer"] else "I have no place on record for that item."
+            template = compile_template(d, q, inv)
+            again = instantiate(template, q, inv) if template else None
+            after = remember(q.memory, d)
+            following = Request([*q.conversation, ("robot", answer)], after).signature()
+            out.append((f.surface, extract(text, inv, "v2").surface, extract(text, inv, "v1").surface, resolve(f, q, inv), d["action"], reason, answer, q.signature(), prompt(q, f, inv), compact(template) if template else None, again == d, compact(after), following))
         return pd.DataFrame(out, columns=_JUDGED.names)
 
-    return requests.select("id", run("setting", "text", "raw").alias("j")).select("id", "j.*")
+    given = lambda name, kind: F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
+    columns = "setting", "text", "raw", given("history", "array<struct<role:string,text:string>>"), given("memory", "string"), given("proposal", "string")
+    return requests.select("id", run(*columns).alias("j")).select("id", "j.*")
