@@ -20,12 +20,13 @@ table gives no rows; very long texts take memory in proportion to one text; a co
 is bounded by EXAMPLES x terms in a text, and is broadcast; documents never move.
 """
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,11 @@ OFTEN = 16
 #: Votes without evidence: weight of the prior share among neighbours' cosines.
 PRIOR_WEIGHT = 0.1
 
+#: Texts whose results a worker remembers.
+REMEMBER = 50_000
+#: Letters that stand for a longer word's other forms.
+PREFIX = 5
+
 _WORD = re.compile(r"\w+")
 
 
@@ -61,35 +67,39 @@ def words_of(text: str) -> list[str]:
 
 
 def terms_of_word(word: str) -> list[str]:
-    """A word and its first five letters, so that inflected forms meet."""
-    return [word, word[:5] + "*"] if len(word) > 5 else [word]
+    """A word and its first letters, so that inflected forms meet."""
+    return [word, word[:PREFIX] + "*"] if len(word) > PREFIX else [word]
 
 
-class Columns(dict):
-    """Word -> columns of its terms; remembers words, a bounded number of them."""
+class Columns:
+    """Columns of terms: one dictionary for whole words, one for first letters."""
 
     def __init__(self, terms: list[str]):
-        self.of = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = tuple(c for t in terms_of_word(word) if (c := self.of.get(t)) is not None)
-        return found
+        self.terms = terms
+        self.word = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.first = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
 
     def __reduce__(self):
-        return Columns, (list(self.of),)
+        return Columns, (self.terms,)
 
     def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Columns of a text's distinct words' terms, and the words' numbers; a column may come more than once."""
+        """Columns of a text's distinct terms, ascending, and their numbers: of a word its places, of first letters the words that begin so."""
         words = Counter(words_of(text))
-        found = list(map(self.__getitem__, words))
-        numbers = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
-        return np.fromiter(chain.from_iterable(found), np.int64, len(numbers)), numbers
+        columns, numbers = [], []
+        for known, counts in ((self.word, words), (self.first, Counter([w[:PREFIX] for w in words if len(w) > PREFIX]))):
+            columns.append(np.fromiter(map(known.get, counts, repeat(-1)), np.int64, len(counts)))
+            numbers.append(np.fromiter(counts.values(), np.int64, len(counts)))
+        columns, numbers = np.concatenate(columns), np.concatenate(numbers)
+        order = np.argsort(columns, kind="stable")[np.count_nonzero(columns < 0) :]
+        return columns[order], numbers[order]
 
     def distinct(self, text: str) -> list[int]:
         """Columns of a text's terms."""
-        return list(set(chain.from_iterable(map(self.__getitem__, set(words_of(text))))))
+        words = set(words_of(text))
+        found = set(map(self.word.get, words))
+        found.update(map(self.first.get, {w[:PREFIX] for w in words if len(w) > PREFIX}))
+        found.discard(None)
+        return list(found)
 
 
 def label_weights(texts: list[str], labels: list[int]) -> dict[str, float]:
@@ -133,8 +143,8 @@ class Model:
         vectors = [vectors[i] for i in self.number]
         self.labels, self.ids = self.labels[self.number], [self.ids[i] for i in self.number]
         terms_at = np.concatenate([np.empty(0, np.int64), *(c for c, _ in vectors)])
-        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)]).astype(np.float32)
-        owner = np.repeat(np.arange(n), [len(c) for c, _ in vectors]).astype(np.int32)
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        owner = np.repeat(np.arange(n), [len(c) for c, _ in vectors])
         order = np.lexsort((owner, terms_at))
         self.owner, self.weight = owner[order], weight[order]
         self.ends = np.searchsorted(terms_at[order], np.arange(m + 1))
@@ -148,17 +158,18 @@ class Model:
             self.often[self.owner[i:j], k] = self.weight[i:j]
         self.most = self.often.reshape(self.blocks, BLOCK, len(often)).max(1).T.copy()
         self.curve = (1.0, 0.0)
+        self.steps = np.arange(1 << 16)
+        self.known: dict[bytes, tuple] = {}  # results by text
         self.visited = 0  # blocks whose examples were scored whole
         if held[0] and n:
             self._calibrate([v for v, _, _ in self.votes(held[0])], np.array(held[1], np.int64))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Columns and weights of a text's unit vector over the vocabulary."""
-        found, numbers = self.columns.of_text(text)
-        if not len(found):
+        columns, numbers = self.columns.of_text(text)
+        if not len(columns):
             return np.empty(0, np.int64), np.empty(0)
-        columns, place = np.unique(found, return_inverse=True)
-        weights = (1 + np.log(np.bincount(place, numbers))) * self.idf[columns]
+        weights = (1 + np.log(numbers)) * self.idf[columns]
         return columns, weights / np.sqrt((weights**2).sum())
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -171,19 +182,24 @@ class Model:
             place = self.place[columns]
             rare = place < 0
             frequent[q, place[~rare]] = weights[~rare]
-            start, length = self.ends[columns[rare]], self.ends[columns[rare] + 1] - self.ends[columns[rare]]
-            at = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum()) if len(length) else np.empty(0, np.int64)
-            score[q] = np.bincount(self.owner[at], np.repeat(weights[rare], length) * self.weight[at], minlength=wide)
+            start = self.ends[columns[rare]]
+            length = self.ends[columns[rare] + 1] - start
+            upto = np.cumsum(length)
+            at = np.repeat(start - (upto - length), length)
+            at += self.steps[: len(at)] if len(at) <= len(self.steps) else np.arange(len(at))
+            product = np.repeat(weights[rare], length)
+            product *= self.weight[at]
+            score[q] = np.bincount(self.owner[at], product, minlength=wide)
         bounds = score.reshape(m, self.blocks, BLOCK).max(2) + frequent @ self.most
         left, least = bounds > 0, np.zeros(m)
-        best = np.full((m, self.blocks, BLOCK), -1.0)  # cosines, where a block was visited, to within CLOSE
+        best = np.full((m, self.blocks, BLOCK), -1.0, np.float32)  # cosines, where a block was visited, to within CLOSE
         # first each vector's most promising blocks, then all whose bound reaches the k-th best cosine by then: no other can enter
         visit = left & (bounds >= np.partition(bounds, -min(FIRST, self.blocks), axis=1)[:, [-min(FIRST, self.blocks)]])
         for _ in range(2):
             for b in np.flatnonzero(visit.any(0)).tolist():
                 q = np.flatnonzero(visit[:, b])
                 part = slice(b * BLOCK, (b + 1) * BLOCK)
-                best[q, b] = score[q, part] + frequent[q] @ self.often[part].T
+                best[q, b] = score[q, part].astype(np.float32) + frequent[q] @ self.often[part].T
                 self.visited += len(q)
             left &= ~visit
             if wide >= k:
@@ -226,9 +242,17 @@ class Model:
         self.curve = (max(0.0, float(a)), float(b))
 
     def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
-        """Each text's score, the ids of its nearest examples and their cosines."""
+        """Each text's score, the ids of its nearest examples and their cosines; of equal texts one is searched."""
         if not self.n:
             return [(0.0, [], []) for _ in texts]
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        keys = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts, strict=True) if k not in self.known}
+        self.known.update(zip(new, self._scores(list(new.values())), strict=True))
+        return [self.known[k] for k in keys]
+
+    def _scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
         a, b = self.curve
         out = []
         for v, i, s in self.votes(texts):
