@@ -87,14 +87,17 @@ def scan(tokens: list[str], table: dict[tuple, dict[str, list[str]]], longest: i
     return out
 
 
-def typed_features(requests: DataFrame, table: DataFrame) -> DataFrame:
+def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_000_000) -> DataFrame:
     """(id, typed, items, ambiguous, correction) of requests: one phrase table for each setting, sent to the tasks.
 
-    table: (setting, phrase, kind, value).  It has a few rows for each item of an inventory, so a setting's table is small;
-    requests meet it in a grouped join by setting, in Arrow batches, and stay spread over as many tasks as they are in.
+    table: (setting, phrase, kind, value).  It has a few rows for each item of an inventory; over ``largest`` phrases it is refused rather than broadcast.
+    Requests stay spread over as many tasks as they are in.
     """
     rows = defaultdict(lambda: defaultdict(dict))
-    for r in table.groupBy("setting", "phrase", "kind").agg(F.array_sort(F.collect_set("value")).alias("values")).collect():
+    phrases = table.groupBy("setting", "phrase", "kind").agg(F.array_sort(F.collect_set("value")).alias("values")).limit(largest + 1).collect()
+    if len(phrases) > largest:
+        raise ValueError(f"more than {largest} phrases: split the inventory by setting")
+    for r in phrases:
         rows[r.setting][tuple(r.phrase.split(" "))][r.kind] = r["values"]
     plain = {s: dict(t) for s, t in rows.items()}
     shared = requests.sparkSession.sparkContext.broadcast((plain, {s: max(map(len, t), default=1) for s, t in plain.items()}))

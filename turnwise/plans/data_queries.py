@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import decisions as D
+from ..operators import ordering as O
 from ..operators import splits as P
 from .base import I, U, inventory, query, utterances
 
@@ -67,13 +68,6 @@ def inv_normalize(read):
     return D.normalize_inventory(inventory(read))
 
 
-@query(f"WITH {I} SELECT item_id, CASE WHEN name LIKE '%bolt%' OR name LIKE '%ring%' THEN 'fastener' WHEN name LIKE '%plate%' THEN 'sheet' WHEN name LIKE '%gear%' OR name LIKE '%widget%' THEN 'moving part' ELSE 'other' END AS derived, string_split(name, ' ')[1] AS colour FROM i")
-def derived_family(read):
-    """Families and attributes derived from names."""
-    n = F.col("name")
-    return inventory(read).select("item_id", F.when(n.contains("bolt") | n.contains("ring"), "fastener").when(n.contains("plate"), "sheet").when(n.contains("gear") | n.contains("widget"), "moving part").otherwise("other").alias("derived"), F.split("name", " ")[0].alias("colour"))
-
-
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, json_valid(props) AS valid FROM events")
 def strict_json(read):
     """Documents parsed by a schema, malformed ones told apart."""
@@ -81,37 +75,26 @@ def strict_json(read):
     return read("events").select("event_id", x["k"].alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query("WITH m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'locate' WHEN 1 THEN 'recover' WHEN 2 THEN 'redirect' ELSE 'cancel' END AS action FROM conversations WHERE turn < 4) SELECT conv_id, arg_max(action, turn) AS last_action, CASE WHEN max(turn) = 3 THEN 0 ELSE count(*) FILTER (action = 'recover') END AS recoveries FROM m GROUP BY conv_id")
+@query(
+    "WITH m AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'locate' WHEN 1 THEN 'recover' WHEN 2 THEN 'redirect' ELSE 'cancel' END AS action FROM conversations), c AS (SELECT conv_id, max(turn) FILTER (action = 'cancel') AS cancelled FROM m GROUP BY conv_id) "
+    "SELECT conv_id, arg_max(action, turn) AS last_action, count(*) FILTER (action = 'recover' AND (cancelled IS NULL OR turn > cancelled)) AS recoveries FROM m JOIN c USING (conv_id) GROUP BY conv_id"
+)
 def memory_transition(read):
     """Memory folded over a dialogue's decisions; cancelling empties it."""
-    t = read("conversations").filter("turn < 4")
+    t = read("conversations")
     action = F.when(F.col("turn") % 4 == 0, "locate").when(F.col("turn") % 4 == 1, "recover").when(F.col("turn") % 4 == 2, "redirect").otherwise("cancel")
     seq = F.transform(F.array_sort(F.collect_list(F.struct("turn", action.alias("action")))), lambda x: x["action"])
     m = t.groupBy("conv_id").agg(D.fold_memory(seq).alias("m"))
     return m.select("conv_id", "m.last_action", F.col("m.recoveries").cast("long").alias("recoveries"))
 
 
-@query("WITH p AS (SELECT conv_id, min(turn) FILTER (len(text) < 60) AS cut FROM conversations GROUP BY conv_id) SELECT c.conv_id, count(*) AS kept, max(turn) AS last_turn FROM conversations c JOIN p USING (conv_id) WHERE cut IS NULL OR turn < cut GROUP BY c.conv_id")
-def clean_prefix(read):
-    """Turns before the first one that breaks a rule."""
-    c = read("conversations")
-    cut = F.min(F.when(F.length("text") < 60, F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return c.withColumn("cut", cut).filter("cut IS NULL OR turn < cut").groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"), F.max("turn").alias("last_turn"))
-
-
-@query(f"WITH {I} SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'current_resolution' WHEN 1 THEN 'memory_item' ELSE 'none' END AS item_source, CASE WHEN item_id % 4 = 0 THEN item_id WHEN item_id % 4 = 1 AND item_id > 0 THEN item_id - 1 END AS bound, item_id % 4 > 1 OR item_id > 0 OR item_id % 4 = 0 AS ok FROM i")
-def template_binding(read):
-    """M5: binding sources of a template and what they give for another turn."""
-    k = F.col("item_id")
-    return inventory(read).select("item_id", F.when(k % 4 == 0, "current_resolution").when(k % 4 == 1, "memory_item").otherwise("none").alias("item_source"), F.when(k % 4 == 0, k).when((k % 4 == 1) & (k > 0), k - 1).alias("bound"), ((k % 4 > 1) | (k > 0) | (k % 4 == 0)).alias("ok"))
-
-
 @query(f"WITH {I} SELECT family, CAST(sum(CAST(a = b AS INT)) AS BIGINT) AS equal_decisions FROM (SELECT family, name || '|' || brand AS a, lag(name || '|' || brand) OVER (PARTITION BY family ORDER BY item_id) AS b FROM i) GROUP BY family")
 def decision_equality(read):
     """M6: deep equality of neighbouring decisions through sorted entries."""
     i = inventory(read).select("family", "item_id", F.array_sort(F.map_entries(F.create_map(F.lit("name"), "name", F.lit("brand"), "brand"))).alias("a"))
-    b = F.lag("a").over(Window.partitionBy("family").orderBy("item_id"))
-    return i.withColumn("same", (F.col("a") == b).cast("int")).groupBy("family").agg(F.sum("same").alias("equal_decisions"))
+    i = O.position(i, [F.col("family"), F.floor(F.col("item_id") / O.SPAN)], ["item_id"])
+    before = i.select("family", (F.col("position") + 1).alias("position"), F.col("a").alias("b"))
+    return i.join(before, ["family", "position"], "left").groupBy("family").agg(F.sum((F.col("a") == F.col("b")).cast("int")).alias("equal_decisions"))
 
 
 @query("WITH h AS (SELECT c_custkey, sha256('split-v2:' || c_custkey) AS h FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY h, c_custkey) - 1 AS r, count(*) OVER () AS n FROM h) SELECT c_custkey, CASE WHEN r < floor(CAST(0.65 AS DOUBLE) * n) THEN 'train' WHEN r < floor(CAST(0.82 AS DOUBLE) * n) THEN 'validation' ELSE 'test' END AS split FROM r")
@@ -136,23 +119,6 @@ def group_folds(read):
     return P.group_folds(read("customer").select(F.col("c_custkey").alias("a"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("b")), folds=3)
 
 
-@query(f"WITH {I}, w AS (SELECT * FROM range(3) a(world)), s AS (SELECT * FROM (VALUES ('locate'), ('clarify'), ('recover'), ('cancel')) t(scenario)) SELECT world, scenario, count(*) AS rows, sum(('0x' || left(md5(world || ':' || scenario || ':' || item_id), 4))::BIGINT % 10)::BIGINT AS drawn FROM w, s, i GROUP BY ALL")
-def world_generator(read):
-    """Worlds x scenarios x items with hash draws instead of a seeded generator."""
-    x = inventory(read).withColumn("world", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("scenario", F.explode(F.array(*map(F.lit, ("locate", "clarify", "recover", "cancel")))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("world").cast("string"), "scenario", F.col("item_id").cast("string"))), 1, 4), 16, 10).cast("long") % 10
-    return x.groupBy(F.col("world").cast("long").alias("world"), "scenario").agg(F.count(F.lit(1)).alias("rows"), F.sum(draw).alias("drawn"))
-
-
-@query("SELECT c_custkey, list_filter(CASE c_nationkey % 3 WHEN 0 THEN ['BUILDING', 'MACHINERY'] WHEN 1 THEN ['HOUSEHOLD', 'BUILDING', 'FURNITURE'] ELSE ['AUTOMOBILE'] END, lambda x: x IN (c_mktsegment, 'BUILDING'))[1] AS strategy FROM customer")
-def primary_strategy(read):
-    """The first supported strategy by priority."""
-    arr = lambda *xs: F.array(*map(F.lit, xs))
-    n = F.col("c_nationkey") % 3
-    order = F.when(n == 0, arr("BUILDING", "MACHINERY")).when(n == 1, arr("HOUSEHOLD", "BUILDING", "FURNITURE")).otherwise(arr("AUTOMOBILE"))
-    return read("customer").select("c_custkey", F.get(F.filter(order, lambda x: (x == F.col("c_mktsegment")) | (x == "BUILDING")), F.lit(0)).alias("strategy"))
-
-
 @query("SELECT 'null text' AS check, count(*) FILTER (text IS NULL) AS failures FROM documents UNION ALL SELECT 'repeated id', CAST(count(*) - count(DISTINCT doc_id) AS BIGINT) FROM documents UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'bad label', count(*) FILTER (toxic NOT IN (0, 1)) FROM labels UNION ALL SELECT 'length differs', count(*) FILTER (n_chars <> len(text)) FROM documents")
 def split_audit(read):
     """One row for each check with its number of failures."""
@@ -176,31 +142,9 @@ def inventory_overrides(read):
 def error_examples(read):
     """Replies with a wrong drawer, a wrong item, or nothing said."""
     i = inventory(read)
-    after = i.select((F.col("item_id") - 1).alias("item_id"), F.col("name").alias("next"))  # ids are dense
+    i = O.position(i, [F.floor(F.col("item_id") / O.SPAN)], ["item_id"])
+    after = i.select((F.col("position") - 1).alias("position"), F.col("name").alias("next"))
     nxt, k = F.coalesce("next", F.lit("nothing")), F.col("item_id") % 3
     wrong = F.concat(F.lit("The "), "name", F.lit(" is in drawer "), (1 + F.col("size").cast("int") % 40).cast("string"), F.lit("."))
     other = F.concat(F.lit("The "), nxt, F.lit(" is in "), F.coalesce("drawer", F.lit("no drawer")), F.lit("."))
-    return i.join(after, "item_id", "left").select("item_id", F.when(k == 0, wrong).when(k == 1, other).otherwise("It is over there.").alias("reply"))
-
-
-@query("SELECT o_custkey, o_orderkey AS chosen FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderkey) = 1")
-def case_preparation(read):
-    """The best usable version of each case, reviewed ones first."""
-    w = Window.partitionBy("o_custkey").orderBy((F.col("o_orderstatus") == "F").desc(), F.desc("o_totalprice"), "o_orderkey")
-    return read("orders").withColumn("r", F.row_number().over(w)).filter("r = 1").select("o_custkey", F.col("o_orderkey").alias("chosen"))
-
-
-@query("WITH s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'too small' WHEN o_orderstatus = 'P' THEN 'not approved' WHEN o_orderpriority LIKE '5%' THEN 'no wording' END AS reason FROM orders) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM s GROUP BY 1")
-def seed_audit(read):
-    """Each candidate kept or excluded with its reason, reasons counted."""
-    r = F.when(F.col("o_totalprice") < 1000, "too small").when(F.col("o_orderstatus") == "P", "not approved").when(F.col("o_orderpriority").startswith("5"), "no wording").otherwise("kept")
-    return read("orders").groupBy(r.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {U} SELECT 'query' AS type, lower(text) AS text, count(*) AS support FROM u GROUP BY lower(text) UNION ALL SELECT 'config', 'start_state=awaiting_request', 1 UNION ALL SELECT 'transition', event_type, count(*) FROM events GROUP BY event_type")
-def compiler_split(read):
-    """One record stream of configuration, queries and transitions with support."""
-    q = utterances(read).groupBy(F.lower("text").alias("text")).agg(F.count(F.lit(1)).alias("support")).select(F.lit("query").alias("type"), "text", "support")
-    t = read("events").groupBy(F.col("event_type").alias("text")).agg(F.count(F.lit(1)).alias("support")).select(F.lit("transition").alias("type"), "text", "support")
-    c = q.sparkSession.createDataFrame([("config", "start_state=awaiting_request", 1)], "type string, text string, support long")
-    return q.unionByName(c).unionByName(t)
+    return i.join(after, "position", "left").select("item_id", F.when(k == 0, wrong).when(k == 1, other).otherwise("It is over there.").alias("reply"))

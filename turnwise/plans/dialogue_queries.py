@@ -142,5 +142,5 @@ def source_alignment(read):
     from ..operators import alignment
 
     c = read("conversations")
-    segments = c.select(F.col("conv_id").alias("version"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("p", "text")).select("version", (F.col("turn") * 10_000 + F.col("p")).alias("segment"), "text")
+    segments = c.select(F.col("conv_id").alias("version"), "turn", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("p", "text")).select("version", (F.col("turn") * 1_000_000_000 + F.col("p")).alias("segment"), "text")
     return alignment.align_versions(c.select(F.col("conv_id").alias("version"), "turn", "text"), segments)

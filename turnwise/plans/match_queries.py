@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import matching as M
+from ..operators import ordering as O
 from .base import I, TEMPLATES, U, inventory, query, turn_log, utterances
 
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -75,7 +76,8 @@ def item_resolution(read):
     u = utterances(read)
     hits = M.phrase_hits(u, inventory(read).select("setting", "item_id", "name"))
     one = hits.filter("n = 1").select("id", F.get("first", F.lit(0)).alias("item_id"))
-    r = u.join(one, "id", "left").withColumn("before", F.lag("item_id").over(Window.partitionBy("setting").orderBy("id")))
+    r = O.position(u.join(one, "id", "left"), [F.col("setting"), F.floor(F.col("id") / O.SPAN)], ["id"])
+    r = r.join(r.select("setting", (F.col("position") + 1).alias("position"), F.col("item_id").alias("before")), ["setting", "position"], "left")
     back = F.lower("text").contains("please")
     return r.select("id", F.coalesce("item_id", F.when(back, F.col("before"))).alias("item_id"), F.when(F.col("item_id").isNotNull(), "current").when(back & F.col("before").isNotNull(), "memory").otherwise("none").alias("source"))
 
@@ -182,13 +184,6 @@ def exact_then_typed(read):
     return j.select("vec_id", F.coalesce("x", "y").alias("entry"), F.when(F.col("x").isNotNull(), "exact").when(F.col("y").isNotNull(), "typed").otherwise("none").alias("level"))
 
 
-@query("SELECT c_custkey, coalesce(CASE n_regionkey WHEN 0 THEN 'test' WHEN 1 THEN 'validation' END, 'train') AS split FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
-def fold_assignment(read):
-    """Splits by participant group, train by default."""
-    n = read("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
-    return read("customer").join(n, "c_nationkey", "left").select("c_custkey", F.coalesce(F.when(F.col("n_regionkey") == 0, "test").when(F.col("n_regionkey") == 1, "validation"), F.lit("train")).alias("split"))
-
-
 @query(f"WITH {I}, r AS (SELECT name, count(*) AS refs FROM i WHERE setting = 'lab' AND family = 'SMALL' AND brand < 'Brand#2' GROUP BY name) SELECT item_id, coalesce(refs, 0) AS refs, CASE coalesce(refs, 0) WHEN 0 THEN 'unmapped' WHEN 1 THEN 'mapped' ELSE 'ambiguous' END AS status FROM i LEFT JOIN r USING (name)")
 def reference_comparison(read):
     """Learned names against a reference list: none, one or many."""
@@ -274,16 +269,6 @@ def leakage_semi(read):
     return read("benchmark").select("item_id", key).join(read("documents").select("doc_id", key), "k", "left").groupBy("item_id").agg(F.count("doc_id").alias("copies"))
 
 
-@query("SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery, round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 6) AS building_avg FROM customer GROUP BY c_nationkey")
-def condition_pivot(read):
-    """Conditions side by side for each case."""
-    return read("customer").groupBy("c_nationkey").agg(
-        F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"),
-        F.count_if(F.col("c_mktsegment") == "MACHINERY").alias("machinery"),
-        F.round(F.avg(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))), 6).alias("building_avg"),
-    )
-
-
 @query(
     f"WITH {I}, n AS (SELECT DISTINCT name FROM i), g AS (SELECT name, unnest(list_transform(range(1, len(name) - 1), lambda k: substr(name, k, 3))) AS g FROM n), t AS (SELECT name, g, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT name, sqrt(sum(n * n)) AS norm FROM t GROUP BY name) "
     "SELECT a.name AS a, b.name AS b, round(sum(a.n * b.n) / max(x.norm * y.norm), 6) AS cosine FROM t a JOIN t b ON a.g = b.g AND a.name < b.name JOIN s x ON x.name = a.name JOIN s y ON y.name = b.name GROUP BY ALL"

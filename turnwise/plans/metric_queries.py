@@ -218,10 +218,10 @@ def ms_rounding(read):
     return turn_log(read).select("event_id", F.round(F.col("value") * 1000, 3).alias("ms"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))), 6) AS z, round(exp(CAST(embedding[1] AS DOUBLE)) / list_sum(list_transform(embedding[1:8], lambda x: exp(CAST(x AS DOUBLE)))), 6) AS p_first FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))), 6) AS z, round(exp(CAST(embedding[1] AS DOUBLE)) / list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)))), 6) AS p_first FROM embeddings")
 def softmax(read):
     """M4: choice probabilities from logits."""
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: F.exp(x.cast("double")))
+    logits = F.transform("embedding", lambda x: F.exp(x.cast("double")))
     z = F.aggregate(logits, F.lit(0.0), lambda s, x: s + x)
     return read("embeddings").select("vec_id", F.round(z, 6).alias("z"), F.round(logits[0] / z, 6).alias("p_first"))
 

@@ -128,10 +128,10 @@ def bounded_log(read):
     return turn_log(read).orderBy(F.desc("position")).limit(256).select("position", "event_id")
 
 
-@query("SELECT vec_id, CAST(list_position(list_transform(range(1, 9), lambda k: CASE WHEN k IN (2, 5) THEN -9 ELSE round(CAST(embedding[k] AS DOUBLE), 6) END), list_max(list_transform(range(1, 9), lambda k: CASE WHEN k IN (2, 5) THEN -9 ELSE round(CAST(embedding[k] AS DOUBLE), 6) END))) AS INT) AS choice FROM embeddings")
+@query("SELECT vec_id, CAST(list_position(list_transform(range(1, len(embedding) + 1), lambda k: CASE WHEN k IN (2, 5) THEN -9 ELSE round(CAST(embedding[k] AS DOUBLE), 6) END), list_max(list_transform(range(1, len(embedding) + 1), lambda k: CASE WHEN k IN (2, 5) THEN -9 ELSE round(CAST(embedding[k] AS DOUBLE), 6) END))) AS INT) AS choice FROM embeddings")
 def constrained_argmax(read):
     """The best allowed choice, earlier ones first among equals."""
-    scores = F.transform(F.slice("embedding", 1, 8), lambda x, k: F.when(k.isin(1, 4), -9.0).otherwise(F.round(x.cast("double"), 6)))
+    scores = F.transform("embedding", lambda x, k: F.when(k.isin(1, 4), -9.0).otherwise(F.round(x.cast("double"), 6)))
     return read("embeddings").select("vec_id", F.array_position(scores, F.array_max(scores)).cast("int").alias("choice"))
 
 

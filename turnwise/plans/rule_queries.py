@@ -38,14 +38,14 @@ CASES = [
     ("'Where is the ' || name || '?'", _RETRY, "NULL", "'The ' || name || ' is in ' || coalesce(drawer, 'drawer 7') || '.'"),
     ("'Where is the ' || name || '?'", _RIGHT, "NULL", "'The ' || name || ' is in drawer 99.'"),
 ]
-_UNIQUE = "n AS (SELECT item_id, setting, family, brand, size, drawer, name || ' ' || item_id AS name FROM i)"
+UNIQUE_SQL = "n AS (SELECT item_id, setting, family, brand, size, drawer, name || ' ' || item_id AS name FROM i)"
 
 
 def _of(column: int) -> str:
     return "CASE item_id % 14 " + " ".join(f"WHEN {k} THEN {c[column]}" for k, c in enumerate(CASES)) + " END"
 
 
-_CASES_SQL = f"{_UNIQUE}, c AS (SELECT *, item_id % 14 AS k, {_of(0)} AS text, {_of(1)} AS raw, {_of(2)} AS memory, {_of(3)} AS proposal FROM n)"
+CASES_SQL = f"{UNIQUE_SQL}, c AS (SELECT *, item_id % 14 AS k, {_of(0)} AS text, {_of(1)} AS raw, {_of(2)} AS memory, {_of(3)} AS proposal FROM n)"
 
 
 def named_inventory(read):
@@ -62,18 +62,18 @@ def cases(read):
     return named_inventory(read).select(F.col("item_id").alias("id"), "setting", *(F.expr(_of(i)).alias(n) for i, n in enumerate(("text", "raw", "memory", "proposal"))))
 
 
+V3_SQL = "CASE WHEN k IN (0, 1, 5) THEN 'where is the <item>' WHEN k IN (2, 3, 4) THEN 'please find <item>' WHEN k = 6 THEN 'which <family> is here' WHEN k = 7 THEN 'hello friend' WHEN k = 8 THEN 'never mind' WHEN k = 9 THEN 'no i said the <item>' WHEN k = 10 THEN 'where is it' WHEN k = 11 THEN 'is there any zorp here' ELSE '<request:item> || the <item:same> is in ' || CASE WHEN drawer IS NULL THEN '<drawer>' WHEN k = 12 THEN '<drawer:match>' ELSE '<drawer:mismatch>' END END"
 _ERROR = (
     "CASE WHEN k IN (0, 5) AND drawer IS NULL AND k = 0 THEN 'no_drawer_on_record' WHEN k = 1 THEN 'unknown_item' WHEN k IN (2, 3) THEN 'no_json_object' WHEN k = 4 THEN 'keys' WHEN k = 5 THEN 'flag_and_type_disagree' "
     "WHEN k = 7 THEN 'unrelated_reported_missing' WHEN k = 9 AND drawer IS NULL THEN 'no_drawer_on_record' WHEN k = 10 THEN 'request_redirected' WHEN k = 11 THEN 'locate_without_item' "
     "WHEN k = 12 AND drawer IS NULL THEN 'no_drawer_on_record' WHEN k = 12 THEN 'right_drawer_is_no_failure' WHEN k = 13 AND drawer IS NULL THEN 'no_drawer_on_record' WHEN k = 13 THEN 'approves_wrong_drawer' END"
 )
-_ACTION = "CASE WHEN k = 6 THEN 'clarify' WHEN k = 7 THEN 'redirect' WHEN k = 8 THEN 'cancel' WHEN k IN (9, 13) OR k = 12 AND drawer IS NULL THEN 'recover' WHEN k = 11 THEN 'not_found' ELSE 'locate' END"
+ACTION_SQL = "CASE WHEN k = 6 THEN 'clarify' WHEN k = 7 THEN 'redirect' WHEN k = 8 THEN 'cancel' WHEN k IN (9, 13) OR k = 12 AND drawer IS NULL THEN 'recover' WHEN k = 11 THEN 'not_found' ELSE 'locate' END"
 
 
 @query(
-    f"WITH {I}, {_CASES_SQL} SELECT item_id AS id, CASE WHEN k IN (0, 1, 5) THEN 'where is the <item>' WHEN k IN (2, 3, 4) THEN 'please find <item>' WHEN k = 6 THEN 'which <family> is here' WHEN k = 7 THEN 'hello friend' WHEN k = 8 THEN 'never mind' WHEN k = 9 THEN 'no i said the <item>' "
-    "WHEN k = 10 THEN 'where is it' WHEN k = 11 THEN 'is there any zorp here' ELSE '<request:item> || the <item:same> is in ' || CASE WHEN drawer IS NULL THEN '<drawer>' WHEN k = 12 THEN '<drawer:match>' ELSE '<drawer:mismatch>' END END AS v3, "
-    f"CASE WHEN k NOT IN (6, 7, 8, 11) THEN CAST(item_id AS VARCHAR) END AS item, {_ACTION} AS action, {_ERROR} AS error, "
+    f"WITH {I}, {CASES_SQL} SELECT item_id AS id, {V3_SQL} AS v3, "
+    f"CASE WHEN k NOT IN (6, 7, 8, 11) THEN CAST(item_id AS VARCHAR) END AS item, {ACTION_SQL} AS action, {_ERROR} AS error, "
     "CASE WHEN k IN (12, 13) THEN 'reviewing_proposed_answer' ELSE 'awaiting_request' END AS state FROM c"
 )
 def judged_cases(read):
@@ -90,7 +90,7 @@ _SORRY = "CASE WHEN drawer IS NULL THEN NULL ELSE {text} || 'The ' || name || '
 
 
 @query(
-    f"WITH {I}, {_CASES_SQL} SELECT item_id AS id, CASE WHEN drawer IS NULL AND k NOT IN (6, 7, 8, 11) THEN 'I have no place on record for that item.' WHEN k = 6 THEN 'Which type do you need? Please give its color, size, or exact name.' WHEN k = 7 THEN 'I can help you locate items in the inventory. Which item do you need?' "
+    f"WITH {I}, {CASES_SQL} SELECT item_id AS id, CASE WHEN drawer IS NULL AND k NOT IN (6, 7, 8, 11) THEN 'I have no place on record for that item.' WHEN k = 6 THEN 'Which type do you need? Please give its color, size, or exact name.' WHEN k = 7 THEN 'I can help you locate items in the inventory. Which item do you need?' "
     "WHEN k = 8 THEN 'Okay, I have cancelled this request.' WHEN k = 11 THEN 'I could not match that request to the inventory. Please check the name or ask a staff member.' "
     "ELSE CASE k WHEN 9 THEN 'Sorry, I misunderstood. ' WHEN 13 THEN 'Sorry, let me give the inventory location more clearly. ' ELSE '' END || 'The ' || name || ' is listed in ' || drawer || '.' END AS reply FROM c"
 )
@@ -100,7 +100,7 @@ def rendered_replies(read):
 
 
 @query(
-    f"WITH {I}, {_CASES_SQL}, a AS (SELECT *, {_ACTION} AS action FROM c) SELECT item_id AS id, CASE WHEN k = 10 THEN 'memory_item' WHEN k IN (6, 7, 8, 11) THEN 'none' ELSE 'current_resolution' END AS item_source, "
+    f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action FROM c) SELECT item_id AS id, CASE WHEN k = 10 THEN 'memory_item' WHEN k IN (6, 7, 8, 11) THEN 'none' ELSE 'current_resolution' END AS item_source, "
     "CASE WHEN k = 6 THEN 'current_family' WHEN k IN (7, 8, 11) THEN 'none' ELSE 'resolved_item' END AS family_source, action, true AS rebinds FROM a"
 )
 def template_sources(read):
@@ -111,7 +111,7 @@ def template_sources(read):
 
 
 @query(
-    f"WITH {I}, {_CASES_SQL}, a AS (SELECT *, {_ACTION} AS action FROM c) SELECT item_id AS id, CASE WHEN k = 6 OR k NOT IN (7, 8, 11) THEN family END AS pending_item_family, CASE WHEN k NOT IN (6, 7, 8, 11) THEN CAST(item_id AS VARCHAR) END AS resolved_item_id, "
+    f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action FROM c) SELECT item_id AS id, CASE WHEN k = 6 OR k NOT IN (7, 8, 11) THEN family END AS pending_item_family, CASE WHEN k NOT IN (6, 7, 8, 11) THEN CAST(item_id AS VARCHAR) END AS resolved_item_id, "
     "CASE WHEN k = 8 THEN NULL ELSE action END AS last_robot_action, CAST(CASE WHEN k = 9 THEN 3 WHEN action = 'recover' THEN 1 ELSE 0 END AS INT) AS recovery_count, "
     f"CASE WHEN k NOT IN (6, 7, 8, 11) THEN {_ATTRIBUTES} ELSE '{{}}' END AS known_attributes, "
     "CASE WHEN k IN (8, 7) THEN 'awaiting_request' ELSE 'awaiting_request' END AS next_state, k NOT IN (6, 7, 8, 11) AS has_resolved_item FROM a"
@@ -133,7 +133,7 @@ def memory_after(read):
 
 
 @query(
-    f"WITH {I}, {_CASES_SQL}, f AS (SELECT setting, family, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids, list(CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS l FROM n GROUP BY ALL) "
+    f"WITH {I}, {CASES_SQL}, f AS (SELECT setting, family, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids, list(CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS l FROM n GROUP BY ALL) "
     "SELECT item_id AS id, CASE WHEN k IN (12, 13) THEN 'pre_send_review' ELSE 'dialogue_decision' END AS mode, "
     "CASE WHEN k = 6 THEN array_to_string(l[1:12], ',') WHEN k IN (7, 8, 10, 11) THEN '' ELSE CAST(item_id AS VARCHAR) END AS candidates, "
     "CASE WHEN k IN (7, 8, 10, 11) THEN 'No item matches.' WHEN k = 6 THEN NULL ELSE 'A. ' || name || ' (' || coalesce(drawer, 'no drawer on record') || ')' END AS first_choice, text FROM c JOIN f USING (setting, family)"
