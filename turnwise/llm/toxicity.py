@@ -93,13 +93,11 @@ class Columns:
         order = np.argsort(columns, kind="stable")[np.count_nonzero(columns < 0) :]
         return columns[order], numbers[order]
 
-    def distinct(self, text: str) -> list[int]:
-        """Columns of a text's terms."""
+    def add_to(self, counts: np.ndarray, text: str) -> None:
+        """Count a text for each of its terms; the last count, one beyond the columns, takes unknown ones."""
         words = set(words_of(text))
-        found = set(map(self.word.get, words))
-        found.update(map(self.first.get, {w[:PREFIX] for w in words if len(w) > PREFIX}))
-        found.discard(None)
-        return list(found)
+        for known, some in ((self.word, words), (self.first, {w[:PREFIX] for w in words if len(w) > PREFIX})):
+            counts[np.fromiter(map(known.get, some, repeat(-1)), np.int64, len(some))] += 1
 
 
 def label_weights(texts: list[str], labels: list[int]) -> dict[str, float]:
@@ -285,12 +283,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(weights), np.int64), 0
+        counts, n = np.zeros(len(weights) + 1, np.int64), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                counts[columns.distinct(t)] += 1
+                columns.add_to(counts, t)
                 n += 1
-        at = np.flatnonzero(counts)
+        at = np.flatnonzero(counts[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[counts[at], n])], schema=schema)
 
     df = {r.term: r.n for r in docs.select(text.alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
