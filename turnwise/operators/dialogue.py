@@ -506,6 +506,16 @@ def remember(memory: dict, d: dict, *, record_redirect: bool = True) -> dict:
     return new | {"pending_item_family": d["item_family"], "known_attributes": dict(d["attributes"]), "missing_attributes": list(d["missing_attributes"]), "resolved_item_id": d["resolved_item_id"]}
 
 
+def oracle_teacher(inv: Inventory) -> Callable[[Request], str]:
+    """A teacher of fixed rules, for tests and dry runs: what follows from the inventory and the dialogue, as JSON."""
+    return lambda q: compact(guard(q, inv))
+
+
+def _said(d: dict, inv: Inventory) -> str:
+    item = inv.items.get(d["resolved_item_id"] or "")
+    return reply(d, inv) if item is None or item["drawer"] else "I have no place on record for that item."
+
+
 def session(turns: Iterable[str], inv: Inventory, teacher: Callable[[Request], object] = None) -> list[dict]:
     """A dialogue turn by turn: decide, check, review what would be said, reply, remember; it closes after cancelling or a first recovery."""
     said, memory, out = [], dict(EMPTY), []
@@ -513,10 +523,10 @@ def session(turns: Iterable[str], inv: Inventory, teacher: Callable[[Request], o
         said.append(("user", text))
         q = Request(list(said), memory)
         d, reason = checked(teacher(q) if teacher else guard(q, inv), q, inv)
-        answer = reply(d, inv)
+        answer = _said(d, inv)
         if d["action"] == "locate":  # reviewed before it is sent
             d2, _ = checked(guard(Request(list(said), memory, answer), inv), Request(list(said), memory, answer), inv)
-            d, answer = (d2, reply(d2, inv)) if d2["action"] == "recover" else (d, answer)
+            d, answer = (d2, _said(d2, inv)) if d2["action"] == "recover" and inv.items[d["resolved_item_id"]]["drawer"] else (d, answer)
         memory = remember(memory, d)
         said.append(("robot", answer))
         out.append({"text": text, "decision": d, "reply": answer, "reason": reason, "memory": memory})
@@ -538,6 +548,17 @@ def compact(x) -> str:
     return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _inventories(items: DataFrame, largest: int) -> dict[str, list]:
+    """Items by setting, in order, for the tasks; more than ``largest`` are refused."""
+    rows = items.limit(largest + 1).collect()
+    if len(rows) > largest:
+        raise ValueError(f"more than {largest} items: split the inventory by setting")
+    by: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r.setting, r.id)):
+        by.setdefault(r.setting, []).append({**r.asDict(), "attributes": dict(r.attributes or {})})
+    return by
+
+
 def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> DataFrame:
     """Requests (id, setting, text, raw; history, an array of (role, text) before the text, memory as JSON, proposal: where given) under all rules.
 
@@ -545,13 +566,7 @@ def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> D
     Result: id; typed surfaces v3, v2, v1; item; checked action; error of the raw decision; reply; signature; prompt for a teacher; template of the
     decision as JSON (null: a value has no source); whether the template gives the decision back for the same request; memory after it; the signature of what follows.
     """
-    rows = items.limit(largest + 1).collect()
-    if len(rows) > largest:
-        raise ValueError(f"more than {largest} items: split the inventory by setting")
-    by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.setting, r.id)):
-        by.setdefault(r.setting, []).append({**r.asDict(), "attributes": dict(r.attributes or {})})
-    shared = requests.sparkSession.sparkContext.broadcast(by)
+    shared = requests.sparkSession.sparkContext.broadcast(_inventories(items, largest))
     made: dict[str, Inventory] = {}
 
     @pandas_udf(_JUDGED)
@@ -564,8 +579,7 @@ def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> D
             inv, q = made[s], Request([*said, ("user", text or "")], json.loads(memory) if memory else {}, proposal)
             f = review(q, inv)
             d, reason = checked(raw, q, inv)
-            item = inv.items.get(d["resolved_item_id"] or "")
-            answer = reply(d, inv) if item is None or item["drawer"] else "I have no place on record for that item."
+            answer = _said(d, inv)
             template = compile_template(d, q, inv)
             again = instantiate(template, q, inv) if template else None
             after = remember(q.memory, d)
@@ -576,3 +590,28 @@ def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> D
     given = lambda name, kind: F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
     columns = "setting", "text", "raw", given("history", "array<struct<role:string,text:string>>"), given("memory", "string"), given("proposal", "string")
     return requests.select("id", run(*columns).alias("j")).select("id", "j.*")
+
+
+_TURN = T.StructType([T.StructField("turn", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "action", "item", "reply", "memory")), T.StructField("closes", T.BooleanType())])
+
+
+def sessions(turns: DataFrame, items: DataFrame, *, teacher: Callable[[Inventory], Callable[[Request], object]] = oracle_teacher, largest: int = 200_000) -> DataFrame:
+    """(session, turn, text, action, item, reply, memory, closes) of interactive sessions, replayed: turns has (session, setting, turn, text), the user's side.
+
+    A session is decided in order, so its turns come together; sessions are independent and spread over the tasks.  Turns after one that closes aren't answered.
+    """
+    shared = turns.sparkSession.sparkContext.broadcast(_inventories(items, largest))
+    made: dict[str, Inventory] = {}
+
+    @pandas_udf(T.ArrayType(_TURN))
+    def run(settings: pd.Series, said: pd.Series) -> pd.Series:
+        out = []
+        for s, texts in zip(settings, said, strict=True):
+            if s not in made:
+                made[s] = Inventory(shared.value.get(s, []))
+            steps = session(list(texts), made[s], teacher(made[s]))
+            out.append([(n, x["text"], x["decision"]["action"], x["decision"]["resolved_item_id"], x["reply"], compact(x["memory"]), x["decision"]["action"] in ("cancel", "recover")) for n, x in enumerate(steps)])
+        return pd.Series(out, dtype=object)
+
+    by = turns.groupBy("session", "setting").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("said"))
+    return by.select("session", F.explode(run("setting", "said")).alias("t")).select("session", "t.*")

@@ -122,6 +122,21 @@ def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_00
     return requests.select("id", features("setting", drawer_tokens("text")).alias("f"), is_correction("text").alias("correction")).select("id", "f.typed", "f.items", "f.ambiguous", "correction")
 
 
+def narrow(candidates: DataFrame, group: str, says: str, *, name: str, family: str, setting: str, attributes: list[str]) -> DataFrame:
+    """``candidates`` with ``score``: all best ones of each group by what its clarification ``says``; those that it names in no way are out."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
+    line = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    said = line(F.col(says))
+    worth = lambda c, w: F.when(said.contains(line(c)) & (F.size(words(c)) > 0), w).otherwise(0)
+    identity = F.when(said == line(F.col(name)), 1000 + F.size(words(F.col(name)))).otherwise(worth(F.col(name), 100 + F.size(words(F.col(name)))))
+    score = identity + worth(F.col(family), 10) + worth(F.col(setting), 30)
+    for a in attributes:
+        score = score + worth(F.col(a), 20 + F.size(words(F.col(a))))
+    scored = candidates.withColumn("score", score).filter("score > 0")
+    best = scored.groupBy(group).agg(F.max("score").alias("score"))
+    return scored.join(best, [group, "score"])
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c: str, d: str, width: int) -> DataFrame:
     """Pairs with equal key and b > c and a < d, by bins of ``width``: each interval goes to the bins it touches, and a pair is
     kept in the first bin that both touch, so it comes once and a busy key is spread over its bins."""

@@ -82,18 +82,6 @@ def item_resolution(read):
     return r.select("id", F.coalesce("item_id", F.when(back, F.col("before"))).alias("item_id"), F.when(F.col("item_id").isNotNull(), "current").when(back & F.col("before").isNotNull(), "memory").otherwise("none").alias("source"))
 
 
-@query(
-    f"WITH {I}, c AS (SELECT (item_id % 7) AS ask, item_id, 10 * CAST(family = 'SMALL' AS INT) + 20 * CAST(brand = 'Brand#' || (1 + item_id % 7) AS INT) + 30 * CAST(setting = 'lab' AS INT) + 100 * CAST(name LIKE 'red%' AS INT) AS score FROM i) "
-    "SELECT ask, item_id, score FROM c QUALIFY rank() OVER (PARTITION BY ask ORDER BY score DESC) = 1"
-)
-def narrow_scored(read):
-    """Candidates scored by identity, family, setting and attribute; all best ones stay."""
-    i = inventory(read).withColumn("ask", F.col("item_id") % 7)
-    b = lambda c, w: F.when(c, w).otherwise(0)
-    score = b(F.col("family") == "SMALL", 10) + b(F.col("brand") == F.concat(F.lit("Brand#"), (1 + F.col("ask")).cast("string")), 20) + b(F.col("setting") == "lab", 30) + b(F.col("name").startswith("red"), 100)
-    return i.withColumn("score", score).withColumn("r", F.rank().over(Window.partitionBy("ask").orderBy(F.desc("score")))).filter("r = 1").select("ask", "item_id", "score")
-
-
 @query(f"WITH {I}, w AS (SELECT item_id, setting, unnest(string_split(name, ' ')) AS alias FROM i), b AS (SELECT alias, min(item_id) AS first_id, count(*) AS n FROM w WHERE setting = 'hospital' GROUP BY alias) SELECT item_id, min(first_id) AS first_match, sum(n)::BIGINT AS hits FROM w JOIN b USING (alias) WHERE setting = 'lab' GROUP BY item_id")
 def alias_overlap(read):
     """Items whose aliases intersect: the first match and the number of hits, from one row for each alias."""
@@ -262,13 +250,6 @@ def short_attribute_answer(read):
     return p.select("family", "word", "n", (F.col("n") == 1).alias("resolves"))
 
 
-@query("WITH b AS (SELECT item_id, sha256(trim(lower(text))) AS k FROM benchmark), d AS (SELECT doc_id, sha256(trim(lower(text))) AS k FROM documents) SELECT item_id, count(doc_id) AS copies FROM b LEFT JOIN d USING (k) GROUP BY item_id")
-def leakage_semi(read):
-    """Held-out texts that occur in training data."""
-    key = F.sha2(F.trim(F.lower("text")), 256).alias("k")
-    return read("benchmark").select("item_id", key).join(read("documents").select("doc_id", key), "k", "left").groupBy("item_id").agg(F.count("doc_id").alias("copies"))
-
-
 @query(
     f"WITH {I}, n AS (SELECT DISTINCT name FROM i), g AS (SELECT name, unnest(list_transform(range(1, len(name) - 1), lambda k: substr(name, k, 3))) AS g FROM n), t AS (SELECT name, g, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT name, sqrt(sum(n * n)) AS norm FROM t GROUP BY name) "
     "SELECT a.name AS a, b.name AS b, round(sum(a.n * b.n) / max(x.norm * y.norm), 6) AS cosine FROM t a JOIN t b ON a.g = b.g AND a.name < b.name JOIN s x ON x.name = a.name JOIN s y ON y.name = b.name GROUP BY ALL"
@@ -328,3 +309,39 @@ def l2_normalize(read):
     """M1: norms, and unit vectors with a guard for zero."""
     v = F.transform("embedding", lambda x: x.cast("double") * 3)
     return read("embeddings").select("vec_id", F.round(S.norm(v), 6).alias("norm"), F.round(S.unit(v)[0], 6).alias("first"))
+
+
+#: Clarifications, as their words.
+_CLARIFY = ["red widget", "the small one in the lab", "brand 3 please", "hospital", "large blue bolt", "steel ring 7", "that gear"]
+_SAYS = "CASE item_id % 7 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_CLARIFY)) + " END"
+_LINE = lambda x: f"' ' || array_to_string(regexp_extract_all(lower({x}), '[a-z0-9]+'), ' ') || ' '"
+_HAS = lambda x: f"contains(line, {_LINE(x)})"
+_WORDS = lambda x: f"len(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
+
+
+@query(
+    f"WITH {I}, a AS (SELECT *, item_id % 7 AS ask, {_LINE(_SAYS)} AS line FROM i), s AS (SELECT ask, item_id, CASE WHEN line = {_LINE('name')} THEN 1000 + {_WORDS('name')} WHEN {_HAS('name')} THEN 100 + {_WORDS('name')} ELSE 0 END + CASE WHEN {_HAS('family')} THEN 10 ELSE 0 END + CASE WHEN {_HAS('setting')} THEN 30 ELSE 0 END "
+    f"+ CASE WHEN {_HAS('brand')} THEN 20 + {_WORDS('brand')} ELSE 0 END + CASE WHEN {_HAS('size')} THEN 20 + {_WORDS('size')} ELSE 0 END AS score FROM a) SELECT ask, item_id, CAST(score AS INT) AS score FROM s WHERE score > 0 QUALIFY rank() OVER (PARTITION BY ask ORDER BY score DESC) = 1"
+)
+def narrow_scored(read):
+    """Candidates scored by what a clarification names: the whole name 1000, a name within it 100, each by its words, family 10, setting 30, attributes 20; all best ones stay."""
+    i = inventory(read).withColumn("ask", F.col("item_id") % 7)
+    says = F.element_at(F.array(*map(F.lit, _CLARIFY)), (F.col("ask") + 1).cast("int"))
+    return M.narrow(i.withColumn("says", says), "ask", "says", name="name", family="family", setting="setting", attributes=["brand", "size"]).select("ask", "item_id", "score")
+
+
+@query(
+    "WITH h AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 = 0), r AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0 UNION ALL SELECT item_id, text FROM benchmark) "
+    "SELECT 'id' AS check, count(*) AS leaks FROM h WHERE doc_id IN (SELECT doc_id FROM r) UNION ALL SELECT 'utterance', count(*) FROM h WHERE text IN (SELECT text FROM r) UNION ALL SELECT 'fingerprint', count(*) FROM h WHERE sha256(trim(lower(text))) IN (SELECT sha256(trim(lower(text))) FROM r WHERE text IS NOT NULL)"
+)
+def leakage_semi(read):
+    """Held-out rows whose id, wording or fingerprint occurs in the rest."""
+    d = read("documents").select("doc_id", "text")
+    held = d.filter("doc_id % 10 = 0")
+    rest = d.filter("doc_id % 10 <> 0").unionByName(read("benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+    keys = {"id": F.col("doc_id"), "utterance": F.col("text"), "fingerprint": F.sha2(F.trim(F.lower("text")), 256)}
+    out = None
+    for name, key in keys.items():
+        row = held.select(key.alias("k")).join(rest.select(key.alias("k")), "k", "left_semi").agg(F.count(F.lit(1)).alias("leaks")).select(F.lit(name).alias("check"), "leaks")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -167,3 +167,36 @@ def family_ladder(read):
     """Families and attributes derived from ids and names, step by step; the first step that applies decides."""
     name = F.expr(_SWAPPED)
     return datasets.with_family(inventory(read).select("item_id", name.alias("name"), F.replace(name, F.lit(" "), F.lit("_")).alias("key")), "key", "name").select("item_id", "family", F.col("attributes")["color"].alias("color"))
+
+
+# -- sessions --------------------------------------------------------------------------------------------------------
+#: What the user says turn by turn, by the item's key modulo 4.
+_SAID = [
+    ["'Which ' || family || ' is here'", "'The ' || name || ' please'", "'never mind'"],
+    ["'hello friend'", "'never mind'", "'Where is the ' || name || '?'"],
+    ["'Where is the ' || name || '?'", "'No, I said the ' || name", "'thanks'"],
+    ["'Where is the ' || name || '?'", "'where is it'", "'Is there any zorp here'"],
+]
+_LISTED = "CASE WHEN drawer IS NULL THEN 'I have no place on record for that item.' ELSE 'The ' || name || ' is listed in ' || drawer || '.' END"
+_STEPS = [
+    [("clarify", "NULL", "'Which type do you need? Please give its color, size, or exact name.'"), ("locate", "item_id", _LISTED), ("clarify", "NULL", "'Which type do you need? Please give its color, size, or exact name.'")],  # the family is still pending
+    [("redirect", "NULL", "'I can help you locate items in the inventory. Which item do you need?'"), ("cancel", "NULL", "'Okay, I have cancelled this request.'")],
+    [("locate", "item_id", _LISTED), ("recover", "item_id", "CASE WHEN drawer IS NULL THEN '' ELSE 'Sorry, I misunderstood. ' END || " + _LISTED)],
+    [("locate", "item_id", _LISTED), ("locate", "item_id", _LISTED), ("clarify", "NULL", "'Which type do you need? Please give its color, size, or exact name.'")],
+]
+
+
+@query(
+    f"WITH {I}, {UNIQUE_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT item_id AS session, {t} AS turn, {_SAID[k][t]} AS text, '{a}' AS action, CAST({i} AS VARCHAR) AS item, {r} AS reply, {'true' if a in ('cancel', 'recover') else 'false'} AS closes FROM n WHERE item_id % 4 = {k}" for k, steps in enumerate(_STEPS) for t, (a, i, r) in enumerate(steps)
+    )
+)
+def sessions(read):
+    """Sessions replayed turn by turn against a teacher of fixed rules, with review before sending, memory, and the rule that closes them."""
+    i = named_inventory(read)
+    said = F.array(*map(F.expr, _SAID[0]))
+    for k in (1, 2, 3):
+        said = F.when(F.col("item_id") % 4 == k, F.array(*map(F.expr, _SAID[k]))).otherwise(said)
+    turns = i.select(F.col("item_id").alias("session"), "setting", F.posexplode(said).alias("turn", "text"))
+    return dialogue.sessions(turns, items(read)).select("session", "turn", "text", "action", "item", "reply", "closes")

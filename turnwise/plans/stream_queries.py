@@ -5,7 +5,9 @@ import functools
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import automata as A
+from ..operators import matching as M
 from ..streaming import caches, events, replay
 from .base import I, L, U, inventory, query, turn_log, utterances
 
@@ -126,15 +128,32 @@ def fst_compile(read):
 
 @query()
 def fst_accept(read):
-    """The minimal automaton accepts exactly the frames it was made from; its graph as one text."""
+    """The graph of the minimal automaton, line by line."""
     from .text_queries import masking_frame
 
     frames = masking_frame(read).groupBy("frame").agg(F.count(F.lit(1)).alias("support"))
     return A.dot(A.compile_frames(frames))
 
 
-@query("WITH t AS (SELECT * FROM (VALUES ('awaiting_request', 'user', 'awaiting_clarification'), ('awaiting_clarification', 'assistant', 'located'), ('located', 'user', 'awaiting_request')) x(s, r, n)) SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (turn = 0 AND role IN ('user', 'system')) AS legal_start FROM conversations GROUP BY conv_id")
+@query(f"WITH {U} SELECT id, p AS part, p = 0 AS accepted FROM u, (SELECT unnest([0, 1, 2]) AS p)")
+def learned_acceptor(read):
+    """A machine learnt by state merging accepts every frame, and neither the frame without its last word nor without its slot."""
+    u = utterances(read).select("id", F.concat_ws(" ", F.lit("please"), F.transform(T.words("text"), lambda w: w)).alias("t"), T.words("text").alias("w"))
+    frame = F.concat(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), F.array(F.lit("<item>"), F.lit("there")))
+    frames = u.select("id", frame.alias("f"))
+    edges, accept = A.learn_frames(frames.select(F.array_join("f", " ").alias("frame")))
+    forms = F.array(F.col("f"), F.slice("f", F.lit(1), F.size("f") - 1), F.filter("f", lambda w: w != "<item>"))
+    walked = frames.select("id", F.posexplode(forms).alias("part", "f"))
+    return walked.select("id", "part", M.traverse(F.col("f"), edges, accept)["accepted"].alias("accepted"))
+
+
+@query(
+    "WITH c AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations), b AS (SELECT conv_id, min(i) FILTER (role <> CASE i % 2 WHEN 0 THEN 'user' ELSE 'assistant' END) AS broken, count(*) AS n FROM c GROUP BY conv_id) "
+    "SELECT conv_id, CAST(coalesce(broken, n) AS INT) AS legal_turns, broken IS NULL AND n > 0 AND n % 2 = 0 AS answered FROM b"
+)
 def dialogue_phases(read):
-    """Legal starts and speakers of dialogues."""
-    c = read("conversations")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if((F.col("turn") == 0) & F.col("role").isin("user", "system")).alias("legal_start"))
+    """Dialogues walked through the table of legal transitions: how many turns are legal, and whether they end answered."""
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    c = read("conversations").groupBy("conv_id").agg(roles.alias("roles"))
+    walk = M.traverse(F.col("roles"), [(0, "user", 1), (1, "assistant", 2), (2, "user", 1)], {2})
+    return c.select("conv_id", (F.size(walk["path"]) - 1).alias("legal_turns"), walk["accepted"].alias("answered"))

@@ -20,6 +20,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("_source", F.col("_metadata.file_path"))
 
 
+def read_records(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Objects of several files of JSON lines with ``_source`` (file:line) and ``_sha256`` of their file; a line that is no object fails with its place.
+
+    A file is one row while it is taken apart, for its digest and its lines' numbers: these are files of rules, not of requests.
+    """
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("f"), "value")
+    lines = text.select("f", F.sha2("value", 256).alias("_sha256"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter(F.trim("line") != "")
+    place = F.concat("f", F.lit(":"), (F.col("n") + 1).cast("string"))
+    kind = F.schema_of_variant(F.try_parse_json("line"))
+    fine = F.when(kind.startswith("OBJECT"), F.col("line")).otherwise(F.raise_error(F.concat(place, F.lit(": no JSON object"))))
+    return lines.select(F.from_json(fine, schema).alias("x"), place.alias("_source"), "_sha256").select("x.*", "_source", "_sha256")
+
+
 def read_items(spark: SparkSession, path: str, setting: str | None = None) -> DataFrame:
     """Items from a JSON array, {"items": [...]}, {setting: [...]} or JSON lines: (setting, item fields)."""
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
@@ -108,7 +121,7 @@ def add_reports(items: DataFrame, reports: DataFrame, *, drawers: int) -> DataFr
 
 
 def save_state(spark: SparkSession, machines: list[tuple[str, dict]], path: str, kind: str) -> None:
-    """Snapshots of state machines by key, as a table."""
+    """Snapshots of state machines by key, as a table.  kind: what must agree to read them back, as the embedder and the namespace."""
     spark.createDataFrame([(k, kind, json.dumps(v, sort_keys=True)) for k, v in machines], "key string, kind string, state string").write.mode("error").parquet(path)
 
 
