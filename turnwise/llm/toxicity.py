@@ -129,23 +129,26 @@ class Model:
         self.labels, self.ids = np.array(labels, np.int64), list(ids)
         n, m = len(texts), len(weights)
         self.share = float(self.labels.mean()) if n else 0.0
-        vectors = [self.vector(t) for t in texts]
+        vectors = [(c.astype(np.int32), w.astype(np.float32)) for c, w in map(self.vector, texts)]
         bare = [y for (c, _), y in zip(vectors, labels, strict=True) if not len(c)]
         self.prior = (sum(bare) + self.share) / (len(bare) + 1) if n else 0.0
         self.n, self.blocks = n, max(1, -(-n // BLOCK))
         # examples with the same heaviest frequent term stand together, so that the maxima of a block say something; numbers stay those of the input
-        frequency = np.bincount(np.concatenate([np.empty(0, np.int64), *(c for c, _ in vectors)]), minlength=m)
-        frequent = [(c[f], w[f]) for c, w in vectors for f in [frequency[c] > n / OFTEN]]
-        heaviest = np.array([c[w.argmax()] if len(c) else -1 for c, w in frequent], np.int64)
-        self.number = np.argsort(heaviest, kind="stable")
-        vectors = [vectors[i] for i in self.number]
+        frequency = np.zeros(m, np.int64)
+        for c, _ in vectors:
+            frequency[c] += 1
+        heaviest = [int(c[f][w[f].argmax()]) if f.any() else -1 for c, w in vectors for f in [frequency[c] > n / OFTEN]]
+        self.number = np.argsort(np.array(heaviest, np.int64), kind="stable")
         self.labels, self.ids = self.labels[self.number], [self.ids[i] for i in self.number]
-        terms_at = np.concatenate([np.empty(0, np.int64), *(c for c, _ in vectors)])
-        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
-        owner = np.repeat(np.arange(n), [len(c) for c, _ in vectors])
-        order = np.lexsort((owner, terms_at))
-        self.owner, self.weight = owner[order], weight[order]
-        self.ends = np.searchsorted(terms_at[order], np.arange(m + 1))
+        vectors = [vectors[i] for i in self.number]
+        sizes = [len(c) for c, _ in vectors]
+        terms_at = np.concatenate([np.empty(0, np.int32), *(c for c, _ in vectors)])
+        weight = np.concatenate([np.empty(0, np.float32), *(w for _, w in vectors)])
+        del vectors
+        order = np.argsort(terms_at, kind="stable")  # owners ascend within a term
+        self.owner, self.weight = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], weight[order]
+        self.ends = np.r_[0, np.cumsum(np.bincount(terms_at, minlength=m))]
+        del order, terms_at, weight
         # frequent terms, those of more than n / OFTEN examples, as a matrix, and their largest weights in each block
         often = np.flatnonzero(np.diff(self.ends) > n / OFTEN)
         self.place = np.full(m, -1, np.int32)
@@ -271,13 +274,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rank = F.conv(F.substring(F.md5(F.concat(F.lit("example:"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
     chosen = known.filter(rank < int(2**32 * min(1.0, examples / max(1, n)))).orderBy("i").limit(examples)
     own = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i"])
-    rows = sorted(own.collect(), key=lambda r: r.i)
+    rows = sorted(own.toArrow().to_pylist(), key=lambda r: r["i"])
     # which examples calibrate follows from the id alone, by another hash than the choice of examples
-    held_back = lambda r: zlib.crc32(f"calibrate:{r.i}".encode()) % CALIBRATE == 0
+    held_back = lambda r: zlib.crc32(f"calibrate:{r['i']}".encode()) % CALIBRATE == 0
     parts = [[r for r in rows if held_back(r) == x] for x in (False, True)]
     if not parts[0]:  # too few to keep any out
         parts = [rows, []]
-    own, held = (([r.t for r in p], [r.y for r in p], [r.i for r in p]) for p in parts)
+    own, held = (([r["t"] for r in p], [r["y"] for r in p], [r["i"] for r in p]) for p in parts)
+    del rows, parts
     weights = label_weights(*own[:2])
     columns = Columns(list(weights))
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
@@ -291,8 +295,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(counts[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[counts[at], n])], schema=schema)
 
-    df = {r.term: r.n for r in docs.select(text.alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return Model(weights, [df.get(i, 0) for i in range(len(weights))], df.get(-1, 0), own, held)
+    found = docs.select(text.alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(weights) + 1, np.int64)  # the last one counts all documents
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return Model(weights, df[:-1].tolist(), int(df[-1]), own, held)
 
 
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "__tw_tox") -> DataFrame:
