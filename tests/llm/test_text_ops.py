@@ -224,9 +224,12 @@ def test_prefixes_are_shortened_by_the_data_and_planted_pairs_are_met(spark):
     assert n == 300 and depths[0] == 8 and depths[-1] < 7
 
 
-def test_differences_from_a_lead_count_the_same_links():
+@pytest.mark.parametrize("pairs", [1 << 20, 7])
+def test_differences_from_a_lead_count_the_same_links(pairs, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+
     rng = np.random.default_rng(3)
     base = np.arange(1, 400, dtype=np.uint64)
     sets = [np.unique(np.r_[rng.choice(base, rng.integers(300, 399), replace=False), rng.integers(1000, 1040, rng.integers(1, 40)).astype(np.uint64)]) for _ in range(70)]

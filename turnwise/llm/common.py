@@ -10,8 +10,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to a Python worker: with texts of a few kB this keeps a batch at a few MB.
+#: Rows and bytes of an Arrow batch sent to a Python worker, at most (a row over the limit is a batch of its own).
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _PACKAGE = __name__.split(".")[0]
@@ -34,6 +35,7 @@ def prepare(spark: SparkSession) -> None:
         sc.addPyFile(path)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,6 +49,8 @@ RECALL = 0.999999
 #: Nodes, and shingles, of a block.
 BLOCK = 1024
 BLOCK_SHINGLES = 1_000_000
+#: Pairs of sets with a common term that are counted at once.
+PAIRS = 1 << 20
 #: Rows of the forest in a range, about.
 FOREST_ROWS = 500_000
 #: Base of size classes: over 1.25, so linked sizes are at most one class apart.
@@ -252,10 +254,13 @@ def common_terms(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     often = n_left * n_right[starts] > 64
     rare = ~np.repeat(often, n_left)
     ii, ll, kk = i[rare], lo[rare], n_right[rare]
-    for s in range(0, len(ii), 1 << 18):  # terms of few sets: their pairs one by one
-        a, b, k = ii[s : s + (1 << 18)], ll[s : s + (1 << 18)], kk[s : s + (1 << 18)]
-        at = np.repeat(b - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-        out += np.bincount(np.repeat(a, k) * m + j[at], minlength=n * m).reshape(n, m).astype(np.float32)
+    upto, s = np.cumsum(kk), 0
+    while s < len(ii):  # terms of few sets: their pairs one by one, some at a time
+        e = max(s + 1, int(np.searchsorted(upto, upto[s] - kk[s] + PAIRS, "right")))
+        a, b, k = ii[s:e], ll[s:e], kk[s:e]
+        at = np.repeat(b - (upto[s:e] - k - (upto[s] - kk[s])), k) + np.arange(k.sum())
+        out += np.bincount(np.repeat(a, k) * m + j[at], minlength=n * m).reshape(n, m)
+        s = e
     terms = np.flatnonzero(often)
     for s in range(0, len(terms), 1024):  # terms of many sets: a product of membership matrices
         part = terms[s : s + 1024]

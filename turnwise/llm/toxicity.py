@@ -55,7 +55,7 @@ OFTEN = 16
 PRIOR_WEIGHT = 0.1
 
 #: Texts whose results a worker remembers.
-REMEMBER = 50_000
+REMEMBER = 10_000
 #: Letters that stand for a longer word's other forms.
 PREFIX = 5
 
