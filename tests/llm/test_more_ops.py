@@ -79,7 +79,10 @@ def brute_mix(rows, epochs=3):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_mix_equals_brute_force(spark, seed):
+def test_mix_equals_brute_force(spark, seed, monkeypatch):
+    if seed == 2:  # the range in which the budget ends is cut up further
+        monkeypatch.setattr(mixing, "SORTED", 3)
+        monkeypatch.setattr(mixing, "PIECES", 4)
     rng = random.Random(seed)
     rows = [(i, " ".join("w" * rng.choice((0, 1, 3, 30, 300))), rng.choice(["a", "a", "a", "b", "c", None, "é"])) for i in range(120)]
     got = {r.doc_id: r for r in mixing.mix_sources(docs_of(spark, rows)).collect()}
@@ -89,6 +92,18 @@ def test_mix_equals_brute_force(spark, seed):
     assert got[0].size == "a"  # clashing columns pass through
 
 
+def test_documents_without_id_are_dealt_to_many_ranges(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 2 else None, " ".join("w" * (1 + n)), rng.choice("ab")) for i, n in enumerate(rng.sample(range(200), 80))]
+    got = mixing.mix_sources(docs_of(spark, rows)).collect()
+    want = brute_mix(rows)
+    assert sorted((r.text, r["__tw_size"] * r["__tw_copies"]) for r in got) == sorted((t, taken) for (_, t, _), (_, taken) in zip(rows, want, strict=True))
+    h = hashlib.md5(b"mix-1:").hexdigest()
+    sizes = spark.createDataFrame([(h, n) for n in (1, 20, 300)] + [(h[:3] + "0" * 29, 5), (h[:3] + "f" * 29, 5), ("0" * 32, 1)], "h string, n long")
+    ranges = [r.r for r in sizes.select("h", "n", mixing._range_of(F.col("h"), F.col("n"), h).alias("r")).orderBy("h", "n").collect()]
+    assert ranges == sorted(ranges) and len(set(ranges)) == 6
+
+
 def test_mix_edges(spark):
     rows = [(1, None, "x"), (1, None, "x"), (2, "", None), (None, "a b", "y"), (3, "one " * 50_000, "z")]
     got = mixing.mix_sources(docs_of(spark, rows)).collect()
@@ -206,6 +221,18 @@ def test_long_conversations_come_in_pieces():
     assert row[1] == 50 and row[3] == sum(len(f"text {i} é") for i in range(1, 50, 2))
 
 
+def test_a_conversation_of_over_a_million_tokens(spark):
+    path, pattern = chat.default_tokenizer()
+    text = "hello there " * 25_000
+    df = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", text) for t in range(24)] + [(2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_chats(df, path=path, pattern=pattern).withColumn("n", F.size("input_ids"))
+    pieces = formatted.filter("conv_id = 1").select("piece", "n").collect()
+    assert len(pieces) == 2 and sum(r.n for r in pieces) > 1_200_000 and max(r.n for r in pieces) < 1.1 * chat.PIECE
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(df, path=path, pattern=pattern), path=path, pattern=pattern).collect()}
+    assert got[1].n_turns == 24 and got[1].loss_chars == 12 * len(text) and got[1].loss_sha256 == hashlib.sha256((text * 12).encode()).hexdigest()
+    assert got[2].n_turns == 1
+
+
 # -- personal data ---------------------------------------------------------------------------------------------------
 def brute_spans(t):
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

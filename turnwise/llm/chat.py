@@ -11,7 +11,7 @@ Turns are encoded where they are; then conversations are put together in order,
 pieces of up to ``PIECE`` tokens, so even one with a third of all turns takes bounded memory.
 
 Defined results: null text and role count as empty; turns with equal numbers go by role and text; null turns come first; null
-conv_id is a conversation of its own; an empty table gives no rows.
+conv_id is a conversation of its own; repeated rows are turns of their own; other columns are not read; an empty table gives no rows.
 """
 
 import base64

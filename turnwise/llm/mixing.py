@@ -8,12 +8,15 @@ all sources have come equally far.  When a source's queue ends it starts again,
 Scale: texts never move unless the caller keeps them in the frame.  The prefix sums of a source run in two steps (sums of
 ``BUCKETS`` hash ranges, then rows within a range), so a source with a third of all rows is spread over many tasks.
 The global order is only needed where the budget runs out: every copy with a finish time of at most 1 fits, the
-others are summed by ranges of virtual time, and only the range in which the budget ends is sorted row by row.
+others are summed by ranges of virtual time, and the range in which the budget ends is cut into finer ones until it holds at most ``SORTED`` copies
+(or copies of one time only), which are sorted row by row.
 
 Defined results: null text has size 0, null source is a source of its own (last), documents of size 0 take 0; rows that
-agree in everything keep their number; an empty table gives no rows; other columns pass through.
+agree in everything keep their number; an empty table gives no rows; other columns pass through, but for names that begin with ``__tw_``, which are ours.
 """
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Hash ranges of a source: three hex digits.  A range of the largest source stays near 1/4096 of its rows.
 RANGE_DIGITS = 3
 EPOCHS = 3
+#: Copies that are sorted in one task at the end of the budget, and pieces that a longer range of virtual time is cut into.
+SORTED = 200_000
+PIECES = 4096
 SEED = "mix-1"
 _IN = "__tw_"
 
@@ -57,6 +63,30 @@ def _water_fill(sources: DataFrame, epochs: int) -> DataFrame:
     )
 
 
+def _range_of(h: Column, size: Column, nameless: str) -> Column:
+    """The hash range of a document.  Those without an id share one hash, so within it sizes make ranges: the order stays (hash, size)."""
+    part = F.when(h < nameless, "0").when(h == nameless, F.concat(F.lit("1"), F.lpad(size.cast("string"), 19, "0"))).otherwise("2")
+    return F.concat(F.substring(h, 1, RANGE_DIGITS), F.when(h.startswith(nameless[:RANGE_DIGITS]), part).otherwise(""))
+
+
+def _narrow(there: DataFrame, upto: int, budget: int) -> tuple[DataFrame, int]:
+    """The part of virtual time in which the budget ends, of at most ``SORTED`` copies, and the size served before it.
+
+    The interval is cut into ``PIECES`` and summed up again as long as it holds more and its times differ.
+    """
+    while True:
+        n, low, high = there.agg(F.count(F.lit(1)), F.min("finish"), F.max("finish")).first()
+        if n <= SORTED or not low < high:
+            return there, upto
+        piece = F.least(F.floor((F.col("finish") - low) / ((high - low) / PIECES)), F.lit(PIECES - 1))
+        upto_piece = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("p"))
+        sums = there.groupBy(piece.alias("p")).agg(F.sum("size").alias("n")).select("p", "n", upto_piece.alias("upto"))
+        end = sums.filter(F.col("upto") + upto > budget).orderBy("p").first()
+        if end is None:
+            return there, upto
+        there, upto = there.filter(piece == end["p"]), upto + end["upto"] - end["n"]
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """All rows and columns of ``docs``, with ``__tw_size``, ``__tw_source_size``, ``__tw_target`` and ``__tw_copies`` (times the mix takes the document, 0 to ``epochs``)."""
     c = lambda name: F.col(_IN + name)
@@ -65,7 +95,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
         (word_count() if size is None else size).cast("long").alias(_IN + "size"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~")).alias(_IN + "skey"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias(_IN + "h"),
-    ).withColumn(_IN + "range", F.substring(c("h"), 1, RANGE_DIGITS))
+    ).withColumn(_IN + "range", _range_of(c("h"), c("size"), hashlib.md5(f"{seed}:".encode()).hexdigest()))
     ranges = cut(keyed.groupBy(c("skey").alias("skey"), c("range").alias("range")).agg(F.sum(c("size")).alias("n")), "mix-ranges")
     targets = _water_fill(ranges.groupBy("skey").agg(F.sum("n").alias("total")), epochs)
     before = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,7 +132,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     edge = None
     if by_range:  # the range of virtual time in which the budget ends
         there = copies.filter(~F.col("fits") & F.when(late <= 0, F.lit(-(10**6) + 1)).otherwise(F.floor(F.log(late) * 16)).eqNullSafe(F.lit(by_range["t"])))
-        upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + (by_range["upto"] - by_range["n"])
+        there, before_it = _narrow(there, by_range["upto"] - by_range["n"], budget)
+        upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + before_it
         edge = there.withColumn("upto", upto).filter(F.col("upto") > budget).orderBy(*order).first()
     taken = F.lit(0)
     for e in range(epochs):
