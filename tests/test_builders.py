@@ -95,3 +95,17 @@ def test_typed_features_refuse_a_table_that_is_too_large(spark):
     table = spark.createDataFrame([("lab", f"p{i}", "item", str(i)) for i in range(5)], "setting string, phrase string, kind string, value string")
     with pytest.raises(ValueError, match="split"):
         matching.typed_features(spark.createDataFrame([(1, "lab", "p1")], "id int, setting string, text string"), table, largest=4)
+
+
+def test_several_snapshots_are_verified_together(spark, tmp_path):
+    import base64
+    import hashlib
+    import zlib
+
+    texts = {"ITEMS": "[1, 2]", "FOLDS": "{}", "CASES": "x" * 500}
+    code = "".join(f"{n} = '{base64.b64encode(zlib.compress(t.encode())).decode()}'\n" for n, t in texts.items())
+    (tmp_path / "cell.py").write_text("import x\n" + code)
+    pinned = {n: hashlib.sha256(t.encode()).hexdigest() for n, t in texts.items()}
+    assert files.read_snapshots(spark, str(tmp_path / "cell.py"), pinned) == texts
+    with pytest.raises(ValueError, match="FOLDS"):
+        files.read_snapshots(spark, str(tmp_path / "cell.py"), pinned | {"FOLDS": "0" * 64})

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -615,3 +615,10 @@ def sessions(turns: DataFrame, items: DataFrame, *, teacher: Callable[[Inventory
 
     by = turns.groupBy("session", "setting").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("said"))
     return by.select("session", F.explode(run("setting", "said")).alias("t")).select("session", "t.*")
+
+
+def record_text(said: Column, stage: Column, source: Column, action: Column, item: Column, failure: Column, strategy: Column, note: Column, answer: Column) -> Column:
+    """A turn for people to read: what the user said, how it was decided, and the reply; parts that don't apply are left out."""
+    part = lambda name, c: F.when(c.isNotNull() & (c != "none"), F.concat(F.lit(f" {name}="), c)).otherwise("")
+    tag = F.concat(F.lit("       ["), stage, F.lit(":"), part("source", source), part("action", action), part("item", item), part("failure", failure), part("strategy", F.when(failure != "none", strategy)), part("note", note), F.lit("]"))
+    return F.concat_ws("\n", F.concat(F.lit("You:   "), said), tag, F.concat(F.lit("Robot: "), answer))

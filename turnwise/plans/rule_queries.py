@@ -89,10 +89,11 @@ _PLACE = "CASE WHEN drawer IS NULL THEN NULL ELSE 'The ' || name || ' is listed
 _SORRY = "CASE WHEN drawer IS NULL THEN NULL ELSE {text} || 'The ' || name || ' is listed in ' || drawer || '.' END"
 
 
+REPLY_SQL = "CASE WHEN drawer IS NULL AND k NOT IN (6, 7, 8, 11) THEN 'I have no place on record for that item.' WHEN k = 6 THEN 'Which type do you need? Please give its color, size, or exact name.' WHEN k = 7 THEN 'I can help you locate items in the inventory. Which item do you need?' WHEN k = 8 THEN 'Okay, I have cancelled this request.' WHEN k = 11 THEN 'I could not match that request to the inventory. Please check the name or ask a staff member.' ELSE CASE k WHEN 9 THEN 'Sorry, I misunderstood. ' WHEN 13 THEN 'Sorry, let me give the inventory location more clearly. ' ELSE '' END || 'The ' || name || ' is listed in ' || drawer || '.' END"
+
+
 @query(
-    f"WITH {I}, {CASES_SQL} SELECT item_id AS id, CASE WHEN drawer IS NULL AND k NOT IN (6, 7, 8, 11) THEN 'I have no place on record for that item.' WHEN k = 6 THEN 'Which type do you need? Please give its color, size, or exact name.' WHEN k = 7 THEN 'I can help you locate items in the inventory. Which item do you need?' "
-    "WHEN k = 8 THEN 'Okay, I have cancelled this request.' WHEN k = 11 THEN 'I could not match that request to the inventory. Please check the name or ask a staff member.' "
-    "ELSE CASE k WHEN 9 THEN 'Sorry, I misunderstood. ' WHEN 13 THEN 'Sorry, let me give the inventory location more clearly. ' ELSE '' END || 'The ' || name || ' is listed in ' || drawer || '.' END AS reply FROM c"
+    f"WITH {I}, {CASES_SQL} SELECT item_id AS id, {REPLY_SQL} AS reply FROM c"
 )
 def rendered_replies(read):
     """What is said after each case; drawers come from the inventory, whatever the teacher said."""
@@ -149,6 +150,23 @@ def teacher_prompts(read):
     return j.select("id", of("decision_mode").alias("mode"), ids.alias("candidates"), F.when(~several, lines[1]).alias("first_choice"), of("conversation[0].text").alias("text"))
 
 
+_FAILURE = "CASE WHEN k = 9 THEN 'comprehension_failure strategy=self_correction' ELSE 'search_failure strategy=specific_redirection' END"
+
+
+@query(
+    f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action, {_ERROR} AS error, {REPLY_SQL} AS reply FROM c) SELECT item_id AS id, 'You:   ' || text || chr(10) || '       [' || CASE WHEN k IN (12, 13) THEN 'pre_send_review' ELSE 'dialogue_decision' END || ': source=' || CASE WHEN error IS NULL THEN 'slm' ELSE 'guard' END || ' action=' || action "
+    f"|| CASE WHEN k NOT IN (6, 7, 8, 11) THEN ' item=' || item_id ELSE '' END || CASE WHEN action = 'recover' THEN ' failure=' || {_FAILURE} ELSE '' END || coalesce(' note=' || error, '') || ']' || chr(10) || 'Robot: ' || reply AS line FROM a"
+)
+def reply_format(read):
+    """Each case as people read it: what was said, how it was decided, and the reply."""
+    c = cases(read)
+    j = dialogue.judge(c, items(read)).join(c.select("id", "text"), "id")
+    of = lambda k: F.get_json_object("template", f"$.{k}")
+    stage, source = F.get_json_object("signature", "$.mode"), F.when(F.col("error").isNull(), "slm").otherwise("guard")
+    item = F.when(of("item") != "none", F.col("item"))
+    return j.select("id", dialogue.record_text(F.col("text"), stage, source, F.col("action"), item, of("failure_type"), of("recovery_strategy"), F.col("error"), F.col("reply")).alias("line"))
+
+
 # -- derived families ------------------------------------------------------------------------------------------------
 #: Nouns of the parts, and the words of a workshop and a ward that stand in for them.
 _SWAPS = [("ring", "pencil"), ("widget", "syringe"), ("bolt", "marker"), ("gear", "multimeter"), ("plate", "gloves")]

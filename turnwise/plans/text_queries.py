@@ -220,12 +220,6 @@ def prompt_construction(read):
     return utterances(read).select("id", F.concat(F.lit("choose one action for: "), "text", F.lit("\n"), letters).alias("prompt"))
 
 
-@query("SELECT conv_id, turn, printf('[%d.%d] %s: %d characters', conv_id, turn, role, len(text)) AS line FROM conversations")
-def reply_format(read):
-    """Turns as lines with step tags."""
-    return read("conversations").select("conv_id", "turn", F.format_string("[%d.%d] %s: %d characters", "conv_id", "turn", "role", F.length("text")).alias("line"))
-
-
 _CUES = " OR ".join(f"contains(n, '{c.replace(chr(39), chr(39) * 2)}')" for c in T.CORRECTION_CUES)
 
 
@@ -274,11 +268,16 @@ def hash_embedding(read):
 
 @query(
     f"WITH {U}, w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM u), b AS (SELECT id, w, list_transform(range(1, len(w)), lambda k: w[k] || '_' || w[k + 1]) AS b, ' ' || array_to_string(w, ' ') || ' ' AS c FROM w) "
-    "SELECT id, len(w) AS n_words, len(b) AS n_bigrams, len(list_distinct(list_transform(range(1, len(c) - 1), lambda k: substr(c, k, 3)))) AS n_trigrams FROM b"
+    "SELECT id, len(w) AS n_words, len(b) AS n_bigrams, len(list_distinct(list_transform(range(1, len(c) - 1), lambda k: substr(c, k, 3)))) AS n_trigrams, len(list_distinct(list_transform(range(1, len(c) - 2), lambda k: substr(c, k, 4)))) AS n_fourgrams, len(list_distinct(list_transform(range(1, len(c) - 3), lambda k: substr(c, k, 5)))) AS n_fivegrams, "
+    "2 * len(w) + 2 * len(b) + greatest(len(c) - 2, 0) + greatest(len(c) - 3, 0) + greatest(len(c) - 4, 0) AS weight FROM b"
 )
 def ngram_features(read):
-    """Words, neighbouring words and character trigrams."""
+    """Words, neighbouring words (each twice) and character 3- to 5-grams (once): distinct ones, and their weight in all."""
     d = utterances(read).select("id", T.words("text").alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws("_", a, b))
     line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    return d.select("id", F.size("w").cast("long").alias("n_words"), F.greatest(F.size(pairs) - 1, F.lit(0)).cast("long").alias("n_bigrams"), F.size(F.array_distinct(S.char_ngrams(line, 3))).cast("long").alias("n_trigrams"))
+    n_pairs = F.greatest(F.size(pairs) - 1, F.lit(0))
+    grams = {name: F.size(F.array_distinct(S.char_ngrams(line, n))).cast("long").alias(name) for name, n in (("n_trigrams", 3), ("n_fourgrams", 4), ("n_fivegrams", 5))}
+    places = sum((F.greatest(F.length(line) - n + 1, F.lit(0)) for n in (3, 4, 5)), F.lit(0))
+    weight = (2 * F.size("w") + 2 * n_pairs + places).cast("long").alias("weight")
+    return d.select("id", F.size("w").cast("long").alias("n_words"), n_pairs.cast("long").alias("n_bigrams"), *grams.values(), weight)

@@ -57,6 +57,11 @@ def read_snapshot(spark: SparkSession, path: str, name: str, sha256: str | None
     return data.decode()
 
 
+def read_snapshots(spark: SparkSession, path: str, pinned: dict[str, str]) -> dict[str, str]:
+    """All texts that a file embeds under the given names; refused as a whole unless each agrees with its pinned SHA-256."""
+    return {name: read_snapshot(spark, path, name, sha) for name, sha in pinned.items()}
+
+
 def parse_dialogue(frame: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, turn, role, text, error) of texts with ``participant:`` and ``robot:`` lines; other lines go on with the turn before.
 
