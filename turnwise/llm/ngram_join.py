@@ -166,7 +166,10 @@ def matches(trees: DataFrame, depth: int) -> DataFrame:
             part, tree = b.column(0).to_numpy(), b.column(1).to_numpy()
             labels, nodes = b.column(2).to_pylist(), b.column(3).to_pylist()
             prefix = np.frombuffer(b"".join(labels), np.uint8).reshape(-1, 2 * DEPTH)[:, : 2 * depth]
-            piece = np.r_[last is None or last[0] != part[0], part[1:] != part[:-1]]
+            # a piece ends with its part, or where the order falls back: splits of one file may come in any order
+            high, low = np.frombuffer(b"".join(labels), ">u8").reshape(-1, DEPTH // 4)[:, :2].T
+            back = (tree[1:] < tree[:-1]) | ((tree[1:] == tree[:-1]) & ((high[1:] < high[:-1]) | ((high[1:] == high[:-1]) & (low[1:] < low[:-1]))))
+            piece = np.r_[last is None or last[0] != part[0] or (last[1], last[2]) > (tree[0], labels[0]), (part[1:] != part[:-1]) | back]
             new = piece | np.r_[True, (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]).any(1)]
             going_on = not piece[0] and last[1] == tree[0] and last[2][: 2 * depth] == labels[0][: 2 * depth]
             start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
