@@ -48,7 +48,7 @@ BLOCK = 64
 CLOSE = 1e-4
 #: Blocks of a text that are visited first, and texts that are searched together.
 FIRST = 4
-TOGETHER = 128
+TOGETHER = 256
 #: A term is frequent if more than one example in so many has it.
 OFTEN = 16
 #: Votes without evidence: weight of the prior share among neighbours' cosines.
@@ -83,15 +83,15 @@ class Columns:
         return Columns, (self.terms,)
 
     def of_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Columns of a text's distinct terms, ascending, and their numbers: of a word its places, of first letters the words that begin so."""
+        """Columns of a text's distinct terms, and their numbers: of a word its places, of first letters the words that begin so."""
         words = Counter(words_of(text))
         columns, numbers = [], []
         for known, counts in ((self.word, words), (self.first, Counter([w[:PREFIX] for w in words if len(w) > PREFIX]))):
             columns.append(np.fromiter(map(known.get, counts, repeat(-1)), np.int64, len(counts)))
             numbers.append(np.fromiter(counts.values(), np.int64, len(counts)))
         columns, numbers = np.concatenate(columns), np.concatenate(numbers)
-        order = np.argsort(columns, kind="stable")[np.count_nonzero(columns < 0) :]
-        return columns[order], numbers[order]
+        known = columns >= 0
+        return columns[known], numbers[known]
 
     def add_to(self, counts: np.ndarray, text: str) -> None:
         """Count a text for each of its terms; the last count, one beyond the columns, takes unknown ones."""
