@@ -44,6 +44,8 @@ EXAMPLES = 6000
 CALIBRATE = 5
 NEIGHBOURS = 15
 BLOCK = 64
+#: How firmly the calibration curve keeps to the votes themselves: few examples can't bend it far.
+RIDGE = 1.0
 #: Rounding errors of the first, coarse sums are smaller.
 CLOSE = 1e-4
 #: Blocks of a text that are visited first, and texts that are searched together.
@@ -232,9 +234,9 @@ class Model:
         a, b = 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([((p - y) * x).sum() + 0.01 * (a - 1), (p - y).sum() + 0.01 * b])
+            g = np.array([((p - y) * x).sum() + RIDGE * (a - 1), (p - y).sum() + RIDGE * b])
             r = p * (1 - p)
-            h = np.array([[(r * x * x).sum() + 0.01, (r * x).sum()], [(r * x).sum(), r.sum() + 0.01]])
+            h = np.array([[(r * x * x).sum() + RIDGE, (r * x).sum()], [(r * x).sum(), r.sum() + RIDGE]])
             step = np.linalg.solve(h, g)
             step *= min(1, 2 / max(1e-9, np.abs(step).max()))
             a, b = a - step[0], b - step[1]
