@@ -6,13 +6,23 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def _rows(batch: pa.RecordBatch) -> list[dict]:
-    return batch.to_pylist()
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def arrow_schema(schema: StructType) -> pa.Schema:
+    return pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """State by variables needs the RocksDB store; streams that run already keep theirs."""
+    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def replay(turns: DataFrame, make: Callable, output: str, *, key: str = "cache_id", order: str = "position") -> DataFrame:
@@ -23,13 +33,13 @@ def replay(turns: DataFrame, make: Callable, output: str, *, key: str = "cache_i
     """
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = StructType.fromDDL(output)
-    arrow = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in schema])
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, machine = None, False, None
         for b in batches:
             out = []
-            for row in _rows(b):
+            for row in b.to_pylist():
                 if not begun or row[key] != now:
                     now, begun, machine = row[key], True, make()
                 out.append({key: now, **machine.turn(row)})
