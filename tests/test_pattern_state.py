@@ -172,3 +172,11 @@ def test_cost_of_a_turn_doesnt_grow_with_history():
     assert {s: life.counts()[s] for s in counted} == counted and max(len(e["evidence"]) for e in life.entries.values()) <= 8
     restored = replay.restore(caches.Lifecycle, replay.snapshot(life))
     assert restored.counts() == life.counts()
+
+
+def test_queries_go_on_where_the_whole_replay_is(spark):
+    whole = {(r.cache_id, r.position): tuple(r) for r in catalog.QUERIES["replay_v3"](spark, SF).collect()}
+    half = max(p for _, p in whole) // 2
+    want = sorted(map(repr, (v for (_, p), v in whole.items() if p > half)))
+    for name in ("resumed_replay", "streamed_replay"):
+        assert sorted(map(repr, map(tuple, catalog.QUERIES[name](spark, SF).collect()))) == want, name

@@ -26,3 +26,14 @@ def workspace(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="turnwise-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def keeper(spark: SparkSession, what: str):
+    """A function (frame, name) that writes a table to a new folder of the shared place and reads it back, for what is read more than once."""
+    path = workspace(spark, what)
+
+    def keep(df, name: str):
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return keep

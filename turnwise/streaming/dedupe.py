@@ -81,7 +81,6 @@ def stream_recent(results: DataFrame, *, id_col: str = "utterance_id", key: str
 
 
 _RINGS = "key string, r long, ring array<string>"
-_FOLDED = "key string, r long, position long, id string, ring array<string>"
 
 
 def _fold(last: int, ends: bool):
@@ -120,7 +119,7 @@ def dedupe_recent(results: DataFrame, *, id_col: str = "utterance_id", key: str
         df.write.parquet(f"{path}/{name}")
         return spark.read.schema(schema).parquet(f"{path}/{name}")
 
-    starts = rows.select("key", "r").distinct().withColumn("ring", no_ring)
+    starts = kept(rows.select("key", "r").distinct().withColumn("ring", no_ring), "starts")
     todo, ends, turn = starts, None, 0
     while True:
         some = rows.join(todo.select("key", "r"), ["key", "r"], "left_semi")

@@ -147,7 +147,7 @@ class _Processor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         m, out = self._machine(), []
         m._order()
-        for r in pd.concat(list(rows)).sort_values(["at", "__rank", self.order], kind="stable").to_dict("records"):
+        for r in pd.concat(list(rows)).sort_values(["at", "trace_first", self.order], kind="stable").to_dict("records"):
             out += [{self.key: key[0], **x} for x in m.turn(r)]
         self._keep(m)
         yield pd.DataFrame(out, columns=[self.key, *(c.split()[0] for c in OUTPUT.split(", "))]).astype({"outcome_id": "Int64", "success": "boolean", "accepted": "boolean"})
@@ -165,7 +165,7 @@ class _Processor(StatefulProcessor):
 
 def ranked(events: DataFrame) -> DataFrame:
     """Traces before outcomes, for sorting at equal times."""
-    return events.withColumn("__rank", F.when(F.col("kind") == "trace", 0).otherwise(1))
+    return events.withColumn("trace_first", F.when(F.col("kind") == "trace", 0).otherwise(1))
 
 
 def stream_feedback(events: DataFrame, *, ttl: int = DAY, grace: int = DAY, capacity: int = 10_000, key: str = "cache_id", order: str = "outcome_id", late: str = "0 seconds") -> DataFrame:
