@@ -57,7 +57,8 @@ def stream(turns: DataFrame, make: Callable, output: str, *, key: str = "cache_i
         if state.exists:
             for name, v in json.loads(state.get[0]).items():
                 setattr(machine, name, v)
-        rows = pd.concat(list(frames)).sort_values(order).to_dict("records")
+        frame = pd.concat(list(frames)).sort_values(order).astype(object)
+        rows = frame.where(frame.notna(), None).to_dict("records")  # nulls as in a batch
         out = [{key: k[0], **machine.turn(r)} for r in rows]
         state.update((json.dumps(snapshot(machine)),))
         yield pd.DataFrame(out, columns=names)
