@@ -535,3 +535,23 @@ def test_components_of_chains_stars_and_random_edges(spark):
     got = components(spark.createDataFrame(edges, "a int, b int"))
     assert sorted(map(tuple, got.collect())) == sorted(root.items())
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[10, 100, 130_000, 7], [300] * 900, [70_000, 1, 1, 254, 255, 256, 70_000, 3]])
+def test_times_stay_when_a_page_is_lost(sizes):
+    head = ogg._PCM.pack(b"PCM     ", 0, 0, 1, 8000, 8, 1, 576, 0)
+    rng, packets, at = random.Random(1), [(head, 0)], 0
+    for n in sizes:
+        at += n
+        packets.append((rng.randbytes(n), at))
+    pages = list(ogg.pages_of(7, packets))
+    whole = ogg.packet_rows(b"".join(pages))
+    assert [r["end_ms"] for r in whole] == [g / 8 for _, g in packets] and ogg.demux(b"".join(pages)).streams[7].gaps == 0
+    times = {}
+    for r in whole:
+        times.setdefault(r["data"], set()).add(r["end_ms"])
+    for lost in range(len(pages)):
+        media = b"".join(p for i, p in enumerate(pages) if i != lost)
+        for r in ogg.packet_rows(media):
+            assert r["end_ms"] in times[r["data"]] or (lost == 0 and r["end_ms"] is None)  # without its header a stream's rate isn't known
+        assert ogg.demux(media).streams[7].gaps == 1, lost

@@ -103,7 +103,7 @@ class Stream:
     pages: int = 0
     first: bool = False
     last: bool = False
-    gaps: int = 0
+    gaps: int = 0  # places where pages are missing, ends included
     _open: list[bytes] | None = None
     _next: int | None = None
 
@@ -118,7 +118,7 @@ class Stream:
         skip = bool(flags & 1) and self._open is None  # the start of this packet is missing
         if not flags & 1:
             self._open = None
-        at, start = 0, 0
+        at, start, ended = 0, 0, len(self.packets)
         for v in lacing:
             at += v
             if v < 255:
@@ -130,7 +130,7 @@ class Stream:
                 self._open, start = None, at
         if start < at or (lacing and lacing[-1] == 255):
             self._open = None if skip else [*(self._open or ()), bytes(data[start:at])]
-        if granule >= 0 and self.granules:
+        if granule >= 0 and len(self.packets) > ended:  # the last packet that ends here is a kept one: only the first may have been dropped
             self.granules[-1] = granule
 
 
@@ -162,6 +162,8 @@ def demux(media: bytes) -> Physical:
             continue
         streams.setdefault(serial, Stream()).add(flags, number, granule, lacing, view[body:end])
         pages, at = pages + 1, end
+    for s in streams.values():
+        s.gaps += (not s.first) + (not s.last)
     return Physical(streams, pages, bad, skipped)
 
 
