@@ -12,7 +12,8 @@ from pyspark.sql.functions import pandas_udf
 
 #: Share of a turn's words that its segments must cover.
 COVERED = 0.8
-NEGATIONS = set("no not never none nothing isnt cant".split())
+#: Words that negate.
+NEGATIONS = {"no", "not", "never", "none", "nothing", "isnt", "cant"}
 
 
 def _words(text) -> list[str]:
@@ -41,11 +42,11 @@ def evidence(claims: DataFrame, transcripts: DataFrame) -> DataFrame:
     return best.select("claim", F.col("m.transcript").alias("best"), (-F.col("m.k")).alias("support"))
 
 
-def align(turns: list[str], segments: list[str]) -> list[tuple[int, int, float, str]]:
+def align(turns: list[str], segments: list[str], reach: int | None = None) -> list[tuple[int, int, float, str]]:
     """(first segment, last segment, coverage, flags) of each turn; -1 where nothing covers enough of it.
 
     A turn takes the fewest consecutive segments from the best start; flags: "order" if it begins before the turn before it,
-    "polarity" if one side negates and the other doesn't.
+    "polarity" if one side negates and the other doesn't.  reach: words that the segments of a turn have at most (default: any number).
     """
     parts, out, last = [_words(s) for s in segments], [], 0
     for t in turns:
@@ -67,7 +68,7 @@ def align(turns: list[str], segments: list[str]) -> list[tuple[int, int, float,
                 if shared > before and (shared / len(words), -(b - a)) > (found[2], -size(found)):  # matching blocks cover at most the shared words
                     c = coverage(words, given)
                     found = max(found, (a, b, c), key=lambda x: (x[2], -size(x)))
-                if shared == len(words) or len(given) > 2 * len(words) + 20:
+                if shared == len(words) or (found[2] >= 1 and b - a >= size(found)) or (reach is not None and len(given) > reach):
                     break
         a, b, c = found
         flags = []

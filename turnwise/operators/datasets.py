@@ -152,7 +152,7 @@ PRIORITIES = {
     "comprehension_failure": ["clarifying_prompt", "partial_understanding_repair", "confidence_check", "self_correction", "specific_redirection", "guided_reset", "transparency_cue"],
     "search_failure": ["self_correction", "specific_redirection", "guided_reset", "confidence_check", "clarifying_prompt", "partial_understanding_repair", "transparency_cue"],
 }
-#: Wordings of a right answer.
+#: Wordings of a right answer.
 RIGHT = ["The {name} is listed in {drawer}.", "You can find the {name} in {drawer}.", "Please open {drawer} for the {name}."]
 
 

@@ -22,10 +22,13 @@ from ..functions.text import CORRECTION_CUES, DRAWER_WORDS, NUMBER_WORDS
 from .decisions import ACTIONS, FAILURES, STRATEGIES
 
 #: Words around a direct request, words of a request for an item, words that point back, words that negate.
-FILLERS = set("a an the some please pls i me my want need would like can could you do have get give show find locate where is are tell".split())
-ASKING = set("where find locate need have get grab drawer inventory looking show give retrieve bring fetch".split())
-POINTING = set("it one that again".split())
-NEGATING = set("no not dont didnt isnt without except instead wrong".split())
+FILLERS = {"a", "an", "the", "some", "please", "pls", "i", "me", "my", "want", "need", "would", "like", "can", "could", "you", "do", "have", "get", "give", "show", "find", "locate", "where", "is", "are", "tell"}
+ASKING = {"where", "find", "locate", "need", "have", "get", "grab", "drawer", "inventory", "looking", "show", "give", "retrieve", "bring", "fetch"}
+POINTING = {"it", "one", "that", "again"}
+NEGATING = {"no", "not", "dont", "didnt", "isnt", "without", "except", "instead", "wrong"}
+#: Cues after which the meant item follows, and cues that only reject.
+MEANT = ("i meant", "no i said", "i said")
+REJECTS = ("did not mean", "didn t mean", "not that one")
 #: Which kinds of phrases each extractor knows, the best first.
 STYLES = {"v3": ["item", "drawer", "attribute", "family"], "v2": ["item", "attribute", "family"], "v1": ["item", "family", "attribute"]}
 KEYS = ["action", "item_family", "resolved_item_id", "attributes", "missing_attributes", "failure_detected", "failure_type", "recovery_strategy"]
@@ -216,10 +219,10 @@ def resolve(f: Features, q: Request, inv: Inventory, memory: bool = True) -> str
     """The one item that a request is about, from its own words first; never a guess."""
     if f.correction:
         line = " ".join(tokens(q.said))
-        meant = next((line[line.rfind(c) + len(c) :] for c in ("i meant", "no i said", "i said") if c in line), None)
+        meant = next((line[line.rfind(c) + len(c) :] for c in MEANT if c in line), None)
         if meant is not None and (found := _by_words(extract(meant, inv), inv)):
             return found
-        rejects_only = any(c in line for c in ("did not mean", "didn t mean", "not that one"))
+        rejects_only = any(c in line for c in REJECTS)
         if len(f.items) == 1 and not rejects_only:
             return f.items[0]
         for _, text in [t for t in reversed(q.conversation[:-1]) if t[0] == "user"]:  # what was asked before the rejected reply
@@ -399,6 +402,11 @@ def guard(q: Request, inv: Inventory, f: Features | None = None) -> dict:
     return decision("cancel" if any(w in normal(q.said) for w in ("cancel", "never mind", "stop the request")) else "redirect")
 
 
+def guard_error(d: dict, q: Request, inv: Inventory, f: Features | None = None) -> str | None:
+    """The rule that the guard's own decision breaks, such as an item without a drawer on record: then nothing valid can be decided."""
+    return error(d, q, inv, f)
+
+
 def checked(raw, q: Request, inv: Inventory) -> tuple[dict, str | None]:
     """The teacher's decision if it breaks no rule, else the guard's and the reason."""
     f = review(q, inv)
@@ -442,15 +450,25 @@ INSTRUCTIONS = {
     "dialogue_decision": "You decide the next step of a robot that tells people where items are. Answer with one JSON object with the keys of a decision, and nothing else.",
     "pre_send_review": "You review the robot's proposed answer before it is sent. Answer with one JSON object with the keys of a decision, and nothing else.",
 }
+#: Items that a prompt names, at most; ``left_out`` tells how many more there are.
 CANDIDATES = 12
 
 
+def _near(f: Features, q: Request, inv: Inventory) -> list[dict]:
+    """The items that a request may mean."""
+    families = set(f.families) or {inv.items[i]["family"] for i in f.items} or ({q.memory["pending_item_family"]} if q.memory.get("pending_item_family") else set())
+    return [inv.items[i] for i in f.items] or [x for name in sorted(families) for x in inv.family(name, dict(f.attributes))]
+
+
+def left_out(f: Features, q: Request, inv: Inventory) -> int:
+    return max(0, len(_near(f, q, inv)) - CANDIDATES)
+
+
 def prompt(q: Request, f: Features, inv: Inventory) -> str:
     """What a teacher reads: the instruction for the mode, lettered choices among the items that the request may mean, and the payload as compact JSON."""
-    families = set(f.families) or {inv.items[i]["family"] for i in f.items} or ({q.memory["pending_item_family"]} if q.memory.get("pending_item_family") else set())
-    near = [inv.items[i] for i in f.items] or [x for name in sorted(families) for x in inv.family(name, dict(f.attributes))]
-    choices = [f"{chr(65 + n)}. {x['name']} ({x['drawer'] or 'no drawer on record'})" for n, x in enumerate(near[:CANDIDATES])]
-    payload = q.payload(inv) | {"inventory_candidates": [x["id"] for x in near[:CANDIDATES]]}
+    near = _near(f, q, inv)[:CANDIDATES]
+    choices = [f"{chr(65 + n)}. {x['name']} ({x['drawer'] or 'no drawer on record'})" for n, x in enumerate(near)]
+    payload = q.payload(inv) | {"inventory_candidates": [x["id"] for x in near]}
     mode = payload["decision_mode"]
     return "\n".join([INSTRUCTIONS[mode], *(choices or ["No item matches."]), "CONTEXT_JSON:", compact(payload)])
 
@@ -539,7 +557,8 @@ _JUDGED = T.StructType(
     [
         *(T.StructField(n, T.StringType()) for n in ("v3", "v2", "v1", "item", "action", "error", "reply", "signature", "prompt", "template")),
         T.StructField("rebinds", T.BooleanType()),
-        *(T.StructField(n, T.StringType()) for n in ("memory", "next_signature")),
+        *(T.StructField(n, T.StringType()) for n in ("memory", "next_signature", "guard_error")),
+        T.StructField("left_out", T.IntegerType()),
     ]
 )
 
@@ -548,11 +567,11 @@ def compact(x) -> str:
     return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _inventories(items: DataFrame, largest: int) -> dict[str, list]:
-    """Items by setting, in order, for the tasks; more than ``largest`` are refused."""
+def _inventories(items: DataFrame, largest: int) -> dict[str, list] | None:
+    """Items by setting, in order, for the tasks; None if there are more than ``largest``."""
     rows = items.limit(largest + 1).collect()
     if len(rows) > largest:
-        raise ValueError(f"more than {largest} items: split the inventory by setting")
+        return None
     by: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r.setting, r.id)):
         by.setdefault(r.setting, []).append({**r.asDict(), "attributes": dict(r.attributes or {})})
@@ -562,34 +581,72 @@ def _inventories(items: DataFrame, largest: int) -> dict[str, list]:
 def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> DataFrame:
     """Requests (id, setting, text, raw; history, an array of (role, text) before the text, memory as JSON, proposal: where given) under all rules.
 
-    items: (setting, id, name, family, attributes map, drawer).  An inventory over ``largest`` items is refused rather than broadcast.
+    items: (setting, id, name, family, attributes map, drawer).  Settings are sent to the tasks with their inventories; over ``largest`` items, requests go to their setting's inventory instead, in salted groups.
     Result: id; typed surfaces v3, v2, v1; item; checked action; error of the raw decision; reply; signature; prompt for a teacher; template of the
-    decision as JSON (null: a value has no source); whether the template gives the decision back for the same request; memory after it; the signature of what follows.
+    decision as JSON (null: a value has no source); whether the template gives the decision back for the same request; memory after it; the signature of what follows; the rule that
+    the guard's decision breaks where the guard decided (the action is then no valid one); how many candidates its prompt leaves out.
     """
-    shared = requests.sparkSession.sparkContext.broadcast(_inventories(items, largest))
+    given = lambda name, kind: (F.col(name) if name in requests.columns else F.lit(None)).cast(kind).alias(name)
+    asked = requests.select("id", "setting", "text", "raw", given("history", "array<struct<role:string,text:string>>"), given("memory", "string"), given("proposal", "string"))
+    columns = asked.columns[1:]
+    found = _inventories(items, largest)
+    if found is None:
+        return _judged_by_setting(asked, items)
+    shared = requests.sparkSession.sparkContext.broadcast(found)
     made: dict[str, Inventory] = {}
 
+    def inventory(setting: str) -> Inventory:
+        if setting not in made:
+            made[setting] = Inventory(shared.value.get(setting, []))
+        return made[setting]
+
     @pandas_udf(_JUDGED)
-    def run(settings: pd.Series, texts: pd.Series, raws: pd.Series, histories: pd.Series, memories: pd.Series, proposals: pd.Series) -> pd.DataFrame:
-        out = []
-        for s, text, raw, history, memory, proposal in zip(settings, texts, raws, histories, memories, proposals, strict=True):
-            if s not in made:
-                made[s] = Inventory(shared.value.get(s, []))
-            said = [(t["role"], t["text"]) for t in history] if history is not None else []
-            inv, q = made[s], Request([*said, ("user", text or "")], json.loads(memory) if memory else {}, proposal)
-            f = review(q, inv)
-            d, reason = checked(raw, q, inv)
-            answer = _said(d, inv)
-            template = compile_template(d, q, inv)
-            again = instantiate(template, q, inv) if template else None
-            after = remember(q.memory, d)
-            following = Request([*q.conversation, ("robot", answer)], after).signature()
-            out.append((f.surface, extract(text, inv, "v2").surface, extract(text, inv, "v1").surface, resolve(f, q, inv), d["action"], reason, answer, q.signature(), prompt(q, f, inv), compact(template) if template else None, again == d, compact(after), following))
-        return pd.DataFrame(out, columns=_JUDGED.names)
-
-    given = lambda name, kind: F.col(name).cast(kind) if name in requests.columns else F.lit(None).cast(kind)
-    columns = "setting", "text", "raw", given("history", "array<struct<role:string,text:string>>"), given("memory", "string"), given("proposal", "string")
-    return requests.select("id", run(*columns).alias("j")).select("id", "j.*")
+    def run(*given: pd.Series) -> pd.DataFrame:
+        return _judged(zip(*given, strict=True), inventory)
+
+    return asked.select("id", run(*columns).alias("j")).select("id", "j.*")
+
+
+def _judged(rows: Iterable[tuple], inventory: Callable[[str], Inventory]) -> pd.DataFrame:
+    """``_JUDGED`` of (setting, text, raw, history, memory, proposal)."""
+    out = []
+    for s, text, raw, history, memory, proposal in rows:
+        said = [(t["role"], t["text"]) for t in history] if history is not None else []
+        inv, q = inventory(s), Request([*said, ("user", text or "")], json.loads(memory) if memory else {}, proposal)
+        f = review(q, inv)
+        d, reason = checked(raw, q, inv)
+        answer = _said(d, inv)
+        template = compile_template(d, q, inv)
+        again = instantiate(template, q, inv) if template else None
+        after = remember(q.memory, d)
+        following = Request([*q.conversation, ("robot", answer)], after).signature()
+        broken = guard_error(d, q, inv, f) if reason else None
+        out.append((f.surface, extract(text, inv, "v2").surface, extract(text, inv, "v1").surface, resolve(f, q, inv), d["action"], reason, answer, q.signature(), prompt(q, f, inv), compact(template) if template else None, again == d, compact(after), following, broken, left_out(f, q, inv)))
+    return pd.DataFrame(out, columns=_JUDGED.names)
+
+
+#: Requests that meet a copy of their setting's inventory at once.
+TOGETHER = 10_000
+
+
+def _judged_by_setting(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """``judge`` for inventories that are too large to be sent to every task: requests and items meet by setting; a setting with very many
+    requests is dealt to several groups, each with the setting's items."""
+    salts = asked.groupBy("setting").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
+    dealt = asked.join(salts, "setting").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
+    copies = items.join(salts, "setting").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))
+    schema = T.StructType([asked.schema["id"], *_JUDGED.fields])
+
+    def run(requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(own.drop(columns=["salt"]).astype(object).where(own.drop(columns=["salt"]).notna(), None).to_dict("records"), key=lambda r: r["id"])
+        inv = Inventory([{**r, "attributes": dict(r["attributes"] or {})} for r in rows])
+        plain = requests.astype(object).where(requests.notna(), None)
+        out = _judged(zip(*(plain[c] for c in ("setting", "text", "raw", "history", "memory", "proposal")), strict=True), lambda _: inv)
+        out.insert(0, "id", requests["id"].to_numpy())
+        return out
+
+    return dealt.groupBy("setting", "salt").cogroup(copies.groupBy("setting", "salt")).applyInPandas(run, schema)
 
 
 _TURN = T.StructType([T.StructField("turn", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "action", "item", "reply", "memory")), T.StructField("closes", T.BooleanType())])
@@ -600,7 +657,10 @@ def sessions(turns: DataFrame, items: DataFrame, *, teacher: Callable[[Inventory
 
     A session is decided in order, so its turns come together; sessions are independent and spread over the tasks.  Turns after one that closes aren't answered.
     """
-    shared = turns.sparkSession.sparkContext.broadcast(_inventories(items, largest))
+    found = _inventories(items, largest)
+    if found is None:
+        raise ValueError(f"more than {largest} items: give the sessions of some settings at a time")
+    shared = turns.sparkSession.sparkContext.broadcast(found)
     made: dict[str, Inventory] = {}
 
     @pandas_udf(T.ArrayType(_TURN))

@@ -22,6 +22,13 @@ def phrase_hits(requests: DataFrame, phrases: DataFrame) -> DataFrame:
     return asked.join(named, ["setting", "name"]).groupBy("id").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, 3).alias("first"))
 
 
+def phrase_counts(requests: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(id, n, first) of requests that name items: how many, and the smallest id; one aggregate over the items, which combines before the shuffle."""
+    named = phrases.groupBy("setting", "name").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first"))
+    asked = requests.select("id", "setting", F.explode(F.array_distinct(grams(words("text"), word_counts(phrases)))).alias("name"))
+    return asked.join(named, ["setting", "name"]).groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
 def _named(phrases: DataFrame) -> DataFrame:
     """(setting, name, n, first): how many items have a name, and the three smallest ids (each task keeps its own three before the shuffle)."""
     w = Window.partitionBy("setting", "name").orderBy("item_id")
@@ -90,13 +97,14 @@ def scan(tokens: list[str], table: dict[tuple, dict[str, list[str]]], longest: i
 def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_000_000) -> DataFrame:
     """(id, typed, items, ambiguous, correction) of requests: one phrase table for each setting, sent to the tasks.
 
-    table: (setting, phrase, kind, value).  It has a few rows for each item of an inventory; over ``largest`` phrases it is refused rather than broadcast.
-    Requests stay spread over as many tasks as they are in.
+    table: (setting, phrase, kind, value).  It has a few rows for each item of an inventory; over ``largest`` phrases, the runs of words of the requests are joined
+    with the phrases instead, and each request is scanned with the phrases that it has.  Requests stay spread over as many tasks as they are in.
     """
     rows = defaultdict(lambda: defaultdict(dict))
-    phrases = table.groupBy("setting", "phrase", "kind").agg(F.array_sort(F.collect_set("value")).alias("values")).limit(largest + 1).collect()
+    every = table.groupBy("setting", "phrase", "kind").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    phrases = every.limit(largest + 1).collect()
     if len(phrases) > largest:
-        raise ValueError(f"more than {largest} phrases: split the inventory by setting")
+        return _typed_by_join(requests, every)
     for r in phrases:
         rows[r.setting][tuple(r.phrase.split(" "))][r.kind] = r["values"]
     plain = {s: dict(t) for s, t in rows.items()}
@@ -106,20 +114,42 @@ def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_00
     @pandas_udf(kind)
     def features(settings: pd.Series, tokens: pd.Series) -> pd.DataFrame:
         tables, longest = shared.value
+        return pd.DataFrame([_typed(list(ws), tables.get(s, {}), longest.get(s, 1)) for s, ws in zip(settings, tokens, strict=True)], columns=["typed", "items", "ambiguous"])
+
+    return requests.select("id", features("setting", drawer_tokens("text")).alias("f"), is_correction("text").alias("correction")).select("id", "f.typed", "f.items", "f.ambiguous", "correction")
+
+
+def _typed(ws: list[str], table: dict, longest: int) -> tuple[str, str, bool]:
+    surface, items, unsure = [], [], False
+    for k, values in scan(ws, table, longest):
+        if k == "word":
+            surface += values
+            continue
+        surface.append(f"<{k}>" if len(values) == 1 or k != "item" else "<ambiguous-item>")
+        unsure |= len(values) > 1
+        items += values if k == "item" else []
+    return " ".join(surface) or "<empty>", ",".join(dict.fromkeys(items)), unsure
+
+
+def _typed_by_join(requests: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``typed_features`` for any number of phrases: an equi-join by setting and run of words."""
+    counts = sorted(phrases.agg(F.collect_set(F.size(F.split("phrase", " ")))).first()[0])
+    asked = requests.select("id", "setting", drawer_tokens("text").alias("ws"), is_correction("text").alias("correction"))
+    met = asked.select("id", "setting", F.explode(F.array_distinct(grams(F.col("ws"), counts))).alias("phrase")).join(phrases, ["setting", "phrase"])
+    own = met.groupBy("id").agg(F.collect_list(F.struct("phrase", "kind", "values")).alias("known"))
+    kind = T.StructType([T.StructField("typed", T.StringType()), T.StructField("items", T.StringType()), T.StructField("ambiguous", T.BooleanType())])
+
+    @pandas_udf(kind)
+    def features(tokens: pd.Series, known: pd.Series) -> pd.DataFrame:
         out = []
-        for s, ws in zip(settings, tokens, strict=True):
-            surface, items, unsure = [], [], False
-            for k, values in scan(list(ws), tables.get(s, {}), longest.get(s, 1)):
-                if k == "word":
-                    surface += values
-                    continue
-                surface.append(f"<{k}>" if len(values) == 1 or k != "item" else "<ambiguous-item>")
-                unsure |= len(values) > 1
-                items += values if k == "item" else []
-            out.append((" ".join(surface) or "<empty>", ",".join(dict.fromkeys(items)), unsure))
+        for ws, found in zip(tokens, known, strict=True):
+            table: dict = defaultdict(dict)
+            for r in found if found is not None else ():
+                table[tuple(r["phrase"].split(" "))][r["kind"]] = list(r["values"])
+            out.append(_typed(list(ws), table, max(map(len, table), default=1)))
         return pd.DataFrame(out, columns=["typed", "items", "ambiguous"])
 
-    return requests.select("id", features("setting", drawer_tokens("text")).alias("f"), is_correction("text").alias("correction")).select("id", "f.typed", "f.items", "f.ambiguous", "correction")
+    return asked.join(own, "id", "left").select("id", features("ws", "known").alias("f"), "correction").select("id", "f.typed", "f.items", "f.ambiguous", "correction")
 
 
 def narrow(candidates: DataFrame, group: str, says: str, *, name: str, family: str, setting: str, attributes: list[str]) -> DataFrame:
@@ -218,7 +248,19 @@ def match_all(ws: list[str], edges: list[tuple], intents: dict[int, str], *, lim
     A slot takes one or more words, and a repeated slot the same phrase each time.  Literals are tried before slots, and shorter phrases before
     longer ones; the first ``limit`` paths count, and texts over ``longest`` words have none.
     """
-    if not ws or len(ws) > longest:
+    if len(ws) > longest:
+        return []
+    found = _paths(ws, edges, intents, limit)
+    found.sort(key=lambda m: (-m[2], m[3], m[0], sorted(m[1].items())))
+    best: dict = {}
+    for m in found:
+        best.setdefault((m[0], *sorted(m[1].items())), m)
+    return list(best.values())
+
+
+def _paths(ws: list[str], edges: list[tuple], intents: dict[int, str], limit: int) -> list[tuple[str, dict[str, str], int, int]]:
+    """(intent, captures, literals, slots) of the first ``limit`` accepting paths."""
+    if not ws:
         return []
     by_state = defaultdict(list)
     for src, symbol, dst in sorted(edges, key=lambda e: (not e[1].startswith("L:"), e[1], e[2])):
@@ -248,15 +290,31 @@ def match_all(ws: list[str], edges: list[tuple], intents: dict[int, str], *, lim
                 if dst in ends[to] and captures.get(name, phrase) == phrase:
                     steps.append((dst, to, {**captures, name: phrase}, literals, slots + 1))
         stack += reversed(steps)
-    found.sort(key=lambda m: (-m[2], m[3], m[0], sorted(m[1].items())))
-    best: dict = {}
-    for m in found:
-        best.setdefault((m[0], *sorted(m[1].items())), m)
-    return list(best.values())
+    return found
+
+
+def match_status(tokens: DataFrame, edges=SLOT_EDGES, intents=INTENTS, limit: int = 256, longest: int = 128) -> DataFrame:
+    """(id, status) of token arrays: ``matched``, ``no match``, ``too long`` (not walked) or ``cut`` (there are more paths than the first ``limit``)."""
+
+    @pandas_udf(T.StringType())
+    def status(arrays: pd.Series) -> pd.Series:
+        out = []
+        for ws in map(list, arrays):
+            if len(ws) > longest:
+                out.append("too long")
+                continue
+            n = len(_paths(ws, edges, intents, limit + 1))
+            out.append("cut" if n > limit else "matched" if n else "no match")
+        return pd.Series(out, dtype=object)
+
+    return tokens.select("id", status("w").alias("status"))
 
 
 def automaton_matches(tokens: DataFrame, edges=SLOT_EDGES, intents=INTENTS, limit: int = 256) -> DataFrame:
-    """(id, rank, intent, captures, literals, slots): each interpretation of token arrays by ``match_all``, the best with rank 0."""
+    """(id, rank, intent, captures, literals, slots): each interpretation of token arrays by ``match_all``, the best with rank 0.
+
+    Texts without a row may have no match or be too long, and some have more paths than count: ``match_status`` tells which.
+    """
     fields = [("intent", T.StringType()), ("captures", T.MapType(T.StringType(), T.StringType())), ("literals", T.IntegerType()), ("slots", T.IntegerType())]
 
     @pandas_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields])))

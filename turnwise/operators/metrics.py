@@ -1,8 +1,11 @@
 """Rates, agreement and reliability as column expressions and small DataFrame functions."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import keeper
+from .ordering import position
+
 
 def rate(flag, where: Column | None = None) -> Column:
     """Share of true among non-null flags; null if there are none."""
@@ -37,19 +40,60 @@ def label_scores(pairs: DataFrame, digits: int | None = 6) -> DataFrame:
     )
 
 
-def clustered_bootstrap(rows: DataFrame, *, clusters: int, resamples: int) -> DataFrame:
-    """(u, correct) -> low, high: percentiles of the mean over resampled clusters 0 to clusters - 1.
+def clustered_bootstrap(rows: DataFrame, *, resamples: int = 1000, bin_of: Column | None = None) -> DataFrame:
+    """(u, correct) -> low, high, resamples: percentiles of the mean over resampled clusters ``u``.
 
-    Rows are summed by cluster first, so a resample touches clusters, not rows; draws come from a hash of resample and place.
+    Rows are summed by cluster first, so a resample touches clusters, not rows; draws come from a hash of resample and place, so reruns agree.
+    Clusters are numbered in order through ranges of them: bin_of is a coarser form of ``u`` (the default: thousands of an integer).
     """
     c = rows.groupBy("u").agg(F.sum(F.col("correct").cast("int")).cast("double").alias("s"), F.count("correct").alias("n"))
-    spark = rows.sparkSession
-    draws = spark.range(1, resamples + 1).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(clusters - 1))).alias("k"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long") % clusters).alias("u")
-    m = draws.select("r", u).join(c, "u").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    numbered = position(c, [F.floor(F.col("u") / 1000) if bin_of is None else bin_of], ["u"], "place")
+    draws = numbered.select(F.col("place").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
+    total = c.count()
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), (F.col("k") - 1).cast("string"))), 1, 8), 16, 10).cast("long") % F.lit(max(1, total)) + 1
+    m = draws.select("r", drawn.alias("place")).join(numbered, "place").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
     return m.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count(F.lit(1)).alias("resamples"))
 
 
+#: Bins of a narrowing round, and values of a range that are sorted at once.
+BINS = 1024
+LEAF = 4096
+
+
+def exact_percentiles(rows: DataFrame, group: str, value: Column, shares: list[float]) -> DataFrame:
+    """(group, share, percentile) with linear interpolation between the neighbouring ranks, as exact as a sort, without one buffer for a group.
+
+    Each wanted rank starts with its group's range of values.  A round counts the values of each range in ``BINS`` bins of equal width, combined before the shuffle, and
+    goes on in the bin that holds the rank, between the smallest and the largest value that it has; ranges of equal values, or of at most ``LEAF``
+    values, which are sorted, end it.  Values and ranges are written to the shared folder, so no round repeats another.  Nulls don't count; NaN and infinities aren't supported.
+    """
+    keep = keeper(rows.sparkSession, "percentiles")
+    base = keep(rows.select(F.col(group).alias("g"), value.cast("double").alias("v")).filter("v IS NOT NULL"), "values")
+    own = base.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = [F.lit(float(q)) * (F.col("c") - 1) for q in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(x), F.ceil(x)) for x in at))))
+    todo = keep(own.withColumn("rank", F.explode(ranks)).withColumn("before", F.lit(0).cast("long")).select("g", "rank", "before", "c", "lo", "hi"), "ranges-0")
+    open_, turn = (F.col("c") > LEAF) & (F.col("lo") < F.col("hi")), 0
+    while not todo.filter(open_).isEmpty():
+        turn += 1
+        t = todo.filter(open_).select(F.col("g").alias("og"), "rank", "before", "lo", "hi")
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)).alias("bin")
+        seen = base.join(t, F.col("g").eqNullSafe(F.col("og")) & F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("g", "rank", "before", bin_).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = Window.partitionBy("g", "rank").orderBy("bin")
+        placed = seen.withColumn("before", F.col("before") + F.sum("c").over(upto) - F.col("c"))
+        found = placed.filter((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c"))).select(*todo.columns)
+        todo = keep(todo.filter(~open_).unionByName(found), f"ranges-{turn}")
+    some = todo.select(F.col("g").alias("og"), "rank", "before", "lo", "hi")
+    one = some.filter("lo = hi").select("og", "rank", F.col("lo").alias("x"))
+    near = base.join(some.filter("lo < hi"), F.col("g").eqNullSafe(F.col("og")) & F.col("v").between(F.col("lo"), F.col("hi")))
+    sorted_ = near.groupBy("og", "rank", "before").agg(F.array_sort(F.collect_list("v")).alias("l")).select("og", "rank", F.get("l", (F.col("rank") - F.col("before")).cast("int")).alias("x"))
+    known = one.unionByName(sorted_).groupBy("og").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+    of = own.join(known, F.col("g").eqNullSafe(F.col("og")))
+    wanted = of.select("g", "c", "at", F.explode(F.array(*(F.lit(float(q)) for q in shares))).alias("share")).withColumn("r", F.col("share") * (F.col("c") - 1))
+    low, high = F.col("at")[F.floor("r")], F.col("at")[F.ceil("r")]
+    return wanted.select(F.col("g").alias(group), "share", (low + (high - low) * (F.col("r") - F.floor("r"))).alias("percentile"))
+
+
 def sum_digest(text: Column) -> Column:
     """Sum of the first 48 bits of each row's SHA-256: partial sums combine before any shuffle."""
     return F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(20,0)")).cast("string")

@@ -70,3 +70,14 @@ def interleave(first: DataFrame, second: DataFrame, order: str = "position") ->
     two = rank(second).withColumn("__k", F.col("__trial") - 1).withColumn("__trial", F.greatest(F.lit(1).cast("long"), F.floor(F.col("__trial") * t / (a + 1)).cast("long"))).withColumn("__sub", F.lit(1))
     both = one.unionByName(two)
     return position(both, [F.floor(F.col("__trial") / SPAN)], ["__trial", "__sub", "__k"], "place").drop("__trial", "__sub", "__k")
+
+
+def round_robin(rows: DataFrame, stratum: str, bins: list[Column], order: list, name: str = "place") -> DataFrame:
+    """``rows`` with their place when strata take turns, each in its order: the first of every stratum, then the second of those that have one, and so on.
+
+    bins: a coarser form of the order's first keys, so that a large stratum is ranked in ranges too.
+    """
+    ranked = position(rows, [F.col(stratum), *bins], order, "__p")
+    starts = ranked.groupBy(F.col(stratum).alias("__of")).agg((F.min("__p") - 1).alias("__from"))
+    own = ranked.join(starts, F.col(stratum).eqNullSafe(F.col("__of"))).withColumn("__n", F.col("__p") - F.col("__from"))
+    return position(own, [_range("__n")], ["__n", stratum], name).select(*(F.col(f"`{c}`") for c in rows.columns), name)

@@ -23,8 +23,8 @@ _HITS = f"{U}, {I}, n AS (SELECT DISTINCT setting, item_id, name FROM i), h AS (
 def lookup_outcome(read):
     """Requests to items by phrase, the outcome by the number of hits, and the rendered reply."""
     items = inventory(read)
-    hits = M.phrase_hits(utterances(read), items.select("setting", "item_id", "name"))
-    per = utterances(read).join(hits.select("id", "n", F.get("first", F.lit(0)).alias("item_id")), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    hits = M.phrase_counts(utterances(read), items.select("setting", "item_id", "name"))
+    per = utterances(read).join(hits.withColumnRenamed("first", "item_id"), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one = per.join(items, (F.col("n") == 1) & (per["item_id"] == items["item_id"]), "left")
     return one.select("id", F.col("n").cast("long").alias("candidates"), *M.outcome(F.col("n"), F.col("name"), F.col("drawer")))
 
@@ -219,6 +219,13 @@ def fst_matches(read):
     return m.select("id", "intent", F.col("captures")["item"].alias("item"), "literals", "slots")
 
 
+@query(f"WITH {U}, w AS (SELECT id, {_W} AS w FROM u) SELECT id, CASE WHEN id % 50 = 0 THEN 'too long' WHEN w[1:3] = ['where', 'is', 'the'] AND len(w) > 3 OR w[1:4] = ['which', 'drawer', 'has', 'the'] AND len(w) > 4 THEN 'matched' ELSE 'no match' END AS status FROM w")
+def fst_status(read):
+    """Whether a request was matched, wasn't, or was too long to be walked (one in fifty is said forty times over)."""
+    w = T.words("text")
+    return M.match_status(utterances(read).select("id", F.when(F.col("id") % 50 == 0, F.flatten(F.array_repeat(w, 40))).otherwise(w).alias("w")), longest=64)
+
+
 @query(f"WITH {U}, w AS (SELECT id, {_W} AS w FROM u) SELECT id, CASE WHEN w[1] = 'where' AND w[2] = 'is' THEN 2 WHEN w[1] = 'where' THEN 1 ELSE 0 END AS state FROM w")
 def acceptor_traversal(read):
     """A deterministic walk as a fold over all words, by a table of edges; the state where it ends or stops."""

@@ -88,11 +88,10 @@ def interleave(read):
     return O.interleave(log.filter("category <> 'signup'").select("position", "event_id"), log.filter("category = 'signup'").select("position", "event_id")).select("place", "event_id")
 
 
-@query(f"WITH {L}, r AS (SELECT category, event_id, row_number() OVER (PARTITION BY category ORDER BY event_id) AS rn FROM log) SELECT row_number() OVER (ORDER BY rn, category) AS place, event_id FROM r QUALIFY row_number() OVER (ORDER BY rn, category) <= 123")
+@query(f"WITH {L}, r AS (SELECT category, event_id, row_number() OVER (PARTITION BY category ORDER BY event_id) AS rn FROM log) SELECT row_number() OVER (ORDER BY rn, category) AS place, event_id FROM r")
 def round_robin(read):
-    """One of each stratum in turn, up to a limit."""
-    r = turn_log(read).withColumn("rn", F.row_number().over(Window.partitionBy("category").orderBy("event_id")))
-    return r.filter("rn <= 123").orderBy("rn", "category").limit(123).withColumn("place", F.row_number().over(Window.orderBy("rn", "category")).cast("long")).select("place", "event_id")
+    """One of each stratum in turn, until all are used up."""
+    return O.round_robin(turn_log(read).select("category", "event_id"), "category", [F.floor(F.col("event_id") / O.SPAN)], ["event_id"], "place").select("place", "event_id")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT)) AS place FROM customer")
@@ -103,9 +102,9 @@ def participant_order(read):
 
 @query("""SELECT n_nationkey, row_number() OVER (ORDER BY '{"name":"' || n_name || '","region":' || n_regionkey || '}') AS place FROM nation""")
 def canonical_sort(read):
-    """O2: by canonical JSON."""
-    j = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
-    return read("nation").select("n_nationkey", F.row_number().over(Window.orderBy(j)).cast("long").alias("place"))
+    """O2: by canonical JSON, through ranges of its first letters."""
+    n = read("nation").select("n_nationkey", F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("json"))
+    return O.position(n, [F.substring("json", 1, 12)], ["json"], "place").select("n_nationkey", "place")
 
 
 @query(f"WITH {I} SELECT family, item_id AS first_best, size FROM i QUALIFY row_number() OVER (PARTITION BY family ORDER BY CAST(size AS INT) DESC, item_id) = 1")

@@ -82,6 +82,30 @@ def judged_cases(read):
     return j.select("id", "v3", "item", "action", "error", F.get_json_object("signature", "$.state").alias("state"))
 
 
+@query(
+    f"WITH {I}, {CASES_SQL} SELECT item_id AS id, {_ERROR} AS error, CASE WHEN ({_ERROR}) IS NOT NULL AND drawer IS NULL AND k NOT IN (6, 7, 8, 11) THEN 'no_drawer_on_record' END AS guard_error FROM c"
+)
+def guarded_cases(read):
+    """The rule that each raw decision breaks, and the rule that the guard's decision in its place breaks too: an item without a drawer can't be served."""
+    return dialogue.judge(cases(read), items(read)).select("id", "error", "guard_error")
+
+
+@query(f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action FROM c) SELECT item_id AS id, action FROM a")
+def judged_by_setting(read):
+    """The checked actions when the inventory counts as too large to be sent to every task, and requests go to their setting's items."""
+    return dialogue.judge(cases(read), items(read), largest=10).select("id", "action")
+
+
+@query()
+def typed_by_join(read):
+    """Typed requests when the phrases count as too many to be sent to every task."""
+    from ..operators import matching as M
+    from .base import utterances
+
+    table = M.phrase_table(inventory(read)).select("setting", "phrase", "kind", F.when(F.col("kind") == "item", F.col("item_id").cast("string")).otherwise(F.col("phrase")).alias("value"))
+    return M.typed_features(utterances(read), table, largest=10)
+
+
 _MISSING = (
     "m AS (SELECT setting, family, CASE WHEN count(DISTINCT brand) > 1 AND count(DISTINCT size) > 1 THEN '[\"brand\",\"size\"]' WHEN count(DISTINCT brand) > 1 THEN '[\"brand\"]' WHEN count(DISTINCT size) > 1 THEN '[\"size\"]' ELSE '[]' END AS missing, count(*) AS members FROM n GROUP BY ALL)"
 )

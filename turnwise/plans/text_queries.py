@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import matching as M
+from ..operators.ordering import position
 from .base import I, U, inventory, query, utterances
 
 _NUM = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.NUMBER_WORDS.items()) + "}"
@@ -194,21 +195,25 @@ def sequence_ratio(read):
     return utterances(read).join(inventory(read), F.col("id") == F.col("item_id")).select("id", F.round(S.sequence_ratio("name", F.lower("text")), 9).alias("ratio"))
 
 
+def _placed(read):
+    return position(inventory(read), [F.floor(F.col("item_id") / 10_000)], ["item_id"], "place")
+
+
 @query()
 def surface_similarity(read):
-    """Sequence ratio and word overlap of items next to each other."""
-    a, b = inventory(read).alias("a"), inventory(read).alias("b")
-    return a.join(b, F.col("a.item_id") + 1 == F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.round(S.surface_similarity(F.col("a.name"), F.col("b.name")), 9).alias("similarity"))
+    """Sequence ratio and word overlap of items next to each other in the order of their ids, gaps or not."""
+    a, b = _placed(read).alias("a"), _placed(read).alias("b")
+    return a.join(b, F.col("a.place") + 1 == F.col("b.place")).select(F.col("a.item_id").alias("item_id"), F.round(S.surface_similarity(F.col("a.name"), F.col("b.name")), 9).alias("similarity"))
 
 
 @query(
-    f"WITH {I}, j AS (SELECT a.item_id, string_split(a.name, ' ') AS x, string_split(b.name, ' ') AS y FROM i a JOIN i b ON a.item_id + 1 = b.item_id) "
+    f"WITH {I}, j AS (SELECT item_id, string_split(name, ' ') AS x, string_split(lead(name) OVER (ORDER BY item_id), ' ') AS y FROM i QUALIFY lead(item_id) OVER (ORDER BY item_id) IS NOT NULL) "
     "SELECT item_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard FROM j"
 )
 def jaccard_tokens(read):
     """The word part of T21."""
-    a, b = inventory(read).alias("a"), inventory(read).alias("b")
-    return a.join(b, F.col("a.item_id") + 1 == F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.round(S.jaccard(F.split("a.name", " "), F.split("b.name", " ")), 6).alias("jaccard"))
+    a, b = _placed(read).alias("a"), _placed(read).alias("b")
+    return a.join(b, F.col("a.place") + 1 == F.col("b.place")).select(F.col("a.item_id").alias("item_id"), F.round(S.jaccard(F.split("a.name", " "), F.split("b.name", " ")), 6).alias("jaccard"))
 
 
 @query(
