@@ -632,21 +632,23 @@ TOGETHER = 10_000
 def _judged_by_setting(asked: DataFrame, items: DataFrame) -> DataFrame:
     """``judge`` for inventories that are too large to be sent to every task: requests and items meet by setting; a setting with very many
     requests is dealt to several groups, each with the setting's items."""
-    salts = asked.groupBy("setting").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
-    dealt = asked.join(salts, "setting").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
-    copies = items.join(salts, "setting").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    of = F.coalesce(F.col("setting"), F.lit("")).alias("of")  # requests without a setting have no items, and keep their row
+    salts = asked.groupBy(of).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
+    dealt = asked.withColumn("of", of).join(salts, "of").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
+    copies = items.withColumn("of", of).join(salts, "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))
     schema = T.StructType([asked.schema["id"], *_JUDGED.fields])
 
     def run(requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(own.drop(columns=["salt"]).astype(object).where(own.drop(columns=["salt"]).notna(), None).to_dict("records"), key=lambda r: r["id"])
+        plain = own.drop(columns=["salt", "of"]).astype(object)
+        rows = sorted(plain.where(plain.notna(), None).to_dict("records"), key=lambda r: r["id"])
         inv = Inventory([{**r, "attributes": dict(r["attributes"] or {})} for r in rows])
-        plain = requests.astype(object).where(requests.notna(), None)
-        out = _judged(zip(*(plain[c] for c in ("setting", "text", "raw", "history", "memory", "proposal")), strict=True), lambda _: inv)
+        asked = requests.astype(object).where(requests.notna(), None)
+        out = _judged(zip(*(asked[c] for c in ("setting", "text", "raw", "history", "memory", "proposal")), strict=True), lambda _: inv)
         out.insert(0, "id", requests["id"].to_numpy())
         return out
 
-    return dealt.groupBy("setting", "salt").cogroup(copies.groupBy("setting", "salt")).applyInPandas(run, schema)
+    return dealt.groupBy("of", "salt").cogroup(copies.groupBy("of", "salt")).applyInPandas(run, schema)
 
 
 _TURN = T.StructType([T.StructField("turn", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "action", "item", "reply", "memory")), T.StructField("closes", T.BooleanType())])
