@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components
+from .ordering import position
+
 
 def hash_split(ids: DataFrame, key: str, *, salt: str, cuts: tuple[float, float]) -> DataFrame:
     """(key, split): ids in the order of a salted hash, the first share to train, the next to validation, the rest to test.
@@ -20,32 +23,25 @@ def hash_split(ids: DataFrame, key: str, *, salt: str, cuts: tuple[float, float]
 
 
 def grouped_split(rows: DataFrame, group: str) -> DataFrame:
-    """``rows`` with ``split``: 15 per cent of the groups test, 15 validation, by a hash of the group."""
-    g = rows.select(group).distinct()
-    everything = Window.partitionBy(F.lit(0))
-    r = g.select(group, (F.row_number().over(everything.orderBy(F.md5(F.concat(F.lit("g:"), F.col(group).cast("string"))), group)) - 1).alias("r"), F.count(F.lit(1)).over(everything).alias("n"))
-    split = F.when(F.col("r") < F.floor(F.col("n") * 15 / 100), "test").when(F.col("r") < F.floor(F.col("n") * 30 / 100), "validation").otherwise("train")
-    return rows.join(r.select(group, split.alias("split")), group)
+    """``rows`` with ``split``: 15 per cent of the groups test, 15 validation, by a hash of the group; groups are ranked through ranges of the hash."""
+    h = F.md5(F.concat(F.lit("g:"), F.col(group).cast("string")))
+    g = rows.select(group).distinct().withColumn("__h", h)
+    ranked = position(g, [F.substring("__h", 1, 3)], ["__h", group], "__r")
+    n = ranked.count()
+    split = F.when(F.col("__r") <= n * 15 // 100, "test").when(F.col("__r") <= n * 30 // 100, "validation").otherwise("train")
+    return rows.join(ranked.select(group, split.alias("split")), group)
 
 
 def group_folds(edges: DataFrame, folds: int) -> DataFrame:
-    """(a, fold): participants ``a`` that share any ``b`` get the same fold; groups, largest first, are dealt back and forth.
-
-    The smallest participant of a group is passed along shared items until nothing changes; only the number of changes
-    comes to the driver.
-    """
-    label = edges.select("a").distinct().withColumn("root", F.col("a"))
-    pairs = edges.distinct()
-    changed = 1
-    while changed:
-        least = pairs.join(label, "a").groupBy("b").agg(F.min("root").alias("m"))
-        new = pairs.join(least, "b").groupBy("a").agg(F.min("m").alias("m"))
-        step = label.join(new, "a").select("a", "root", F.least("root", "m").alias("m"))
-        spark = edges.sparkSession
-        step = step.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else step.persist()
-        changed = step.filter("root <> m").count()
-        label = step.select("a", F.col("m").alias("root"))
-    sizes = label.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "root")) - 1
-    dealt = sizes.withColumn("k", order).withColumn("fold", F.when(F.floor(F.col("k") / folds) % 2 == 0, F.col("k") % folds).otherwise(folds - 1 - F.col("k") % folds))
-    return label.join(dealt.select("root", "fold"), "root").select("a", F.col("fold").cast("int").alias("fold"))
+    """(a, fold): participants ``a`` that share any ``b`` get the same fold; groups, largest first, are dealt back and forth."""
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key"))
+    found = components(edges.select(key("a", "a").alias("a"), key("b", "b").alias("b")))
+    # the group is named by its smallest participant
+    mine = edges.select("a").distinct().withColumn("node", key("a", "a")).join(found, "node").select("a", "root")
+    groups = mine.groupBy("root").agg(F.min("a").alias("first"), F.count(F.lit(1)).alias("n"))
+    # many groups have one size, so they are ranked in ranges of size and first participant
+    coarse = F.substring("first", 1, 4) if dict(groups.dtypes)["first"] == "string" else F.floor(F.col("first") / 10_000)
+    ranked = position(groups.withColumn("less", -F.col("n")), [F.col("less"), coarse], ["less", "first"], "k")
+    k = F.col("k") - 1
+    dealt = ranked.withColumn("fold", F.when(F.floor(k / folds) % 2 == 0, k % folds).otherwise(folds - 1 - k % folds))
+    return mine.join(dealt.select("root", "fold"), "root").select("a", F.col("fold").cast("int").alias("fold"))

@@ -242,3 +242,31 @@ def sessions(read):
         said = F.when(F.col("item_id") % 4 == k, F.array(*map(F.expr, _SAID[k]))).otherwise(said)
     turns = i.select(F.col("item_id").alias("session"), "setting", F.posexplode(said).alias("turn", "text"))
     return dialogue.sessions(turns, items(read)).select("session", "turn", "text", "action", "item", "reply", "closes")
+
+
+_FAILED = "CASE WHEN action = 'recover' THEN CASE WHEN k = 9 THEN 'comprehension_failure' ELSE 'search_failure' END ELSE 'none' END"
+
+
+@query(
+    f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action, {_ERROR} AS error FROM c), f AS (SELECT *, {_FAILED} AS failure FROM a) SELECT item_id AS id, "
+    "CASE WHEN action = 'cancel' THEN 'ended' WHEN action = 'clarify' THEN 'awaiting_clarification' WHEN action IN ('locate', 'recover') THEN 'located' WHEN action = 'not_found' THEN 'awaiting_request' ELSE 'unchanged' END AS next_state, "
+    "CASE WHEN action IN ('locate', 'recover') OR failure <> 'none' THEN 'risky' ELSE 'routine' END AS risk, CASE WHEN failure <> 'none' THEN 'failure:' || failure ELSE 'success:' || action END AS scenario, "
+    "error IS NULL AND action IN ('locate', 'recover') AND drawer IS NOT NULL AS cacheable FROM f"
+)
+def judged_labels(read):
+    """Next state, risk class, scenario and cacheability of the checked decisions of all cases."""
+    from ..operators import decisions
+
+    j = dialogue.judge(cases(read), items(read)).select("id", "action", "error", "template", "guard_error")
+    failure = F.coalesce(F.get_json_object("template", "$.failure_type"), F.lit("none"))
+    labelled = j.withColumn("failure", F.when(F.col("action") == "recover", failure).otherwise("none"))
+    risky = F.col("action").isin("locate", "recover") | (F.col("failure") != "none")
+    # a decision becomes a pattern if it broke no rule, binds an item, and has a source in the request or memory for all that it says
+    cacheable = F.col("error").isNull() & F.col("action").isin("locate", "recover") & F.col("template").isNotNull()
+    return labelled.select(
+        "id",
+        decisions.next_state(F.col("action")).alias("next_state"),
+        F.when(risky, "risky").otherwise("routine").alias("risk"),
+        F.when(F.col("failure") != "none", F.concat(F.lit("failure:"), "failure")).otherwise(F.concat(F.lit("success:"), "action")).alias("scenario"),
+        cacheable.alias("cacheable"),
+    )

@@ -1,8 +1,10 @@
 """What a session needs to run the operators."""
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -11,11 +13,26 @@ ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (on a cluster it is shipped with the job)."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
+    """Let Python workers import this package: from where the driver has it if all run on one machine, else as an archive in the shared folder."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
+        return
+    name = __name__.split(".")[0]
+    if any(f.startswith(f"{name}-package") for f in sc._python_includes):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(Path(ROOT, name).rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    uri = workspace(spark, f"{name}-package") + ".zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(uri)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
