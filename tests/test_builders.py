@@ -91,10 +91,11 @@ def test_sessions_close_and_spread(spark):
     assert dialogue.sessions(turns.limit(0), items).count() == 0
 
 
-def test_typed_features_refuse_a_table_that_is_too_large(spark):
-    table = spark.createDataFrame([("lab", f"p{i}", "item", str(i)) for i in range(5)], "setting string, phrase string, kind string, value string")
-    with pytest.raises(ValueError, match="split"):
-        matching.typed_features(spark.createDataFrame([(1, "lab", "p1")], "id int, setting string, text string"), table, largest=4)
+def test_typed_features_join_a_table_that_is_too_large(spark):
+    table = spark.createDataFrame([("lab", f"p{i}", "item", str(i)) for i in range(5)] + [("lab", "p1", "family", "f")], "setting string, phrase string, kind string, value string")
+    asked = spark.createDataFrame([(1, "lab", "p1 or p9"), (2, "other", "p1"), (3, None, "p1"), (4, "lab", "")], "id int, setting string, text string")
+    sent, joined = (sorted(map(tuple, matching.typed_features(asked, table, largest=n).collect())) for n in (100, 4))
+    assert sent == joined and sent[0][:3] == (1, "<item> or p9", "1") and sent[1][1] == "p1"
 
 
 def test_several_snapshots_are_verified_together(spark, tmp_path):
