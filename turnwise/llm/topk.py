@@ -180,6 +180,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K) -> DataFrame:
     shards = max(1, -(-vectors.count() // SHARD))
     parts = max(1, -(-queries.count() // QUERIES))
     own = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
+    if shards > GROWTH:  # several rounds: vectors are read and dealt once, and a round skips the row groups of other shards
+        own = cut(own.repartitionByRange(max(1, shards // GROWTH), "shard"), "topk-vectors")
     asked = cut(queries.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.lit(None).cast("long").alias("floor")).repartition(parts, "vec_id"), "topk-queries")
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found, done = None, 0
