@@ -586,12 +586,16 @@ def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> D
     decision as JSON (null: a value has no source); whether the template gives the decision back for the same request; memory after it; the signature of what follows; the rule that
     the guard's decision breaks where the guard decided (the action is then no valid one); how many candidates its prompt leaves out.
     """
+    return _with_inventories(requests, items, _JUDGED, _judged, largest)
+
+
+def _with_inventories(requests: DataFrame, items: DataFrame, schema: T.StructType, rule: Callable, largest: int) -> DataFrame:
+    """id and ``schema`` by rule(rows, inventory of a setting) -> frame, over rows (setting, text, raw, history, memory, proposal)."""
     given = lambda name, kind: (F.col(name) if name in requests.columns else F.lit(None)).cast(kind).alias(name)
-    asked = requests.select("id", "setting", "text", "raw", given("history", "array<struct<role:string,text:string>>"), given("memory", "string"), given("proposal", "string"))
-    columns = asked.columns[1:]
+    asked = requests.select("id", "setting", "text", given("raw", "string"), given("history", "array<struct<role:string,text:string>>"), given("memory", "string"), given("proposal", "string"))
     found = _inventories(items, largest)
     if found is None:
-        return _judged_by_setting(asked, items)
+        return _by_setting(asked, items, schema, rule)
     shared = requests.sparkSession.sparkContext.broadcast(found)
     made: dict[str, Inventory] = {}
 
@@ -600,11 +604,38 @@ def judge(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> D
             made[setting] = Inventory(shared.value.get(setting, []))
         return made[setting]
 
-    @pandas_udf(_JUDGED)
+    @pandas_udf(schema)
     def run(*given: pd.Series) -> pd.DataFrame:
-        return _judged(zip(*given, strict=True), inventory)
+        return rule(zip(*given, strict=True), inventory)
+
+    return asked.select("id", run(*asked.columns[1:]).alias("j")).select("id", "j.*")
+
+
+_UNDERSTOOD = T.StructType(
+    [
+        T.StructField("surface", T.StringType()),
+        *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("items", "families", "proposed_items", "proposed_drawers")),
+        *(T.StructField(n, T.BooleanType()) for n in ("ambiguous", "correction", "request_like", "proposal_right")),
+        *(T.StructField(n, T.StringType()) for n in ("asked", "asked_drawer", "family")),
+    ]
+)
+
+
+def _understood(rows: Iterable[tuple], inventory: Callable[[str], Inventory]) -> pd.DataFrame:
+    out = []
+    for s, text, _, history, memory, proposal in rows:
+        said = [(t["role"], t["text"]) for t in history] if history is not None else []
+        inv, q = inventory(s), Request([*said, ("user", text or "")], json.loads(memory) if memory else {}, proposal)
+        f = review(q, inv)
+        asked = resolve(f, q, inv)
+        item = inv.items.get(asked or "")
+        out.append((f.surface, f.items, f.families, f.proposed_items, f.proposed_drawers, f.ambiguous, f.correction, looks_like_request(q.said), _proposal_is_right(f, item), asked, normal(item["drawer"]) if item else None, resolve_family(f, q, inv)))
+    return pd.DataFrame(out, columns=_UNDERSTOOD.names).astype({"proposal_right": "object"})
+
 
-    return asked.select("id", run(*columns).alias("j")).select("id", "j.*")
+def understood(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> DataFrame:
+    """What requests name and resolve to, for rules in columns (``decision_columns``): id and ``_UNDERSTOOD``."""
+    return _with_inventories(requests, items, _UNDERSTOOD, _understood, largest)
 
 
 def _judged(rows: Iterable[tuple], inventory: Callable[[str], Inventory]) -> pd.DataFrame:
@@ -629,26 +660,26 @@ def _judged(rows: Iterable[tuple], inventory: Callable[[str], Inventory]) -> pd.
 TOGETHER = 10_000
 
 
-def _judged_by_setting(asked: DataFrame, items: DataFrame) -> DataFrame:
-    """``judge`` for inventories that are too large to be sent to every task: requests and items meet by setting; a setting with very many
+def _by_setting(asked: DataFrame, items: DataFrame, schema: T.StructType, rule: Callable) -> DataFrame:
+    """The same for inventories that are too large to be sent to every task: requests and items meet by setting; a setting with very many
     requests is dealt to several groups, each with the setting's items."""
     of = F.coalesce(F.col("setting"), F.lit("")).alias("of")  # requests without a setting have no items, and keep their row
     salts = asked.groupBy(of).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("salts"))
     dealt = asked.withColumn("of", of).join(salts, "of").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).drop("salts")
     copies = items.withColumn("of", of).join(salts, "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))
-    schema = T.StructType([asked.schema["id"], *_JUDGED.fields])
+    own_schema = T.StructType([asked.schema["id"], *schema.fields])
 
     def run(requests: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         plain = own.drop(columns=["salt", "of"]).astype(object)
         rows = sorted(plain.where(plain.notna(), None).to_dict("records"), key=lambda r: r["id"])
         inv = Inventory([{**r, "attributes": dict(r["attributes"] or {})} for r in rows])
         asked = requests.astype(object).where(requests.notna(), None)
-        out = _judged(zip(*(asked[c] for c in ("setting", "text", "raw", "history", "memory", "proposal")), strict=True), lambda _: inv)
+        out = rule(zip(*(asked[c] for c in ("setting", "text", "raw", "history", "memory", "proposal")), strict=True), lambda _: inv)
         out.insert(0, "id", requests["id"].to_numpy())
         return out
 
-    return dealt.groupBy("of", "salt").cogroup(copies.groupBy("of", "salt")).applyInPandas(run, schema)
+    return dealt.groupBy("of", "salt").cogroup(copies.groupBy("of", "salt")).applyInPandas(run, own_schema)
 
 
 _TURN = T.StructType([T.StructField("turn", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "action", "item", "reply", "memory")), T.StructField("closes", T.BooleanType())])
