@@ -185,3 +185,30 @@ def test_judge(spark):
     assert out[2].action == "redirect" and out[3].v3 == "wires" and out[4].item is None
     by_setting = {r.id: r for r in D.judge(req, items, largest=2).collect()}  # an inventory that counts as too large to be sent to every task
     assert by_setting == out
+
+
+def test_bundles_relate_replies_to_the_item_asked_for(inv):
+    def told(reply, text="Where are the wires?"):
+        return D.feature_bundle(D.Request([("user", text), ("robot", reply), ("user", "hm")], {}, reply), inv, 2999.0)
+
+    place = inv.items["wires"]["drawer"]
+    assert told(f"The wires is listed in {place}.")["prior_relation"] == "correct"
+    assert told("The wires is in drawer 77.")["proposal_relation"] == "wrong_drawer"
+    assert told("The wires is here.")["prior_relation"] == "same_item_no_drawer"
+    assert told("The gloves is here.")["prior_relation"] == "wrong_item"
+    assert told("Good question.")["prior_relation"] == "missing_item" and told("The wires is here.", "hello")["prior_relation"] == "unverifiable"
+    b = told("The wires is here.")
+    assert b["timing"] == "1000-3000ms" and b["history"] == ["user:where are the <item>", "robot:the <item> is here", "user:hm"]
+    assert [D.timing_class(x) for x in (None, float("nan"), 0, 1000, 15000, 15001)] == ["missing", "missing", "0-1000ms", "0-1000ms", "7000-15000ms", ">15000ms"]
+    none = D.feature_bundle(D.Request([("user", "")]), inv, None)
+    assert (none["proposal_relation"], none["prior_relation"], none["current"]) == ("none", "none", "<empty>")
+
+
+def test_inventories_are_read_by_setting(spark, tmp_path):
+    from turnwise.sources import files
+
+    items = spark.createDataFrame([(s, f"{s}{i}", "n", "f", {"a": "b"}, ["x"], f"drawer {i}") for s in ("lab", "ward") for i in range(5)], "setting string, id string, name string, family string, attributes map<string,string>, aliases array<string>, drawer string")
+    files.write_items(items.repartition(3), str(tmp_path / "i"))
+    got = files.read_setting(spark, str(tmp_path / "i"), "ward")
+    assert sorted(r.id for r in got.collect()) == [f"ward{i}" for i in range(5)]
+    assert "PartitionFilters: [isnotnull(setting" in got._jdf.queryExecution().executedPlan().toString()

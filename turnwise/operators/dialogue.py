@@ -682,6 +682,71 @@ def _by_setting(asked: DataFrame, items: DataFrame, schema: T.StructType, rule:
     return dealt.groupBy("of", "salt").cogroup(copies.groupBy("of", "salt")).applyInPandas(run, own_schema)
 
 
+#: Upper ends of the classes of waiting times, in milliseconds.
+TIMING_EDGES = (1000, 3000, 7000, 15000)
+
+
+def relation(asked: Features, answer: Features, text: str, inv: Inventory) -> str:
+    """What an answer says about the place of the item that was asked for last."""
+    wanted, told = (f.items[-1] if f.items else None for f in (asked, answer))
+    if wanted is None:
+        return "unverifiable"
+    if told is None:
+        return "missing_item"
+    if wanted != told:
+        return "wrong_item"
+    words = tokens(text)
+    place = next((f"drawer {n}" for d, n in zip(words, words[1:], strict=False) if d == "drawer" and n.isdigit()), None)
+    return "same_item_no_drawer" if place is None else "correct" if place == normal(inv.items[wanted]["drawer"]) else "wrong_drawer"
+
+
+def timing_class(ms: float | None) -> str:
+    if ms is None or ms != ms or ms in (float("inf"), float("-inf")):
+        return "missing"
+    low = 0
+    for edge in TIMING_EDGES:
+        if ms <= edge:
+            return f"{low}-{edge}ms"
+        low = edge
+    return f">{low}ms"
+
+
+def feature_bundle(q: Request, inv: Inventory, ms: float | None) -> dict:
+    """All that a typed key of the second cache is made from: the user's last words, all of them, the reply before and the one proposed, typed; the last eight
+    turns typed; what the replies say about the item asked for; and how long the last reply took."""
+    typed = lambda text: extract(text, inv, "v2")
+    before = next((t for r, t in reversed(q.conversation[:-1]) if r == "robot"), "")
+    every = typed(" \n ".join(t for r, t in q.conversation if r == "user"))
+    proposed = q.proposal or ""
+    return {
+        "current": typed(q.said).surface,
+        "all_user": every.surface,
+        "previous_robot": typed(before).surface,
+        "proposal": typed(proposed).surface,
+        "history": [f"{r}:{typed(t).surface}" for r, t in q.conversation[-8:]],
+        "proposal_relation": relation(every, typed(proposed), proposed, inv) if q.proposal is not None else "none",
+        "prior_relation": relation(every, typed(before), before, inv) if before else "none",
+        "timing": timing_class(ms),
+    }
+
+
+_BUNDLE = T.StructType([*(T.StructField(n, T.StringType()) for n in ("current", "all_user", "previous_robot", "proposal")), T.StructField("history", T.ArrayType(T.StringType())), *(T.StructField(n, T.StringType()) for n in ("proposal_relation", "prior_relation", "timing"))])
+
+
+def _bundled(rows: Iterable[tuple], inventory: Callable[[str], Inventory]) -> pd.DataFrame:
+    out = []
+    for s, text, raw, history, _, proposal in rows:
+        said = [(t["role"], t["text"]) for t in history] if history is not None else []
+        out.append(feature_bundle(Request([*said, ("user", text or "")], {}, proposal), inventory(s), float(raw) if raw else None))
+    return pd.DataFrame(out, columns=_BUNDLE.names)
+
+
+def bundles(requests: DataFrame, items: DataFrame, *, largest: int = 200_000) -> DataFrame:
+    """id and ``_BUNDLE`` of requests (id, setting, text; history, proposal, latency_ms: where given)."""
+    ms = (F.col("latency_ms") if "latency_ms" in requests.columns else F.lit(None)).cast("string").alias("raw")
+    return _with_inventories(requests.select(*(c for c in requests.columns if c not in ("raw", "latency_ms")), ms), items, _BUNDLE, _bundled, largest)
+
+
 _TURN = T.StructType([T.StructField("turn", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("text", "action", "item", "reply", "memory")), T.StructField("closes", T.BooleanType())])
 
 

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import decision_columns as D
+from ..operators import dialogue
 from ..session import keeper
 from .base import I, query
-from .rule_queries import _ATTRIBUTES, _ERROR, _FAILED, ACTION_SQL, CASES_SQL, REPLY_SQL, cases, items
+from .rule_queries import _ATTRIBUTES, _ERROR, _FAILED, ACTION_SQL, CASES_SQL, REPLY_SQL, UNIQUE_SQL, cases, items, named_inventory
 
 
 def decided(read):
@@ -38,3 +39,44 @@ def decided_states(read):
     """The state signature before, memory after, what follows and how risky it is."""
     known = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("memory.known_attributes"))))
     return decided(read).select("id", "memory.pending_item_family", "memory.resolved_item_id", "memory.last_robot_action", "memory.recovery_count", known.alias("known_attributes"), "signature", "next_state", "risk")
+
+
+@query(
+    f"WITH {I}, {CASES_SQL} SELECT item_id AS id, CASE WHEN k IN (0, 1, 5, 12, 13) THEN 'where is the <item>' WHEN k IN (2, 3, 4) THEN 'please find <item>' WHEN k = 6 THEN 'which <family> is here' WHEN k = 7 THEN 'hello friend' WHEN k = 8 THEN 'never mind' WHEN k = 9 THEN 'no i said the <item>' WHEN k = 10 THEN 'where is it' ELSE 'is there any zorp here' END AS v2, "
+    "CASE WHEN k IN (0, 1, 2, 3, 4, 5, 12, 13) THEN '<item>' WHEN k = 6 THEN 'which <family> here' WHEN k = 7 THEN 'hello friend' WHEN k = 8 THEN 'never mind' WHEN k = 9 THEN 'no said <item>' WHEN k = 10 THEN 'it' ELSE 'there any zorp here' END AS v1 FROM c"
+)
+def typed_styles(read):
+    """The wording of every case with slots, as the second and the first extractor have it."""
+    return dialogue.judge(cases(read), items(read)).select("id", "v2", "v1")
+
+
+def conversations_about_items(read):
+    """(id, setting, text, history, proposal, latency_ms): an item is asked for and answered in one of four ways, and the user goes on."""
+    n, name = F.col("item_id"), F.col("name")
+    asked, place = F.concat(F.lit("Where is the "), name, F.lit("?")), F.coalesce("drawer", F.lit("the back"))
+    told = F.when(n % 4 == 0, F.concat(F.lit("The "), name, F.lit(" is listed in "), place, F.lit("."))).when(n % 4 == 1, F.concat(F.lit("The "), name, F.lit(" is in drawer 99."))).when(n % 4 == 2, F.concat(F.lit("The "), name, F.lit(" is here."))).otherwise("I am not sure.")
+    turn = lambda r, t: F.struct(F.lit(r).alias("role"), t.alias("text"))
+    return named_inventory(read).select(
+        n.alias("id"),
+        "setting",
+        F.when(n % 2 == 1, F.concat(F.lit("thanks, the "), name)).otherwise("thanks").alias("text"),
+        F.array(turn("user", asked), turn("robot", told)).alias("history"),
+        F.when(n % 5 == 0, F.concat(F.lit("The "), name, F.lit(" is in drawer 98."))).alias("proposal"),
+        F.when(n % 7 != 0, n * 10 % 20_000).cast("double").alias("latency_ms"),
+    )
+
+
+# a drawer's number is the item's size here, and the second extractor knows attributes but no drawers
+_NOW = "CASE WHEN item_id % 2 = 1 THEN 'thanks the <item>' ELSE 'thanks' END"
+_TOLD = "CASE item_id % 4 WHEN 0 THEN 'the <item> is listed in ' || CASE WHEN drawer IS NULL THEN 'the back' ELSE 'drawer <attr:size>' END WHEN 1 THEN 'the <item> is in drawer 99' WHEN 2 THEN 'the <item> is here' ELSE 'i am not sure' END"
+
+
+@query(
+    f"WITH {I}, {UNIQUE_SQL} SELECT item_id AS id, {_NOW} AS current, 'where is the <item> ' || {_NOW} AS all_user, {_TOLD} AS previous_robot, CASE WHEN item_id % 5 = 0 THEN 'the <item> is in drawer 98' ELSE '<empty>' END AS proposal, "
+    f"'user:where is the <item>|robot:' || {_TOLD} || '|user:' || {_NOW} AS history, CASE WHEN item_id % 5 = 0 THEN 'wrong_drawer' ELSE 'none' END AS proposal_relation, "
+    "CASE WHEN item_id % 4 = 3 THEN 'missing_item' WHEN item_id % 4 = 2 OR (item_id % 4 = 0 AND drawer IS NULL) THEN 'same_item_no_drawer' WHEN item_id % 4 = 1 THEN 'wrong_drawer' ELSE 'correct' END AS prior_relation, "
+    "CASE WHEN item_id % 7 = 0 THEN 'missing' WHEN item_id * 10 % 20000 <= 1000 THEN '0-1000ms' WHEN item_id * 10 % 20000 <= 3000 THEN '1000-3000ms' WHEN item_id * 10 % 20000 <= 7000 THEN '3000-7000ms' WHEN item_id * 10 % 20000 <= 15000 THEN '7000-15000ms' ELSE '>15000ms' END AS timing FROM n"
+)
+def typed_bundles(read):
+    """The whole feature bundle of each conversation: typed turns, relations of the replies to the item asked for, timing class."""
+    return dialogue.bundles(conversations_about_items(read), items(read)).withColumn("history", F.array_join("history", "|"))

@@ -35,6 +35,16 @@ def item_documents(read):
     return back.select("setting", "id", "name", F.col("attributes")["brand"].alias("brand"), F.coalesce("drawer", F.lit("none")).alias("drawer"))
 
 
+@query(f"WITH {I} SELECT setting, CAST(item_id AS VARCHAR) AS id, name, brand, coalesce(drawer, 'none') AS drawer FROM i WHERE setting = 'lab'")
+def partitioned_items(read):
+    """An inventory of any size in a folder for each setting, of which one is read."""
+    i = _items(read)
+    path = workspace(i.sparkSession, "inventory")
+    files.write_items(i, path)
+    back = files.read_setting(i.sparkSession, path, "lab")
+    return back.select("setting", "id", "name", F.col("attributes")["brand"].alias("brand"), F.coalesce("drawer", F.lit("none")).alias("drawer"))
+
+
 @query(f"WITH {I} SELECT CAST(item_id AS VARCHAR) AS id, name, family FROM i")
 def csv_roundtrip(read):
     """A table as CSV with a head."""

@@ -46,6 +46,17 @@ def read_items(spark: SparkSession, path: str, setting: str | None = None) -> Da
     return rows if setting is None else rows.filter(F.lower(F.trim("setting")) == setting.strip().lower())
 
 
+def write_items(items: DataFrame, path: str) -> None:
+    """An inventory as JSON lines, in a folder for each setting, by as many tasks as it has parts."""
+    items.write.mode("error").partitionBy("setting").json(path)
+
+
+def read_setting(spark: SparkSession, path: str, setting: str) -> DataFrame:
+    """The items of one setting of such an inventory: other settings' files aren't opened."""
+    rows = spark.read.schema(f"setting string, {ITEM}").json(path)
+    return rows.filter(F.col("setting") == setting).withColumn("drawer", F.coalesce("drawer", "location")).drop("location")
+
+
 def read_snapshot(spark: SparkSession, path: str, name: str, sha256: str | None = None) -> str:
     """The text that a source file embeds as base64 of zlib under ``name``; refused unless one assignment has it and the digest agrees."""
     lines = spark.read.text(path).filter(F.col("value").rlike(rf"^\s*{name}\s*=")).select(F.regexp_extract("value", r"""=\s*['"]([A-Za-z0-9+/=]+)['"]""", 1).alias("b")).limit(2).collect()
