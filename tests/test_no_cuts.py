@@ -84,3 +84,19 @@ def test_prompts_tell_how_many_candidates_they_leave_out(spark):
     asked = spark.createDataFrame([(0, "lab", "which tool is here", "{}"), (1, "lab", "where is the thing 7", "{}")], "id long, setting string, text string, raw string")
     for largest in (1000, 5):
         assert {r.id: r.left_out for r in D.judge(asked, items, largest=largest).collect()} == {0: 18, 1: 0}
+
+
+def test_written_tables_go_with_their_scratch(spark):
+    import os
+
+    from turnwise.session import keeper, scratch, workspace
+
+    kept = workspace(spark, "kept")
+    with scratch(spark) as outer:
+        with scratch(spark) as inner:
+            n = keeper(spark, "inner")(spark.range(5), "t").count()
+            assert n == 5 and len(inner) == 1 and os.path.isdir(inner[0].removeprefix("file://"))
+        assert not os.path.exists(inner[0].removeprefix("file://"))
+        rows = metrics.exact_percentiles(spark.range(9).select(F.lit("a").alias("g"), F.col("id").alias("v")), "g", F.col("v"), [0.5]).collect()
+        assert rows[0].percentile == 4.0 and os.path.isdir(outer[-1].removeprefix("file://"))
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in outer) and kept not in outer

@@ -38,8 +38,8 @@ def thirds(read):
 def final_batch(read):
     """The last batch alone."""
     b = turn_log(read).withColumn("batch", F.floor((F.col("position") - 1) / 1000))
-    last = b.filter(F.col("batch") == b.agg(F.max("batch")).first()[0])
-    return last.groupBy("category").agg(F.round(M.rate("hit"), 6).alias("last_share"), F.round(F.percentile("value", 0.5), 6).alias("median_value"))
+    newest = b.agg(F.max("batch").alias("batch"))
+    return b.join(F.broadcast(newest), "batch").groupBy("category").agg(F.round(M.rate("hit"), 6).alias("last_share"), F.round(F.percentile("value", 0.5), 6).alias("median_value"))
 
 
 @query(f"WITH {L}, p AS (SELECT *, CASE WHEN position <= 5000 THEN 'warm-up' ELSE 'steady' END AS phase FROM log) SELECT phase, route, count(*) AS rows, round(avg(CAST(correct AS INT)), 6) AS accuracy, round(median(value), 6) AS median_value, round(quantile_cont(value, 0.95), 6) AS p95 FROM p GROUP BY GROUPING SETS ((phase, route), (phase), (route))")
@@ -171,12 +171,13 @@ def prior_baseline(read):
 
 @query(f"WITH {L}, g AS (SELECT t FROM range(0, 200, 20) r(t)), s AS (SELECT t, count(*) FILTER (value >= t) AS served, count(*) FILTER (value >= t AND correct) - 3 * count(*) FILTER (value >= t AND NOT correct) AS gain FROM log, g WHERE correct IS NOT NULL GROUP BY t) SELECT t AS threshold, served, gain, row_number() OVER (ORDER BY gain DESC, t) = 1 AS chosen FROM s")
 def grid_search(read):
-    """A threshold grid in one pass, the best gain chosen."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(180), F.lit(20))).alias("t")
-    x = turn_log(read).filter("correct IS NOT NULL").select("value", "correct", grid)
-    served = F.col("value") >= F.col("t")
-    s = x.groupBy("t").agg(F.count_if(served).alias("served"), (F.count_if(served & F.col("correct")) - 3 * F.count_if(served & ~F.col("correct"))).alias("gain"))
-    return s.select(F.col("t").cast("long").alias("threshold"), "served", "gain", (F.row_number().over(Window.orderBy(F.desc("gain"), "t")) == 1).alias("chosen"))
+    """A threshold grid, the best gain chosen: rows are counted once by the highest threshold that they reach, and thresholds add up the counts above them."""
+    x = turn_log(read).filter("correct IS NOT NULL").select(F.least(F.floor(F.col("value") / 20) * 20, F.lit(180)).alias("t"), "correct")
+    by_class = x.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right"))
+    grid = by_class.sparkSession.range(0, 200, 20).select(F.col("id").alias("threshold"))
+    above = grid.join(F.broadcast(by_class), F.col("t") >= F.col("threshold"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("served"), F.coalesce(F.sum("right"), F.lit(0)).alias("right"))
+    s = above.select("threshold", "served", (F.col("right") - 3 * (F.col("served") - F.col("right"))).alias("gain"))
+    return s.select("threshold", "served", "gain", (F.row_number().over(Window.orderBy(F.desc("gain"), "threshold")) == 1).alias("chosen"))
 
 
 @query(f"WITH {L} SELECT route, round(avg(CAST(hit AND correct AS INT)), 6) AS joint, round(avg(CAST(correct AS INT)), 6) AS item_ok, count(*) FILTER (hit AND NOT correct) AS wrong_drawer FROM log GROUP BY route")

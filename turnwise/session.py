@@ -5,6 +5,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -42,7 +44,31 @@ def workspace(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="turnwise-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _scratch.get():
+        paths.append(path)
+    return path
+
+
+#: The folders made inside each open ``scratch`` of this thread, the outermost first.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the folders that operators make inside a with-block when it ends: for callers whose results are written by then.
+
+    Only folders of the block's own thread go, so other callers' tables stay.
+    """
+    own: list[str] = []
+    token = _scratch.set((*_scratch.get(), own))
+    try:
+        yield own
+    finally:
+        _scratch.reset(token)
+        for folder in own:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keeper(spark: SparkSession, what: str):
