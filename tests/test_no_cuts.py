@@ -100,3 +100,13 @@ def test_written_tables_go_with_their_scratch(spark):
         rows = metrics.exact_percentiles(spark.range(9).select(F.lit("a").alias("g"), F.col("id").alias("v")), "g", F.col("v"), [0.5]).collect()
         assert rows[0].percentile == 4.0 and os.path.isdir(outer[-1].removeprefix("file://"))
     assert not any(os.path.exists(p.removeprefix("file://")) for p in outer) and kept not in outer
+
+
+def test_subset_join_takes_phrases_of_any_length(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(12)]
+    keys = [(i, rng.sample(words, rng.randint(0, 8)) + ["every"]) for i in range(60)] + [(100, []), (101, ["every", "every"])]
+    phrases = [(f"p{i}", rng.choices([*words, "every"], k=rng.randint(0, 4))) for i in range(80)] + [("hot", ["every"])]
+    got = matching.subset_join(spark.createDataFrame(keys, "key int, words array<string>"), spark.createDataFrame(phrases, "phrase string, words array<string>")).collect()
+    want = sorted((k, p) for k, w in keys for p, v in phrases if v and set(v) <= set(w))
+    assert sorted(map(tuple, got)) == want and len(want) > 100

@@ -221,7 +221,7 @@ def signature(m: Column, proposal: Column) -> Column:
 
 
 def decide(requests: DataFrame, items: DataFrame, *, largest: int = 200_000, keep=lambda df, name: df) -> DataFrame:
-    """Requests as for ``dialogue.judge``, ids distinct -> (id, error, guard_used, action, decision, reply, memory, signature, next_signature, next_state, risk).
+    """Requests as for ``dialogue.judge``, ids distinct -> (id, error, guard_used, action, decision, reply, memory, signature, next_signature, next_state, risk, well_formed, told, unsupported_id).
 
     keep(frame, name): writes a table that is read more than once.
     """
@@ -248,13 +248,16 @@ def decide(requests: DataFrame, items: DataFrame, *, largest: int = 200_000, kee
         "error",
         "m",
         "proposal",
+        "fault",
+        F.col("d").alias("told"),
+        (F.col("d.resolved_item_id").isNotNull() & F.col("named.id").isNull()).alias("unsupported_id"),
         F.when(ok, F.col("d")).otherwise(_guard()).alias("decision"),
         F.when(ok, F.col("named")).otherwise(F.when(_guard()["resolved_item_id"].isNotNull(), F.col("own"))).alias("item"),
         F.when(ok, fits).otherwise(F.coalesce("own_fam.members", F.lit(0))).alias("members"),
         F.when(ok, names).otherwise(F.col("own_fam.names")).alias("names"),
     )
     x = F.col("decision")
-    out = final.select("id", "error", "m", "proposal", "decision", reply(x, F.col("item"), F.col("members"), F.col("names")).alias("reply"), remember(F.col("m"), x).alias("after"))
+    out = final.select("id", "error", "m", "proposal", "decision", "fault", "told", "unsupported_id", reply(x, F.col("item"), F.col("members"), F.col("names")).alias("reply"), remember(F.col("m"), x).alias("after"))
     risky = x["action"].isin("locate", "recover") | (x["failure_type"] != "none")
     return out.select(
         "id",
@@ -268,4 +271,26 @@ def decide(requests: DataFrame, items: DataFrame, *, largest: int = 200_000, kee
         signature(F.col("after"), F.lit(None)).alias("next_signature"),
         next_state(x["action"]).alias("next_state"),
         F.when(risky, "risky").otherwise("routine").alias("risk"),
+        F.col("fault").isNull().alias("well_formed"),
+        "told",
+        "unsupported_id",
+    )
+
+
+def scores(decided: DataFrame, by: Column, name: str) -> DataFrame:
+    """How what was told compares with what was decided, by a column: shares of well-formed, valid, right-action and wholly right decisions, counts of
+    unknown items, and of alarms without a failure."""
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
+    told, d, ok = F.col("told"), F.col("decision"), F.col("well_formed")
+    action = ok & (told["action"] == d["action"])
+    item = told["resolved_item_id"].eqNullSafe(d["resolved_item_id"]) & told["item_family"].eqNullSafe(d["item_family"])
+    return decided.groupBy(by.alias(name)).agg(
+        F.count(F.lit(1)).alias("n"),
+        share(ok).alias("well_formed"),
+        share(F.col("error").isNull()).alias("valid"),
+        share(action).alias("right_action"),
+        share(action & item & (told["failure_type"] == d["failure_type"])).alias("right_in_all"),
+        F.count_if(ok & F.col("unsupported_id")).alias("unknown_items"),
+        F.count_if(ok & told["failure_detected"] & (d["action"] != "recover")).alias("false_alarms"),
+        F.count_if(ok & ~told["failure_detected"] & (d["action"] == "recover")).alias("missed_failures"),
     )

@@ -80,3 +80,16 @@ _TOLD = "CASE item_id % 4 WHEN 0 THEN 'the <item> is listed in ' || CASE WHEN dr
 def typed_bundles(read):
     """The whole feature bundle of each conversation: typed turns, relations of the replies to the item asked for, timing class."""
     return dialogue.bundles(conversations_about_items(read), items(read)).withColumn("history", F.array_join("history", "|"))
+
+
+_TOLD_ACTION = "CASE k WHEN 6 THEN 'clarify' WHEN 7 THEN 'not_found' WHEN 8 THEN 'cancel' WHEN 9 THEN 'recover' WHEN 10 THEN 'redirect' WHEN 12 THEN 'recover' ELSE 'locate' END"
+_R = "round(avg(CAST({} AS INT)), 6)"
+
+
+@query(
+    f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action, {_ERROR} AS error, {_TOLD_ACTION} AS told, k NOT IN (2, 3, 4) AS formed FROM c) SELECT k AS kind, count(*) AS n, {_R.format('formed')} AS well_formed, {_R.format('error IS NULL')} AS valid, {_R.format('formed AND told = action')} AS right_action, "
+    f"{_R.format('formed AND told = action AND k <> 1')} AS right_in_all, count(*) FILTER (formed AND k = 1) AS unknown_items, count(*) FILTER (formed AND k IN (5, 9, 12) AND action <> 'recover') AS false_alarms, count(*) FILTER (formed AND k NOT IN (5, 9, 12) AND action = 'recover') AS missed_failures FROM a GROUP BY k"
+)
+def decision_scores(read):
+    """What the teacher told, scored against the checked decisions, by kind of case."""
+    return D.scores(decided(read), F.col("id") % 14, "kind")

@@ -189,6 +189,31 @@ def token_subset(read):
     return i.select("item_id", F.explode(F.split("name", " ")).alias("w")).distinct().join(f, "w").select("item_id", "w")
 
 
+@query(
+    f"WITH {I}, k AS (SELECT item_id, string_split(lower(name || ' ' || family || ' ' || replace(brand, '#', ' ')), ' ') AS w FROM i), p AS (SELECT DISTINCT name AS p FROM i UNION SELECT lower(family) FROM i UNION SELECT DISTINCT lower(family) || ' ' || string_split(name, ' ')[2] FROM i UNION SELECT DISTINCT lower(replace(brand, '#', ' ')) FROM i) "
+    "SELECT item_id AS key, p AS phrase FROM k JOIN p ON len(list_filter(string_split(p, ' '), lambda x: NOT list_contains(w, x))) = 0"
+)
+def word_subset(read):
+    """Phrases of one or more words that an item's words contain, in any order."""
+    i = inventory(read)
+    brand, family = F.lower(F.replace("brand", F.lit("#"), F.lit(" "))), F.lower("family")
+    keys = i.select(F.col("item_id").alias("key"), F.split(F.lower(F.concat_ws(" ", "name", family, brand)), " ").alias("words"))
+    named = i.select(F.explode(F.array("name", family, F.concat_ws(" ", family, F.split("name", " ")[1]), brand)).alias("phrase")).distinct()
+    return M.subset_join(keys, named.withColumn("words", F.split("phrase", " ")))
+
+
+@query(
+    f"WITH {_P}, s AS (SELECT vec_id AS turn, g, round(list_dot_product(v, c), 6) AS x FROM v JOIN p USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY turn ORDER BY x DESC, g) AS r FROM s), t AS (SELECT turn, max(CASE WHEN r = 1 THEN x END) AS best, max(CASE WHEN r = 1 THEN g END) AS g, max(CASE WHEN r = 2 THEN x END) AS second FROM r GROUP BY turn) "
+    "SELECT turn, CASE WHEN best >= 0.2 AND round(best - coalesce(second, 0), 6) >= 0.02 AND (turn + g) % 5 <> 0 THEN 'locate' WHEN best >= 0.2 AND round(best - coalesce(second, 0), 6) >= 0.02 THEN 'unknown' ELSE 'clarify' END AS action FROM t"
+)
+def margin_gate(read):
+    """A turn's nearest pattern counts only with enough similarity, enough lead over the next one, and no conflict (one pattern in five disagrees with a turn)."""
+    two = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("k"), "g"))), 1, 2)  # a state has a bounded number of patterns
+    t = _scored(read).groupBy(F.col("vec_id").alias("turn")).agg(two.alias("t")).select("turn", (-F.get("t", F.lit(0))["k"]).alias("best"), F.get("t", F.lit(0))["g"].alias("g"), F.coalesce(-F.get("t", F.lit(1))["k"], F.lit(0.0)).alias("second"))
+    sure = (F.col("best") >= 0.2) & (F.round(F.col("best") - F.col("second"), 6) >= 0.02)
+    return t.select("turn", F.when(sure & ((F.col("turn") + F.col("g")) % 5 != 0), "locate").when(sure, "unknown").otherwise("clarify").alias("action"))
+
+
 _EDGES = "e AS (SELECT * FROM (VALUES (0, 'L:where', 1), (1, 'L:is', 2), (2, 'L:the', 3), (3, 'S:item', 4), (0, 'L:which', 5), (5, 'L:drawer', 6), (6, 'L:has', 2), (3, 'S:item', 7), (7, 'S:item', 4)) t(src, symbol, dst))"
 
 
