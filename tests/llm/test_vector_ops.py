@@ -205,6 +205,16 @@ def test_counts_are_the_librarys(name, monkeypatch):
         assert got == want
 
 
+def test_arrays_of_any_layout_count_alike():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, texts = token_counts.tokenizer(path), ["one two", "", "three  four\nfive", "é", ""]
+    want = library(path, texts)
+    for a in (pa.array(texts), pa.array(["x y z", *texts])[1:], pa.array(texts, pa.large_string()), pa.array(["", ""])):
+        assert own.lengths(a).tolist() == (want if len(a) == 5 else [0, 0])
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     import json
 

@@ -119,6 +119,8 @@ class Pieces:
         self.before: dict[str, int] = {}  # what was known before the last ``REMEMBER`` new pieces
 
     def lengths(self, texts: pa.Array, encode_bytes: int = ENCODE_BYTES) -> np.ndarray:
+        if pa.types.is_large_string(texts.type):  # as a session may ask for; batches are far smaller
+            texts = texts.cast(pa.string())
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
         first, last = int(ends[0]), int(ends[-1])
