@@ -78,8 +78,11 @@ def streamed_replay(read):
     spark, path = first.sparkSession, workspace(first.sparkSession, "streamed")
     pattern_state.save_patterns(pattern_state.patterns_after(first, make_semantic), f"{path}/patterns", make_semantic, embedder="table")
     second.repartitionByRange(3, "position").write.parquet(f"{path}/turns")
-    source = spark.readStream.schema(second.schema).parquet(f"{path}/turns")
-    saved = pattern_state.load_patterns(spark, f"{path}/patterns", make_semantic, embedder="table")
+    # a session of its own: the stream needs another state store, and no more state partitions than there are caches
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", "8")
+    source = other.readStream.schema(second.schema).parquet(f"{path}/turns")
+    saved = pattern_state.load_patterns(other, f"{path}/patterns", make_semantic, embedder="table")
     out = pattern_state.stream_patterns(source, make_semantic, SEMANTIC_OUT, initial=saved)
     out.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return _shown(spark.read.schema(out.schema).parquet(f"{path}/out"))
