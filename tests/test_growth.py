@@ -1,8 +1,15 @@
 """Work that grows with the tables and not with their square: what is counted here is what used to be walked for each row."""
 
+import hashlib
+import inspect
+import json
 import random
 
+from pyspark.sql import functions as F
+
+from turnwise.operators import alignment
 from turnwise.operators import dialogue as D
+from turnwise.sources import files
 
 
 class Walked(dict):
@@ -41,3 +48,54 @@ def test_family_answers_equal_a_walk():
         assert [x["id"] for x in inv.family(family, wanted)] == want and n == len(want) and [x["id"] for x in head] == want[: D.CANDIDATES]
         assert inv.disagreeing(family) == [k for k in sorted({k for x in own for k in x["attributes"]}) if len({x["attributes"].get(k) for x in own}) > 1]
         assert inv.keys(family) == {k for x in own for k in x["attributes"]}
+
+
+def test_files_of_records_are_read_in_pieces(spark, tmp_path):
+    row = lambda i: f'{{"id": "{i}", "text": "{"x" * (i % 50)}"}}'
+    texts = {
+        "unix.jsonl": "\n".join(map(row, range(3000))) + "\n",
+        "open.jsonl": "\n".join(map(row, range(700))),
+        "windows.jsonl": "\r\n".join(map(row, range(500))) + "\r\n\r\n  \r\n" + row(7) + "\r\n",
+        "blank.jsonl": "\n\n" + row(1) + "\n\n",
+        "marked.jsonl": "﻿" + row(1) + "\n" + row(2),
+        "marked_too.jsonl": "﻿" + row(1) + "\n" + row(2) + "\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        records = files.read_records(spark, [str(tmp_path / n) for n in texts], "id string")
+        got = sorted((r["_source"].rsplit("/", 1)[1], r["_sha256"], r["id"]) for r in records.collect())
+        assert "wholetext" not in inspect.getsource(files.read_records)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = []
+    for name, text in texts.items():
+        for n, line in enumerate(text.removeprefix("﻿").split("\n")):
+            if line.strip():
+                want.append((f"{name}:{n + 1}", hashlib.sha256(text.encode()).hexdigest(), json.loads(line)["id"]))
+    # a line of blanks with a carriage return is blank
+    assert got == sorted(want)
+
+
+def test_equal_claims_are_compared_once(spark, monkeypatch):
+    rng = random.Random(3)
+    said = ["where is the red ring", "no the blue bolt", "", None, "thanks"]
+    claims = [(i, rng.choice("ab"), rng.choice(said)) for i in range(400)]
+    told = [(rng.choice("ab"), i, rng.choice(["the red ring is here", "where is the blue bolt", "", None])) for i in range(40)]
+    c, t = spark.createDataFrame(claims, "claim long, key string, text string"), spark.createDataFrame(told, "key string, transcript long, text string")
+    got = {r.claim: (r.best, r.support) for r in alignment.evidence(c, t).collect()}
+    for i, key, text in claims:
+        support, best = min((-round(alignment.coverage(alignment._words(text), alignment._words(x)), 6), n) for k, n, x in told if k == key)
+        assert got[i] == (best, -support)
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a, b):
+        compared.add(len(a))
+        return a.str.len() * 0.0
+
+    monkeypatch.setattr(alignment, "covered", counted)
+    alignment.evidence(c, t).collect()
+    assert compared.value <= 2 * 4 * 4

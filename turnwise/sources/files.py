@@ -7,7 +7,9 @@ import base64
 import hashlib
 import json
 import zlib
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,14 +25,49 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_records(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Objects of several files of JSON lines with ``_source`` (file:line) and ``_sha256`` of their file; a line that is no object fails with its place.
 
-    A file is one row while it is taken apart, for its digest and its lines' numbers: these are files of rules, not of requests.
+    Lines are read apart, in as many tasks as the reader makes of a file, and numbered in order; for its digest a file streams through one task line by line.
     """
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("f"), "value")
-    lines = text.select("f", F.sha2("value", 256).alias("_sha256"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter(F.trim("line") != "")
-    place = F.concat("f", F.lit(":"), (F.col("n") + 1).cast("string"))
+    at = ["f", "start", "n"]
+    raw = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+    digests = raw.select(*at, "size", F.col("line").cast("binary").alias("line")).repartition("f").sortWithinPartitions(*at).mapInArrow(_digests, "f string, _sha256 string")
+    # lines are numbered within the blocks of a file, and blocks by the lines before them
+    blocks = raw.groupBy("f", "start").agg(F.count(F.lit(1)).alias("lines"), F.min("n").alias("first"))
+    before = blocks.select("f", "start", "first", (F.sum("lines").over(Window.partitionBy("f").orderBy("start")) - F.col("lines")).alias("before"))
+    lines = raw.join(F.broadcast(before), ["f", "start"]).select("f", F.regexp_replace("line", r"\r\z", "").alias("line"), (F.col("before") + F.col("n") - F.col("first") + 1).alias("n")).filter(F.trim("line") != "")
+    place = F.concat("f", F.lit(":"), F.col("n").cast("string"))
     kind = F.schema_of_variant(F.try_parse_json("line"))
     fine = F.when(kind.startswith("OBJECT"), F.col("line")).otherwise(F.raise_error(F.concat(place, F.lit(": no JSON object"))))
-    return lines.select(F.from_json(fine, schema).alias("x"), place.alias("_source"), "_sha256").select("x.*", "_source", "_sha256")
+    return lines.join(F.broadcast(digests), "f").select(F.from_json(fine, schema).alias("x"), place.alias("_source"), "_sha256").select("x.*", "_source", "_sha256")
+
+
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, SHA-256 of the file's bytes) from its lines (f, size, line) in order.
+
+    The reader leaves out a byte order mark and whether the last line ends with a line feed; both follow from the size.
+    """
+    name, whole, plain, marked, seen = None, 0, None, None, 0
+
+    def row() -> pa.RecordBatch:
+        if whole - seen not in (0, -1, 2, 3):
+            raise ValueError(f"{name} has {whole} bytes, but {seen} in its lines: compressed files have no digest by lines")
+        digest = marked if whole - seen > 0 else plain
+        if whole - seen in (0, 3):
+            digest.update(b"\n")
+        return pa.RecordBatch.from_pydict({"f": [name], "_sha256": [digest.hexdigest()]})
+
+    for batch in batches:
+        for f, size, line in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("f", "size", "line")), strict=True):
+            if f != name:
+                if name is not None:
+                    yield row()
+                name, whole, plain, marked, seen = f, size, hashlib.sha256(), hashlib.sha256(b"\xef\xbb\xbf"), 0
+            else:
+                line = b"\n" + line
+            plain.update(line)
+            marked.update(line)
+            seen += len(line) + (seen == 0)
+    if name is not None:
+        yield row()
 
 
 def read_items(spark: SparkSession, path: str, setting: str | None = None) -> DataFrame:
