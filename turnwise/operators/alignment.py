@@ -35,11 +35,16 @@ def covered(wanted: pd.Series, given: pd.Series) -> pd.Series:
 def evidence(claims: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(claim, best, support): of a claim's own transcripts (joined by key) the one that covers most of its words, ties to the smaller.
 
-    claims: (claim, key, text); transcripts: (key, transcript, text).
+    claims: (claim, key, text); transcripts: (key, transcript, text).  Equal texts of a key are compared once, and stand for all that say the same.
     """
-    j = claims.withColumnRenamed("text", "said").join(transcripts, "key").select("claim", "transcript", F.round(covered("said", "text"), 6).alias("support"))
-    best = j.groupBy("claim").agg(F.min(F.struct((-F.col("support")).alias("k"), "transcript")).alias("m"))
-    return best.select("claim", F.col("m.transcript").alias("best"), (-F.col("m.k")).alias("support"))
+    claims = claims.select("claim", "key", F.coalesce("text", F.lit("")).alias("said"))
+    said = claims.select("key", "said").distinct()
+    told = transcripts.groupBy("key", "text").agg(F.min("transcript").alias("transcript"))
+    pairs = said.join(told, "key").repartition(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), "said", "text")
+    j = pairs.select("key", "said", "transcript", F.round(covered("said", "text"), 6).alias("support"))
+    best = j.groupBy("key", "said").agg(F.min(F.struct((-F.col("support")).alias("k"), "transcript")).alias("m"))
+    whole = claims.join(best, ["key", "said"]).groupBy("claim").agg(F.min("m").alias("m"))
+    return whole.select("claim", F.col("m.transcript").alias("best"), (-F.col("m.k")).alias("support"))
 
 
 def align(turns: list[str], segments: list[str], reach: int | None = None) -> list[tuple[int, int, float, str]]:
