@@ -7,10 +7,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from turnwise.operators import alignment
+from turnwise.operators import alignment, matching
 from turnwise.operators import dialogue as D
+from turnwise.plans import catalog
 from turnwise.sources import files
 
+SF = "/root/testdata/sf0.001"
+
 
 class Walked(dict):
     """Items that count how often all of them are walked."""
@@ -99,3 +102,21 @@ def test_equal_claims_are_compared_once(spark, monkeypatch):
     monkeypatch.setattr(alignment, "covered", counted)
     alignment.evidence(c, t).collect()
     assert compared.value <= 2 * 4 * 4
+
+
+def test_runs_of_words_are_not_sent_to_all_tasks(spark):
+    plan = catalog.QUERIES["longest_candidate"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+
+
+def test_typing_by_join_carries_no_lists_of_items(spark):
+    words = ["red ring", "blue bolt", "ring", "zz top"]
+    table = [("a", w, "item", f"{w[0]}{i}") for w in words[:3] for i in range(30 if w != "ring" else 1)] + [("a", "bolt", "family", "bolt"), ("b", "red ring", "item", "r3"), ("a", "red ring", "family", "x")]
+    phrases = spark.createDataFrame(table, "setting string, phrase string, kind string, value string")
+    texts = ["the red ring", "red ring and blue bolt", "blue bolt and red ring and the red ring", "no i said the ring", "bolt", "", "zz top"]
+    requests = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate((s, t) for s in ("a", "b", "c") for t in texts)], "id long, setting string, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    joined = matching.typed_features(requests, phrases, largest=1)
+    assert rows(joined) == rows(matching.typed_features(requests, phrases))
+    udf = [line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line and "known" in line]
+    assert udf and not any("values" in line for line in udf)
