@@ -102,10 +102,9 @@ def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_00
     """
     rows = defaultdict(lambda: defaultdict(dict))
     every = table.groupBy("setting", "phrase", "kind").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    phrases = every.limit(largest + 1).collect()
-    if len(phrases) > largest:
+    if every.select("phrase").limit(largest + 1).count() > largest:
         return _typed_by_join(requests, every)
-    for r in phrases:
+    for r in every.collect():
         rows[r.setting][tuple(r.phrase.split(" "))][r.kind] = r["values"]
     plain = {s: dict(t) for s, t in rows.items()}
     shared = requests.sparkSession.sparkContext.broadcast((plain, {s: max(map(len, t), default=1) for s, t in plain.items()}))
@@ -132,12 +131,17 @@ def _typed(ws: list[str], table: dict, longest: int) -> tuple[str, str, bool]:
 
 
 def _typed_by_join(requests: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``typed_features`` for any number of phrases: an equi-join by setting and run of words."""
+    """``typed_features`` for any number of phrases: an equi-join by setting and run of words.
+
+    Requests meet how many values a phrase has; the items of a name, which may be many, are put together once for all requests that name the same.
+    Neither side is sent to all tasks: runs of words look as small as the table that they are made from.
+    """
     counts = sorted(phrases.agg(F.collect_set(F.size(F.split("phrase", " ")))).first()[0])
     asked = requests.select("id", "setting", drawer_tokens("text").alias("ws"), is_correction("text").alias("correction"))
-    met = asked.select("id", "setting", F.explode(F.array_distinct(grams(F.col("ws"), counts))).alias("phrase")).join(phrases, ["setting", "phrase"])
-    own = met.groupBy("id").agg(F.collect_list(F.struct("phrase", "kind", "values")).alias("known"))
-    kind = T.StructType([T.StructField("typed", T.StringType()), T.StructField("items", T.StringType()), T.StructField("ambiguous", T.BooleanType())])
+    known = phrases.select("setting", "phrase", "kind", F.size("values").alias("n"))
+    met = asked.select("id", "setting", F.explode(F.array_distinct(grams(F.col("ws"), counts))).alias("phrase")).hint("merge").join(known, ["setting", "phrase"])
+    own = met.groupBy("id").agg(F.collect_list(F.struct("phrase", "kind", "n")).alias("known"))
+    kind = T.StructType([T.StructField("typed", T.StringType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("named", T.ArrayType(T.StringType()))])
 
     @pandas_udf(kind)
     def features(tokens: pd.Series, known: pd.Series) -> pd.DataFrame:
@@ -145,11 +149,19 @@ def _typed_by_join(requests: DataFrame, phrases: DataFrame) -> DataFrame:
         for ws, found in zip(tokens, known, strict=True):
             table: dict = defaultdict(dict)
             for r in found if found is not None else ():
-                table[tuple(r["phrase"].split(" "))][r["kind"]] = list(r["values"])
-            out.append(_typed(list(ws), table, max(map(len, table), default=1)))
-        return pd.DataFrame(out, columns=["typed", "items", "ambiguous"])
-
-    return asked.join(own, "id", "left").select("id", features("ws", "known").alias("f"), "correction").select("id", "f.typed", "f.items", "f.ambiguous", "correction")
+                # a phrase stands for its values: itself, and a second time if there are several
+                table[tuple(r["phrase"].split(" "))][r["kind"]] = [r["phrase"], *([""] if r["n"] > 1 else [])]
+            typed, _, unsure = _typed(list(ws), table, max(map(len, table), default=1))
+            named = [values[0] for k, values in scan(list(ws), table, max(map(len, table), default=1)) if k == "item"]
+            out.append((typed, unsure, list(dict.fromkeys(named))))
+        return pd.DataFrame(out, columns=["typed", "ambiguous", "named"])
+
+    told = asked.hint("merge").join(own, "id", "left").select("id", "setting", features("ws", "known").alias("f"), "correction").select("id", "setting", "f.*", "correction")
+    lists = told.filter(F.size("named") > 0).select("setting", "named").distinct().select("setting", "named", F.posexplode("named").alias("at", "phrase"))
+    items = phrases.filter(F.col("kind") == "item").select("setting", "phrase", "values")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "values")))
+    whole = lists.hint("merge").join(items, ["setting", "phrase"]).groupBy("setting", "named").agg(F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["values"]))), ",").alias("items"))
+    return told.hint("merge").join(whole, ["setting", "named"], "left").select("id", "typed", F.coalesce("items", F.lit("")).alias("items"), "ambiguous", "correction")
 
 
 def narrow(candidates: DataFrame, group: str, says: str, *, name: str, family: str, setting: str, attributes: list[str]) -> DataFrame:
