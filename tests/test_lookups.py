@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from turnwise.operators import decision_columns
 from turnwise.operators import dialogue as D
 
 ITEMS = "setting string, id string, name string, family string, attributes map<string,string>, drawer string, aliases array<string>"
@@ -46,3 +49,13 @@ def test_items_that_repeat_an_id_are_refused(spark, tables):
     items, asked = tables
     with pytest.raises(ValueError, match="repeats an id"):
         D.judge(asked, items.unionByName(items.limit(1)), largest=1)
+
+
+def test_only_open_decisions_ask_for_matching_items(spark):
+    items = [("lab", f"{i:02}", f"thing {i}", "tool", {"brand": str(i % 3), "size": str(i % 5)}) for i in range(40)]
+    told = [(0, "clarify", None, {"brand": "1"}), (1, "clarify", None, {"brand": "1", "size": "2"}), (2, "recover", None, {"size": "2", "brand": "1"}), (3, "locate", "07", {"brand": "1", "size": "2"}), (4, "clarify", None, {"brand": "9"}), (5, "clarify", None, {}), (6, "clarify", None, {"zz": "1", "size": "2"})]
+    rows = spark.createDataFrame(told, "id int, action string, item string, attributes map<string,string>").select("id", F.lit("lab").alias("setting"), F.struct("action", F.lit("tool").alias("item_family"), F.col("item").alias("resolved_item_id"), "attributes").alias("d"))
+    things = spark.createDataFrame(items, "setting string, id string, name string, family string, attributes map<string,string>")
+    got = {r.id: (r.matching, r.matching_names) for r in decision_columns._matching(rows, things).collect()}
+    both = ["thing 7", "thing 22", "thing 37"]
+    assert got == {0: (13, None), 1: (3, both), 2: (3, both)}  # an item that is bound is never looked for among its family's

@@ -69,11 +69,22 @@ def family_table(items: DataFrame) -> DataFrame:
 
 
 def _matching(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """(id, matching, matching_names): items of the decision's family with all of its attributes, where it has any."""
-    asked = rows.filter("d.item_family IS NOT NULL AND size(d.attributes) > 0").select("id", "setting", F.col("d.item_family").alias("family"), F.size("d.attributes").alias("wanted"), F.explode("d.attributes").alias("k", "v"))
-    index = items.select("setting", "family", F.col("id").alias("item"), "name", F.explode("attributes").alias("k", "v"))
-    met = asked.join(index, ["setting", "family", "k", "v"]).groupBy("id", "item", "name", "wanted").agg(F.count(F.lit(1)).alias("got")).filter("got = wanted")
-    return met.groupBy("id").agg(F.count(F.lit(1)).alias("matching"), F.transform(F.array_sort(F.collect_list(F.struct("item", "name"))), lambda x: x["name"]).alias("matching_names"))
+    """(id, matching, matching_names): items of the decision's family with all of its attributes, where rules ask for them: the decision has any and binds no item.
+
+    Each distinct question is answered once, from the items with its rarest attribute; names are told of up to five.
+    """
+    by, has = ["setting", "family", "wanted"], ["setting", "family", "k", "v"]
+    open_ = F.col("d.item_family").isNotNull() & (F.size("d.attributes") > 0) & F.col("d.resolved_item_id").isNull() & F.col("d.action").isin("clarify", "recover")
+    asked = rows.filter(open_).select("id", "setting", F.col("d.item_family").alias("family"), F.array_sort(F.map_entries("d.attributes")).alias("wanted"))
+    index = items.select("setting", "family", F.col("id").alias("item"), "name", "attributes", F.explode("attributes").alias("k", "v"))
+    pairs = asked.select(*by).distinct().withColumn("w", F.explode("wanted")).select(*by, F.col("w.key").alias("k"), F.col("w.value").alias("v"))
+    counted = pairs.join(index.groupBy(*has).agg(F.count(F.lit(1)).alias("n")), has, "left")
+    rarest = counted.groupBy(*by).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k", "v")).alias("x")).filter("x.n > 0").select(*by, "x.k", "x.v")
+    fits = F.forall("wanted", lambda w: F.coalesce(F.try_element_at("attributes", w["key"]) == w["value"], F.lit(False)))
+    met = rarest.join(index, has).filter(fits).select(*by, "item", "name")
+    n = met.groupBy(*by).agg(F.count(F.lit(1)).alias("matching"))
+    few = met.join(n.filter("matching <= 5"), by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("item", "name"))), lambda x: x["name"]).alias("matching_names"))
+    return asked.join(n.join(few, by, "left"), by).select("id", "matching", "matching_names")
 
 
 def _joined(rows: DataFrame, table: DataFrame, key: str, value: Column, prefix: str) -> DataFrame:
