@@ -98,3 +98,15 @@ def test_rows_stay_linear_with_a_term_in_every_vector(spark):
         counts.append((prefixes.count(), J.candidate_pairs(prefixes, 0.7).count()))
         prefixes.unpersist()
     assert counts[0][1] == 200 and counts[1] == (4 * counts[0][0], 800)
+
+
+def test_pairs_that_only_share_a_rare_term_are_no_candidates(spark):
+    rng = random.Random(12)
+    base = [rng.sample(range(900), 60) for _ in range(200)]
+    texts = [*base, *([*b[:-k], *rng.sample(range(900), k)] for b, k in zip(base[:60], [2, 8, 16] * 20, strict=True))]
+    rows = [(i, f"t{w}", 1.0 + w / 900) for i, ws in enumerate(texts) for w in dict.fromkeys(ws)]
+    vectors = J.unit_vectors(spark.createDataFrame(rows, ROWS)).cache()
+    own = {r.id: dict(zip(r.terms, r.ws, strict=True)) for r in vectors.collect()}
+    true = {(a, b) for a in own for b in own if a < b and sum(w * own[b].get(t, 0.0) for t, w in own[a].items()) >= 0.7}
+    got = {tuple(r) for r in J.candidate_pairs(J.prefix_rows(vectors, 0.7), 0.7).collect()}
+    assert true <= got and len(true) > 30 and len(got) < 2000  # of 33,670; the bound of one term alone leaves 20,184

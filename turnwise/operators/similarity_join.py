@@ -15,6 +15,8 @@ ROWS = 4096
 BLOCK = 1024
 #: Rounding errors of a sum of products of unit vectors are smaller.
 CLOSE = 1e-9
+#: So are those of a sum of products and a bound, each rounded to four bytes.
+ROUNDED = 1e-6
 
 
 # -- the first pattern that holds ------------------------------------------------------------------------------------
@@ -195,27 +197,37 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
 
 
 def prefix_rows(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(id, term, w, rest): what a vector is found by.  Two vectors whose cosine reaches the threshold share the first of their common terms here."""
+    """(id, term, w, rest, tail): what a vector is found by.  Two vectors whose cosine reaches the threshold share the first of their common terms here.
+
+    rest: the norm of what follows the term; tail: of what follows all of these terms.
+    """
     found = vectors.select("id", "terms", "ws", _rests(threshold)("ws").alias("rests"))
     n = F.size("rests")
     zipped = F.arrays_zip(F.slice("terms", F.lit(1), n).alias("term"), F.slice("ws", F.lit(1), n).alias("w"), F.col("rests").alias("rest"))
-    return found.select("id", F.explode(zipped).alias("p")).select("id", "p.term", "p.w", "p.rest")
+    return found.filter(n > 0).select("id", F.element_at("rests", -1).alias("tail"), F.explode(zipped).alias("p")).select("id", "p.term", "p.w", "p.rest", "tail")
 
 
 def candidate_pairs(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs a < b that share a prefix term at which the rest could still lift them over the threshold.
+    """Distinct pairs a < b whose prefixes leave room for the threshold.
 
-    At their first common term w * w' + rest * rest' bounds the cosine (Cauchy-Schwarz), so a true pair passes there.  A term with more than
+    The products of all terms that both prefixes have are added up.  Any other common term follows the end of one of the prefixes and the last of these terms, so
+    tail * rest' or tail' * rest there bounds what is left (Cauchy-Schwarz): most pairs that share some rare term go before a vector is shipped.  A meeting at
+    which even what comes before, at and after it can't reach the threshold is no true pair's, and goes at once.  A term with more than
     ``ROWS`` rows is cut into cells, whose rows meet in pairs of cells, so that no key holds all of them.
     """
     cells = prefixes.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("cells"))
     own = prefixes.join(cells, "term").withColumn("cell", _salt("id", F.col("cells")))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     low, high = F.least("cell", "other"), F.greatest("cell", "other")
-    side = lambda p: each.select("term", low.alias("low"), high.alias("high"), *(F.col(c).alias(p + c) for c in ("id", "w", "rest", "cell")))
+    before = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("w") * F.col("w") - F.col("rest") * F.col("rest"))).alias("before")
+    wide = each.select("*", before)
+    side = lambda p: wide.select("term", low.alias("low"), high.alias("high"), *(F.col(c).alias(p + c) for c in ("id", "w", "rest", "tail", "before", "cell")))
     both = side("a_").join(side("b_"), ["term", "low", "high"]).filter((F.col("a_id") < F.col("b_id")) & ((F.col("low") == F.col("high")) | (F.col("a_cell") != F.col("b_cell"))))
-    may = both.filter(F.col("a_w") * F.col("b_w") + F.col("a_rest") * F.col("b_rest") >= threshold - CLOSE)
-    return may.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    product = lambda c: F.col(f"a_{c}") * F.col(f"b_{c}")
+    may = both.filter(product("before") + product("w") + product("rest") >= threshold - CLOSE)
+    left = F.greatest(F.col("a_tail") * F.col("b_rest"), F.col("b_tail") * F.col("a_rest"))
+    met = may.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), product("w").cast("float").alias("had"), left.cast("float").alias("left"))
+    return met.groupBy("a", "b").agg(F.sum("had").alias("had"), F.min("left").alias("left")).filter(F.col("had") + F.col("left") >= threshold - ROUNDED).select("a", "b")
 
 
 def similar_pairs(rows: DataFrame, threshold: float, *, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
