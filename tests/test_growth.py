@@ -120,3 +120,18 @@ def test_typing_by_join_carries_no_lists_of_items(spark):
     assert rows(joined) == rows(matching.typed_features(requests, phrases))
     udf = [line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "ArrowEvalPython" in line and "known" in line]
     assert udf and not any("values" in line for line in udf)
+
+
+def test_judge_reviews_a_request_once_and_leaves_inventories_out_of_collections(monkeypatch):
+    import gc
+
+    from turnwise.operators import dialogue
+
+    item = {"id": "1", "name": "blue ring", "family": "ring", "attributes": {"size": "7"}, "drawer": "drawer 2"}
+    inv = dialogue._built("growth", "lab", lambda: {"lab": [item]})
+    assert gc.get_freeze_count() > 0
+    calls, own = [], dialogue.review
+    monkeypatch.setattr(dialogue, "review", lambda q, i: calls.append(q) or own(q, i))
+    row = dialogue._judge(("lab", "Where is the blue ring?", "no json", None, None, None), inv)
+    assert row[3:6] == ("1", "locate", "no_json_object") and len(calls) == 1
+    gc.unfreeze()
