@@ -5,6 +5,7 @@ import inspect
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import alignment, matching
@@ -135,3 +136,28 @@ def test_judge_reviews_a_request_once_and_leaves_inventories_out_of_collections(
     row = dialogue._judge(("lab", "Where is the blue ring?", "no json", None, None, None), inv)
     assert row[3:6] == ("1", "locate", "no_json_object") and len(calls) == 1
     gc.unfreeze()
+
+
+@pytest.mark.parametrize("name", ["slot_symbols", "tfidf_idf", "tfidf_norm", "lookup_outcome", "ngram_features", "hash_embedding"])
+def test_requests_go_to_as_many_tasks_as_their_number_asks_for(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from turnwise.plans import base
+
+    monkeypatch.setattr(base, "TASK_ROWS", 7)
+    parts = -(-spark.read.parquet(f"{SF}/part.parquet").count() // 7)
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and f"{parts})" in plan
+
+
+def test_equal_texts_are_embedded_once(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["hash_embedding"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_dialogues_are_aligned_in_as_many_tasks_as_a_shuffle_has(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["source_alignment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2

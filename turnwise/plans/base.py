@@ -41,6 +41,21 @@ def utterances(read) -> DataFrame:
     return read("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "lab").otherwise("hospital").alias("setting"), text.alias("text"))
 
 
+#: Rows of a task, at most about: what a task holds of its rows doesn't grow with the table.
+TASK_ROWS = 100_000
+
+
+def task_count(read) -> int:
+    """How many tasks the requests are worth: as many as a shuffle has, and more for more than ``TASK_ROWS`` each."""
+    part = read("part")
+    return max(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-part.count() // TASK_ROWS))
+
+
+def spread_utterances(read) -> DataFrame:
+    """``utterances`` over ``task_count`` tasks, each id in one: a small file is one task, whatever is made of its rows."""
+    return utterances(read).repartition(task_count(read), "id")
+
+
 _CASES = " ".join(f"WHEN {i} THEN replace('{t.replace(chr(39), chr(39) * 2)}', '{{n}}', p_name)" for i, t in enumerate(TEMPLATES))
 U = f"u AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'lab' ELSE 'hospital' END AS setting, CASE p_partkey % 8 {_CASES} END AS text FROM part)"
 

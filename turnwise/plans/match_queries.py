@@ -7,7 +7,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import matching as M
 from ..operators import ordering as O
-from .base import I, TEMPLATES, U, inventory, query, turn_log, utterances
+from .base import I, TEMPLATES, U, inventory, query, spread_utterances, turn_log, utterances
 
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 #: Phrases of the inventory with their kinds, and the hits of requests: shared by several queries.
@@ -23,8 +23,9 @@ _HITS = f"{U}, {I}, n AS (SELECT DISTINCT setting, item_id, name FROM i), h AS (
 def lookup_outcome(read):
     """Requests to items by phrase, the outcome by the number of hits, and the rendered reply."""
     items = inventory(read)
-    hits = M.phrase_counts(utterances(read), items.select("setting", "item_id", "name"))
-    per = utterances(read).join(hits.withColumnRenamed("first", "item_id"), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    asked = spread_utterances(read)
+    hits = M.phrase_counts(asked, items.select("setting", "item_id", "name"))
+    per = asked.join(hits.withColumnRenamed("first", "item_id"), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one = per.join(items, (F.col("n") == 1) & (per["item_id"] == items["item_id"]), "left")
     return one.select("id", F.col("n").cast("long").alias("candidates"), *M.outcome(F.col("n"), F.col("name"), F.col("drawer")))
 
@@ -300,13 +301,13 @@ _TF = f"{U}, f AS (SELECT id, unnest({_W}) AS w FROM u), n AS (SELECT count(*) A
 @query(f"WITH {_TF} SELECT w, round(idf, 6) AS idf FROM idf")
 def tfidf_idf(read):
     """Smoothed inverse document frequencies."""
-    return M.idf(utterances(read).select("id", F.explode(T.words("text")).alias("w")), utterances(read).count()).select("w", F.round("idf", 6).alias("idf"))
+    return M.idf(spread_utterances(read).select("id", F.explode(T.words("text")).alias("w")), utterances(read).count()).select("w", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_TF}, t AS (SELECT id, w, (1 + ln(count(*))) * max(idf) AS x FROM f JOIN idf USING (w) GROUP BY id, w) SELECT id, w, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM t")
 def tfidf_norm(read):
     """Unit TF-IDF vectors as a long table."""
-    f = utterances(read).select("id", F.explode(T.words("text")).alias("w"))
+    f = spread_utterances(read).select("id", F.explode(T.words("text")).alias("w"))
     return M.tfidf(f, M.idf(f, utterances(read).count())).select("id", "w", F.round("weight", 6).alias("weight"))
 
 
@@ -317,7 +318,7 @@ def tfidf_norm(read):
 )
 def prototype_match(read):
     """Each request's nearest prototype by TF-IDF cosine; prototypes are the templates without their items."""
-    f = utterances(read).select("id", F.explode(T.words("text")).alias("w"))
+    f = spread_utterances(read).select("id", F.explode(T.words("text")).alias("w"))
     weights = M.idf(f, utterances(read).count())
     rows = f.sparkSession.createDataFrame([(i, t.replace("{n}", "")) for i, t in enumerate(TEMPLATES)], "id int, text string")
     p = M.tfidf(rows.select("id", F.explode(T.words("text")).alias("w")), weights).select(F.col("id").alias("prototype"), "w", F.col("weight").alias("y"))

@@ -7,7 +7,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import matching as M
 from ..operators.ordering import position
-from .base import I, U, inventory, query, utterances
+from .base import I, U, inventory, query, spread_utterances, task_count, utterances
 
 _NUM = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in T.NUMBER_WORDS.items()) + "}"
 _CARD = "map {" + ", ".join(f"'{k}': {v}" for k, v in T.CARDINALS.items()) + "}"
@@ -101,7 +101,7 @@ def longest_candidate(read):
 )
 def slot_symbols(read):
     """Slots and literals of a pattern."""
-    t = utterances(read).select("id", F.explode(F.regexp_extract_all(F.concat("text", F.lit(" {item} <slot>")), F.lit(r"\S+"), F.lit(0))).alias("token"))
+    t = spread_utterances(read).select("id", F.explode(F.regexp_extract_all(F.concat("text", F.lit(" {item} <slot>")), F.lit(r"\S+"), F.lit(0))).alias("token"))
     symbol = F.when(F.col("token").rlike("^[{<][a-z_]+[}>]$"), F.concat(F.lit("S:"), F.regexp_extract("token", "[a-z_]+", 0))).otherwise(F.concat(F.lit("L:"), F.lower("token")))
     return t.groupBy("id", "token", symbol.alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -266,10 +266,12 @@ def unicode_fold(read):
 
 @query()
 def hash_embedding(read):
-    """Signed hash vectors; equal texts of a batch are embedded once."""
-    v = S.hash_embed("text")
-    x = utterances(read).select("id", v.alias("v"))
-    return x.select("id", F.size("v").alias("dimensions"), F.size(F.filter("v", lambda y: y != 0)).alias("filled"), F.round(S.norm(F.col("v")), 6).alias("norm"))
+    """Signed hash vectors; equal texts are embedded once."""
+    u = spread_utterances(read)
+    said = u.select(F.col("text").alias("said")).distinct().repartition(task_count(read), "said")
+    x = said.select("said", S.hash_embed("said").alias("v"))
+    e = x.select("said", F.size("v").alias("dimensions"), F.size(F.filter("v", lambda y: y != 0)).alias("filled"), F.round(S.norm(F.col("v")), 6).alias("norm"))
+    return u.join(e, F.col("text").eqNullSafe(F.col("said"))).select("id", "dimensions", "filled", "norm")
 
 
 @query(
@@ -279,7 +281,7 @@ def hash_embedding(read):
 )
 def ngram_features(read):
     """Words, neighbouring words (each twice) and character 3- to 5-grams (once): distinct ones, and their weight in all."""
-    d = utterances(read).select("id", T.words("text").alias("w"))
+    d = spread_utterances(read).select("id", T.words("text").alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws("_", a, b))
     line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     n_pairs = F.greatest(F.size(pairs) - 1, F.lit(0))
