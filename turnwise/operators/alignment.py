@@ -90,8 +90,10 @@ def align(turns: list[str], segments: list[str], reach: int | None = None) -> li
 def align_versions(turns: DataFrame, segments: DataFrame) -> DataFrame:
     """(version, turn, first, last, coverage, flags).  turns: (version, turn, text); segments: (version, segment, text).
 
-    A version is one dialogue, so its turns and segments fit a task.
+    A version is one dialogue, so its turns and segments fit a task.  Versions go to as many tasks as a shuffle has: their texts are small, but aligning them takes long.
     """
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns, segments = turns.repartition(parts, "version"), segments.repartition(parts, "version")
 
     def run(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("turn"), right.sort_values("segment")
