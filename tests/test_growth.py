@@ -161,3 +161,31 @@ def test_dialogues_are_aligned_in_as_many_tasks_as_a_shuffle_has(spark):
 
     plan = entry.queries()["source_alignment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_judge_works_out_only_what_is_wanted(spark, monkeypatch):
+    inv = D.Inventory(_items(60, random.Random(8)))
+    rows = [("lab", t, r, None, m, p) for t in ("Where is the red ring?", "Which SMALL is here", "No, I said the blue bolt 4", "", None) for r in (None, D.compact(D.decision("clarify", item_family="SMALL"))) for m in (None, '{"resolved_item_id":"4"}') for p in (None, "The red ring is in drawer 1.")]
+    whole = [dict(zip(D._JUDGED.names, D._judge(row, inv), strict=True)) for row in rows]
+    for name in D._JUDGED.names:
+        assert [D._judge(row, inv, [name]) for row in rows] == [(x[name],) for x in whole]
+
+    def refused(*_):
+        raise AssertionError("not wanted")
+
+    for name in ("prompt", "compile_template", "instantiate", "left_out"):
+        monkeypatch.setattr(D, name, refused)
+    styles, own = [], D.extract
+    monkeypatch.setattr(D, "extract", lambda text, i, style="v3": styles.append(style) or own(text, i, style))
+    assert [D._judge(row, inv, ["memory", "reply"]) for row in rows] == [(x["memory"], x["reply"]) for x in whole] and set(styles) == {"v3"}
+    for query in ("memory_after", "rendered_replies", "reply_format", "seed_audit"):
+        plan = catalog.QUERIES[query](spark, SF)._jdf.queryExecution().analyzed().toString()
+        assert "j#" in plan and "prompt" not in plan and "left_out" not in plan
+
+
+def test_inventories_are_sent_in_order_with_all_their_values(spark):
+    rows = [("lab", "9", None, {"size": "1", "brand": None}, ["x"], None), ("lab", "10", "a b", None, None, "drawer 1"), (None, "2", "ü", {}, [], ""), ("lab", "1", "", {"k": ""}, ["y", "z"], "d")]
+    items = spark.createDataFrame(rows, "setting string, id string, name string, attributes map<string,string>, aliases array<string>, drawer string")
+    of = lambda r: {"setting": r[0], "id": r[1], "name": r[2], "attributes": r[3] or {}, "aliases": r[4], "drawer": r[5]}
+    assert D._inventories(items.repartition(3), 4) == {"lab": [of(rows[3]), of(rows[1]), of(rows[0])], None: [of(rows[2])]}
+    assert D._inventories(items, 3) is None and D._inventories(items.limit(0), 3) == {}

@@ -43,7 +43,7 @@ def trials(read):
 
 def _seeds(read):
     known = items(read)
-    return B.seeds(trials(read), known, lambda r: dialogue.judge(r.withColumn("raw", F.lit("")), known).select("id", "item"))
+    return B.seeds(trials(read), known, lambda r: dialogue.judge(r.withColumn("raw", F.lit("")), known, wanted=["item"]))
 
 
 @query(
@@ -245,7 +245,7 @@ _NEXT = "CASE action WHEN 'cancel' THEN 'ended' WHEN 'clarify' THEN 'awaiting_cl
 )
 def compiler_split(read):
     """What a compiler of state machines reads: configuration, typed wordings with their actions, and observed transitions, with support."""
-    j = dialogue.judge(cases(read), items(read)).select("v3", "action", F.get_json_object("signature", "$.state").alias("state"))
+    j = dialogue.judge(cases(read), items(read), wanted=["v3", "action", "signature"]).select("v3", "action", F.get_json_object("signature", "$.state").alias("state"))
     none = F.lit(None).cast("string")
     q = j.groupBy(F.col("v3").alias("text"), "action").agg(F.count(F.lit(1)).alias("support")).select(F.lit("query").alias("type"), "text", none.alias("state"), "action", none.alias("next_state"), "support")
     t = j.groupBy("state", "action").agg(F.count(F.lit(1)).alias("support")).select(F.lit("transition").alias("type"), none.alias("text"), "state", "action", D.next_state(F.col("action")).alias("next_state"), "support")
@@ -259,6 +259,6 @@ def compiler_split(read):
 def condition_pivot(read):
     """Every case under every condition, the answers side by side."""
     c = cases(read)
-    checked = dialogue.judge(c, items(read)).select("id", F.lit("checked").alias("condition"), "action")
+    checked = dialogue.judge(c, items(read), wanted=["action"]).select("id", F.lit("checked").alias("condition"), "action")
     alone = c.select("id", F.lit("teacher").alias("condition"), F.when(F.col("raw").startswith("{") & ~F.col("raw").rlike('"action":"locate","action"'), F.get_json_object("raw", "$.action")).alias("action"))
     return checked.unionByName(alone).groupBy("id").pivot("condition", ["teacher", "checked"]).agg(F.first("action"))

@@ -47,7 +47,7 @@ def decided_states(read):
 )
 def typed_styles(read):
     """The wording of every case with slots, as the second and the first extractor have it."""
-    return dialogue.judge(cases(read), items(read)).select("id", "v2", "v1")
+    return dialogue.judge(cases(read), items(read), wanted=["v2", "v1"])
 
 
 def conversations_about_items(read):

@@ -78,7 +78,7 @@ ACTION_SQL = "CASE WHEN k = 6 THEN 'clarify' WHEN k = 7 THEN 'redirect' WHEN k =
 )
 def judged_cases(read):
     """Typed wording, item, checked action and the name of the first broken rule of every case."""
-    j = dialogue.judge(cases(read), items(read))
+    j = dialogue.judge(cases(read), items(read), wanted=["v3", "item", "action", "error", "signature"])
     return j.select("id", "v3", "item", "action", "error", F.get_json_object("signature", "$.state").alias("state"))
 
 
@@ -87,13 +87,13 @@ def judged_cases(read):
 )
 def guarded_cases(read):
     """The rule that each raw decision breaks, and the rule that the guard's decision in its place breaks too: an item without a drawer can't be served."""
-    return dialogue.judge(cases(read), items(read)).select("id", "error", "guard_error")
+    return dialogue.judge(cases(read), items(read), wanted=["error", "guard_error"])
 
 
 @query(f"WITH {I}, {CASES_SQL}, a AS (SELECT *, {ACTION_SQL} AS action FROM c) SELECT item_id AS id, action FROM a")
 def judged_by_setting(read):
     """The checked actions when the inventory counts as too large to be sent to every task, and requests go to their setting's items."""
-    return dialogue.judge(cases(read), items(read), largest=10).select("id", "action")
+    return dialogue.judge(cases(read), items(read), wanted=["action"], largest=10)
 
 
 @query()
@@ -121,7 +121,7 @@ REPLY_SQL = "CASE WHEN drawer IS NULL AND k NOT IN (6, 7, 8, 11) THEN 'I have no
 )
 def rendered_replies(read):
     """What is said after each case; drawers come from the inventory, whatever the teacher said."""
-    return dialogue.judge(cases(read), items(read)).select("id", "reply")
+    return dialogue.judge(cases(read), items(read), wanted=["reply"])
 
 
 @query(
@@ -130,7 +130,7 @@ def rendered_replies(read):
 )
 def template_sources(read):
     """M5-M6: each checked decision as a template of sources, which gives an equal decision back when it is bound to the same request."""
-    j = dialogue.judge(cases(read), items(read))
+    j = dialogue.judge(cases(read), items(read), wanted=["template", "rebinds"])
     of = lambda k: F.get_json_object("template", f"$.{k}")
     return j.select("id", of("item").alias("item_source"), of("family").alias("family_source"), of("action").alias("action"), "rebinds")
 
@@ -143,7 +143,7 @@ def template_sources(read):
 )
 def memory_after(read):
     """Memory after each decision, and the signature of the state that follows."""
-    j = dialogue.judge(cases(read), items(read))
+    j = dialogue.judge(cases(read), items(read), wanted=["memory", "next_signature"])
     of = lambda k: F.get_json_object("memory", f"$.{k}")
     return j.select(
         "id",
@@ -165,7 +165,7 @@ def memory_after(read):
 )
 def teacher_prompts(read):
     """The prompt of each case: instruction, lettered choices, and the payload as compact JSON, read back from it."""
-    j = dialogue.judge(cases(read), items(read))
+    j = dialogue.judge(cases(read), items(read), wanted=["prompt"])
     lines = F.split("prompt", "\n")
     payload = F.element_at(lines, -1)
     of = lambda k: F.get_json_object(payload, f"$.{k}")
@@ -184,7 +184,7 @@ _FAILURE = "CASE WHEN k = 9 THEN 'comprehension_failure strategy=self_correction
 def reply_format(read):
     """Each case as people read it: what was said, how it was decided, and the reply."""
     c = cases(read)
-    j = dialogue.judge(c, items(read)).join(c.select("id", "text"), "id")
+    j = dialogue.judge(c, items(read), wanted=["item", "action", "error", "reply", "signature", "template"]).join(c.select("id", "text"), "id")
     of = lambda k: F.get_json_object("template", f"$.{k}")
     stage, source = F.get_json_object("signature", "$.mode"), F.when(F.col("error").isNull(), "slm").otherwise("guard")
     item = F.when(of("item") != "none", F.col("item"))
@@ -257,7 +257,7 @@ def judged_labels(read):
     """Next state, risk class, scenario and cacheability of the checked decisions of all cases."""
     from ..operators import decisions
 
-    j = dialogue.judge(cases(read), items(read)).select("id", "action", "error", "template", "guard_error")
+    j = dialogue.judge(cases(read), items(read), wanted=["action", "error", "template"])
     failure = F.coalesce(F.get_json_object("template", "$.failure_type"), F.lit("none"))
     labelled = j.withColumn("failure", F.when(F.col("action") == "recover", failure).otherwise("none"))
     risky = F.col("action").isin("locate", "recover") | (F.col("failure") != "none")

@@ -48,7 +48,7 @@ def cached_decisions(read):
     """A third of the checked decisions as a cache, by the digest of the whole payload and by typed wording and state; what it serves to all cases, and whether the teacher agrees."""
     asked = cases(read).withColumn("text", F.col("text"))
     payload = asked.select("id", "setting", F.struct("setting", "text", "memory", "proposal").alias("p")).select("id", "setting", C.digest(F.col("p")).alias("exact"))
-    j = dialogue.judge(asked, items(read)).select("id", "v3", "action", F.get_json_object("signature", "$.state").alias("state"))
+    j = dialogue.judge(asked, items(read), wanted=["v3", "action", "signature"]).select("id", "v3", "action", F.get_json_object("signature", "$.state").alias("state"))
     d = payload.join(j, "id").withColumn("typed", F.concat_ws("|", "setting", "v3", "state"))
     stored = d.filter("id % 3 = 0")
     only = lambda k: stored.groupBy(F.col(k).alias(f"{k}_key")).agg(F.min("action").alias(f"{k}_action"), F.count_distinct("action").alias("n")).filter("n = 1").drop("n")
