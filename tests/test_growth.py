@@ -189,3 +189,31 @@ def test_inventories_are_sent_in_order_with_all_their_values(spark):
     of = lambda r: {"setting": r[0], "id": r[1], "name": r[2], "attributes": r[3] or {}, "aliases": r[4], "drawer": r[5]}
     assert D._inventories(items.repartition(3), 4) == {"lab": [of(rows[3]), of(rows[1]), of(rows[0])], None: [of(rows[2])]}
     assert D._inventories(items, 3) is None and D._inventories(items.limit(0), 3) == {}
+
+
+@pytest.mark.parametrize("largest", [1, 1000])
+def test_draws_are_made_in_equal_ranges_and_equal_a_walk(spark, largest, monkeypatch):
+    from turnwise.operators import metrics
+
+    rng = random.Random(2)
+    rows = [(u, rng.choice([True, False, None])) for u in (rng.randint(0, 3000) for _ in range(400))] + [(5000, None)]
+    by = {}
+    for u, x in rows:
+        s, n = by.get(u, (0, 0))
+        by[u] = (s + (x is True), n + (x is not None))
+    sums = [by[u] for u in sorted(by)]
+    means = []
+    for r in range(1, 51):
+        drawn = [sums[int(hashlib.md5(f"{r}:{k}".encode()).hexdigest()[:8], 16) % len(sums)] for k in range(len(sums))]
+        means.append(sum(s for s, _ in drawn) / sum(n for _, n in drawn))
+    means.sort()
+    at = lambda q: means[int(q * 49)] + (means[int(q * 49) + 1] - means[int(q * 49)]) * (q * 49 - int(q * 49))
+    monkeypatch.setattr(metrics, "TASK_DRAWS", 1000)
+    known = spark.createDataFrame(rows, "u long, correct boolean")
+    got = metrics.clustered_bootstrap(known, resamples=50, largest=largest)
+    assert tuple(got.first()) == (round(at(0.025), 6), round(at(0.975), 6), 50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f"splits=Some({-(-50 * len(sums) // 1000)})" in plan and "Generate" not in plan
+    told = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert ("BroadcastHashJoin" if largest > 1 else "ShuffledHashJoin") in told
+    assert tuple(metrics.clustered_bootstrap(known.limit(0), resamples=5, largest=largest).first()) == (None, None, 0)

@@ -40,18 +40,29 @@ def label_scores(pairs: DataFrame, digits: int | None = 6) -> DataFrame:
     )
 
 
-def clustered_bootstrap(rows: DataFrame, *, resamples: int = 1000, bin_of: Column | None = None) -> DataFrame:
+#: Draws of a task of the bootstrap, at most about.
+TASK_DRAWS = 1_000_000
+
+
+def clustered_bootstrap(rows: DataFrame, *, resamples: int = 1000, bin_of: Column | None = None, largest: int = 1_000_000) -> DataFrame:
     """(u, correct) -> low, high, resamples: percentiles of the mean over resampled clusters ``u``.
 
     Rows are summed by cluster first, so a resample touches clusters, not rows; draws come from a hash of resample and place, so reruns agree.
     Clusters are numbered in order through ranges of them: bin_of is a coarser form of ``u`` (the default: thousands of an integer).
+    There are ``resamples`` times as many draws as clusters; each task makes an equal range of them, and up to ``largest`` clusters the sums are sent to
+    the draws, which aren't shuffled then.  Over that, draws are shuffled to the sums.
     """
     c = rows.groupBy("u").agg(F.sum(F.col("correct").cast("int")).cast("double").alias("s"), F.count("correct").alias("n"))
-    numbered = position(c, [F.floor(F.col("u") / 1000) if bin_of is None else bin_of], ["u"], "place")
-    draws = numbered.select(F.col("place").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r"))
-    total = c.count()
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), (F.col("k") - 1).cast("string"))), 1, 8), 16, 10).cast("long") % F.lit(max(1, total)) + 1
-    m = draws.select("r", drawn.alias("place")).join(numbered, "place").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    numbered = position(c, [F.floor(F.col("u") / 1000) if bin_of is None else bin_of], ["u"], "place").select("place", "s", "n")
+    spark, total = rows.sparkSession, c.count()
+    of = F.lit(max(1, total))
+    few = resamples * total * 40 // TASK_DRAWS  # tasks beyond these cost more than their draws
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), few), -(-resamples * total // TASK_DRAWS))
+    k = F.col("id") % of
+    draws = spark.range(0, resamples * total, 1, tasks).select(((F.col("id") - k) / of + 1).cast("long").alias("r"), k.alias("k"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long") % of + 1
+    sums = numbered.hint("broadcast" if total <= largest else "shuffle_hash")
+    m = draws.select("r", drawn.alias("place")).join(sums, "place").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
     return m.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count(F.lit(1)).alias("resamples"))
 
 

@@ -79,12 +79,10 @@ I = (  # noqa: E741
 )
 
 
-def turn_log(read) -> DataFrame:
-    """(position, user_id, route, category, value, hit, correct): events in order as the log of a replay; correct is null for errors."""
-    e = read("events")
+def turns(read) -> DataFrame:
+    """(event_id, ts, user_id, route, category, value, hit, correct): ``turn_log`` for what doesn't ask for an order."""
     route = F.when(F.col("event_type").isin("view", "click", "purchase"), "fsm").otherwise("slm")
-    return position(e, [F.date_trunc("HOUR", "ts")], ["ts", "event_id"]).select(
-        "position",
+    return read("events").select(
         "event_id",
         "ts",
         "user_id",
@@ -96,6 +94,12 @@ def turn_log(read) -> DataFrame:
     )
 
 
+def turn_log(read) -> DataFrame:
+    """(position, event_id, ts, user_id, route, category, value, hit, correct): events in order as the log of a replay; correct is null for errors."""
+    t = turns(read)
+    return position(t, [F.date_trunc("HOUR", "ts")], ["ts", "event_id"]).select("position", *t.columns)
+
+
 L = (
     "log AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS position, event_id, ts, user_id, "
     "CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'fsm' ELSE 'slm' END AS route, event_type AS category, value, "

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
-from .base import I, L, inventory, query, turn_log
+from .base import I, L, inventory, query, turn_log, turns
 
 
 @query(f"WITH {L} SELECT route, category, count(*) AS n FROM log GROUP BY ALL")
@@ -74,7 +74,7 @@ _DRAW = "CAST('0x' || left(md5(r || ':' || k), 8) AS BIGINT) % n"
 )
 def clustered_bootstrap(read):
     """A10: confidence limits from 1,000 resamples of all participants; draws come from a hash, so reruns agree."""
-    return M.clustered_bootstrap(turn_log(read).select(F.col("user_id").alias("u"), "correct"))
+    return M.clustered_bootstrap(turns(read).select(F.col("user_id").alias("u"), "correct"))
 
 
 _CM = "c AS (SELECT toxic AS gold, CAST(n_chars % 5 = 0 OR quality = 0 AS INT) AS pred FROM labels JOIN documents USING (doc_id))"
