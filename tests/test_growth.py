@@ -217,3 +217,16 @@ def test_draws_are_made_in_equal_ranges_and_equal_a_walk(spark, largest, monkeyp
     told = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert ("BroadcastHashJoin" if largest > 1 else "ShuffledHashJoin") in told
     assert tuple(metrics.clustered_bootstrap(known.limit(0), resamples=5, largest=largest).first()) == (None, None, 0)
+
+
+def test_items_words_are_not_sent_to_all_tasks(spark):
+    """The items that ``word_subset`` looks phrases up for stay where they are; phrases are sent, or sorted if there are many."""
+    plan = catalog.QUERIES["word_subset"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(9)]
+    keys = spark.createDataFrame([(i, rng.sample(words, rng.randint(0, 8))) for i in range(50)], "key int, words array<string>")
+    phrases = spark.createDataFrame([(f"p{i}", rng.choices(words, k=rng.randint(0, 3))) for i in range(60)], "phrase string, words array<string>")
+    sent, sorted_ = matching.subset_join(keys, phrases), matching.subset_join(keys, phrases, largest=5)
+    assert "BroadcastHashJoin" not in sorted_._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, sorted_.collect())) and sent.count() > 50

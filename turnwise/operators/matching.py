@@ -189,16 +189,19 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c
     return lb.join(rb, [key, "__bin"]).filter((F.col(b) > F.col(c)) & (F.col(a) < F.col(d)) & (F.col("__bin") == first)).drop("__bin")
 
 
-def subset_join(keys: DataFrame, phrases: DataFrame) -> DataFrame:
+def subset_join(keys: DataFrame, phrases: DataFrame, *, largest: int = 4_000_000) -> DataFrame:
     """(key, phrase): phrases all of whose words are among a key's words.  keys: (key, words), phrases: (phrase, words), arrays of any length; a phrase without words has none.
 
-    Each phrase is looked for by the rarest of its words among the phrases' own, so a pair is met once, and common words meet nothing.
+    Each phrase is looked for by the rarest of its words among the phrases' own, so a pair is met once, and common words meet nothing.  Phrases of up to ``largest``
+    characters in all are sent to the tasks of the keys; more meet them by sorting.  Keys are never sent: their words look as small as the table that they are made from.
     """
     own = phrases.select("phrase", F.array_distinct("words").alias("wanted")).filter(F.size("wanted") > 0)
     often = own.select(F.explode("wanted").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.select("phrase", "wanted", F.explode("wanted").alias("word")).join(often, "word").groupBy("phrase", "wanted").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    rarest = own.select("phrase", "wanted", F.explode("wanted").alias("word")).hint("merge").join(often, "word").groupBy("phrase", "wanted").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
     asked = keys.select("key", "words", F.explode(F.array_distinct("words")).alias("word"))
-    return asked.join(rarest, "word").filter(F.size(F.array_except("wanted", "words")) == 0).select("key", "phrase")
+    few = (own.agg(F.sum(F.length(F.array_join("wanted", " ")))).first()[0] or 0) <= largest
+    met = asked.join(rarest.hint("broadcast"), "word") if few else asked.hint("merge").join(rarest, "word")
+    return met.filter(F.size(F.array_except("wanted", "words")) == 0).select("key", "phrase")
 
 
 def nearest_pattern(turns: DataFrame, patterns: DataFrame, *, threshold: float) -> DataFrame:
