@@ -230,3 +230,18 @@ def test_items_words_are_not_sent_to_all_tasks(spark):
     sent, sorted_ = matching.subset_join(keys, phrases), matching.subset_join(keys, phrases, largest=5)
     assert "BroadcastHashJoin" not in sorted_._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, sent.collect())) == sorted(map(tuple, sorted_.collect())) and sent.count() > 50
+
+
+def test_a_list_of_items_is_written_once_and_not_for_each_request(spark, tmp_path):
+    """``items`` grows with the square where names are shared; what a writer stores of it doesn't."""
+    names = [f"{a} {b}" for a in ("red", "blue", "old", "hot") for b in ("ring", "bolt")]
+    table = [("a", n, "item", hashlib.sha256(f"{n}{i}".encode()).hexdigest()) for n in names for i in range(4000)]
+    phrases = spark.createDataFrame(table, "setting string, phrase string, kind string, value string")
+    requests = spark.createDataFrame([(i, "a", f"where is the {names[i % 8]}" if i % 9 else "thanks") for i in range(400)], "id long, setting string, text string").repartition(2)
+    want = {n: ",".join(sorted(v for _, p, _, v in table if p == n)) for n in names}
+    for largest in (100, 4):
+        out = tmp_path / str(largest)
+        matching.typed_features(requests, phrases, largest=largest).write.parquet(str(out))
+        assert sum(f.stat().st_size for f in out.rglob("*.parquet")) < 2 * sum(map(len, want.values()))  # all requests' lists: 46 times their sum
+        got = {r.id: r["items"] for r in spark.read.parquet(str(out)).collect()}
+        assert got == {i: want[names[i % 8]] if i % 9 else "" for i in range(400)}

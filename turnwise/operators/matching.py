@@ -1,6 +1,7 @@
 """Joins of dialogue data: phrases, similarity, intervals, automata."""
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -94,74 +95,102 @@ def scan(tokens: list[str], table: dict[tuple, dict[str, list[str]]], longest: i
     return out
 
 
-def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_000_000) -> DataFrame:
-    """(id, typed, items, ambiguous, correction) of requests: one phrase table for each setting, sent to the tasks.
+#: Characters of lists of items that one task of their requests puts together, and writes for all of its requests, at most about.
+LIST_CHARS = 1 << 18
+TOLD_CHARS = 1 << 31
+
+
+def typed_features(requests: DataFrame, table: DataFrame, *, largest: int = 1_000_000, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """(id, typed, items, ambiguous, correction) of requests: one phrase table for each setting, sent to the tasks with how many values a phrase has, not with the values.
 
     table: (setting, phrase, kind, value).  It has a few rows for each item of an inventory; over ``largest`` phrases, the runs of words of the requests are joined
-    with the phrases instead, and each request is scanned with the phrases that it has.  Requests stay spread over as many tasks as they are in.
+    with the phrases instead, and each request is scanned with the phrases that it has.  keep(frame, name): writes a table that is read more than once.
+
+    The items of a name, which may be many, are put together once for all requests that name the same.  Requests come out by what they name: ``items`` grows
+    with the square where names are shared, but a task has few of its values, each in a run, so a writer with dictionaries (Parquet) stores each once.
     """
-    rows = defaultdict(lambda: defaultdict(dict))
-    every = table.groupBy("setting", "phrase", "kind").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    if every.select("phrase").limit(largest + 1).count() > largest:
-        return _typed_by_join(requests, every)
-    for r in every.collect():
-        rows[r.setting][tuple(r.phrase.split(" "))][r.kind] = r["values"]
-    plain = {s: dict(t) for s, t in rows.items()}
-    shared = requests.sparkSession.sparkContext.broadcast((plain, {s: max(map(len, t), default=1) for s, t in plain.items()}))
-    kind = T.StructType([T.StructField("typed", T.StringType()), T.StructField("items", T.StringType()), T.StructField("ambiguous", T.BooleanType())])
+    values = table.select("setting", "phrase", "kind", "value").distinct()
+    known = keep(values.groupBy("setting", "phrase", "kind").agg(F.count("value").alias("n")), "known")
+    asked = requests.select("id", "setting", drawer_tokens("text").alias("ws"), is_correction("text").alias("correction"))
+    many = known.limit(largest + 1).count() > largest
+    told = keep(_typed_by_join(asked, known) if many else _typed_by_table(asked, known.collect()), "told")
+    return _with_items(told, values.filter((F.col("kind") == "item") & F.col("value").isNotNull()), keep)
 
-    @pandas_udf(kind)
-    def features(settings: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        tables, longest = shared.value
-        return pd.DataFrame([_typed(list(ws), tables.get(s, {}), longest.get(s, 1)) for s, ws in zip(settings, tokens, strict=True)], columns=["typed", "items", "ambiguous"])
 
-    return requests.select("id", features("setting", drawer_tokens("text")).alias("f"), is_correction("text").alias("correction")).select("id", "f.typed", "f.items", "f.ambiguous", "correction")
+_TOLD = T.StructType([T.StructField("typed", T.StringType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("named", T.ArrayType(T.StringType()))])
 
 
-def _typed(ws: list[str], table: dict, longest: int) -> tuple[str, str, bool]:
-    surface, items, unsure = [], [], False
+def _told(ws: list[str], table: dict, longest: int) -> tuple[str, bool, list[str]]:
+    surface, named, unsure = [], [], False
     for k, values in scan(ws, table, longest):
         if k == "word":
             surface += values
             continue
         surface.append(f"<{k}>" if len(values) == 1 or k != "item" else "<ambiguous-item>")
         unsure |= len(values) > 1
-        items += values if k == "item" else []
-    return " ".join(surface) or "<empty>", ",".join(dict.fromkeys(items)), unsure
+        named += values[:1] if k == "item" else []
+    return " ".join(surface) or "<empty>", unsure, list(dict.fromkeys(named))
+
+
+def _stands(phrase: str, n: int) -> list[str]:
+    """A phrase stands for its values: itself, and a second time if there are several."""
+    return [phrase, ""][:n]
+
 
+def _typed_by_table(asked: DataFrame, known: list) -> DataFrame:
+    """(id, setting, typed, ambiguous, named, correction): requests are scanned with the phrases of their setting where they are."""
+    rows: dict = defaultdict(lambda: defaultdict(dict))
+    for r in known:
+        rows[r.setting][tuple(r.phrase.split(" "))][r.kind] = _stands(r.phrase, r.n)
+    plain = {s: dict(t) for s, t in rows.items()}
+    shared = asked.sparkSession.sparkContext.broadcast((plain, {s: max(map(len, t), default=1) for s, t in plain.items()}))
+
+    @pandas_udf(_TOLD)
+    def features(settings: pd.Series, tokens: pd.Series) -> pd.DataFrame:
+        tables, longest = shared.value
+        return pd.DataFrame([_told(list(ws), tables.get(s, {}), longest.get(s, 1)) for s, ws in zip(settings, tokens, strict=True)], columns=_TOLD.names)
+
+    return asked.select("id", "setting", features("setting", "ws").alias("f"), "correction").select("id", "setting", "f.*", "correction")
 
-def _typed_by_join(requests: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``typed_features`` for any number of phrases: an equi-join by setting and run of words.
 
-    Requests meet how many values a phrase has; the items of a name, which may be many, are put together once for all requests that name the same.
+def _typed_by_join(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``_typed_by_table`` for any number of phrases: an equi-join by setting and run of words.
+
     Neither side is sent to all tasks: runs of words look as small as the table that they are made from.
     """
-    counts = sorted(phrases.agg(F.collect_set(F.size(F.split("phrase", " ")))).first()[0])
-    asked = requests.select("id", "setting", drawer_tokens("text").alias("ws"), is_correction("text").alias("correction"))
-    known = phrases.select("setting", "phrase", "kind", F.size("values").alias("n"))
+    counts = sorted(known.agg(F.collect_set(F.size(F.split("phrase", " ")))).first()[0])
     met = asked.select("id", "setting", F.explode(F.array_distinct(grams(F.col("ws"), counts))).alias("phrase")).hint("merge").join(known, ["setting", "phrase"])
     own = met.groupBy("id").agg(F.collect_list(F.struct("phrase", "kind", "n")).alias("known"))
-    kind = T.StructType([T.StructField("typed", T.StringType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("named", T.ArrayType(T.StringType()))])
 
-    @pandas_udf(kind)
+    @pandas_udf(_TOLD)
     def features(tokens: pd.Series, known: pd.Series) -> pd.DataFrame:
         out = []
         for ws, found in zip(tokens, known, strict=True):
             table: dict = defaultdict(dict)
             for r in found if found is not None else ():
-                # a phrase stands for its values: itself, and a second time if there are several
-                table[tuple(r["phrase"].split(" "))][r["kind"]] = [r["phrase"], *([""] if r["n"] > 1 else [])]
-            typed, _, unsure = _typed(list(ws), table, max(map(len, table), default=1))
-            named = [values[0] for k, values in scan(list(ws), table, max(map(len, table), default=1)) if k == "item"]
-            out.append((typed, unsure, list(dict.fromkeys(named))))
-        return pd.DataFrame(out, columns=["typed", "ambiguous", "named"])
-
-    told = asked.hint("merge").join(own, "id", "left").select("id", "setting", features("ws", "known").alias("f"), "correction").select("id", "setting", "f.*", "correction")
-    lists = told.filter(F.size("named") > 0).select("setting", "named").distinct().select("setting", "named", F.posexplode("named").alias("at", "phrase"))
-    items = phrases.filter(F.col("kind") == "item").select("setting", "phrase", "values")
+                table[tuple(r["phrase"].split(" "))][r["kind"]] = _stands(r["phrase"], r["n"])
+            out.append(_told(list(ws), table, max(map(len, table), default=1)))
+        return pd.DataFrame(out, columns=_TOLD.names)
+
+    return asked.hint("merge").join(own, "id", "left").select("id", "setting", features("ws", "known").alias("f"), "correction").select("id", "setting", "f.*", "correction")
+
+
+def _with_items(told: DataFrame, items: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The items of what requests name, made once for all that name the same; those requests are brought together, in more tasks if they are very many."""
+    per = told.filter(F.size("named") > 0).groupBy("setting", "named").agg(F.count(F.lit(1)).alias("requests"))
+    lists = per.select("setting", "named", "requests", F.posexplode("named").alias("at", "phrase")).withColumn("key", F.struct("setting", "phrase"))
+    of = items.groupBy(F.struct("setting", "phrase").alias("key")).agg(F.array_sort(F.collect_list("value")).alias("values"))
     ordered = F.array_sort(F.collect_list(F.struct("at", "values")))
-    whole = lists.hint("merge").join(items, ["setting", "phrase"]).groupBy("setting", "named").agg(F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["values"]))), ",").alias("items"))
-    return told.hint("merge").join(whole, ["setting", "named"], "left").select("id", "typed", F.coalesce("items", F.lit("")).alias("items"), "ambiguous", "correction")
+    line = F.array_join(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["values"]))), ",")
+    whole = keep(lists.hint("merge").join(of, "key").groupBy("setting", "named", "requests").agg(line.alias("items")), "lists")
+    chars = F.length("items").cast("long")
+    size = whole.agg(F.sum(chars).alias("all"), F.max(chars * F.col("requests")).alias("most")).first()
+    salts = -(-(size["most"] or 1) // TOLD_CHARS)
+    tasks = max(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")), salts, min(-(-(size["all"] or 1) // LIST_CHARS) * salts, 10_000))
+    key = lambda salt: F.struct("setting", "named", salt.cast("int").alias("salt")).alias("key")
+    asked = told.select("*", key(F.pmod(F.xxhash64("id"), F.lit(salts)))).repartition(tasks, "key")
+    held = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(key(F.col("salt")), "items")
+    return asked.hint("merge").join(held, "key", "left").select("id", "typed", F.coalesce("items", F.lit("")).alias("items"), "ambiguous", "correction")
 
 
 def narrow(candidates: DataFrame, group: str, says: str, *, name: str, family: str, setting: str, attributes: list[str]) -> DataFrame:

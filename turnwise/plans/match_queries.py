@@ -7,6 +7,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import matching as M
 from ..operators import ordering as O
+from ..session import keeper
 from .base import I, TEMPLATES, U, inventory, query, spread_utterances, turn_log, utterances
 
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -44,7 +45,8 @@ def phrase_table(read):
 def longest_match_scan(read):
     """Greedy longest matches, typed surface, items, ambiguity."""
     table = M.phrase_table(inventory(read)).select("setting", "phrase", "kind", F.when(F.col("kind") == "item", F.col("item_id").cast("string")).otherwise(F.col("phrase")).alias("value"))
-    return M.typed_features(utterances(read), table)
+    asked = spread_utterances(read)
+    return M.typed_features(asked, table, keep=keeper(asked.sparkSession, "longest-match"))
 
 
 @query(f"WITH {_HITS} SELECT id, count(*) AS hits, array_to_string(list_slice(list_sort(list(item_id)), 1, 3), ',') AS items FROM h GROUP BY id")

@@ -100,10 +100,12 @@ def judged_by_setting(read):
 def typed_by_join(read):
     """Typed requests when the phrases count as too many to be sent to every task."""
     from ..operators import matching as M
+    from ..session import keeper
     from .base import utterances
 
     table = M.phrase_table(inventory(read)).select("setting", "phrase", "kind", F.when(F.col("kind") == "item", F.col("item_id").cast("string")).otherwise(F.col("phrase")).alias("value"))
-    return M.typed_features(utterances(read), table, largest=10)
+    asked = utterances(read)
+    return M.typed_features(asked, table, largest=10, keep=keeper(asked.sparkSession, "typed-by-join"))
 
 
 _MISSING = (
