@@ -2,11 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from turnwise.operators import similarity_join as J
+from turnwise.session import keeper
 
 
 def unit(v):
@@ -110,3 +112,32 @@ def test_pairs_that_only_share_a_rare_term_are_no_candidates(spark):
     true = {(a, b) for a in own for b in own if a < b and sum(w * own[b].get(t, 0.0) for t, w in own[a].items()) >= 0.7}
     got = {tuple(r) for r in J.candidate_pairs(J.prefix_rows(vectors, 0.7), 0.7).collect()}
     assert true <= got and len(true) > 30 and len(got) < 2000  # of 33,670; the bound of one term alone leaves 20,184
+
+
+def test_similar_texts_equal_all_pairs(spark, monkeypatch):
+    """Blocks, chunks and buckets of few texts; copies, a clique over a bucket's size, texts without words, one id twice, null ids."""
+    monkeypatch.setattr(J, "ENTRIES", 300)
+    monkeypatch.setattr(J, "BUCKET", 4)
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choices(words, [1 / (k + 1) for k in range(300)], k=rng.randint(3, 40)) for _ in range(120)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b, *rng.choices(words, k=k)]) for b in base[:40] for k in (1, 4)] + [" ".join(base[0][:-1] + [f"x{i}"]) for i in range(20)] + ["", "!!", "solo"]
+    rows = [(7 * i, t) for i, t in enumerate(texts)] + [(0, "again w1"), (5000, None), (None, "w1 w2 w3"), (5001, " ".join(base[3]))]
+    merged = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            merged.setdefault(i, []).extend(t.replace("!", " ").split())
+    df = Counter(w for ws in merged.values() for w in set(ws))
+    weights = [(i, w, (1 + math.log(c)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1)) for i, ws in merged.items() for w, c in Counter(ws).items()]
+    want = all_pairs(weights, 0.7)
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    kept = keeper(spark, "similar-texts-test")
+    got = {(r.a, r.b): r.cosine for r in J.similar_texts(frame, len(rows), 0.7, keep=kept).collect()}
+    assert got.keys() == want.keys() and len(want) > 200 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_meetings_of_terms_are_not_shipped(spark):
+    """Prefixes are shipped for each block; before, each pair of rows of a term was a row of a join, whose number grows with the square."""
+    rows = [(i, t, w) for (i, t), w in {(i, f"t{i * j % 40}"): 1.0 + j / 50 for i in range(80) for j in range(1, 8)}.items()]
+    pairs = J.candidate_pairs(J.prefix_rows(J.unit_vectors(spark.createDataFrame(rows, ROWS)), 0.7).localCheckpoint(), 0.7)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()

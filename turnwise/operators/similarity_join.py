@@ -1,22 +1,21 @@
 """Exact similarity joins that don't compare all pairs: the first pattern that holds for a turn, and pairs of sparse vectors over a threshold."""
 
+import re
+import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 #: Rows of one side that a group compares at once, and patterns of a block, at most about.
 ROWS = 4096
 BLOCK = 1024
 #: Rounding errors of a sum of products of unit vectors are smaller.
 CLOSE = 1e-9
-#: So are those of a sum of products and a bound, each rounded to four bytes.
-ROUNDED = 1e-6
+#: So are those of a sum of products and a bound of four bytes each.
+ROUNDED = 1e-5
 
 
 # -- the first pattern that holds ------------------------------------------------------------------------------------
@@ -163,79 +162,313 @@ def first_valid(turns: DataFrame, patterns: DataFrame, *, route: float, holds: C
 
 
 # -- sparse vectors over a threshold ---------------------------------------------------------------------------------
-def _rests(threshold: float):
-    @pandas_udf(T.ArrayType(T.DoubleType()))
-    def rests(weights: pd.Series) -> pd.Series:
-        """As long as what begins with a term may still reach the threshold: the norm of what follows the term."""
-        out = []
-        for w in weights:
-            tail = np.sqrt(np.append(np.cumsum((w * w)[::-1])[::-1], 0.0))
-            out.append(tail[1:][tail[:-1] >= threshold - CLOSE])
-        return pd.Series(out, dtype=object)
-
-    return rests
-
-
-@pandas_udf(T.DoubleType())
-def _dot(at: pd.Series, av: pd.Series, bt: pd.Series, bv: pd.Series) -> pd.Series:
-    out = []
-    for t, v, u, w in zip(at, av, bt, bv, strict=True):
-        if len(t) > len(u):
-            t, v, u, w = u, w, t, v
-        has = dict(zip(t, v, strict=True))
-        out.append(float(sum(has[x] * y for x, y in zip(u, w, strict=True) if x in has)))
-    return pd.Series(out, dtype=float)
+#: Entries of prefixes of a block, at most about, and blocks at least: each pair of blocks is a task.
+ENTRIES = 5_000_000
+LEAST_BLOCKS = 6
+#: Texts of a chunk, which has one vocabulary, and whole vectors of a bucket, at most about.
+TEXTS = 4096
+BUCKET = 4096
+
+
+def _keys(df: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order of terms, rare ones first: a level of the number of vectors with the term, then 26 bits of the term's hash."""
+    level = np.minimum(63, np.floor(2.6 * np.log2(np.maximum(df, 1)))).astype(np.uint32)
+    return (level << np.uint32(26)) | (h.view(np.uint64) >> np.uint64(38)).astype(np.uint32)
+
+
+def _prefixes(off: np.ndarray, keys: np.ndarray, w: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries of unit vectors, sorted by key, are in the prefixes, and the norm of what follows each prefix.
+
+    What begins with a term of the prefix may still reach the threshold.  Terms with one key are in or out together.
+    """
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    c = np.concatenate([[0.0], np.cumsum(w * w)])
+    rest = np.maximum(0.0, c[off[1:]][row] - c[:-1])
+    inside = rest >= (threshold - 1e-7) ** 2
+    n = off[:-1] + np.bincount(row[inside], minlength=len(off) - 1)
+    while len(more := np.flatnonzero((n > off[:-1]) & (n < off[1:]) & (keys[np.minimum(n, len(keys) - 1)] == keys[np.maximum(n - 1, 0)]))):
+        n[more] += 1
+    return np.arange(len(w)) < n[row], np.sqrt(np.maximum(0.0, c[off[1:]] - c[n]))
+
+
+_PREFIX = "id long, chunk long, n int, keys binary, ws binary, tail float"
+
+
+def _packed_prefixes(ids: np.ndarray, chunk: int, off: np.ndarray, keys: np.ndarray, w: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """``_PREFIX`` rows of vectors that have a prefix; weights in two bytes, rounded up."""
+    inside, tail = _prefixes(off, keys, w, threshold)
+    n = np.add.reduceat(np.append(inside, False).astype(np.int64), off[:-1]) * (np.diff(off) > 0) if len(ids) else np.empty(0, np.int64)
+    half = w[inside].astype(np.float16)
+    half = np.where(half < w[inside], np.nextafter(half, np.float16(np.inf)), half)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    k, h = keys[inside].tobytes(), half.tobytes()
+    has = np.flatnonzero(n)
+    cols = [pa.array(ids[has]), pa.array(np.full(len(has), chunk, np.int64)), pa.array(n[has].astype(np.int32)), pa.array([k[4 * cut[i] : 4 * cut[i + 1]] for i in has], pa.binary()), pa.array([h[2 * cut[i] : 2 * cut[i + 1]] for i in has], pa.binary()), pa.array((tail[has] + ROUNDED).astype(np.float32))]
+    return pa.RecordBatch.from_arrays(cols, ["id", "chunk", "n", "keys", "ws", "tail"])
+
+
+def _side(t: pa.Table) -> dict:
+    n = t.column("n").to_numpy()
+    return {
+        "id": t.column("id").to_numpy(), "tail": t.column("tail").to_numpy(), "off": np.concatenate([[0], np.cumsum(n, dtype=np.int64)]),
+        "key": np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32), "w": np.frombuffer(b"".join(t.column("ws").to_pylist()), np.float16).astype(np.float32),
+    }
+
+
+def _meet(threshold: float):
+    """Pairs a < b of the two blocks of a cell (or of one) whose prefixes leave room for the threshold.
+
+    The products of all terms that both prefixes have are added up.  Any other common term follows the end of the prefix that ends first, say a's, so a's tail times the
+    norm of what follows there in b bounds what is left (Cauchy-Schwarz).  Terms with equal keys count as equal, which only raises the sum.
+    """
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    squares = lambda side: np.concatenate([[0.0], np.cumsum(side["w"].astype(np.float64) ** 2)]) * (1 - 2.0**-9)  # noqa: E731  # weights were rounded up
+    rest = lambda x: np.sqrt(np.maximum(0.0, 1 - x) + ROUNDED)
+
+    def meet(cell: pa.Table) -> pa.Table:
+        block = cell.column("block").to_numpy()
+        same = block.min() == block.max() and cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
+        if not same and block.min() == block.max():
+            return none
+        A, B = (_side(cell.filter(pa.array(block == x))) for x in (block.min(), block.max()))
+        size = len(B["id"])
+        row = np.repeat(np.arange(size, dtype=np.int32), np.diff(B["off"]))
+        order = np.argsort(B["key"], kind="stable")
+        key, at_row, at_w = B["key"][order], row[order], B["w"][order]
+        low = np.searchsorted(key, A["key"], "left")
+        count = np.searchsorted(key, A["key"], "right") - low
+        placed = (row.astype(np.uint64) << np.uint64(32)) | B["key"]
+        del order, row
+        ca, cb, last = squares(A), squares(B), B["key"][B["off"][1:] - 1]
+        out_a, out_b = [], []
+        for i in range(len(A["id"])):
+            s, e = A["off"][i], A["off"][i + 1]
+            c = count[s:e]
+            if not (m := int(c.sum())):
+                continue
+            at = np.repeat(low[s:e] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(m)
+            had = np.bincount(at_row[at], weights=at_w[at] * np.repeat(A["w"][s:e], c), minlength=size)
+            j = np.flatnonzero((had > 0) & (had + np.maximum(B["tail"], A["tail"][i]) >= threshold - ROUNDED))
+            if same:
+                j = j[j > i]
+            if not len(j):
+                continue
+            end = A["key"][e - 1]
+            in_b = np.searchsorted(placed, (j.astype(np.uint64) << np.uint64(32)) | np.uint64(end), "right")
+            in_a = s + np.searchsorted(A["key"][s:e], last[j], "right")
+            left = np.where(end <= last[j], A["tail"][i] * rest(cb[in_b] - cb[B["off"][j]]), B["tail"][j] * rest(ca[in_a] - ca[s]))
+            j = j[had[j] + left >= threshold - ROUNDED]
+            out_a.append(np.full(len(j), A["id"][i]))
+            out_b.append(B["id"][j])
+        if not out_a:
+            return none
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return meet
+
+
+def _met(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of ``_PREFIX`` rows that may reach the threshold.  Blocks of prefixes meet in pairs, so what is shipped are prefixes, for each block once, and no meetings."""
+    total = prefixes.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    g = max(LEAST_BLOCKS, -(-total // ENTRIES))
+    block = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
+    each = prefixes.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    cells = each.select("id", "n", "keys", "ws", "tail", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return cells.repartition(g * (g + 1), "low", "high").groupBy("low", "high").applyInArrow(_meet(threshold), "a long, b long")
+
+
+def _products(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """Exact cosines of a cell's pairs."""
+    h = dict(zip(held.column("id").to_pylist(), zip(held.column("hs").to_pylist(), held.column("ws").to_pylist(), strict=True), strict=True))
+    a, b, out, own = *(asked.column(c).to_numpy() for c in "ab"), np.empty(asked.num_rows), None
+    for i in np.lexsort((b, a)).tolist():
+        if own != a[i]:
+            own, (at, aw) = a[i], (np.frombuffer(h[int(a[i])][0], np.int64), np.frombuffer(h[int(a[i])][1]))
+        bt, bw = np.frombuffer(h[int(b[i])][0], np.int64), np.frombuffer(h[int(b[i])][1])
+        at_b = np.minimum(np.searchsorted(bt, at), len(bt) - 1)
+        out[i] = (aw * bw[at_b])[bt[at_b] == at].sum()
+    return pa.table({"a": a, "b": b, "cosine": out})
+
+
+def _exact(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(a, b, cosine) of pairs.  fetch(wanted): (id, cell, hs, ws) for (id, cell), hs being hashes in order.
+
+    Similar vectors are similar to the same ones: a vector's label is its smallest neighbour, vectors of one label share a bucket (or a few), and a vector is shipped
+    once for each bucket that has a neighbour, not once for each pair.
+    """
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("to")))
+    labels = keep(ends.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("label")), "labels")
+    buckets = max(1, -(-labels.count() // BUCKET))
+    parts = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("parts"))
+    placed = labels.hint("merge").join(parts, "label").select("id", F.pmod(F.xxhash64("label", _salt("id", F.col("parts"))), F.lit(buckets)).cast("int").alias("bucket"))
+    of = lambda c: placed.select(F.col("id").alias(c), F.col("bucket").alias("at_" + c))
+    cell = F.struct(F.least("at_a", "at_b").alias("low"), F.greatest("at_a", "at_b").alias("high"))
+    asked = keep(pairs.hint("merge").join(of("a"), "a").hint("merge").join(of("b"), "b").select("a", "b", cell.alias("cell")), "asked")
+    wanted = asked.select(F.col("a").alias("id"), "cell").unionByName(asked.select(F.col("b").alias("id"), "cell")).distinct()
+    return asked.groupBy("cell").cogroup(fetch(wanted).groupBy("cell")).applyInArrow(_products, "a long, b long, cosine double")
 
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """(id, terms, ws): unit vectors as arrays, the rarest terms first.  rows: (id, term, weight), one for each term."""
+    """(id, terms, ws, keys): unit vectors as arrays, the rarest terms first.  rows: (id, term, weight), one for each term."""
     norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     whole = rows.join(df, "term").join(norms.filter("norm > 0"), "id")
-    v = whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", (F.col("weight") / F.col("norm")).alias("w")))).alias("v"))
-    return v.select("id", F.col("v.term").alias("terms"), F.col("v.w").alias("ws"))
+    level = F.least(F.lit(63), F.floor(F.log2("df") * 2.6)).cast("long")
+    key = F.shiftleft(level, 26) + F.shiftrightunsigned(F.xxhash64("term"), 38)
+    v = whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(key.alias("key"), "term", (F.col("weight") / F.col("norm")).alias("w")))).alias("v"))
+    return v.select("id", F.col("v.term").alias("terms"), F.col("v.w").alias("ws"), F.col("v.key").alias("keys"))
+
+
+def _vector_prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
+    def of(batches):
+        for b in batches:
+            if b.num_rows:
+                off = b.column("ws").offsets.to_numpy()
+                yield _packed_prefixes(b.column("id").to_numpy(), 0, off - off[0], b.column("keys").flatten().to_numpy().astype(np.uint32), b.column("ws").flatten().to_numpy(), threshold)
+
+    return vectors.select(F.col("id").cast("long").alias("id"), "keys", "ws").mapInArrow(of, _PREFIX)
 
 
 def prefix_rows(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(id, term, w, rest, tail): what a vector is found by.  Two vectors whose cosine reaches the threshold share the first of their common terms here.
+    """(id, term, w, key, tail): what a vector is found by.  Two vectors whose cosine reaches the threshold share the first of their common terms here.
 
-    rest: the norm of what follows the term; tail: of what follows all of these terms.
+    tail: the norm of what follows all of these terms.
     """
-    found = vectors.select("id", "terms", "ws", _rests(threshold)("ws").alias("rests"))
-    n = F.size("rests")
-    zipped = F.arrays_zip(F.slice("terms", F.lit(1), n).alias("term"), F.slice("ws", F.lit(1), n).alias("w"), F.col("rests").alias("rest"))
-    return found.filter(n > 0).select("id", F.element_at("rests", -1).alias("tail"), F.explode(zipped).alias("p")).select("id", "p.term", "p.w", "p.rest", "tail")
+    p = vectors.join(_vector_prefixes(vectors, threshold).select("id", "n", "tail"), "id")
+    part = F.arrays_zip(*(F.slice(c, F.lit(1), F.col("n")).alias(x) for c, x in (("terms", "term"), ("ws", "w"), ("keys", "key"))))
+    return p.select("id", "tail", F.explode(part).alias("p")).select("id", "p.term", "p.w", "p.key", "tail")
 
 
 def candidate_pairs(prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs a < b whose prefixes leave room for the threshold.
+    """Distinct pairs a < b of ``prefix_rows`` that leave room for the threshold."""
 
-    The products of all terms that both prefixes have are added up.  Any other common term follows the end of one of the prefixes and the last of these terms, so
-    tail * rest' or tail' * rest there bounds what is left (Cauchy-Schwarz): most pairs that share some rare term go before a vector is shipped.  A meeting at
-    which even what comes before, at and after it can't reach the threshold is no true pair's, and goes at once.  A term with more than
-    ``ROWS`` rows is cut into cells, whose rows meet in pairs of cells, so that no key holds all of them.
-    """
-    cells = prefixes.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("cells"))
-    own = prefixes.join(cells, "term").withColumn("cell", _salt("id", F.col("cells")))
-    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    low, high = F.least("cell", "other"), F.greatest("cell", "other")
-    before = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("w") * F.col("w") - F.col("rest") * F.col("rest"))).alias("before")
-    wide = each.select("*", before)
-    side = lambda p: wide.select("term", low.alias("low"), high.alias("high"), *(F.col(c).alias(p + c) for c in ("id", "w", "rest", "tail", "before", "cell")))
-    both = side("a_").join(side("b_"), ["term", "low", "high"]).filter((F.col("a_id") < F.col("b_id")) & ((F.col("low") == F.col("high")) | (F.col("a_cell") != F.col("b_cell"))))
-    product = lambda c: F.col(f"a_{c}") * F.col(f"b_{c}")
-    may = both.filter(product("before") + product("w") + product("rest") >= threshold - CLOSE)
-    left = F.greatest(F.col("a_tail") * F.col("b_rest"), F.col("b_tail") * F.col("a_rest"))
-    met = may.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), product("w").cast("float").alias("had"), left.cast("float").alias("left"))
-    return met.groupBy("a", "b").agg(F.sum("had").alias("had"), F.min("left").alias("left")).filter(F.col("had") + F.col("left") >= threshold - ROUNDED).select("a", "b")
+    def packed(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key")
+        half = (w := t.column("w").to_numpy()).astype(np.float16)
+        half = np.where(half < w, np.nextafter(half, np.float16(np.inf)), half)
+        return pa.table({"id": t.column("id")[:1], "chunk": pa.array([0]), "n": pa.array([t.num_rows], pa.int32()), "keys": pa.array([t.column("key").to_numpy().astype(np.uint32).tobytes()], pa.binary()), "ws": pa.array([half.tobytes()], pa.binary()), "tail": t.column("tail")[:1]})
+
+    rows = prefixes.select(F.col("id").cast("long").alias("id"), "w", "key", F.col("tail").cast("float").alias("tail"))
+    return _met(rows.groupBy("id").applyInArrow(packed, _PREFIX), threshold)
 
 
 def similar_pairs(rows: DataFrame, threshold: float, *, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """(a, b, cosine) of all pairs a < b of sparse vectors with a cosine of at least ``threshold`` > 0: prefix filter, norm bounds, exact products.
 
     rows: (id, term, weight).  A term that every vector has stands last in the order of terms and is left out of nearly all prefixes.
+    Terms are told apart by hashes of 64 bits.
     """
     vectors = keep(unit_vectors(rows), "vectors")
-    pairs = candidate_pairs(keep(prefix_rows(vectors, threshold), "prefixes"), threshold)
-    of = lambda p: vectors.select(F.col("id").alias(p), F.col("terms").alias(p + "t"), F.col("ws").alias(p + "w"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _dot("at", "aw", "bt", "bw").alias("cosine")).filter(F.col("cosine") >= threshold)
+    pairs = keep(_met(keep(_vector_prefixes(vectors, threshold), "prefixes"), threshold), "pairs")
+
+    def whole(batches):
+        for b in batches:
+            h, w, off = b.column("h").flatten().to_numpy(), b.column("ws").flatten().to_numpy(), b.column("h").offsets.to_numpy()
+            off = off - off[0]
+            order = np.lexsort((h, np.repeat(np.arange(len(off) - 1), np.diff(off))))
+            h, w = h[order].tobytes(), w[order].tobytes()
+            cut = lambda x: pa.array([x[8 * s : 8 * e] for s, e in zip(off, off[1:])], pa.binary())  # noqa: B023,B905,E731
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("cell"), cut(h), cut(w)], ["id", "cell", "hs", "ws"])
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        v = vectors.select(F.col("id").cast("long").alias("id"), F.transform("terms", lambda t: F.xxhash64(t)).alias("h"), "ws")
+        return wanted.hint("merge").join(v, "id").select("id", "cell", "h", "ws").mapInArrow(whole, _WHOLE)
+
+    return _exact(pairs, fetch, keep).filter(F.col("cosine") >= threshold)
+
+
+# -- texts -----------------------------------------------------------------------------------------------------------
+_WHOLE = "id long, cell struct<low int, high int>, hs binary, ws binary"
+_CHUNK = "chunk long, ids binary, sizes binary, at binary, times binary, vocabulary array<string>, seen array<int>"
+
+
+def _chunked(batches):
+    """Texts as counts of words, ``TEXTS`` to a row: a row's own vocabulary, and for each text, places in it and times, packed."""
+    ids: list = []
+    at: list = []
+    times: list = []
+    names: dict = {}
+
+    def row():
+        sizes = np.array([len(x) for x in at], np.int32)
+        every = np.concatenate(at) if at else np.empty(0, np.int64)
+        step = np.diff(every, prepend=0).astype(np.int32)
+        pack = lambda x: zlib.compress(x.tobytes(), 1)
+        seen = np.bincount(every, minlength=len(names)).astype(np.int32)
+        own = {"chunk": [ids[0]], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "at": [pack(step)], "times": [pack(np.concatenate(times).astype(np.int32))], "vocabulary": [list(names)], "seen": [seen.tolist()]}
+        return pa.RecordBatch.from_pydict(own, pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "at", "times")), ("vocabulary", pa.list_(pa.string())), ("seen", pa.list_(pa.int32()))]))
+
+    find, entries = re.compile("[a-z0-9]+").findall, 0
+    for b in batches:
+        for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            if not (ws := find(text)):
+                continue
+            x, n = np.unique(np.array([names.setdefault(w, len(names)) for w in ws]), return_counts=True)
+            ids.append(i)
+            at.append(x)
+            times.append(n)
+            entries += len(x)
+            if len(ids) == TEXTS or entries > 500 * TEXTS:
+                yield row()
+                ids, at, times, names, entries = [], [], [], {}, 0
+    if ids:
+        yield row()
+
+
+def _opened(r: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offsets, hashes, keys, weights) of a chunk's unit vectors of (1 + ln times) * idf, sorted by key."""
+    ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32)
+    off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    row = np.repeat(np.arange(len(ids)), sizes)
+    at = np.cumsum(np.frombuffer(zlib.decompress(r["at"]), np.int32), dtype=np.int64)
+    h, df = np.array(r["hashes"], np.int64), np.array(r["df"], np.int64)
+    w = (1 + np.log(np.frombuffer(zlib.decompress(r["times"]), np.int32))) * (np.log((1.0 + n) / (1.0 + df)) + 1)[at]
+    w = w / np.sqrt(np.add.reduceat(w * w, off[:-1]))[row]
+    keys = _keys(df, h)[at]
+    order = np.lexsort((keys, row))
+    return ids, off, h[at][order], keys[order], w[order]
+
+
+def similar_texts(texts: DataFrame, n: int, threshold: float, *, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``similar_pairs`` of texts (id long, text in lower case) by TF-IDF of their words among ``n`` texts.
+
+    Words are counted where a text is read.  Only the vocabularies of chunks of texts are shuffled to learn how many texts have a word;
+    vectors are made from a chunk's packed counts when they are asked for.
+    """
+    ids = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    if ids.groupBy("id").count().filter("count > 1").limit(1).count():
+        ids = ids.groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    chunks = keep(ids.mapInArrow(_chunked, _CHUNK).withColumn("hashes", F.transform("vocabulary", lambda t: F.xxhash64(t))).drop("vocabulary"), "chunks")
+    terms = chunks.select("chunk", F.posexplode(F.arrays_zip("hashes", "seen")).alias("at", "t")).select("chunk", "at", F.col("t.hashes").alias("h"), "t.seen")
+    df = terms.select("chunk", "at", F.sum("seen").over(Window.partitionBy("h")).cast("int").alias("df"))
+    dfs = df.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "df"))), lambda x: x["df"]).alias("df"))
+    whole = keep(chunks.drop("seen").hint("merge").join(dfs, "chunk"), "counted")
+
+    def prefixes(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                ids, off, _, keys, w = _opened(r, n)
+                yield _packed_prefixes(ids, r["chunk"], off, keys, w, threshold)
+
+    found = keep(whole.mapInArrow(prefixes, _PREFIX), "prefixes")
+    pairs = keep(_met(found, threshold), "pairs")
+
+    def vectors(asked: pa.Table, chunk: pa.Table) -> pa.Table:
+        got = {"id": [], "cell": [], "hs": [], "ws": []}
+        if asked.num_rows:
+            ids, off, h, _, w = _opened(chunk.to_pylist()[0], n)
+            place = {i: k for k, i in enumerate(ids.tolist())}
+            for r in asked.to_pylist():
+                s, e = off[place[r["id"]]], off[place[r["id"]] + 1]
+                order = np.argsort(h[s:e])
+                for c, x in (("id", r["id"]), ("cell", r["cell"]), ("hs", h[s:e][order].tobytes()), ("ws", w[s:e][order].tobytes())):
+                    got[c].append(x)
+        return pa.table(got, pa.schema([("id", pa.int64()), ("cell", pa.struct([("low", pa.int32()), ("high", pa.int32())])), ("hs", pa.binary()), ("ws", pa.binary())]))
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        at = wanted.hint("merge").join(found.select("id", "chunk"), "id")
+        return at.groupBy("chunk").cogroup(whole.groupBy("chunk")).applyInArrow(vectors, _WHOLE)
+
+    return _exact(pairs, fetch, keep).filter(F.col("cosine") >= threshold)

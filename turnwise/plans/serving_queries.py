@@ -4,8 +4,6 @@ import functools
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import matching as M
 from ..operators import similarity_join as J
 from ..session import keeper, workspace
 from ..streaming import dedupe, feedback, pattern_state, replay
@@ -45,9 +43,8 @@ _DOCS = "f AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z
 def similar_texts(read):
     """Pairs of documents with a TF-IDF cosine of 0.7 or more, by a prefix-filtered join."""
     docs = read("documents")
-    features = docs.select(F.col("doc_id").alias("id"), F.explode(T.words("text")).alias("w"))
-    weights = M.tfidf(features, M.idf(features, docs.count())).select("id", F.col("w").alias("term"), "weight")
-    pairs = J.similar_pairs(weights, 0.7 - 1e-6, keep=keeper(docs.sparkSession, "similar-texts"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
+    pairs = J.similar_texts(texts, docs.count(), 0.7 - 1e-6, keep=keeper(docs.sparkSession, "similar-texts"))
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine")).filter("cosine >= 0.7")
 
 
