@@ -165,8 +165,9 @@ def first_valid(turns: DataFrame, patterns: DataFrame, *, route: float, holds: C
 #: Entries of prefixes of a block, at most about, and blocks at least: each pair of blocks is a task.
 ENTRIES = 5_000_000
 LEAST_BLOCKS = 6
-#: Texts of a chunk, which has one vocabulary, and whole vectors of a bucket, at most about.
-TEXTS = 4096
+#: Texts and different words of texts of a chunk, which has one vocabulary, and whole vectors of a bucket, at most about.
+TEXTS = 8192
+WORDS = 2_500_000
 BUCKET = 4096
 
 
@@ -208,11 +209,18 @@ def _packed_prefixes(ids: np.ndarray, chunk: int, off: np.ndarray, keys: np.ndar
 
 
 def _side(t: pa.Table) -> dict:
-    n = t.column("n").to_numpy()
-    return {
-        "id": t.column("id").to_numpy(), "tail": t.column("tail").to_numpy(), "off": np.concatenate([[0], np.cumsum(n, dtype=np.int64)]),
-        "key": np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint32), "w": np.frombuffer(b"".join(t.column("ws").to_pylist()), np.float16).astype(np.float32),
-    }
+    """A block's prefixes as flat arrays; rest: at most the square of the norm of what follows an entry (weights were rounded up)."""
+    off = np.concatenate([[0], np.cumsum(t.column("n").to_numpy(), dtype=np.int64)])
+    flat = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+    w = flat("ws", np.float16).astype(np.float32)
+    c = np.cumsum(np.square(w, dtype=np.float64))
+    c -= np.repeat(np.concatenate([[0.0], c])[off[:-1]], np.diff(off))
+    np.clip(1 + ROUNDED - c * (1 - 2.0**-9), 0, None, out=c)
+    return {"id": t.column("id").to_numpy(), "tail": t.column("tail").to_numpy(), "off": off, "key": flat("keys", np.uint32), "w": w, "rest": c.astype(np.float32)}
+
+
+#: Vectors of a block whose meetings are looked up at once.
+SLICE = 4096
 
 
 def _meet(threshold: float):
@@ -222,41 +230,47 @@ def _meet(threshold: float):
     norm of what follows there in b bounds what is left (Cauchy-Schwarz).  Terms with equal keys count as equal, which only raises the sum.
     """
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    squares = lambda side: np.concatenate([[0.0], np.cumsum(side["w"].astype(np.float64) ** 2)]) * (1 - 2.0**-9)  # noqa: E731  # weights were rounded up
-    rest = lambda x: np.sqrt(np.maximum(0.0, 1 - x) + ROUNDED)
+
+    def rest(side: dict, start, end) -> np.ndarray:
+        return np.sqrt(np.where(end > start, side["rest"][np.maximum(end - 1, 0)], 1.0))
 
     def meet(cell: pa.Table) -> pa.Table:
         block = cell.column("block").to_numpy()
-        same = block.min() == block.max() and cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
+        same = cell.column("low")[0].as_py() == cell.column("high")[0].as_py()
         if not same and block.min() == block.max():
             return none
-        A, B = (_side(cell.filter(pa.array(block == x))) for x in (block.min(), block.max()))
+        A = _side(cell.filter(pa.array(block == block.min())))
+        B = A if same else _side(cell.filter(pa.array(block == block.max())))
         size = len(B["id"])
-        row = np.repeat(np.arange(size, dtype=np.int32), np.diff(B["off"]))
-        order = np.argsort(B["key"], kind="stable")
-        key, at_row, at_w = B["key"][order], row[order], B["w"][order]
-        low = np.searchsorted(key, A["key"], "left")
-        count = np.searchsorted(key, A["key"], "right") - low
-        placed = (row.astype(np.uint64) << np.uint64(32)) | B["key"]
-        del order, row
-        ca, cb, last = squares(A), squares(B), B["key"][B["off"][1:] - 1]
+        at_row = np.repeat(np.arange(size, dtype=np.int32), np.diff(B["off"]))
+        placed = at_row.astype(np.uint64)
+        placed <<= np.uint64(32)
+        placed |= B["key"]
+        order = np.argsort(B["key"], kind="stable").astype(np.int32)
+        key, at_row, at_w = B["key"][order], at_row[order], B["w"][order]
+        last, most = B["key"][B["off"][1:] - 1], B["tail"].max()
+        del order
         out_a, out_b = [], []
         for i in range(len(A["id"])):
+            if i % SLICE == 0:
+                first = A["off"][i]
+                asked = A["key"][first : A["off"][min(i + SLICE, len(A["id"]))]]
+                low = np.searchsorted(key, asked, "left")
+                count = np.searchsorted(key, asked, "right") - low
             s, e = A["off"][i], A["off"][i + 1]
-            c = count[s:e]
+            c = count[s - first : e - first]
             if not (m := int(c.sum())):
                 continue
-            at = np.repeat(low[s:e] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(m)
+            at = np.repeat(low[s - first : e - first] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(m)
             had = np.bincount(at_row[at], weights=at_w[at] * np.repeat(A["w"][s:e], c), minlength=size)
-            j = np.flatnonzero((had > 0) & (had + np.maximum(B["tail"], A["tail"][i]) >= threshold - ROUNDED))
-            if same:
-                j = j[j > i]
+            j = np.flatnonzero(had > max(0.0, threshold - 2 * ROUNDED - max(most, A["tail"][i])))
+            j = j[(had[j] + np.maximum(B["tail"][j], A["tail"][i]) >= threshold - ROUNDED) & (j > (i if same else -1))]
             if not len(j):
                 continue
             end = A["key"][e - 1]
             in_b = np.searchsorted(placed, (j.astype(np.uint64) << np.uint64(32)) | np.uint64(end), "right")
             in_a = s + np.searchsorted(A["key"][s:e], last[j], "right")
-            left = np.where(end <= last[j], A["tail"][i] * rest(cb[in_b] - cb[B["off"][j]]), B["tail"][j] * rest(ca[in_a] - ca[s]))
+            left = np.where(end <= last[j], A["tail"][i] * rest(B, B["off"][j], in_b), B["tail"][j] * rest(A, s, in_a))
             j = j[had[j] + left >= threshold - ROUNDED]
             out_a.append(np.full(len(j), A["id"][i]))
             out_b.append(B["id"][j])
@@ -275,7 +289,7 @@ def _met(prefixes: DataFrame, threshold: float) -> DataFrame:
     block = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
     each = prefixes.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
     cells = each.select("id", "n", "keys", "ws", "tail", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return cells.repartition(g * (g + 1), "low", "high").groupBy("low", "high").applyInArrow(_meet(threshold), "a long, b long")
+    return cells.repartition(4 * g * g, "low", "high").groupBy("low", "high").applyInArrow(_meet(threshold), "a long, b long")
 
 
 def _products(asked: pa.Table, held: pa.Table) -> pa.Table:
@@ -392,11 +406,11 @@ def _chunked(batches):
 
     def row():
         sizes = np.array([len(x) for x in at], np.int32)
-        every = np.concatenate(at) if at else np.empty(0, np.int64)
-        step = np.diff(every, prepend=0).astype(np.int32)
+        every = np.concatenate(at)
+        step = np.diff(every, prepend=np.int32(0))
         pack = lambda x: zlib.compress(x.tobytes(), 1)
         seen = np.bincount(every, minlength=len(names)).astype(np.int32)
-        own = {"chunk": [ids[0]], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "at": [pack(step)], "times": [pack(np.concatenate(times).astype(np.int32))], "vocabulary": [list(names)], "seen": [seen.tolist()]}
+        own = {"chunk": [ids[0]], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "at": [pack(step)], "times": [pack(np.concatenate(times))], "vocabulary": [list(names)], "seen": [seen.tolist()]}
         return pa.RecordBatch.from_pydict(own, pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "at", "times")), ("vocabulary", pa.list_(pa.string())), ("seen", pa.list_(pa.int32()))]))
 
     find, entries = re.compile("[a-z0-9]+").findall, 0
@@ -404,12 +418,12 @@ def _chunked(batches):
         for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             if not (ws := find(text)):
                 continue
-            x, n = np.unique(np.array([names.setdefault(w, len(names)) for w in ws]), return_counts=True)
+            x, n = np.unique(np.array([names.setdefault(w, len(names)) for w in ws], np.int32), return_counts=True)
             ids.append(i)
             at.append(x)
-            times.append(n)
+            times.append(n.astype(np.int32))
             entries += len(x)
-            if len(ids) == TEXTS or entries > 500 * TEXTS:
+            if len(ids) == TEXTS or entries > WORDS:
                 yield row()
                 ids, at, times, names, entries = [], [], [], {}, 0
     if ids:
